@@ -124,7 +124,7 @@ class Merges:
         while order:
             rank = heapq.heappop(order)
             found = pending.pop(rank)
-            at = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            at = distinct(np.concatenate(found))
             at = at[alive[at]]
             right = after[at]
             there = right < n
@@ -151,7 +151,7 @@ class Merges:
             inner = beyond < n
             before[beyond[inner]] = at[inner]
             left = before[at]
-            touched = np.unique(np.concatenate([left[left >= 0], at[inner]]))
+            touched = distinct(np.concatenate([left[left >= 0], at[inner]]))
             note(self.rank_of(symbol[touched], symbol[after[touched]]), touched)
         kept = np.flatnonzero(alive[:n])
         counts = np.bincount(word[kept], minlength=len(words))
@@ -172,6 +172,11 @@ def gather(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return flat[np.repeat(shift, lengths) + np.arange(total)], lengths
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 @lru_cache(maxsize=2)
 def merges(name: str) -> Merges:
     return Merges(public_tokenizers.path(name))

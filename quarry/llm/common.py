@@ -171,3 +171,17 @@ def sums(differences: np.ndarray) -> np.ndarray:
 def table_of(schema: pa.Schema, rows: Iterator[tuple]) -> pa.RecordBatch:
     data = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(data or [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def heaviest(df: DataFrame, weight: str, k: int) -> DataFrame:
+    """The rows of greatest ``weight``, k at most: all rows above a cutoff that keeps to the
+    bound. The cutoff comes from a histogram of at most 2,100 rows over powers of 2**(1/16)."""
+    level = F.floor(F.log2(F.col(weight).cast("double")) * 16).cast("int")
+    histogram = df.where(F.col(weight) > 0).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, cutoff = 0, None
+    for row in sorted(histogram, key=lambda r: -r["level"]):
+        total += row["n"]
+        if total > k:
+            break
+        cutoff = row["level"]
+    return df.where(F.lit(False)) if cutoff is None else df.where((F.col(weight) > 0) & (level >= cutoff))
