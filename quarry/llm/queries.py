@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, langid, mixing, quality, tokenfile, topk
+from quarry.llm import bpe, langid, mixing, pii, quality, tokenfile, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language_id": langid.op2_language_id,
     "op4_token_files": tokenfile.op4_token_files,
     "op6_bpe": bpe.op6_bpe,
+    "op7_pii": pii.op7_pii,
     "op8_topk_search": topk.op8_topk_search,
     "op9_quality_rules": quality.op9_quality_rules,
 }
