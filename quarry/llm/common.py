@@ -185,3 +185,28 @@ def heaviest(df: DataFrame, weight: str, k: int) -> DataFrame:
             break
         cutoff = row["level"]
     return df.where(F.lit(False)) if cutoff is None else df.where((F.col(weight) > 0) & (level >= cutoff))
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts (the first two columns) in runs of about ``size`` bytes of text."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(doc_id)
+                texts.append(text)
+                held += len(text)
+                if held >= size:
+                    yield ids, texts
+                    ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def power_of_two(n: int) -> int:
+    return 1 << max(0, n - 1).bit_length()
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, langid, mixing, pii, quality, tokenfile, topk
+from quarry.llm import bpe, langid, mixing, pii, quality, substrings, tokenfile, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language_id": langid.op2_language_id,
     "op4_token_files": tokenfile.op4_token_files,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_pii": pii.op7_pii,
     "op8_topk_search": topk.op8_topk_search,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mixing": mixing.sql(),
+    "op5_substring_dedup": substrings.SQL,
     "op8_topk_search": topk.SQL,
 }
