@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, langid, mixing, pii, quality, substrings, tokenfile, topk
+from quarry.llm import bpe, jaccard, langid, mixing, pii, quality, substrings, tokenfile, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_topk_search": topk.op8_topk_search,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 ORACLES = {
     "op1_mixing": mixing.sql(),
     "op5_substring_dedup": substrings.SQL,
     "op8_topk_search": topk.SQL,
+    "op10_jaccard_join": jaccard.SQL,
 }
