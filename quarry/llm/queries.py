@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, jaccard, langid, mixing, pii, quality, substrings, tokenfile, topk
+from quarry.llm import bpe, jaccard, katz, langid, mixing, pii, quality, substrings, tokenfile, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language_id": langid.op2_language_id,
+    "op3_katz_scoring": katz.op3_katz_scoring,
     "op4_token_files": tokenfile.op4_token_files,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_bpe": bpe.op6_bpe,
