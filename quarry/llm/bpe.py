@@ -267,3 +267,15 @@ def digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", pattern:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(load(spark, sf_dir))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document."""
+    return with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _IdsAndDigest(), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", ["doc_id"], "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN)
+
+
+class _IdsAndDigest:
+    columns = [("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]
+
+    def __call__(self, words: Merges, ids: np.ndarray):
+        return len(ids), ids.astype(np.int32), hashlib.sha256(words.decode(ids)).hexdigest()

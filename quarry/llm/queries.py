@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from quarry.llm import bpe, jaccard, katz, langid, mixing, pii, quality, substrings, tokenfile, topk
 
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language_id": langid.op2_language_id,
@@ -15,6 +22,7 @@ QUERIES = {
     "op8_topk_search": topk.op8_topk_search,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "pipeline": pipeline,
 }
 ORACLES = {
     "op1_mixing": mixing.sql(),
