@@ -29,31 +29,45 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class LanguageModel:
-    """languages; word -> log frequency in each; n-gram -> log share of each language."""
+    """Evidence is a matrix with a row for each known word (log frequency in each language) and
+    each known n-gram (log share of each language); the dictionaries lead to its rows."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # longest order first
+    words: dict[str, int]
+    grams: list[dict[str, int]]  # longest order first
+    rows: np.ndarray
 
-    def word(self, word: str) -> np.ndarray:
+    def evidence(self, word: str) -> list[int]:
+        """Rows whose mean is the evidence of a word; none where nothing is known."""
         known = self.words.get(word)
         if known is not None:
-            return known
+            return [known]
         padded = f"^{word}$"
         order = len(self.grams)
         for table in self.grams:
-            hits = [table[g] for i in range(len(padded) - order + 1) if (g := padded[i : i + order]) in table]
+            hits = [h for i in range(len(padded) - order + 1) if (h := table.get(padded[i : i + order])) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return hits
             order -= 1
-        return np.zeros(len(self.languages))
-
-    def token(self, token: str) -> np.ndarray:
-        """Sums over the words of a token, then the number of these words."""
-        out = np.zeros(len(self.languages) + 1)
-        for w in _LETTERS.findall(token.lower()):
-            out[:-1] += self.word(w)
-            out[-1] += 1
+        return []
+
+    def tokens(self, tokens: list[str]) -> np.ndarray:
+        """For each token the sums over its words, then the number of these words."""
+        row, owner, weight, counts = [], [], [], np.zeros(len(tokens))
+        for i, token in enumerate(tokens):
+            words = _LETTERS.findall(token.lower())
+            counts[i] = len(words)
+            for w in words:
+                found = self.evidence(w)
+                row += found
+                owner += [i] * len(found)
+                weight += [1 / len(found)] * len(found) if found else []
+        out = np.zeros((len(tokens), len(self.languages) + 1))
+        if row:
+            shown = self.rows[row] * np.array(weight)[:, None]
+            for k in range(len(self.languages)):
+                out[:, k] = np.bincount(owner, weights=shown[:, k], minlength=len(tokens))
+        out[:, -1] = counts
         return out
 
 
@@ -84,45 +98,46 @@ def word_counts(docs: DataFrame, max_word: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, max_words: int = 120_000, max_grams: int = 40_000, orders: int = 5, max_word: int = 40) -> LanguageModel:
-    """Learns from the rows of ``docs`` whose text and lang are not null."""
-    spark = docs.sparkSession
-    where = shared_dir(spark)
-    counts = materialize(word_counts(docs.where("text is not null and lang is not null"), max_word), where, "words")
+    """Learns from the rows of ``docs`` whose text and lang are not null.
+
+    The ``max_words`` most frequent words come to the driver; the n-grams are those of these
+    words, weighted by the square root of the words' frequencies, ``max_grams`` of each order."""
+    counts = materialize(word_counts(docs.where("text is not null and lang is not null"), max_word), shared_dir(docs.sparkSession), "words")
     sizes = {r["lang"]: (r["n"], r["types"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}
     languages = sorted(sizes)
     at = {x: i for i, x in enumerate(languages)}
     if not languages:
-        return LanguageModel([], {}, [{}] * orders)
+        return LanguageModel([], {}, [{}] * orders, np.zeros((0, 0)))
     totals = np.array([sizes[x][0] for x in languages], float)
     types = sum(sizes[x][1] for x in languages)
-    pairs = F.collect_list(F.struct("lang", "n"))
-    words = {}
-    kept = heaviest(counts.groupBy("word").agg(F.sum("n").alias("total"), pairs.alias("by")), "total", max_words)
-    for row in kept.collect():
+    by_word = counts.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    words, rows = {}, []
+    gram_sums: list[list[dict[str, float]]] = [[{} for _ in languages] for _ in range(orders)]
+    for row in sorted(heaviest(by_word, "total", max_words).collect(), key=lambda r: r["word"]):
         seen = np.zeros(len(languages))
+        padded = f"^{row['word']}$"
         for lang, n in row["by"]:
             seen[at[lang]] = n
-        words[row["word"]] = np.log((seen + 0.1) / (totals + 0.1 * types))
+            root = n**0.5
+            for tables, order in zip(gram_sums, range(orders, 0, -1), strict=True):
+                table = tables[at[lang]]
+                for i in range(len(padded) - order + 1):
+                    gram = padded[i : i + order]
+                    table[gram] = table.get(gram, 0.0) + root
+        words[row["word"]] = len(rows)
+        rows.append(np.log((seen + 0.1) / (totals + 0.1 * types)))
     grams = []
-    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    for order in range(orders, 0, -1):
-        pieces = F.transform(F.sequence(F.lit(1), F.length(padded) - order + 1), lambda i, n=order: F.substring(padded, i, F.lit(n)))
-        shown = counts.where(F.length(padded) >= order).select("lang", F.sqrt(F.col("n")).alias("n"), F.explode(pieces).alias("gram"))
-        summed = shown.groupBy("gram", "lang").agg(F.sum("n").alias("n")).groupBy("gram").agg(F.sum("n").alias("total"), pairs.alias("by"))
-        table = {}
-        mass = np.full(len(languages), 1.0)
-        rows = heaviest(summed, "total", max_grams).collect()
-        for row in rows:
-            for lang, n in row["by"]:
-                mass[at[lang]] += n
-        for row in rows:
-            seen = np.zeros(len(languages))
-            for lang, n in row["by"]:
-                seen[at[lang]] = n
-            rate = (seen + 0.02) / mass
-            table[row["gram"]] = np.log(rate / rate.sum())
-        grams.append(table)
-    return LanguageModel(languages, words, grams)
+    for tables in gram_sums:
+        total = Counter()
+        for table in tables:
+            for g, x in table.items():
+                total[g] += x
+        kept = sorted(total, key=lambda g: (-total[g], g))[:max_grams]
+        shown = np.array([[table.get(g, 0.0) for table in tables] for g in kept]).reshape(len(kept), len(languages))
+        rate = (shown + 0.02) / (1.0 + shown.sum(axis=0))
+        grams.append({g: len(rows) + i for i, g in enumerate(kept)})
+        rows.extend(np.log(rate / rate.sum(axis=1, keepdims=True)))
+    return LanguageModel(languages, words, grams, np.array(rows).reshape(len(rows), len(languages)))
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
@@ -140,7 +155,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
         for batch in batches:
             codes = _Codes()
             rows = [np.fromiter(map(codes.__getitem__, parts := (text or "").split()), np.int64, len(parts)) for text in batch.column(batch.num_columns - 1).to_pylist()]
-            values = np.array([m.token(t) for t in codes]).reshape(len(codes), len(m.languages) + 1)
+            values = m.tokens(list(codes))
             langs, scores = [], []
             for row in rows:
                 total = values[row].sum(axis=0)
