@@ -81,6 +81,55 @@ class Framer(StatefulProcessor):
         pass
 
 
+class Reassembler(StatefulProcessor):
+    """Container messages from fragments (state_key, stream, pos, time, text, closes). An open
+    message waits in state for its end or the timeout; a full one is cut."""
+
+    def __init__(self, max_bytes: int = 1 << 20, timeout_ms: int = 1_000):
+        self.max_bytes, self.timeout_ms = max_bytes, timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "pos long, time string, log string")
+
+    def _rows(self, key, done: list[tuple[int, str, str, bool, bool]]) -> pd.DataFrame:
+        out = pd.DataFrame(done, columns=["pos", "time", "log", "truncated", "unclosed"])
+        out.insert(0, "stream", key[1])
+        out.insert(0, "state_key", key[0])
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.open.get() if self.open.exists() else None
+        time, parts, size, done, last = (held[1], [held[2]], len(held[2].encode()), [], held[0]) if held else (None, [], 0, [], 0)
+        new = pd.concat(list(rows)).sort_values("pos")
+        for pos, at, text, closes in zip(new["pos"].tolist(), new["time"].tolist(), new["text"].tolist(), new["closes"].tolist(), strict=True):
+            time = at if not parts else time
+            parts.append(text)
+            size += len(text.encode())
+            last = pos
+            if closes or size >= self.max_bytes:
+                done.append((pos, time, "".join(parts), not closes, False))
+                parts, size = [], 0
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        if parts:
+            self.open.update((last, time, "".join(parts)))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        else:
+            self.open.clear()
+        if done:
+            yield self._rows(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.open.get() if self.open.exists() else None
+        self.open.clear()
+        if held:
+            yield self._rows(key, [(held[0], held[1], held[2], False, True)])
+
+    def close(self) -> None:
+        pass
+
+
 class Stamper(StatefulProcessor):
     """Places in ticks, with the ticks that were opened last. A tick that had to be forgotten would
     start anew; a new tick older than all remembered ones is flagged."""
@@ -152,6 +201,11 @@ def framed_stream(lines: DataFrame, starts_with: str, **caps) -> DataFrame:
     return lines.groupBy("state_key").transformWithStateInPandas(Framer(starts_with, **caps), "state_key string, pos long, line string, n_lines int, truncated boolean", "append", "processingTime")
 
 
+def reassembled_stream(fragments: DataFrame, max_bytes: int = 1 << 20, timeout_ms: int = 1_000) -> DataFrame:
+    """``fragments``: as ``framing.docker_fragments`` and ``framing.cri_fragments`` give them."""
+    return fragments.groupBy("state_key", "stream").transformWithStateInPandas(Reassembler(max_bytes, timeout_ms), "state_key string, stream string, pos long, time string, log string, truncated boolean, unclosed boolean", "append", "processingTime")
+
+
 def stamped_stream(records: DataFrame, tick_ns: int) -> DataFrame:
     kept = [f for f in records.schema.fields if f.name != "state_key"]
     schema = ", ".join(["state_key string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ts_ns long, exhausted boolean, out_of_window boolean"])

@@ -4,7 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from quarry.operators import framing, hostmetrics, sinks, stamping
-from quarry.sources import files, otlp, winlog
+from quarry.sources import containers, files, otlp, winlog
 from quarry.streaming import stateful
 
 
@@ -107,3 +107,25 @@ def test_stamped_and_watermark_streams(spark, tmp_path):
     assert {(r.pos, r.ts_ns) for r in got.collect()} == {(r.pos, r.ts_ns) for r in want.collect()}
     marks = run_stream(stateful.watermark_stream(stream.select(F.col("state_key").alias("stream"), "pos", F.col("source_ts_ns").alias("ts_ns"))), "marks", spark).collect()
     assert len(marks) == 1 and marks[0].lateness_ns == 100 * 10**6 and marks[0].watermark_ns == 9 * 10**6 - 100 * 10**6
+
+
+CRI = "t1 stdout P one \nt2 stderr F err\nt3 stdout F two\nbad\nt4 stdout P 12345678\nt5 stdout F 9\nt6 stderr P open\n"
+
+
+def test_cri_files_and_streams(spark, tmp_path):
+    stateful.prepare_streaming(spark)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text(CRI)
+    messages, rejected = containers.read_cri(spark, str(tmp_path / "in"), max_bytes=8)
+    assert rejected.count() == 1
+    want = {(r.parsed["stream"], r.time, r.log, r.truncated) for r in messages.collect()}
+    assert ("stdout", "t1", "one two", False) in want and ("stdout", "t4", "12345678", True) in want and ("stderr", "t6", "open", False) in want
+    lines = stateful.stream_lines(spark, str(tmp_path / "in")).select("state_key", "pos", "line")
+    got = run_stream(stateful.reassembled_stream(framing.cri_fragments(lines)[0], max_bytes=8, timeout_ms=10**9), "messages", spark)
+    assert {(r.stream, r.time, r.log, r.truncated) for r in got.collect()} == want - {("stderr", "t6", "open", False)}
+
+
+def test_docker_files(spark, tmp_path):
+    (tmp_path / "d.log").write_text('{"log":"a","stream":"stdout","time":"1"}\n{"log":"b\\n","stream":"stdout","time":"2"}\n')
+    messages, rejected = containers.read_docker_json(spark, str(tmp_path))
+    assert [(r.log, r.time) for r in messages.collect()] == [("ab", "1")] and rejected.count() == 0
