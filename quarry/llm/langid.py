@@ -140,8 +140,8 @@ def learn(docs: DataFrame, max_words: int = 120_000, max_grams: int = 40_000, or
     return LanguageModel(languages, words, grams, np.array(rows).reshape(len(rows), len(languages)))
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """Adds lang_pred and score to the columns ``keep`` of every row.
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the predicted language and its score under ``names`` to the columns ``keep`` of every row.
 
     A text that is null or has no letter is ``und`` with score 0. The score is the share of
     the best language when evidence grows with the square root of the number of words; ties
@@ -167,11 +167,11 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
                 share = np.exp(z - z.max())
                 langs.append(m.languages[int(np.argmax(z))])
                 scores.append(float(share.max() / share.sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     kinds = dict(docs.dtypes)
     shown = docs.select(*keep, F.col("text").alias("__text"))
-    return shown.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return shown.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, **limits) -> DataFrame:
@@ -188,8 +188,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language can be told; the rest (no text, no letter, or a best language
     with hardly more than an even share) go. Columns and values stay as they are."""
     columns = docs.columns
-    typed = docs.withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
-    model = learn(typed.where("not held_out"))
-    floor = 1.0 / max(1, len(model.languages))
-    out = predict(docs.select("*"), model, [c for c in columns if c != "text"] + ["text"])
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > 1.01 * floor)).select(*columns)
+    model = learn(docs.where(fold(F.col("doc_id"), 5) != 0).select("text", "lang"))
+    floor = 1.01 / len(model.languages) if len(model.languages) > 1 else 0.0
+    out = predict(docs, model, columns, ("__lang_pred", "__score"))
+    return out.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") > floor)).select(*columns)

@@ -49,21 +49,25 @@ OTHER = "other"
 ORDER = {kind: i for i, kind in enumerate([*BASE, OTHER])}
 SECRET = r"(?i)(?:token|key|secret|passw(?:or)?d|credential)[\x22']?\s*[=:]\s*[\x22']?$"
 
-#: Binary features of a candidate from its text ``hit`` and the CONTEXT characters before it.
-FEATURES: dict[str, Column] = {
-    "at": F.col("hit").contains("@"),
-    "plus": F.col("hit").startswith("+"),
-    "digits": F.length(F.regexp_replace("hit", "[^0-9]", "")) * 2 >= F.length("hit"),
-    "many_digits": F.length(F.regexp_replace("hit", "[^0-9]", "")) >= 9,
-    "long": F.length("hit") >= 24,
-    "letters": F.col("hit").rlike("[A-Za-z]"),
-    "upper": F.col("hit").rlike("[A-Z]"),
-    "hex": F.col("hit").rlike("^[0-9a-f]+$"),
-    "dots": F.length(F.regexp_replace("hit", r"[^.]", "")) >= 3,
-    "separators": F.col("hit").rlike(r"[\x20()-]"),
-    "assigned": F.col("before").rlike(r"[=:]\s*[\x22']?$"),
-    "quoted": F.col("before").rlike(r"[\x22']$"),
-}
+FEATURES = ["at", "plus", "digits", "many_digits", "long", "letters", "upper", "hex", "dots", "separators", "assigned", "quoted"]
+
+
+def features() -> dict[str, Column]:
+    """Binary features of a candidate from its text ``hit`` and the CONTEXT characters before it."""
+    return {
+        "at": F.col("hit").contains("@"),
+        "plus": F.col("hit").startswith("+"),
+        "digits": F.length(F.regexp_replace("hit", "[^0-9]", "")) * 2 >= F.length("hit"),
+        "many_digits": F.length(F.regexp_replace("hit", "[^0-9]", "")) >= 9,
+        "long": F.length("hit") >= 24,
+        "letters": F.col("hit").rlike("[A-Za-z]"),
+        "upper": F.col("hit").rlike("[A-Z]"),
+        "hex": F.col("hit").rlike("^[0-9a-f]+$"),
+        "dots": F.length(F.regexp_replace("hit", r"[^.]", "")) >= 3,
+        "separators": F.col("hit").rlike(r"[\x20()-]"),
+        "assigned": F.col("before").rlike(r"[=:]\s*[\x22']?$"),
+        "quoted": F.col("before").rlike(r"[\x22']$"),
+    }
 
 
 def _found(text: Column, kind: str, pattern: str) -> Column:
@@ -122,7 +126,7 @@ def candidates(docs: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
 def described(spans: DataFrame) -> DataFrame:
     """Candidates with their cell (the features as bits) and weak label."""
     cell = F.lit(0)
-    for i, feature in enumerate(FEATURES.values()):
+    for i, feature in enumerate(features().values()):
         cell = cell + F.when(feature, 1 << i).otherwise(0)
     same = F.max(F.col("base").cast("int")).over(Window.partitionBy("__row", "start", "end"))
     secret = F.col("before").rlike(SECRET) & (F.length("hit") >= 12)
@@ -162,7 +166,7 @@ def score_of(trees, cell: int) -> float:
 
 
 def score_column(trees) -> Column:
-    names = list(FEATURES.values())
+    names = list(features().values())
     out = F.lit(0.0)
     for a, b, leaves in trees:
         out = out + F.when(names[a], F.when(names[b], leaves[3]).otherwise(leaves[2])).otherwise(F.when(names[b], leaves[1]).otherwise(leaves[0]))
