@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import keyed_texts, load, mix, pack, power_of_two, shared_dir, materialize, shingle_hashes, shuffle_partitions, steps, sums, text_chunks, unpack, word_hashes
+from quarry.llm.sieve import Sieve
 
 RUN = 5
 
@@ -41,20 +42,24 @@ def anchors(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    runs = shingle_hashes(words, run)
-    best, place = runs[:n].copy(), np.zeros(n, np.int8)
-    for j in range(1, window - run + 1):
-        less = runs[j : n + j] < best
-        best[less] = runs[j : n + j][less]
-        place[less] = j
+    # the low four bits carry the position, so that one minimum gives the hash and the place
+    low = np.uint64(15)
+    least = (shingle_hashes(words, run) & ~low) | (np.arange(len(words) - run + 1, dtype=np.uint64) & low)
+    width = 1
+    while width < (span := window - run + 1):
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
     at = np.flatnonzero(doc[:n] == doc[window - 1 :])
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    where = at + place[at]
+    least = least[at]
+    where = at + (((least & low).astype(np.int64) - at) & 15)
+    best = least & ~low
     new = np.concatenate([[True], (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    return best[at[first]], at[first], at[last]
+    return best[first], at[first], at[last]
 
 
 def _words_of(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -64,39 +69,10 @@ def _words_of(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nda
     return split, hashes, np.repeat(np.arange(len(split)), counts)
 
 
-class Filter:
-    """Bits of anchors: the top bits of the hash give the slice, two more parts the bits in it."""
-
-    def __init__(self, slices: int, bits: int):
-        self.shift = np.uint64(64 - (slices.bit_length() - 1)) if slices > 1 else None
-        self.bits = bits
-        self.data = np.zeros((slices, bits // 8), np.uint8)
-
-    def slice_of(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> self.shift).astype(np.int64) if self.shift is not None else np.zeros(len(hashes), np.int64)
-
-    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(hashes)
-        return (h % np.uint64(self.bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(self.bits)).astype(np.int64)
-
-    def slice_bits(self, hashes: np.ndarray) -> bytes:
-        on = np.zeros(self.bits, bool)
-        for place in self.places(hashes):
-            on[place] = True
-        return np.packbits(on).tobytes()
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        row = self.slice_of(hashes)
-        out = np.ones(len(hashes), bool)
-        for place in self.places(hashes):
-            out &= (self.data[row, place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 != 0
-        return out
-
-
-def shared_anchors(texts: DataFrame, window: int, filter_bits: int) -> Filter:
+def shared_anchors(texts: DataFrame, window: int, filter_bits: int) -> Sieve:
     """The filter of the anchors that stand in two documents or more."""
     slices = power_of_two(2 * shuffle_partitions(texts.sparkSession))
-    out = Filter(slices, max(1024, filter_bits // slices))
+    out = Sieve(slices, max(1024, filter_bits // slices))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in text_chunks(batches):
@@ -136,7 +112,7 @@ def shared_anchors(texts: DataFrame, window: int, filter_bits: int) -> Filter:
     return out
 
 
-def segments(texts: DataFrame, shared: Filter, window: int, shards: int) -> DataFrame:
+def segments(texts: DataFrame, shared: Sieve, window: int, shards: int) -> DataFrame:
     """(shard, packed): for each chunk of documents and shard the different word sequences around
     anchors, and where they stand."""
     spread = texts.sparkSession.sparkContext.broadcast(shared)
@@ -169,53 +145,82 @@ def segments(texts: DataFrame, shared: Filter, window: int, shards: int) -> Data
     return texts.mapInArrow(emit, "shard int, packed binary")
 
 
-def automaton(phrases: dict[tuple, list[int]]) -> ahocorasick.Automaton | None:
-    """The phrases that two documents share, each with the smallest id that holds it."""
-    out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for phrase, (least, most) in phrases.items():
-        if least < most:
-            out.add_word(phrase, least)
-    if not len(out):
-        return None
+def shared_phrases(flat: np.ndarray, starts: np.ndarray, least: np.ndarray, most: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, smallest id) of each phrase that two documents share, once, and the sequence
+    numbers that hold one. ``flat``: words of all sequences, ``starts`` where each begins (and an
+    end), ``least`` and ``most`` the smallest and largest id that has each sequence."""
+    lengths = np.diff(starts)
+    counts = np.maximum(lengths - window + 1, 0)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    at = np.repeat(starts[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(len(owner))
+    if not len(at):
+        return at, at, at
+    hashes = shingle_hashes(mix(flat.astype(np.uint64)), window)[at]
+    order = np.argsort(hashes, kind="stable")
+    words = flat[at[order][:, None] + np.arange(window)]
+    new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (words[1:] != words[:-1]).any(axis=1)])
+    if (np.diff(hashes[order]) == 0).sum() != (~new).sum():  # equal hashes, other words: order by the words
+        order = np.lexsort(flat[at[:, None] + np.arange(window)].T)
+        words = flat[at[order][:, None] + np.arange(window)]
+        new = np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)])
+    begin = np.flatnonzero(new)
+    low = np.minimum.reduceat(least[owner[order]], begin)
+    shared = low < np.maximum.reduceat(most[owner[order]], begin)
+    holds = np.repeat(shared, np.diff(np.concatenate([begin, [len(order)]])))
+    return at[order][begin[shared]], low[shared], np.unique(owner[order][holds])
+
+
+def automaton(text: str, firsts: np.ndarray, lows: np.ndarray, window: int) -> ahocorasick.Automaton:
+    """Phrases as keys, one character for each word, with the smallest id that holds each."""
+    out = ahocorasick.Automaton()
+    for at, low in zip(firsts.tolist(), lows.tolist(), strict=True):
+        out.add_word(text[at : at + window], low)
     out.make_automaton()
     return out
 
 
+def as_text(words: np.ndarray) -> str:
+    """A character for each word number. A shard has far fewer different words than there are
+    characters; surrogates are stepped over."""
+    codes = words + 1
+    codes = codes + np.where(codes >= 0xD800, 0x800, 0)
+    if len(codes) and codes.max() > 0x10FFFF:
+        raise ValueError("a shard has more than a million different words; raise the number of shards")
+    return codes.astype("<u4").tobytes().decode("utf-32-le")
+
+
 def locate(found: DataFrame, window: int) -> DataFrame:
     """(doc_id, starts): first words of the windows to remove, for each shard and document."""
 
     def search(table: pa.Table) -> pa.Table:
         vocabulary: dict[bytes, int] = {}
         number: dict[bytes, int] = {}
-        sequences, least, most, places = [], [], [], []
+        words, lengths, places = [], [], []
         for value in table.column("packed").to_pylist():
             ids, local, first, which, blob = unpack(value)
-            owner, which = ids[local.astype(np.int64)], which.astype(np.int64)
             here = []
             for s in blob.tobytes().split(b"\n"):
                 n = number.get(s)
                 if n is None:
-                    number[s] = n = len(sequences)
-                    sequences.append(tuple([vocabulary.setdefault(w, len(vocabulary)) for w in s.split(b" ")]))
-                    least.append(2**63 - 1)
-                    most.append(-(2**63))
+                    number[s] = n = len(lengths)
+                    new = s.split(b" ")
+                    lengths.append(len(new))
+                    words += [vocabulary.setdefault(w, len(vocabulary)) for w in new]
                 here.append(n)
-            low, high = np.full(len(here), 2**63 - 1), np.full(len(here), -(2**63))
-            np.minimum.at(low, which, owner)
-            np.maximum.at(high, which, owner)
-            for n, a, b in zip(here, low.tolist(), high.tolist(), strict=True):
-                least[n], most[n] = min(least[n], a), max(most[n], b)
-            places.append((np.array(here)[which], owner, first.astype(np.int64)))
-        phrases: dict[tuple, list[int]] = {}
-        for words, a, b in zip(sequences, least, most, strict=True):
-            for i in range(len(words) - window + 1):
-                known = phrases.setdefault(words[i : i + window], [a, b])
-                known[0], known[1] = min(known[0], a), max(known[1], b)
-        patterns = automaton(phrases)
-        hits: list[list[tuple[int, int]]] = [[] for _ in sequences]
-        if patterns is not None:
-            for n, words in enumerate(sequences):
-                hits[n] = [(end - window + 1, doc) for end, doc in patterns.iter(words)]
+            places.append((np.array(here)[which.astype(np.int64)], ids[local.astype(np.int64)], first.astype(np.int64)))
+        least, most = np.full(len(lengths), 2**63 - 1), np.full(len(lengths), -(2**63))
+        for which, owner, _ in places:
+            np.minimum.at(least, which, owner)
+            np.maximum.at(most, which, owner)
+        numbers = np.array(words, np.int64)
+        bounds = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
+        firsts, lows, holding = shared_phrases(numbers, bounds, least, most, window)
+        text = as_text(numbers)
+        hits: list[list[tuple[int, int]]] = [[]] * len(lengths)
+        if len(firsts):
+            patterns = automaton(text, firsts, lows, window)
+            for n in holding.tolist():
+                hits[n] = [(end - window + 1, doc) for end, doc in patterns.iter(text[bounds[n] : bounds[n + 1]])]
         counts = np.array([len(h) for h in hits], np.int64)
         offsets = np.concatenate([[0], np.cumsum(counts)])
         flat = np.array([x for h in hits for x in h], np.int64).reshape(-1, 2)
