@@ -14,17 +14,27 @@ def empty_map() -> Column:
     return F.from_json(F.lit("{}"), STRING_MAP)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it. Inside a
+    lambda an expression is otherwise computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def last_wins(entries: Column) -> Column:
     """Map of an array of (key, value) entries; of equal keys the last one counts."""
-    later = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
-    return F.map_from_entries(F.filter(entries, later))
+
+    def of(all_):
+        later = lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x["key"] == e["key"])
+        return F.map_from_entries(F.filter(all_, later))
+
+    return let(entries, of)
 
 
 def merge(*maps: Column) -> Column:
     """Maps laid over one another, the rightmost on top. A null map adds nothing."""
 
     def over(low: Column, high: Column) -> Column:
-        return F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(high, k)), high)
+        return let(high, lambda h: F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(h, k)), h))
 
     return reduce(over, [F.coalesce(m, empty_map()) for m in maps])
 

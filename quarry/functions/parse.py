@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.maps import STRING_MAP, last_wins
+from quarry.functions.maps import STRING_MAP, last_wins, let
 
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 FLOAT = r"(?i)^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
@@ -31,8 +31,8 @@ def parse_json(line: Column) -> Column:
     their JSON text, a JSON null is a null value, and of equal keys the last counts."""
     strict = F.when(F.rtrim(line).endswith("}"), line)
     read = F.from_json(strict, STRING_MAP, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    entries = F.map_entries(read)
-    return F.when(F.size(read) == F.size(F.array_distinct(F.map_keys(read))), read).otherwise(last_wins(entries))
+    plain = lambda m: F.size(m) == F.size(F.array_distinct(F.map_keys(m)))
+    return let(read, lambda m: F.when(plain(m), m).otherwise(last_wins(F.map_entries(m))))
 
 
 def parse_plain(line: Column) -> Column:
