@@ -34,18 +34,24 @@ NONE = np.int64(1) << 40
 _SPACE_BEFORE_SPACE = re.compile(r"\s ")
 
 
-def units(text: str, pattern: regex.Pattern) -> list[str]:
-    """Parts of ``text`` such that no match of the pre-tokenizer pattern crosses from one
-    part to the next, so that equal parts can be encoded once.
+def units(text: str, pattern: regex.Pattern) -> list[tuple[str] | str]:
+    """Parts of ``text`` such that no match of the pre-tokenizer pattern crosses from one part to
+    the next, so that equal parts can be encoded once. A plain string stands for itself with a
+    space before it, a string in a tuple for itself; see ``unit_text``.
 
     A single space between two characters that are no white space always starts a match of
     its own; so each such space starts a part. A text with other white space before a space
     falls into the matches themselves.
     """
     if "  " in text or "\n " in text or "\t " in text or "\r " in text or (not text.isascii() or "\x0b " in text or "\x0c " in text or any(c in text for c in "\x1c\x1d\x1e\x1f")) and _SPACE_BEFORE_SPACE.search(text):
-        return pattern.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+        return [(x,) for x in pattern.findall(text)]
+    parts: list[tuple[str] | str] = text.split(" ")
+    parts[0] = (parts[0],)
+    return parts
+
+
+def unit_text(unit: tuple[str] | str) -> str:
+    return " " + unit if isinstance(unit, str) else unit[0]
 
 
 class Merges:
@@ -194,7 +200,7 @@ def encode_block(texts: list[str], vocabulary: Merges, pattern: regex.Pattern) -
     rows = [np.fromiter(map(unit_codes.__getitem__, parts := units(t, pattern)), np.int64, len(parts)) for t in texts]
     pieces, counts = [], []
     for unit in unit_codes:
-        found = pattern.findall(unit)
+        found = pattern.findall(unit_text(unit))
         pieces.extend(map(piece_codes.__getitem__, found))
         counts.append(len(found))
     ids, starts = vocabulary.replay([p.encode("utf-8", "surrogatepass") for p in piece_codes])

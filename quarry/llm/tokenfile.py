@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import gather, units
+from quarry.llm.bpe import gather, unit_text, units
 from quarry.llm.common import load, materialize, pack, shared_dir, unpack
 
 RANK_BITS = 512
+#: Shards whose starts (24 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_SHARDS = 500_000
 
 
 class WaveletMatrix:
@@ -126,42 +128,65 @@ class WaveletMatrix:
         return now
 
 
+class _Codes(dict):
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self[text] = code = len(self)
+        self.fresh.append(text)
+        return code
+
+
+class _Ragged:
+    """Strings with the ids of each, kept up to a bound."""
+
+    def __init__(self, bound: int):
+        self.bound = bound
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes = _Codes()
+        self.flat, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Ids of the fresh strings, in their order."""
+        self.flat = np.concatenate([self.flat, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.codes.fresh = []
+
+
 class _Units:
-    """Ids of parts of texts, encoded once by the library and kept up to a bound."""
+    """Ids of the parts of texts. A part is looked up; a new one is cut into pre-tokens, which
+    are looked up; the library encodes the new ones of these."""
 
-    def __init__(self, name: str, bound: int = 300_000):
+    def __init__(self, name: str, parts: int = 400_000, pieces: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.bound, self.known = bound, {}
-        self.flat, self.lengths = [np.zeros(0, np.int64)], []
+        self.parts, self.pieces = _Ragged(parts), _Ragged(pieces)
 
     def encode(self, texts: list[str], pattern: regex.Pattern) -> Iterator[np.ndarray]:
-        if len(self.known) > self.bound:
-            self.known, self.flat, self.lengths = {}, [np.zeros(0, np.int64)], []
-        known, fresh, rows = self.known, [], []
-
-        class Codes(dict):
-            def __missing__(self, unit: str) -> int:
-                self[unit] = code = len(self)
-                fresh.append(unit)
-                return code
-
-        codes = Codes(known)
+        for known in (self.parts, self.pieces):
+            if len(known.codes) > known.bound:
+                known.clear()
+        rows = []
         for text in texts:
-            parts = units(text, pattern)
-            rows.append(np.fromiter(map(codes.__getitem__, parts), np.int64, len(parts)))
-        for at in range(0, len(fresh), 20_000):
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[at : at + 20_000], add_special_tokens=False)]
-            self.lengths.extend(map(len, made))
-            self.flat.append(np.fromiter((i for e in made for i in e), np.int64))
-        self.known = codes
-        flat = np.concatenate(self.flat)
-        self.flat = [flat]
-        starts = np.concatenate([[0], np.cumsum(np.array(self.lengths, np.int64))])
+            found = units(text, pattern)
+            rows.append(np.fromiter(map(self.parts.codes.__getitem__, found), np.int64, len(found)))
+        cut = [pattern.findall(unit_text(u)) for u in self.parts.codes.fresh]
+        pieces = np.fromiter((code for c in cut for code in map(self.pieces.codes.__getitem__, c)), np.int64)
+        for at in range(0, len(fresh := self.pieces.codes.fresh), 50_000):
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[at : at + 50_000], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, made), np.int64, len(made))
+            self.pieces.add(np.fromiter((i for e in made for i in e), np.int64), lengths)
+        flat, lengths = gather(self.pieces.flat, self.pieces.starts, pieces)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))])]
+        self.parts.add(flat, np.diff(ends))
         for row in rows:
-            yield gather(flat, starts, row)[0]
+            yield gather(self.parts.flat, self.parts.starts, row)[0]
 
 
 @lru_cache(maxsize=1)
@@ -215,9 +240,12 @@ def os_environ() -> None:
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone. ``start``
-    comes from running sums over the table of shards, which has one short row for each."""
+    comes from running sums over the table of shards, which has one short row for each; up to
+    ``BROADCAST_SHARDS`` of them the starts are broadcast, so that no matrix is shuffled."""
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("part", "seq", "n").withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
+    if shards.select("part").count() <= BROADCAST_SHARDS:
+        starts = F.broadcast(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
