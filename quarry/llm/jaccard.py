@@ -11,9 +11,11 @@
    pairs. In each round it names a pivot; the pivot is compared with all members of other
    components that pass the length and positional filters, and leaves the group. Pairs that
    come up in several groups are verified once; the suffix filter stops most that fail.
-5. Blocks. Groups that still hold several components are cut into blocks of members, and pairs
-   of blocks are multiplied as sparse sets. Only links between components leave a task.
-   Members of one component need no more comparisons, so no link between components is lost.
+5. The rest. In groups of at most BLOCK members that still hold several components, the pairs
+   between components that pass the filters are verified, each once. Larger groups are cut
+   into blocks of members, and pairs of blocks are multiplied as sparse sets; only links
+   between components leave a task. Members of one component need no more comparisons, so no
+   link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import keyed_texts, load, materialize, mix, pack, power_of_two, shared_dir, shingle_hashes, shuffle_partitions, steps, sums, text_chunks, unpack, word_hashes
+from quarry.llm.sieve import sieve_of
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
@@ -43,7 +46,8 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     hashes = word_hashes(words)
-    return np.unique(shingle_hashes(hashes, min(k, len(words))))
+    found = np.sort(shingle_hashes(hashes, min(k, len(words))))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -263,13 +267,6 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, rounds: int = 2) ->
     named = prefixes.join(classes.select("key", "rid"), "key").select("token", "rid", "n", "pos").distinct()
     several = named.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     group = materialize(named.join(several, "token", "left_semi"), where, "groups")
-    active = group.select(F.col("rid").alias("doc_id")).distinct()
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, rows in text_chunks(batches):
-            yield pa.RecordBatch.from_pydict({"rid": pa.array(ids, pa.int64()), "hashes": pa.array([shingle_set(t, k).tobytes() for t in rows], pa.binary())})
-
-    hashed = materialize(texts.join(active, "doc_id", "left_semi").mapInArrow(keep, "rid long, hashes binary"), where, "hashes")
     labels = group.select("rid").distinct().withColumn("comp", F.col("rid"))
     links = checked = None
     for turn in range(rounds):
@@ -284,6 +281,7 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, rounds: int = 2) ->
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = materialize(pairs, where, f"pairs-{turn}")
         checked = pairs if checked is None else checked.union(pairs)
+        hashed = sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), k)
         found = materialize(verify(pairs, hashed, percent), where, f"links-{turn}")
         links = found if links is None else links.union(found)
         labels = labelled(group, components(links, where, f"components-{turn}"))
@@ -291,15 +289,45 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, rounds: int = 2) ->
         gone = pivots.select("token", F.col("p.rid").alias("rid"))
         group = now.join(pivots.select("token"), "token", "left_semi").join(gone, ["token", "rid"], "left_anti").select("token", "rid", "n", "pos")
     rest = group.join(labels, "rid")
-    open_groups = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rest = materialize(rest.join(open_groups, "token", "left_semi").select("token", "rid", "comp"), where, "rest")
-    links = links.union(materialize(block_links(rest, hashed, percent), where, "links-rest"))
+    open_groups = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("token", "m")
+    rest = materialize(rest.join(open_groups, "token"), where, "rest")
+    pairs = materialize(small_pairs(rest.where(F.col("m") <= BLOCK), percent).join(checked, ["a", "b"], "left_anti"), where, "pairs-rest")
+    large = rest.where(F.col("m") > BLOCK).select("token", "rid", "comp")
+    hashed = sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("rid")).union(large.select("rid")).distinct(), k)
+    links = links.union(materialize(verify(pairs, hashed, percent).union(block_links(large, hashed, percent)), where, "links-rest"))
     final = components(links, where, "components").select(F.col("id").alias("rid"), "comp")
     named = sets.join(classes.select("key", "rid"), "key", "left").join(final, "rid", "left")
     # two texts without words have no class: each is its own component
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rid", "doc_id").alias("component_id"))
 
 
+def sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(rid, hashes) of the wanted documents, and of a few more. A sieve of fixed size chooses them
+    where the texts are read, so that no text is shuffled."""
+    chosen = texts.sparkSession.sparkContext.broadcast(sieve_of(wanted, "rid"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            part = batch.filter(pa.array(chosen.value.has(mix(ids.view(np.uint64)))))
+            for some, rows in text_chunks(iter([part])):
+                yield pa.RecordBatch.from_pydict({"rid": pa.array(some, pa.int64()), "hashes": pa.array([shingle_set(t, k).tobytes() for t in rows], pa.binary())})
+
+    return texts.select("doc_id", "text").mapInArrow(keep, "rid long, hashes binary")
+
+
+def small_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b), each once: members of different components that pass the filters in a group of at
+    most BLOCK members. ``members``: token, rid, n, pos, comp."""
+    groups = members.groupBy("token").agg(F.collect_list(F.struct("rid", "n", "pos", "comp")).alias("g"))
+
+    def partners(x):
+        met = F.filter("g", lambda y: (x["rid"] < y["rid"]) & (x["comp"] != y["comp"]) & may_link(x["n"], x["pos"], y["n"], y["pos"], percent))
+        return F.transform(met, lambda y: F.struct(x["rid"].alias("a"), y["rid"].alias("b")))
+
+    return groups.select(F.explode(F.flatten(F.transform("g", partners))).alias("p")).select("p.a", "p.b").distinct()
+
+
 def labelled(group: DataFrame, comps: DataFrame) -> DataFrame:
     own = group.select("rid").distinct()
     return own.join(comps.withColumnRenamed("id", "rid"), "rid", "left").select("rid", F.coalesce("comp", "rid").alias("comp"))
