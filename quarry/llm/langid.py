@@ -5,8 +5,9 @@ known is broken into character n-grams of its padded form: the longest order of
 n-gram is known decides, shorter orders count only where the longer ones know nothing.
 
 The model is learned from labelled texts. Its size is bounded by parameters: the most
-frequent words and n-grams are kept, so that it can be broadcast at any corpus size; what
-falls outside is handled by the backoff. Counts are taken over all training texts.
+frequent words and n-grams of each language are kept, so that it can be broadcast at any
+corpus size; what falls outside is handled by the backoff. Counts of words and n-grams are
+taken over all training texts.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, heaviest, load, materialize, shared_dir
+from quarry.llm.common import fold, load, materialize, shared_dir
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Parts of one that weights of n-grams are counted in.
+UNIT = 1 << 16
+_DRAWS = 1 << 20
 
 
 @dataclass
@@ -97,47 +102,112 @@ def word_counts(docs: DataFrame, max_word: int) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
+def gram_weights(counts: DataFrame, orders: int) -> DataFrame:
+    """(gram, lang, n) over the n-grams of all words: the square roots of the words' counts, in
+    whole units so that sums do not depend on their order; summed by task before they are shuffled."""
+
+    def emit(sums: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, table in sums.items():
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(list(table), pa.string()), "lang": pa.array([lang] * len(table), pa.string()), "n": pa.array(list(table.values()), pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, dict[str, int]] = {}
+        for batch in batches:
+            for word, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table = sums.setdefault(lang, {})
+                root = round(n**0.5 * UNIT)
+                padded = f"^{word}$"
+                for order in range(1, min(orders, len(padded)) + 1):
+                    for i in range(len(padded) - order + 1):
+                        gram = padded[i : i + order]
+                        table[gram] = table.get(gram, 0) + root
+            if sum(map(len, sums.values())) > 400_000:
+                yield from emit(sums)
+                sums = {}
+        yield from emit(sums)
+
+    return counts.select("word", "lang", "n").mapInArrow(run, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+
+
+def shares(sizes: dict[str, int], k: int) -> dict[str, int]:
+    """``k`` places in even parts; what a small language does not need goes to the larger ones."""
+    out, left = {}, k
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, left // (len(sizes) - i))
+        left -= out[lang]
+    return out
+
+
+def heaviest_by_language(counts: DataFrame, key: str, kind: Column, k: int) -> tuple[dict[int, dict[str, tuple[int, int]]], pa.Table]:
+    """Sum and number of rows for each kind and language; and (kind, key, lang, n) of the kept keys.
+
+    Of each kind about ``k`` keys are kept, those that weigh most in any language, by places for
+    each language. A hash draws the keys that take the last places of a language where the keys
+    of one level (a power of 2**(1/16)) outnumber these places."""
+    spark = counts.sparkSession
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    counts = counts.select(key, "lang", "n", kind.cast("int").alias("kind"))
+    levels: dict[int, dict[str, dict[int, tuple[int, int]]]] = {}
+    for r in counts.groupBy("kind", "lang", level.alias("level")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+        levels.setdefault(r["kind"], {}).setdefault(r["lang"], {})[r["level"]] = (r["n"], r["types"])
+    sizes = {x: {lang: (sum(n for n, _ in by.values()), sum(t for _, t in by.values())) for lang, by in langs.items()} for x, langs in levels.items()}
+    rules = []
+    for x, langs in levels.items():
+        places = shares({lang: types for lang, (_, types) in sizes[x].items()}, k)
+        for lang, by in langs.items():
+            room, cut, drawn = places[lang], -1, 0.0
+            for at in sorted(by, reverse=True):
+                if by[at][1] > room:
+                    cut, drawn = at, room / by[at][1]
+                    break
+                room -= by[at][1]
+            rules.append((x, lang, cut, int(drawn * _DRAWS)))
+    rules = spark.createDataFrame(rules, "kind int, lang string, cut int, drawn int")
+    last = (level == F.col("cut")) & (F.pmod(F.xxhash64(key), F.lit(_DRAWS)) < F.col("drawn"))
+    kept = counts.join(F.broadcast(rules), ["kind", "lang"]).where((level > F.col("cut")) | last).select(key)  # about k rows of each kind
+    return sizes, counts.join(F.broadcast(kept), key, "left_semi").select("kind", key, "lang", "n").toArrow()
+
+
 def learn(docs: DataFrame, max_words: int = 120_000, max_grams: int = 40_000, orders: int = 5, max_word: int = 40) -> LanguageModel:
     """Learns from the rows of ``docs`` whose text and lang are not null.
 
-    The ``max_words`` most frequent words come to the driver; the n-grams are those of these
-    words, weighted by the square root of the words' frequencies, ``max_grams`` of each order."""
-    counts = materialize(word_counts(docs.where("text is not null and lang is not null"), max_word), shared_dir(docs.sparkSession), "words")
-    sizes = {r["lang"]: (r["n"], r["types"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}
-    languages = sorted(sizes)
-    at = {x: i for i, x in enumerate(languages)}
-    if not languages:
+    Words and n-grams are counted over all training texts, the n-grams of a word weighted by the
+    square root of its frequency. About ``max_words`` words and ``max_grams`` n-grams of each
+    order come to the driver, with even places for each language."""
+    where = shared_dir(docs.sparkSession)
+    counts = materialize(word_counts(docs.where("text is not null and lang is not null"), max_word), where, "words")
+    sizes, table = heaviest_by_language(counts, "word", F.lit(0), max_words)
+    if not sizes:
         return LanguageModel([], {}, [{}] * orders, np.zeros((0, 0)))
-    totals = np.array([sizes[x][0] for x in languages], float)
-    types = sum(sizes[x][1] for x in languages)
-    by_word = counts.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    words, rows = {}, []
-    gram_sums: list[list[dict[str, float]]] = [[{} for _ in languages] for _ in range(orders)]
-    for row in sorted(heaviest(by_word, "total", max_words).collect(), key=lambda r: r["word"]):
-        seen = np.zeros(len(languages))
-        padded = f"^{row['word']}$"
-        for lang, n in row["by"]:
-            seen[at[lang]] = n
-            root = n**0.5
-            for tables, order in zip(gram_sums, range(orders, 0, -1), strict=True):
-                table = tables[at[lang]]
-                for i in range(len(padded) - order + 1):
-                    gram = padded[i : i + order]
-                    table[gram] = table.get(gram, 0.0) + root
-        words[row["word"]] = len(rows)
-        rows.append(np.log((seen + 0.1) / (totals + 0.1 * types)))
-    grams = []
-    for tables in gram_sums:
-        total = Counter()
-        for table in tables:
-            for g, x in table.items():
-                total[g] += x
-        kept = sorted(total, key=lambda g: (-total[g], g))[:max_grams]
-        shown = np.array([[table.get(g, 0.0) for table in tables] for g in kept]).reshape(len(kept), len(languages))
-        rate = (shown + 0.02) / (1.0 + shown.sum(axis=0))
-        grams.append({g: len(rows) + i for i, g in enumerate(kept)})
-        rows.extend(np.log(rate / rate.sum(axis=1, keepdims=True)))
-    return LanguageModel(languages, words, grams, np.array(rows).reshape(len(rows), len(languages)))
+    languages = sorted(sizes[0])
+    at = {x: i for i, x in enumerate(languages)}
+
+    def matrix(part: pa.Table, key: str) -> tuple[list[str], np.ndarray]:
+        owners = part.column(key).to_pylist()
+        names = sorted(set(owners))
+        place = {x: i for i, x in enumerate(names)}
+        seen = np.zeros((len(names), len(languages)))
+        seen[[place[x] for x in owners], [at[x] for x in part.column("lang").to_pylist()]] = part.column("n").to_numpy()
+        return names, seen
+
+    def totals(kind: int) -> np.ndarray:
+        return np.array([sizes[kind].get(x, (0, 0))[0] for x in languages], float)
+
+    names, seen = matrix(table, "word")
+    words = {w: i for i, w in enumerate(names)}
+    rows = [np.log((seen + 0.1) / (totals(0) + 0.1 * sum(types for _, types in sizes[0].values())))]
+    sizes, table = heaviest_by_language(materialize(gram_weights(counts, orders), where, "grams"), "gram", F.length("gram"), max_grams)
+    grams, known = [], len(words)
+    for order in range(orders, 0, -1):
+        if order not in sizes:  # no word is so long
+            grams.append({})
+            continue
+        names, seen = matrix(table.filter(pc.equal(table.column("kind"), order)), "gram")
+        rate = (seen / UNIT + 0.02) / (1.0 + totals(order) / UNIT)
+        grams.append({g: known + i for i, g in enumerate(names)})
+        rows.append(np.log(rate / rate.sum(axis=1, keepdims=True)))
+        known += len(names)
+    return LanguageModel(languages, words, grams, np.concatenate(rows))
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

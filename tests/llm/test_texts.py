@@ -55,6 +55,20 @@ def test_language_id_backs_off():
     assert model.evidence("the") == [0] and model.evidence("sing") == [1] and model.evidence("ang") == [2] and model.evidence("gx") == [3] and model.evidence("q") == []
 
 
+def test_language_id_counts_grams_of_rare_words(spark):
+    common_words = " ".join(f"{a}{b}e" for a in "bcdfglmn" for b in "aeiou")
+    rows = [(common_words, "big")] * 30 + [(f"{common_words} zwqx{c}", "big") for c in "aeiou"]
+    rows += [(f"kjt{c}v", "small") for c in "aeiou"] + [("hyph", "small")]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"), max_words=20, max_grams=40)
+    # a small language has its own places, and words outside the word list give n-grams
+    assert {"hyph", "kjtav"} <= set(model.words) and len(model.words) <= 30
+    small = model.languages.index("small")
+    assert all(np.argmax(model.rows[model.evidence(w)].mean(axis=0)) == small for w in ("hyph", "kjtyv", "akjt"))
+    every = langid.learn(spark.createDataFrame(rows, "text string, lang string"), max_words=8, max_grams=4000)
+    assert "zwqxa" not in every.words and all(g in every.grams[0] for g in ("^zwqx", "^kjta", "kjtuv"))
+    assert np.argmax(every.rows[every.evidence("zwqxy")].mean(axis=0)) != small
+
+
 def test_language_id_odd_rows(spark):
     got = langid.identify(odd(spark, score="clash")).collect()
     assert len(got) == len(ODD) and all(r.lang_pred == "und" and r.score == 0 for r in got)
