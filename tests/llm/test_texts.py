@@ -108,6 +108,17 @@ def test_katz_odd_rows(spark):
     assert lm.score(odd(spark).limit(0)).count() == 0
 
 
+def test_katz_end_token_outside_the_table(spark):
+    # more words than the table holds are as frequent as the end token
+    rows = [(i, " ".join(f"w{j}" for j in range(100)) if i < 4 else f"w{i} new w{i + 1}") for i in range(8)]
+    rows[:2] = [(i, " ".join(f"v{j}" for j in range(300)) + " " + " ".join(f"v{j}" for j in range(300)) * 9) for i in range(2)]
+    want, _ = katz(rows)
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), frequent=40).collect()}
+    for i, w in want.items():
+        assert (got[i].n_tokens, got[i].n_known) == w[1:3]
+        assert math.isclose(got[i].base_score, w[4], rel_tol=1e-9) and math.isclose(got[i].score, w[5], rel_tol=1e-9)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
