@@ -132,9 +132,9 @@ def _rows(kind: int, n: int, **columns) -> pa.Table:
     return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.array(np.full(n, kind), f.type) if f.name == "kind" else pa.nulls(n, f.type) for f in SCHEMA], schema=SCHEMA)
 
 
-def _pack_sums(part: dict[str, np.ndarray], m: int) -> bytes:
+def _pack_sums(part: dict[str, np.ndarray], places: np.ndarray) -> bytes:
     present = [name for name in SUMS if name in part and part[name].any()]
-    return pack(np.array([m], np.int64), np.array([_AT[p] for p in present], np.uint64), *(part[p] if part[p].dtype.kind == "f" else part[p].astype(np.uint64) for p in present))
+    return pack(steps(places.astype(np.uint64)), np.array([_AT[p] for p in present], np.uint64), *(part[p] if part[p].dtype.kind == "f" else part[p].astype(np.uint64) for p in present))
 
 
 def send(texts: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
@@ -157,6 +157,7 @@ def send(texts: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
             split = [t.lower().split() for t in rows]
             lengths = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
             word = np.concatenate([np.fromiter((*map(codes.__getitem__, w), end), np.uint64, len(w) + 1) for w in split])
+            del split
             doc = np.repeat(np.arange(len(ids)), lengths)
             before = np.concatenate([[np.uint64(end)], word[:-1]])
             before[np.cumsum(lengths)[:-1]] = end
@@ -172,24 +173,32 @@ def send(texts: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
                 "context": -np.bincount(doc[head1][n1 > 0], weights=np.log10(n1[n1 > 0].astype(float)), minlength=m),
             }
             chunk_hash = int(mix(np.array([chunk & (2**63 - 1)], np.uint64))[0])
-            names, packed = [buckets + chunk_hash % buckets], [pack(np.array(ids, np.int64), np.packbits(held), np.frombuffer(_pack_sums(part, m), np.uint8))]
+            names, packed = [buckets + chunk_hash % buckets], [pack(np.array(ids, np.int64), np.packbits(held), np.frombuffer(_pack_sums(part, np.arange(m)), np.uint8))]
             both = head1 & head2
-            key = before[both] * size + word[both]
+            # a pair of frequent words travels once for each document, with its number there
+            key, owner = before[both] * size + word[both], doc[both]
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.append(start, len(key)))
+            key, owner = key[start], owner[start]
             b = [mix(key) % np.uint64(buckets)]
             t1, t2 = before[~both], word[~both]
             b.append(np.where(head2[~both], mix(mix(t1) + t2), mix(t2)) % np.uint64(buckets))
             c1 = before[~head1]
             b.append(mix(c1) % np.uint64(buckets))
-            docs = [doc[both], doc[~both], doc[~head1]]
+            docs = [owner, doc[~both], doc[~head1]]
             orders = [np.lexsort((x, y)) for x, y in ((key, b[0]), (t2, b[1]), (c1, b[2]))]
             bounds = [np.searchsorted(x[o], np.arange(buckets + 1, dtype=np.uint64)) for x, o in zip(b, orders, strict=True)]
-            doc_ids, bits = np.array(ids, np.int64), np.packbits(held)
+            doc_ids = np.array(ids, np.int64)
             for i in range(buckets):
                 at = [o[e[i] : e[i + 1]] for o, e in zip(orders, bounds, strict=True)]
                 if not any(map(len, at)):
                     continue
                 names.append(i)
-                packed.append(pack(doc_ids, bits, steps(key[at[0]]), docs[0][at[0]].astype(np.uint64), t1[at[1]], steps(t2[at[1]]), docs[1][at[1]].astype(np.uint64), steps(c1[at[2]]), docs[2][at[2]].astype(np.uint64)))
+                own, local = np.unique(np.concatenate([d[a] for d, a in zip(docs, at, strict=True)]), return_inverse=True)
+                kd, td, cd = np.split(local.astype(np.uint64), np.cumsum([len(a) for a in at])[:-1])
+                packed.append(pack(steps(own.astype(np.uint64)), doc_ids[own], np.packbits(held[own]), steps(key[at[0]]), kd, times[at[0]].astype(np.uint64), t1[at[1]], steps(t2[at[1]]), td, steps(c1[at[2]]), cd))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "chunk": pa.array([chunk] * len(names), pa.int64()), "packed": pa.array(packed, pa.binary())})
 
     return texts.select("doc_id", "text", "held_out").mapInArrow(run, "bucket int, chunk long, packed binary")
@@ -210,15 +219,16 @@ def count_pairs(sent: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
             own = _rows(0, len(chunks), chunk=chunks, a=[1] * len(chunks), packed=[pack(ids, bits) for ids, bits, _ in opened])
             return pa.concat_tables([own, _rows(0, len(chunks), chunk=chunks, packed=[x.tobytes() for _, _, x in opened])])
         size = np.uint64(k.size)
-        ids, held, parts, offset = [], [], [[] for _ in range(7)], 0
+        places, ids, held, parts, offset = [], [], [], [[] for _ in range(8)], 0
         for v in values:
-            doc_ids, bits, key, kd, t1, t2, td, c1, cd = unpack(v)
+            own, doc_ids, bits, key, kd, times, t1, t2, td, c1, cd = unpack(v)
+            places.append(sums(own))
             ids.append(doc_ids)
             held.append(np.unpackbits(bits, count=len(doc_ids)).astype(bool))
-            for p, x in zip(parts, (sums(key), kd.astype(np.int64) + offset, t1.astype(np.uint64), sums(t2), td.astype(np.int64) + offset, sums(c1), cd.astype(np.int64) + offset), strict=True):
+            for p, x in zip(parts, (sums(key), kd.astype(np.int64) + offset, times.astype(np.int64), t1.astype(np.uint64), sums(t2), td.astype(np.int64) + offset, sums(c1), cd.astype(np.int64) + offset), strict=True):
                 p.append(x)
             offset += len(doc_ids)
-        key, kd, t1, t2, td, c1, cd = (np.concatenate(p) for p in parts)
+        key, kd, times, t1, t2, td, c1, cd = (np.concatenate(p) for p in parts)
         sizes = [len(x) for x in ids]
         ids, held = np.concatenate(ids), np.concatenate(held)
         m = len(ids)
@@ -239,19 +249,20 @@ def count_pairs(sent: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
         nc = np.where(found, np.append(rare_n, 0)[at], 0)
         part["context"] -= np.bincount(cd[nc > 0], weights=np.log10(nc[nc > 0].astype(float)), minlength=m)
         unseen_docs, unseen_contexts, having, contexts, model = [], [], np.zeros(LOW + 2, np.int64), [], []
-        for pair, first, doc, p in ((key, key // size, kd, k.frequent[(key % size).astype(np.int64)]), (mix(mix(t1) + t2), t1, td, p2)):
+        for pair, first, doc, p, times in ((key, key // size, kd, k.frequent[(key % size).astype(np.int64)], times), (mix(mix(t1) + t2), t1, td, p2, np.ones(len(t1), np.int64))):
             kinds, place, inverse = np.unique(pair, return_index=True, return_inverse=True)
-            n = np.bincount(inverse[~held[doc]], minlength=len(kinds))
+            trained = ~held[doc]
+            n = np.bincount(inverse[trained], weights=times[trained], minlength=len(kinds)).astype(np.int64)
             c = n[inverse]
             for r in range(1, LOW + 1):
-                part[f"n_low{r}"] += np.bincount(doc[c == r], minlength=m)
+                part[f"n_low{r}"] += np.bincount(doc[c == r], weights=times[c == r], minlength=m).astype(np.int64)
             high = c > LOW
-            part["n_high"] += np.bincount(doc[high], minlength=m)
-            part["log_high"] += np.bincount(doc[high], weights=np.log10(c[high].astype(float)), minlength=m)
+            part["n_high"] += np.bincount(doc[high], weights=times[high], minlength=m).astype(np.int64)
+            part["log_high"] += np.bincount(doc[high], weights=np.log10(c[high].astype(float)) * times[high], minlength=m)
             unseen = c == 0
-            part["unseen"] += np.bincount(doc[unseen], weights=np.log10(p[unseen]), minlength=m)
-            unseen_docs.append(ids[doc[unseen]])
-            unseen_contexts.append(first[unseen])
+            part["unseen"] += np.bincount(doc[unseen], weights=np.log10(p[unseen]) * times[unseen], minlength=m)
+            unseen_docs.append(np.repeat(ids[doc[unseen]], times[unseen]))
+            unseen_contexts.append(np.repeat(first[unseen], times[unseen]))
             real = n > 0
             n, place = n[real], place[real]
             having += np.bincount(np.minimum(n, LOW + 2), minlength=LOW + 3)[: LOW + 2]
@@ -260,7 +271,7 @@ def count_pairs(sent: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
             contexts.append(_rows(1, len(context), a=context.view(np.int64), x=np.bincount(inverse, weights=p[place], minlength=len(context)), **{f"t{r}": t for r, t in enumerate(tally, 1)}, **{f"t{LOW + 1}": np.bincount(inverse, weights=n, minlength=len(context)).astype(np.int64)}))
             model += [steps(kinds[real]) if first is not t1 else t1[place], n.astype(np.uint64)] + ([t2[place]] if first is t1 else [])
         ends = np.cumsum(sizes)
-        sums_rows = _rows(0, len(chunks), chunk=chunks, packed=[_pack_sums({name: x[e - s : e] for name, x in part.items()}, s) for s, e in zip(sizes, ends.tolist(), strict=True)])
+        sums_rows = _rows(0, len(chunks), chunk=chunks, packed=[_pack_sums({name: x[e - s : e] for name, x in part.items()}, own) for own, s, e in zip(places, sizes, ends.tolist(), strict=True)])
         pairs = np.stack([np.concatenate(unseen_docs), np.concatenate(unseen_contexts).view(np.int64)])
         pairs = pairs[:, np.lexsort(pairs[::-1])]
         return pa.concat_tables([sums_rows, *contexts, _rows(2, pairs.shape[1], a=pairs[0], b=pairs[1]), _rows(3, 1, packed=[pack(*model)], **{f"t{r}": [int(having[r])] for r in range(1, LOW + 2)})])
@@ -272,16 +283,14 @@ def document_sums(made: DataFrame) -> DataFrame:
     """(doc_id, held_out, sums) of every document, added up over the buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        total = ids = bits = None
-        for own, value in zip(table.column("a").to_pylist(), table.column("packed").to_pylist(), strict=True):
-            if own:
-                ids, bits = unpack(value)
-                continue
-            m, present, *arrays = unpack(value)
-            if total is None:
-                total = np.zeros((len(SUMS), int(m[0])))
+        values = table.column("packed").to_pylist()
+        ids, bits = unpack(values.pop(table.column("a").to_pylist().index(1)))
+        total = np.zeros((len(SUMS), len(ids)))
+        for value in values:
+            places, present, *arrays = unpack(value)
+            places = sums(places).astype(np.int64)
             for i, x in zip(present.tolist(), arrays, strict=True):
-                total[i] += x
+                total[i, places] += x
         held = np.unpackbits(bits, count=len(ids)).astype(bool)
         return pa.table({"doc_id": pa.array(ids), "held_out": pa.array(held), **{name: pa.array(x) for name, x in zip(SUMS, total, strict=True)}})
 

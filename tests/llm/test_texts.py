@@ -119,6 +119,21 @@ def test_katz_end_token_outside_the_table(spark):
         assert math.isclose(got[i].base_score, w[4], rel_tol=1e-9) and math.isclose(got[i].score, w[5], rel_tol=1e-9)
 
 
+def test_katz_buckets_hold_their_documents_only(spark):
+    rows = [(i, f"a{i} b{i} a{i} b{i} a{i} b{i}") for i in range(300)]
+    texts = common.keyed_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).withColumn("held_out", F.col("doc_id") % 7 == 2)
+    known = lm.learn_words(texts, common.shared_dir(spark), 1 << 17)
+    sent = [r for r in lm.send(texts, known, 50).collect() if r.bucket < 50]
+    # each of the four different pairs of a text of known words goes once, with its number
+    trained = sum(i % 7 != 2 for i, _ in rows)
+    opened = [common.unpack(r.packed) for r in sent]
+    assert sum(len(x[1]) for x in opened) <= 4 * 300 and max(len(x[1]) for x in opened) < 100
+    assert sum(len(x[4]) for x in opened) == 4 * trained and sum(int(x[5].sum()) for x in opened) == 7 * trained
+    want, _ = katz(rows)
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(math.isclose(got[i].score, w[5], rel_tol=1e-9) for i, w in want.items())
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
