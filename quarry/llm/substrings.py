@@ -33,6 +33,9 @@ from quarry.llm.common import keyed_texts, load, mix, pack, power_of_two, shared
 from quarry.llm.sieve import Sieve
 
 RUN = 5
+#: Different words that one automaton can tell apart: one character each, surrogates left out,
+#: and one for all words outside its phrases.
+CHARACTERS = 0x10FFFF - 0x800 - 1
 
 
 def anchors(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,16 +182,27 @@ def automaton(text: str, firsts: np.ndarray, lows: np.ndarray, window: int) -> a
     return out
 
 
-def as_text(words: np.ndarray) -> str:
-    """A character for each word number. A shard has far fewer different words than there are
-    characters; surrogates are stepped over."""
-    codes = words + 1
+def as_text(words: np.ndarray, used: np.ndarray) -> str:
+    """A character for each word of ``used`` (ascending, at most CHARACTERS), one for all others;
+    surrogates are stepped over."""
+    at = np.searchsorted(used, words)
+    codes = np.where(np.append(used, -1)[at] == words, at + 2, 1)
     codes = codes + np.where(codes >= 0xD800, 0x800, 0)
-    if len(codes) and codes.max() > 0x10FFFF:
-        raise ValueError("a shard has more than a million different words; raise the number of shards")
     return codes.astype("<u4").tobytes().decode("utf-32-le")
 
 
+def phrase_batches(flat: np.ndarray, firsts: np.ndarray, window: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Runs of phrases whose words one automaton can tell apart, and these words: most often one
+    run of all phrases."""
+    used = np.unique(flat[firsts[:, None] + np.arange(window)])
+    if len(used) <= CHARACTERS:
+        yield slice(0, len(firsts)), used
+        return
+    size = max(1, CHARACTERS // window)
+    for i in range(0, len(firsts), size):
+        yield slice(i, i + size), np.unique(flat[firsts[i : i + size, None] + np.arange(window)])
+
+
 def locate(found: DataFrame, window: int) -> DataFrame:
     """(doc_id, starts): first words of the windows to remove, for each shard and document."""
 
@@ -215,12 +229,12 @@ def locate(found: DataFrame, window: int) -> DataFrame:
         numbers = np.array(words, np.int64)
         bounds = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
         firsts, lows, holding = shared_phrases(numbers, bounds, least, most, window)
-        text = as_text(numbers)
         hits: list[list[tuple[int, int]]] = [[]] * len(lengths)
-        if len(firsts):
-            patterns = automaton(text, firsts, lows, window)
+        for run, used in phrase_batches(numbers, firsts, window) if len(firsts) else ():
+            text = as_text(numbers, used)
+            patterns = automaton(text, firsts[run], lows[run], window)
             for n in holding.tolist():
-                hits[n] = [(end - window + 1, doc) for end, doc in patterns.iter(text[bounds[n] : bounds[n + 1]])]
+                hits[n] = hits[n] + [(end - window + 1, doc) for end, doc in patterns.iter(text[bounds[n] : bounds[n + 1]])]
         counts = np.array([len(h) for h in hits], np.int64)
         offsets = np.concatenate([[0], np.cumsum(counts)])
         flat = np.array([x for h in hits for x in h], np.int64).reshape(-1, 2)

@@ -202,6 +202,31 @@ def test_substring_dedup(spark, window, filter_bits, monkeypatch):
     assert got == plain_removal({i: t.encode().split() for i, t in texts.items()}, window)
 
 
+def test_substring_dedup_words_beyond_the_characters(spark):
+    # one shard with more different words than there are characters
+    shared = b"a b c d"
+    rows = [b" ".join(b"%x" % x for x in range(10**6 + 40 * i, 10**6 + 40 * i + 40)) for i in range(30_000)]
+    blob = b"\n".join([*rows, b"u " + shared, b"v w " + shared])
+    n = len(rows)
+    value = common.pack(np.array([1, 2, 3], np.int64), np.array([0] * n + [1, 2], np.uint64), np.zeros(n + 2, np.uint64), np.arange(n + 2, dtype=np.uint64), np.frombuffer(blob, np.uint8))
+    found = spark.createDataFrame([(0, bytearray(value))], "shard int, packed binary")
+    assert [(r.doc_id, r.starts) for r in substrings.locate(found, 4).collect()] == [(3, [2])]
+
+
+@pytest.mark.parametrize("characters", [40, 12])
+def test_substring_dedup_in_several_automata(characters, monkeypatch):
+    monkeypatch.setattr(substrings, "CHARACTERS", characters)
+    flat = np.random.default_rng(characters).integers(0, 60, 400)
+    firsts = np.arange(0, 396, 5)
+    got = []
+    for run, used in substrings.phrase_batches(flat, firsts, 4):
+        assert len(used) <= characters
+        text = substrings.as_text(flat, used)
+        got += [end - 3 for end, _ in substrings.automaton(text, firsts[run], firsts[run], 4).iter(text)]
+    phrases = {tuple(flat[i : i + 4]) for i in firsts}
+    assert sorted(got) == [i for i in range(397) if tuple(flat[i : i + 4]) in phrases]
+
+
 def test_substring_dedup_odd_rows(spark):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.without_repeats(odd(spark, starts=1)).collect()}
     assert got == {1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (0, 0), 5: (14, 0), 6: (3, 0), 7: (1, 0)} | {6: (len("日本語 \x1c text".encode().split()), 0)}
