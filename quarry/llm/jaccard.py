@@ -301,6 +301,32 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, rounds: int = 2) ->
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rid", "doc_id").alias("component_id"))
 
 
+def link_tables(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b) of every two linked classes, a < b; and (doc_id, class_id, n_links,
+    component_id) of each id. Texts of one class link with each other too.
+
+    Every pair of classes that passes the prefix, length and positional filters is verified
+    once, so work grows with the pairs of a group, as the links themselves do; ``similar``
+    gives the components without them."""
+    where = shared_dir(docs.sparkSession)
+    texts = keyed_texts(docs)
+    sets, counts = sets_and_counts(texts, k, where)
+    classes = materialize(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("size")), where, "classes")
+    prefixes = materialize(shared_prefixes(texts, counts, k, percent), where, "prefixes")
+    named = materialize(prefixes.join(classes.select("key", "rid"), "key").select("token", "rid", "n", "pos").distinct(), where, "groups")
+    x = named.select("token", F.col("rid").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
+    y = named.select("token", F.col("rid").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    met = x.join(y, "token").where((F.col("a") < F.col("b")) & may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent))
+    pairs = materialize(met.select("a", "b").distinct(), where, "pairs")
+    links = materialize(verify(pairs, sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), k), percent), where, "links")
+    size = classes.select(F.col("rid").alias("b"), "size")
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(size, "b").groupBy(F.col("a").alias("rid")).agg(F.sum("size").alias("others"))
+    final = components(links, where, "components").select(F.col("id").alias("rid"), "comp")
+    members = sets.join(classes, "key", "left").join(others, "rid", "left").join(final, "rid", "left")
+    return links, members.select("doc_id", F.coalesce("rid", "doc_id").alias("class_id"), (F.coalesce("size", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("comp", "rid", "doc_id").alias("component_id"))
+
+
 def sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(rid, hashes) of the wanted documents, and of a few more. A sieve of fixed size chooses them
     where the texts are read, so that no text is shuffled."""

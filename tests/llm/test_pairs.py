@@ -80,6 +80,26 @@ def family(seed, n=220):
     return list({i: t for i, t in rows}.items())
 
 
+def test_jaccard_links(spark):
+    rows = family(7, 120)
+    links, members = jaccard.link_tables(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 80)
+    sets = {}
+    for i, text in rows:
+        words = text.encode().lower().split()
+        n = min(3, len(words))
+        sets[i] = frozenset(tuple(words[j : j + n]) for j in range(len(words) - n + 1))
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    comps = plain_components(rows, 3, 80)
+    want = {(i, first[s], sum(i in p for p in near), comps[i][1]) for i, s in sets.items()}
+    assert {tuple(r) for r in members.collect()} == want
+    got = [tuple(r) for r in links.collect()]
+    between = {(min(p), max(p)) for a, b in near if sets[a] != sets[b] for p in [(first[sets[a]], first[sets[b]])]}
+    assert set(got) == between and len(got) == len(between) > len({first[s] for s in sets.values()}) - len({c for _, c in comps.values()})
+
+
 @pytest.mark.parametrize("k,percent,block,often", [(3, 90, 256, 5000), (3, 90, 16, 5), (5, 80, 8, 2), (1, 70, 16, 5000)])
 def test_jaccard_components(spark, monkeypatch, k, percent, block, often):
     monkeypatch.setattr(jaccard, "BLOCK", block)
