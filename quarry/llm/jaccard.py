@@ -2,41 +2,45 @@
 
 1. Sets. A text's set is that of the 64-bit hashes of its shingles. Texts with one set are a
    class; its smallest id stands for it below.
-2. Order. All shingles of all texts are counted into a table of fixed size; the estimated
-   frequency and then the hash order the shingles of a set, rare ones first. Any fixed order
-   gives the same links; rare ones first keeps the groups below small.
+2. Order. Each shingle is counted exactly, at any size: chunks of documents send their shingles,
+   packed and in order, to ranges of hashes; a range counts and answers each chunk with those
+   that come up more than once. The count and then the hash order the shingles of a set, rare
+   ones first. Only 48 bits of a hash travel; where two shingles share them, they share a
+   count and a group, which costs a comparison and never loses one.
 3. Prefixes. Two sets of Jaccard similarity t or more share a shingle among the first
-   n - ceil(t n) + 1 of each. Prefix shingles that only one set has end here.
-4. Pivots. A group of m sets with one prefix shingle is never expanded into its m (m-1) / 2
-   pairs. In each round it names a pivot; the pivot is compared with all members of other
-   components that pass the length and positional filters, and leaves the group. Pairs that
-   come up in several groups are verified once; the suffix filter stops most that fail.
-5. The rest. In groups of at most BLOCK members that still hold several components, the pairs
-   between components that pass the filters are verified, each once. Larger groups are cut
-   into blocks of members, and pairs of blocks are multiplied as sparse sets; only links
-   between components leave a task. Members of one component need no more comparisons, so no
-   link between components is lost.
+   n - ceil(t n) + 1 of each. Shingles that come up once are the rarest and fill the prefix of
+   most documents, which end here.
+4. Pairs. Small groups of one prefix shingle give all pairs that pass the length and positional
+   filters. A larger group names a pivot in each round; the pivot meets the members of other
+   components that pass the filters, so that m copies of one text take m pairs. What then
+   still holds several components gives the pairs between components that pass the filters,
+   met by bands of sizes and split by salts; only ids take part.
+5. Verification. Pairs that several groups give are verified once. The suffix filter compares
+   counts of 64 ranges of hashes; only pairs that pass it bring their sets together.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keyed_texts, load, materialize, mix, pack, power_of_two, shared_dir, shingle_hashes, shuffle_partitions, steps, sums, text_chunks, unpack, word_hashes
+from quarry.llm.common import free_name, keyed_texts, load, materialize, mix, pack, shared_dir, shingle_hashes, shuffle_partitions, steps, sums, text_chunks, unpack, word_hashes
 from quarry.llm.sieve import sieve_of
 
-SKETCH_BITS = 20
-SKETCH_PARTS = 64
-#: Estimated frequency above which a prefix shingle skips the buckets, since others have it.
-FREQUENT = 5_000
-BLOCK = 256
+#: Bits of a shingle hash that travel to the counts.
+BITS = np.uint64(48)
+#: Bytes of text whose shingles are counted in one range of hashes.
+RANGE_BYTES = 12_000_000
+#: Groups up to this size give all their pairs at once.
+SMALL = 4
+#: Members of a salt of a large group.
+SALT = 512
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -50,111 +54,94 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def prefix_length(n, percent: int):
+    return n - -(-percent * n // 100) + 1
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def _ranges(texts: DataFrame) -> int:
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return min(1 << 15, max(shuffle_partitions(texts.sparkSession), -(-size // RANGE_BYTES)))
 
 
-def sets_and_counts(texts: DataFrame, k: int, where: str) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, key) of each text, key naming the set; and the table of shingle counts."""
+def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, key) of each text, key naming the set; and (token, doc_id, n, pos): the prefix
+    shingles that come up more than once, with their position in the order of the set. Equal
+    sets of one chunk are counted once."""
+    ranges = _ranges(texts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("part", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
+    def base(i: int) -> np.uint64:
+        return np.uint64((i << int(BITS)) // ranges)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows in text_chunks(batches):
             sets = [shingle_set(t, k) for t in rows]
-            counts += np.bincount(_slot(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
-            m = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * m, pa.int32()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                schema=schema,
-            )
-        m, task = SKETCH_PARTS, TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([task] * m, pa.int32()), pa.array([pack(c.astype(np.uint64)) for c in counts.reshape(m, -1)], pa.binary())],
-            schema=schema,
-        )
-
-    made = texts.mapInArrow(run, "kind int, doc_id long, n long, key binary, part int, task int, counts binary")
-    made = materialize(made, where, "sets", ["kind"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(unpack(v)[0].astype(np.uint64) for v in table.column("counts").to_pylist())
-        return pa.table({"part": pa.array(table.column("part").to_pylist()[:1], pa.int32()), "counts": pa.array([pack(total)], pa.binary())})
-
-    tasks = made.where("kind = 1").select("part", (F.col("task") / 1024).cast("int").alias("few"), "counts")
-    some = tasks.groupBy("part", "few").applyInArrow(lambda t: add(t.select(["part", "counts"])), "part int, counts binary")
-    table = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint64)
-    for row in some.groupBy("part").applyInArrow(add, "part int, counts binary").toLocalIterator():
-        table[row["part"]] = unpack(row["counts"])[0]
-    return made.where("kind = 0").select("doc_id", "n", "key"), np.minimum(table.reshape(-1), 2**32 - 1).astype(np.uint32)
-
-
-def shared_prefixes(texts: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(token, key, n, pos): prefix shingles that two sets or more have, with their position in the
-    order of each. Chunks send them packed; within a chunk equal sets count once."""
-    spark = texts.sparkSession
-    spread = spark.sparkContext.broadcast(counts)
-    buckets = power_of_two(2 * shuffle_partitions(spark))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, rows in text_chunks(batches):
-            seen: dict[bytes, int] = {}
-            keys, sizes, tokens, owner, pos, often = [], [], [], [], [], []
-            for text in rows:
-                s = shingle_set(text, k)
-                if not len(s) or seen.setdefault(key := xxhash.xxh3_128_digest(s.tobytes()), len(seen)) != len(keys):
-                    continue
-                frequency = spread.value[_slot(s)]
-                p = prefix_length(len(s), percent)
-                if p < len(s):
-                    cut = np.partition(frequency, p - 1)[p - 1]
-                    low = np.flatnonzero(frequency <= cut)
-                else:
-                    low = np.arange(len(s))
-                first = low[np.lexsort((s[low], frequency[low]))[:p]]
-                tokens.append(s[first])
-                often.append(frequency[first] >= FREQUENT)
-                owner.append(np.full(p, len(keys)))
-                pos.append(np.arange(p))
-                keys.append(key)
-                sizes.append(len(s))
-            if not keys:
-                continue
-            tokens, owner, pos, often = (np.concatenate(x) for x in (tokens, owner, pos, often))
-            bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
-            bucket[often] = buckets + (mix(tokens[often] ^ mix(owner[often].astype(np.uint64) + np.uint64(ids[0] & (2**62 - 1)))) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((tokens, bucket))
-            tokens, owner, pos, bucket = tokens[order], owner[order], pos[order], bucket[order]
-            names, packed = [], []
-            for part in np.split(np.arange(len(tokens)), np.flatnonzero(np.diff(bucket)) + 1):
-                own, local = np.unique(owner[part], return_inverse=True)
-                packed.append(pack(steps(tokens[part]), local.astype(np.uint64), pos[part].astype(np.uint64), np.frombuffer(b"".join(keys[o] for o in own), np.uint8), np.array([sizes[o] for o in own], np.uint64)))
-                names.append(int(bucket[part[0]]))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "packed": pa.array(packed, pa.binary())})
-
-    def group(table: pa.Table) -> pa.Table:
-        frequent = table.column("bucket")[0].as_py() >= buckets
-        tokens, names, sizes, pos = [], [], [], []
-        for value in table.column("packed").to_pylist():
-            t, local, p, own, n = unpack(value)
-            local = local.astype(np.int64)
-            tokens.append(sums(t))
-            names.append(own.reshape(-1, 16)[local])
-            sizes.append(n.astype(np.int64)[local])
-            pos.append(p.astype(np.int64))
-        tokens, names, sizes, pos = np.concatenate(tokens), np.concatenate(names), np.concatenate(sizes), np.concatenate(pos)
-        if not frequent:
-            _, inverse, number = np.unique(tokens, return_inverse=True, return_counts=True)
-            keep = number[inverse] > 1
-            tokens, names, sizes, pos = tokens[keep], names[keep], sizes[keep], pos[keep]
-        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(names), [None, pa.py_buffer(np.ascontiguousarray(names).tobytes())])
-        return pa.table({"token": pa.array(tokens.view(np.int64)), "key": flat.cast(pa.binary()), "n": pa.array(sizes), "pos": pa.array(pos)})
-
-    return texts.mapInArrow(emit, "bucket int, packed binary").groupBy("bucket").applyInArrow(group, "token long, key binary, n long, pos long")
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            n = np.array([len(s) for s in sets])
+            first = {}
+            once = np.array([first.setdefault(key, i) == i for i, key in enumerate(keys)])
+            tokens = np.concatenate([s for s, one in zip(sets, once, strict=True) if one]) >> (np.uint64(64) - BITS)
+            owner = np.repeat(np.flatnonzero(once), n[once])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            edges = np.append(np.searchsorted((tokens * np.uint64(ranges)) >> BITS, np.arange(ranges, dtype=np.uint64)), len(tokens))
+            full = np.flatnonzero(np.diff(edges))
+            packed = [pack(np.array(ids, np.int64), n.astype(np.uint64), np.frombuffer(b"".join(keys), np.uint8))]
+            packed += [pack(steps(tokens[edges[i] : edges[i + 1]] - base(int(i))), owner[edges[i] : edges[i + 1]].astype(np.uint64)) for i in full]
+            # what the chunk keeps of its documents goes along to where the answers meet
+            spread = ranges + int(mix(np.array([ids[0]], np.int64).view(np.uint64))[0] % np.uint64(ranges))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([spread, *full.tolist()], pa.int32()), "chunk": pa.array([ids[0]] * len(packed), pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+    def count(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        if part >= ranges:
+            return table.select(["chunk", "packed"]).append_column("own", pa.array([True] * table.num_rows))
+        found = [unpack(v) for v in table.column("packed").to_pylist()]
+        tokens = [sums(t) + base(part) for t, _ in found]
+        together = np.sort(np.concatenate(tokens))
+        again = np.concatenate([[False], together[1:] == together[:-1]])
+        kinds = np.flatnonzero(~again)
+        times = np.diff(np.append(kinds, len(together)))
+        kinds, times = together[kinds[times > 1]], times[times > 1]
+        if not len(kinds):
+            return pa.table({"chunk": pa.array([], pa.int64()), "packed": pa.array([], pa.binary()), "own": pa.array([], pa.bool_())})
+        chunks, packed = [], []
+        for chunk, mine, (_, owner) in zip(table.column("chunk").to_pylist(), tokens, found, strict=True):
+            at = np.searchsorted(kinds, mine)
+            at[at == len(kinds)] = 0
+            several = kinds[at] == mine
+            if several.any():
+                chunks.append(chunk)
+                packed.append(pack(steps(mine[several]), owner[several], times[at[several]].astype(np.uint64)))
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "packed": pa.array(packed, pa.binary()), "own": pa.array([False] * len(chunks))})
+
+    schema = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("key", pa.binary())])
+
+    def settle(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_pylist()
+        values = table.column("packed").to_pylist()
+        ids, n, keys = unpack(values[own.index(True)])
+        n = n.astype(np.int64)
+        m = len(ids)
+        names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), m, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+        docs = pa.table([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(ids), pa.array(n), pa.nulls(m, pa.int64()), names], schema=schema)
+        answers = [unpack(v) for v, mine in zip(values, own, strict=True) if not mine]
+        if not answers:
+            return docs
+        tokens = np.concatenate([sums(t) for t, _, _ in answers])
+        owner = np.concatenate([o for _, o, _ in answers]).astype(np.int64)
+        times = np.concatenate([c for _, _, c in answers]).astype(np.int64)
+        order = np.lexsort((tokens, times, owner))
+        tokens, owner = tokens[order], owner[order]
+        several = np.bincount(owner, minlength=m)
+        pos = np.arange(len(owner)) - (np.cumsum(several) - several)[owner] + (n - several)[owner]
+        early = pos < prefix_length(n, percent)[owner]
+        tokens, owner, pos = tokens[early], owner[early], pos[early]
+        m = len(owner)
+        return pa.concat_tables([docs, pa.table([pa.array(np.ones(m, np.int32)), pa.array(tokens.view(np.int64)), pa.array(ids[owner]), pa.array(n[owner]), pa.array(pos), pa.nulls(m, pa.binary())], schema=schema)])
+
+    answers = texts.select("doc_id", "text").mapInArrow(send, "part int, chunk long, packed binary").groupBy("part").applyInArrow(count, "chunk long, packed binary, own boolean")
+    made = materialize(answers.groupBy("chunk").applyInArrow(settle, "kind int, token long, doc_id long, n long, pos long, key binary"), where, "sets", ["kind"])
+    return made.where("kind = 0").select("doc_id", "n", "key"), made.where("kind = 1").select("token", "doc_id", "n", "pos")
 
 
 def may_link(n: Column, pos: Column, m: Column, other: Column, percent: int) -> Column:
@@ -184,121 +171,136 @@ def components(links: DataFrame, where: str, name: str) -> DataFrame:
             return labels
 
 
-def set_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """Suffix filter: the most two ascending sets can share, from their counts in 64 ranges of
-    hashes."""
+def range_counts(s: np.ndarray) -> np.ndarray:
+    """How many hashes of an ascending set lie in each of 64 ranges."""
     edges = np.arange(1, 64, dtype=np.uint64) << np.uint64(58)
-    x, y = (np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])) for s in (a, b))
-    return int(np.minimum(x, y).sum())
+    return np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])).astype(np.uint32)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(a) + len(b)
-    if (100 + percent) * set_bound(a, b) < percent * both:
-        return False
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= percent * (both - shared)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The pairs (a, b) that are links. First the counts of ranges bound what two sets can share
+    (the suffix filter); the sets themselves follow for pairs that pass."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, 64).astype(np.int64) for i in (2, 3))
+            most = np.minimum(x, y).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * most >= percent * (x.sum(axis=1) + y.sum(axis=1))))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_pylist() for i in (2, 3))
             good = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(good)
 
-    x = sets.select(F.col("rid").alias("a"), F.col("hashes").alias("x"))
-    y = sets.select(F.col("rid").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different components in one group. ``members``: token, rid, comp."""
-    sized = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = members.join(sized, "token").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
-    rows = placed.select("token", "rid", "comp", "block", pair.alias("p")).select("token", "p.i", "p.j", "rid", "comp", "block").join(sets, "rid")
-
-    def run(table: pa.Table) -> pa.Table:
-        rid, comp, block = (table.column(c).to_numpy() for c in ("rid", "comp", "block"))
-        sets_here = [np.frombuffer(v, np.uint64) for v in table.column("hashes").to_pylist()]
-        n = np.array([len(s) for s in sets_here])
-        row = np.repeat(np.arange(len(n)), n)
-        values, inverse, counts = np.unique(np.concatenate(sets_here), return_inverse=True, return_counts=True)
-        several = counts > 1
-        column = np.cumsum(several) - 1
-        keep = several[inverse]
-        row, col = row[keep], column[inverse[keep]]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        shared = np.zeros((len(left), len(right)), np.float32)
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        for begin in range(0, int(several.sum()), 4096):
-            at = slice(*np.searchsorted(col, [begin, begin + 4096]))
-            dense = np.zeros((len(n), 4096), np.float32)
-            dense[row[at], col[at] - begin] = 1
-            shared += dense[left] @ dense[right].T
-        shared = shared.astype(np.int64)
-        total = n[left][:, None] + n[right][None, :]
-        a, b = np.nonzero((100 * shared >= percent * (total - shared)) & (comp[left][:, None] != comp[right][None, :]))
-        a, b = left[a], right[b]
-        between = np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], axis=1)
-        one = np.unique(between, axis=0, return_index=True)[1] if len(between) else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(rid[a[one]], pa.int64()), "b": pa.array(rid[b[one]], pa.int64())})
-
-    return rows.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
-
-
-def similar(docs: DataFrame, k: int = 3, percent: int = 90, rounds: int = 2) -> DataFrame:
+    def beside(rows: DataFrame, column: str) -> DataFrame:
+        x = sets.select(F.col("rid").alias("a"), F.col(column).alias("x"))
+        y = sets.select(F.col("rid").alias("b"), F.col(column).alias("y"))
+        return rows.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+
+    return beside(beside(pairs, "counts").mapInArrow(bound, "a long, b long"), "hashes").mapInArrow(compare, "a long, b long")
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame, k: int, where: str) -> DataFrame:
+    """(rid, counts, hashes) of the wanted documents, and of a few more. A sieve of fixed size
+    chooses them where the texts are read, so that no text is shuffled."""
+    chosen = texts.sparkSession.sparkContext.broadcast(sieve_of(wanted, "rid"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            part = batch.filter(pa.array(chosen.value.has(mix(ids.view(np.uint64)))))
+            for some, rows in text_chunks(iter([part]), 2_000_000):
+                sets = [shingle_set(t, k) for t in rows]
+                yield pa.RecordBatch.from_pydict({"rid": pa.array(some, pa.int64()), "counts": pa.array([range_counts(s).tobytes() for s in sets], pa.binary()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    out = materialize(texts.select("doc_id", "text").mapInArrow(keep, "rid long, counts binary, hashes binary"), where, "hashed")
+    chosen.destroy()
+    return out
+
+
+def near_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of different components in one group that pass the filters. ``members``:
+    token, rid, n, pos, comp, m (the size of the group).
+
+    Sizes fall into bands so wide that only equal and neighbouring bands can link; a large
+    group is split by salts on one side, to each of which the other side goes."""
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+    salts = F.ceil(F.col("m") / SALT).cast("int")
+    x = members.select("token", band.alias("band"), F.pmod(F.xxhash64("rid"), salts).cast("int").alias("salt"), F.col("rid").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("comp").alias("c1"))
+    y = members.select("token", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"), salts.alias("salts"), F.col("rid").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("comp").alias("c2"))
+    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    met = x.join(y, ["token", "band", "salt"])
+    met = met.where((F.col("c1") != F.col("c2")) & ((F.col("own") != F.col("band")) | (F.col("a") < F.col("b"))) & may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+class Join:
+    """What both forms of the join start from: sets, classes, groups and the sets of their members."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int):
+        self.where, self.percent = shared_dir(docs.sparkSession), percent
+        texts = keyed_texts(docs)
+        sets, entries = sets_and_prefixes(texts, k, percent, self.where)
+        self.sets = sets
+        self.classes = materialize(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("size")), self.where, "classes")
+        rid = sets.join(self.classes, "key").select("doc_id", "rid")
+        named = entries.join(rid, "doc_id").select("token", "rid", "n", "pos").distinct()
+        named = materialize(named, self.where, "named")
+        size = named.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        self.group = materialize(named.join(size, "token"), self.where, "groups")
+        self.hashed = sets_of(texts, self.group.select("rid").distinct(), k, self.where)
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        return materialize(verify(pairs, self.hashed, self.percent), self.where, name)
+
+
+def similar(docs: DataFrame, k: int = 3, percent: int = 90, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each id.
 
     Texts link when 100 * |intersection| >= percent * |union| of their sets. Rows without an
     id are left out, a null text is empty, rows that share an id are one document with the
-    least text, and texts without words link with nothing."""
-    spark = docs.sparkSession
-    where = shared_dir(spark)
-    texts = keyed_texts(docs)
-    sets, counts = sets_and_counts(texts, k, where)
-    classes = materialize(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n")), where, "classes")
-    prefixes = materialize(shared_prefixes(texts, counts, k, percent), where, "prefixes")
-    named = prefixes.join(classes.select("key", "rid"), "key").select("token", "rid", "n", "pos").distinct()
-    several = named.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    group = materialize(named.join(several, "token", "left_semi"), where, "groups")
-    labels = group.select("rid").distinct().withColumn("comp", F.col("rid"))
+    least text, and texts without words link with nothing. Very long texts are sets like
+    others. An empty table gives no row."""
+    join = Join(docs, k, percent)
+    where = join.where
+    members = join.group.withColumn("comp", F.col("rid"))
     links = checked = None
-    for turn in range(rounds):
+    for turn in range(rounds + 1):
+        if turn:
+            members = members.drop("comp").join(components(links, where, f"components-{turn}").withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         # a group goes on while it holds two components
-        now = materialize(group.join(labels, "rid"), where, f"members-{turn}")
         pivot = F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid", "n", "pos", "comp"))
-        pivots = now.groupBy("token").agg(pivot.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
-        pivots = materialize(pivots, where, f"pivots-{turn}")
-        met = now.join(pivots, "token").where((F.col("comp") != F.col("p.comp")) & may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), percent))
-        pairs = met.select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b")).distinct()
+        members = members if not turn else materialize(members, where, f"members-{turn}")
+        named = members.groupBy("token").agg(pivot.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
+        named = materialize(named, where, f"pivots-{turn}")
+        now = members.join(named, "token")
+        if turn == rounds:
+            pairs = near_pairs(now, percent)
+        else:
+            few, many = now.where(F.col("m") <= SMALL), now.where(F.col("m") > SMALL)
+            met = many.where((F.col("comp") != F.col("p.comp")) & may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), percent))
+            pairs = met.select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
+            if not turn:
+                pairs = pairs.union(near_pairs(few, percent))
+            # the pivot has met all members of its group
+            members = many.where(F.col("rid") != F.col("p.rid")).drop("p")
+        pairs = pairs.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = materialize(pairs, where, f"pairs-{turn}")
         checked = pairs if checked is None else checked.union(pairs)
-        hashed = sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), k)
-        found = materialize(verify(pairs, hashed, percent), where, f"links-{turn}")
+        found = join.links(pairs, f"links-{turn}")
         links = found if links is None else links.union(found)
-        labels = labelled(group, components(links, where, f"components-{turn}"))
-        # the pivot has met all members of its group
-        gone = pivots.select("token", F.col("p.rid").alias("rid"))
-        group = now.join(pivots.select("token"), "token", "left_semi").join(gone, ["token", "rid"], "left_anti").select("token", "rid", "n", "pos")
-    rest = group.join(labels, "rid")
-    open_groups = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("token", "m")
-    rest = materialize(rest.join(open_groups, "token"), where, "rest")
-    pairs = materialize(small_pairs(rest.where(F.col("m") <= BLOCK), percent).join(checked, ["a", "b"], "left_anti"), where, "pairs-rest")
-    large = rest.where(F.col("m") > BLOCK).select("token", "rid", "comp")
-    hashed = sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("rid")).union(large.select("rid")).distinct(), k)
-    links = links.union(materialize(verify(pairs, hashed, percent).union(block_links(large, hashed, percent)), where, "links-rest"))
     final = components(links, where, "components").select(F.col("id").alias("rid"), "comp")
-    named = sets.join(classes.select("key", "rid"), "key", "left").join(final, "rid", "left")
+    members = join.sets.join(join.classes.select("key", "rid"), "key", "left").join(final, "rid", "left")
     # two texts without words have no class: each is its own component
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rid", "doc_id").alias("component_id"))
+    return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rid", "doc_id").alias("component_id"))
 
 
 def link_tables(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -308,57 +310,17 @@ def link_tables(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFra
     Every pair of classes that passes the prefix, length and positional filters is verified
     once, so work grows with the pairs of a group, as the links themselves do; ``similar``
     gives the components without them."""
-    where = shared_dir(docs.sparkSession)
-    texts = keyed_texts(docs)
-    sets, counts = sets_and_counts(texts, k, where)
-    classes = materialize(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("size")), where, "classes")
-    prefixes = materialize(shared_prefixes(texts, counts, k, percent), where, "prefixes")
-    named = materialize(prefixes.join(classes.select("key", "rid"), "key").select("token", "rid", "n", "pos").distinct(), where, "groups")
-    x = named.select("token", F.col("rid").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    y = named.select("token", F.col("rid").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    met = x.join(y, "token").where((F.col("a") < F.col("b")) & may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent))
-    pairs = materialize(met.select("a", "b").distinct(), where, "pairs")
-    links = materialize(verify(pairs, sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), k), percent), where, "links")
-    size = classes.select(F.col("rid").alias("b"), "size")
+    join = Join(docs, k, percent)
+    pairs = materialize(near_pairs(join.group.withColumn("comp", F.col("rid")), percent).distinct(), join.where, "pairs")
+    links = join.links(pairs, "links")
+    size = join.classes.select(F.col("rid").alias("b"), "size")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(size, "b").groupBy(F.col("a").alias("rid")).agg(F.sum("size").alias("others"))
-    final = components(links, where, "components").select(F.col("id").alias("rid"), "comp")
-    members = sets.join(classes, "key", "left").join(others, "rid", "left").join(final, "rid", "left")
+    final = components(links, join.where, "components").select(F.col("id").alias("rid"), "comp")
+    members = join.sets.join(join.classes, "key", "left").join(others, "rid", "left").join(final, "rid", "left")
     return links, members.select("doc_id", F.coalesce("rid", "doc_id").alias("class_id"), (F.coalesce("size", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("comp", "rid", "doc_id").alias("component_id"))
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(rid, hashes) of the wanted documents, and of a few more. A sieve of fixed size chooses them
-    where the texts are read, so that no text is shuffled."""
-    chosen = texts.sparkSession.sparkContext.broadcast(sieve_of(wanted, "rid"))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            part = batch.filter(pa.array(chosen.value.has(mix(ids.view(np.uint64)))))
-            for some, rows in text_chunks(iter([part])):
-                yield pa.RecordBatch.from_pydict({"rid": pa.array(some, pa.int64()), "hashes": pa.array([shingle_set(t, k).tobytes() for t in rows], pa.binary())})
-
-    return texts.select("doc_id", "text").mapInArrow(keep, "rid long, hashes binary")
-
-
-def small_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b), each once: members of different components that pass the filters in a group of at
-    most BLOCK members. ``members``: token, rid, n, pos, comp."""
-    groups = members.groupBy("token").agg(F.collect_list(F.struct("rid", "n", "pos", "comp")).alias("g"))
-
-    def partners(x):
-        met = F.filter("g", lambda y: (x["rid"] < y["rid"]) & (x["comp"] != y["comp"]) & may_link(x["n"], x["pos"], y["n"], y["pos"], percent))
-        return F.transform(met, lambda y: F.struct(x["rid"].alias("a"), y["rid"].alias("b")))
-
-    return groups.select(F.explode(F.flatten(F.transform("g", partners))).alias("p")).select("p.a", "p.b").distinct()
-
-
-def labelled(group: DataFrame, comps: DataFrame) -> DataFrame:
-    own = group.select("rid").distinct()
-    return own.join(comps.withColumnRenamed("id", "rid"), "rid", "left").select("rid", F.coalesce("comp", "rid").alias("comp"))
-
-
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(load(spark, sf_dir))
 
@@ -366,17 +328,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one of
     the smallest id. Of rows that share an id the one with the least text stays; rows without
-    an id stay."""
+    an id stay. Null, empty and very long texts are as in ``similar``."""
     groups = similar(docs, k=5, percent=80)
-    first = groups.where("component_id = doc_id").select(F.col("doc_id").alias("__id"))
-    ids = docs["doc_id"].cast("long")
-    kept = docs.join(first, ids == first["__id"], "left_semi")
+    mark, rank = free_name(docs, "kept_id"), free_name(docs, "rank_of_id")
+    first = groups.where("component_id = doc_id").select(F.col("doc_id").alias(mark))
+    kept = docs.join(first, docs["doc_id"].cast("long") == first[mark], "left_semi")
     repeated = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if repeated:
-        from pyspark.sql import Window
-
         best = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-        kept = kept.withColumn("__n", best).where("__n = 1").drop("__n")
+        kept = kept.withColumn(rank, best).where(F.col(rank) == 1).drop(rank)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null").select(*docs.columns))
 
 

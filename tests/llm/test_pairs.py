@@ -100,13 +100,13 @@ def test_jaccard_links(spark):
     assert set(got) == between and len(got) == len(between) > len({first[s] for s in sets.values()}) - len({c for _, c in comps.values()})
 
 
-@pytest.mark.parametrize("k,percent,block,often", [(3, 90, 256, 5000), (3, 90, 16, 5), (5, 80, 8, 2), (1, 70, 16, 5000)])
-def test_jaccard_components(spark, monkeypatch, k, percent, block, often):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "FREQUENT", often)
-    rows = family(k + block)
+@pytest.mark.parametrize("k,percent,small,salt,rounds", [(3, 90, 4, 512, 3), (3, 90, 1, 3, 0), (5, 80, 2, 2, 1), (1, 70, 8, 512, 2)])
+def test_jaccard_components(spark, monkeypatch, k, percent, small, salt, rounds):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "SALT", salt)
+    rows = family(k + salt)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(df, k, percent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(df, k, percent, rounds).collect()}
     assert got == plain_components(rows, k, percent)
 
 
