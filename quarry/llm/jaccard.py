@@ -12,11 +12,14 @@
    most documents, which end here.
 4. Pairs. Small groups of one prefix shingle give all pairs that pass the length and positional
    filters. A larger group names a pivot in each round; the pivot meets the members of other
-   components that pass the filters, so that m copies of one text take m pairs. What then
-   still holds several components gives the pairs between components that pass the filters,
-   met by bands of sizes and split by salts; only ids take part.
+   components that pass the filters, so that m copies of one text take m pairs. The positional
+   filter knows that shingles which come up once are in no other set.
 5. Verification. Pairs that several groups give are verified once. The suffix filter compares
    counts of 64 ranges of hashes; only pairs that pass it bring their sets together.
+6. The rest. Large groups that still hold several components are mostly copies that differ by
+   a little too much. Each member is reduced to its difference from the group's pivot, a few
+   shingles instead of all, and blocks of differences are compared inside a task; all groups
+   with one pivot are one. Only links between components leave a task, no pairs.
 """
 
 from __future__ import annotations
@@ -41,6 +44,9 @@ RANGE_BYTES = 12_000_000
 SMALL = 4
 #: Members of a salt of a large group.
 SALT = 512
+#: Members of a block, and shingles that their differences may hold.
+BLOCK = 2_048
+BLOCK_SHINGLES = 1_000_000
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -64,9 +70,10 @@ def _ranges(texts: DataFrame) -> int:
 
 
 def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, key) of each text, key naming the set; and (token, doc_id, n, pos): the prefix
-    shingles that come up more than once, with their position in the order of the set. Equal
-    sets of one chunk are counted once."""
+    """(doc_id, n, key) of each text, key naming the set; and (token, doc_id, n, pos, rank): the
+    prefix shingles that come up more than once, with their position in the order of the set
+    and among those of them that come up more than once. Equal sets of one chunk are counted
+    once."""
     ranges = _ranges(texts)
 
     def base(i: int) -> np.uint64:
@@ -114,7 +121,7 @@ def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tup
                 packed.append(pack(steps(mine[several]), owner[several], times[at[several]].astype(np.uint64)))
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "packed": pa.array(packed, pa.binary()), "own": pa.array([False] * len(chunks))})
 
-    schema = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("key", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("rank", pa.int64()), ("key", pa.binary())])
 
     def settle(table: pa.Table) -> pa.Table:
         own = table.column("own").to_pylist()
@@ -123,7 +130,7 @@ def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tup
         n = n.astype(np.int64)
         m = len(ids)
         names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), m, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-        docs = pa.table([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(ids), pa.array(n), pa.nulls(m, pa.int64()), names], schema=schema)
+        docs = pa.table([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(ids), pa.array(n), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), names], schema=schema)
         answers = [unpack(v) for v, mine in zip(values, own, strict=True) if not mine]
         if not answers:
             return docs
@@ -133,23 +140,25 @@ def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tup
         order = np.lexsort((tokens, times, owner))
         tokens, owner = tokens[order], owner[order]
         several = np.bincount(owner, minlength=m)
-        pos = np.arange(len(owner)) - (np.cumsum(several) - several)[owner] + (n - several)[owner]
+        rank = np.arange(len(owner)) - (np.cumsum(several) - several)[owner]
+        pos = rank + (n - several)[owner]
         early = pos < prefix_length(n, percent)[owner]
-        tokens, owner, pos = tokens[early], owner[early], pos[early]
+        tokens, owner, pos, rank = tokens[early], owner[early], pos[early], rank[early]
         m = len(owner)
-        return pa.concat_tables([docs, pa.table([pa.array(np.ones(m, np.int32)), pa.array(tokens.view(np.int64)), pa.array(ids[owner]), pa.array(n[owner]), pa.array(pos), pa.nulls(m, pa.binary())], schema=schema)])
+        return pa.concat_tables([docs, pa.table([pa.array(np.ones(m, np.int32)), pa.array(tokens.view(np.int64)), pa.array(ids[owner]), pa.array(n[owner]), pa.array(pos), pa.array(rank), pa.nulls(m, pa.binary())], schema=schema)])
 
     answers = texts.select("doc_id", "text").mapInArrow(send, "part int, chunk long, packed binary").groupBy("part").applyInArrow(count, "chunk long, packed binary, own boolean")
-    made = materialize(answers.groupBy("chunk").applyInArrow(settle, "kind int, token long, doc_id long, n long, pos long, key binary"), where, "sets", ["kind"])
-    return made.where("kind = 0").select("doc_id", "n", "key"), made.where("kind = 1").select("token", "doc_id", "n", "pos")
+    made = materialize(answers.groupBy("chunk").applyInArrow(settle, "kind int, token long, doc_id long, n long, pos long, rank long, key binary"), where, "sets", ["kind"])
+    return made.where("kind = 0").select("doc_id", "n", "key"), made.where("kind = 1").select("token", "doc_id", "n", "pos", "rank")
 
 
-def may_link(n: Column, pos: Column, m: Column, other: Column, percent: int) -> Column:
-    """Length filter and positional filter of two sets of n and m shingles that share one at the
-    given positions of their orders."""
+def may_link(x: Column, y: Column, percent: int) -> Column:
+    """Length filter and positional filter of two members (n, pos, rank) of one group: they share at
+    most its shingle and what follows it, and before it what other sets have as well."""
+    n, m = x["n"], y["n"]
     length = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     needed = F.ceil(percent * (n + m) / F.lit(100 + percent))
-    return length & (F.least(n - pos, m - other) + F.least(pos, other) >= needed)
+    return length & (F.least(n - x["pos"], m - y["pos"]) + F.least(x["rank"], y["rank"]) >= needed)
 
 
 def components(links: DataFrame, where: str, name: str) -> DataFrame:
@@ -225,19 +234,69 @@ def sets_of(texts: DataFrame, wanted: DataFrame, k: int, where: str) -> DataFram
 
 
 def near_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of different components in one group that pass the filters. ``members``:
-    token, rid, n, pos, comp, m (the size of the group).
+    """(a, b): pairs of members of one group that pass the filters. ``members``: token, rid, n, pos,
+    rank, m (the size of the group).
 
     Sizes fall into bands so wide that only equal and neighbouring bands can link; a large
     group is split by salts on one side, to each of which the other side goes."""
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
     salts = F.ceil(F.col("m") / SALT).cast("int")
-    x = members.select("token", band.alias("band"), F.pmod(F.xxhash64("rid"), salts).cast("int").alias("salt"), F.col("rid").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("comp").alias("c1"))
-    y = members.select("token", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"), salts.alias("salts"), F.col("rid").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("comp").alias("c2"))
+    one = F.struct("rid", "n", "pos", "rank", band.alias("band"))
+    x = members.select("token", band.alias("band"), F.pmod(F.xxhash64("rid"), salts).cast("int").alias("salt"), one.alias("x"))
+    y = members.select("token", F.explode(F.array(band, band + 1)).alias("band"), salts.alias("salts"), one.alias("y"))
     y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    met = x.join(y, ["token", "band", "salt"])
-    met = met.where((F.col("c1") != F.col("c2")) & ((F.col("own") != F.col("band")) | (F.col("a") < F.col("b"))) & may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = x.join(y, ["token", "band", "salt"]).where(((F.col("y.band") != F.col("band")) | (F.col("x.rid") < F.col("y.rid"))) & may_link(F.col("x"), F.col("y"), percent))
+    return met.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int, where: str) -> DataFrame:
+    """(a, b): links between members of different components that have one pivot. ``members``:
+    pivot, rid, comp. Two sets share what their differences from the pivot share, and half of
+    what their sizes exceed the sizes of these."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(v, np.uint64) for v in batch.column(3).to_pylist()]
+            delta = [np.setxor1d(x, np.frombuffer(v, np.uint64), assume_unique=True).tobytes() for x, v in zip(own, batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in own], pa.int64()), pa.array(delta, pa.binary())], names=["pivot", "rid", "comp", "n", "delta"])
+
+    # the pivot's set travels with each member, since all members in one place would be too many
+    beside = members.join(sets.select(F.col("rid").alias("pivot"), F.col("hashes").alias("y")), "pivot").join(sets.select("rid", "hashes"), "rid")
+    deltas = materialize(beside.select("pivot", "rid", "comp", "hashes", "y").mapInArrow(differ, "pivot long, rid long, comp long, n long, delta binary"), where, "differences")
+    sized = deltas.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("delta")) / (8 * BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    placed = deltas.join(sized, "pivot").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
+    rows = placed.select("pivot", pair.alias("p"), "rid", "comp", "n", "block", "delta").select("pivot", "p.i", "p.j", "rid", "comp", "n", "block", "delta")
+
+    def run(table: pa.Table) -> pa.Table:
+        rid, comp, n, block = (table.column(c).to_numpy() for c in ("rid", "comp", "n", "block"))
+        deltas = [np.frombuffer(v, np.uint64) for v in table.column("delta").to_pylist()]
+        size = np.array([len(d) for d in deltas])
+        row = np.repeat(np.arange(len(size)), size)
+        _, inverse, times = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
+        several = times > 1
+        keep = several[inverse]
+        row, col = row[keep], (np.cumsum(several) - 1)[inverse[keep]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for begin in range(0, int(several.sum()), 1024):
+            at = slice(*np.searchsorted(col, [begin, begin + 1024]))
+            dense = np.zeros((len(n), 1024), np.float32)
+            dense[row[at], col[at] - begin] = 1
+            shared += dense[left] @ dense[right].T
+        both = n[left][:, None] + n[right][None, :]
+        shared = shared.astype(np.int64) + (both - size[left][:, None] - size[right][None, :]) // 2
+        a, b = np.nonzero((100 * shared >= percent * (both - shared)) & (comp[left][:, None] != comp[right][None, :]))
+        a, b = left[a], right[b]
+        between = np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], axis=1)
+        one = np.unique(between, axis=0, return_index=True)[1] if len(between) else np.zeros(0, np.int64)
+        a, b = rid[a[one]], rid[b[one]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return rows.groupBy("pivot", "i", "j").applyInArrow(run, "a long, b long")
 
 
 class Join:
@@ -250,7 +309,7 @@ class Join:
         self.sets = sets
         self.classes = materialize(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("size")), self.where, "classes")
         rid = sets.join(self.classes, "key").select("doc_id", "rid")
-        named = entries.join(rid, "doc_id").select("token", "rid", "n", "pos").distinct()
+        named = entries.join(rid, "doc_id").select("token", "rid", "n", "pos", "rank").distinct()
         named = materialize(named, self.where, "named")
         size = named.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         self.group = materialize(named.join(size, "token"), self.where, "groups")
@@ -260,7 +319,7 @@ class Join:
         return materialize(verify(pairs, self.hashed, self.percent), self.where, name)
 
 
-def similar(docs: DataFrame, k: int = 3, percent: int = 90, rounds: int = 3) -> DataFrame:
+def similar(docs: DataFrame, k: int = 3, percent: int = 90, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each id.
 
     Texts link when 100 * |intersection| >= percent * |union| of their sets. Rows without an
@@ -271,25 +330,26 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, rounds: int = 3) ->
     where = join.where
     members = join.group.withColumn("comp", F.col("rid"))
     links = checked = None
+    rounds = max(1, rounds)
     for turn in range(rounds + 1):
         if turn:
             members = members.drop("comp").join(components(links, where, f"components-{turn}").withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+            members = materialize(members, where, f"members-{turn}")
         # a group goes on while it holds two components
-        pivot = F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid", "n", "pos", "comp"))
-        members = members if not turn else materialize(members, where, f"members-{turn}")
-        named = members.groupBy("token").agg(pivot.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
-        named = materialize(named, where, f"pivots-{turn}")
-        now = members.join(named, "token")
+        pivot = F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid", "n", "pos", "rank", "comp"))
+        pivots = members.groupBy("token").agg(pivot.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
+        now = members.join(materialize(pivots, where, f"pivots-{turn}"), "token")
+        many = now.where(F.col("m") > SMALL)
         if turn == rounds:
-            pairs = near_pairs(now, percent)
-        else:
-            few, many = now.where(F.col("m") <= SMALL), now.where(F.col("m") > SMALL)
-            met = many.where((F.col("comp") != F.col("p.comp")) & may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), percent))
-            pairs = met.select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
-            if not turn:
-                pairs = pairs.union(near_pairs(few, percent))
-            # the pivot has met all members of its group
-            members = many.where(F.col("rid") != F.col("p.rid")).drop("p")
+            found = block_links(many.select(F.col("p.rid").alias("pivot"), "rid", "comp").distinct(), join.hashed, percent, where)
+            links = links.union(materialize(found, where, "links-rest"))
+            break
+        met = many.where((F.col("comp") != F.col("p.comp")) & may_link(F.struct("n", "pos", "rank"), F.col("p"), percent))
+        pairs = met.select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
+        if not turn:
+            pairs = pairs.union(near_pairs(now.where(F.col("m") <= SMALL), percent))
+        # the pivot has met all members of its group
+        members = many.where(F.col("rid") != F.col("p.rid")).drop("p")
         pairs = pairs.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
@@ -311,7 +371,7 @@ def link_tables(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFra
     once, so work grows with the pairs of a group, as the links themselves do; ``similar``
     gives the components without them."""
     join = Join(docs, k, percent)
-    pairs = materialize(near_pairs(join.group.withColumn("comp", F.col("rid")), percent).distinct(), join.where, "pairs")
+    pairs = materialize(near_pairs(join.group, percent).distinct(), join.where, "pairs")
     links = join.links(pairs, "links")
     size = join.classes.select(F.col("rid").alias("b"), "size")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -100,10 +100,11 @@ def test_jaccard_links(spark):
     assert set(got) == between and len(got) == len(between) > len({first[s] for s in sets.values()}) - len({c for _, c in comps.values()})
 
 
-@pytest.mark.parametrize("k,percent,small,salt,rounds", [(3, 90, 4, 512, 3), (3, 90, 1, 3, 0), (5, 80, 2, 2, 1), (1, 70, 8, 512, 2)])
+@pytest.mark.parametrize("k,percent,small,salt,rounds", [(3, 90, 4, 512, 2), (3, 90, 1, 3, 1), (5, 80, 2, 2, 1), (1, 70, 2, 512, 1)])
 def test_jaccard_components(spark, monkeypatch, k, percent, small, salt, rounds):
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "SALT", salt)
+    monkeypatch.setattr(jaccard, "BLOCK", 5 * salt)
     rows = family(k + salt)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(df, k, percent, rounds).collect()}
