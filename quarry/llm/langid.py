@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, load, materialize, shared_dir
+from quarry.llm.common import fold, free_name, load, materialize, shared_dir
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -35,21 +36,32 @@ _DRAWS = 1 << 20
 @dataclass
 class LanguageModel:
     """Evidence is a matrix with a row for each known word (log frequency in each language) and
-    each known n-gram (log share of each language); the dictionaries lead to its rows."""
+    each known n-gram (log share of each language). The keys stay in Arrow arrays, as they came
+    to the driver and as they are sent; a worker makes its tables when it first needs them."""
 
     languages: list[str]
-    words: dict[str, int]
-    grams: list[dict[str, int]]  # longest order first
+    word_keys: pa.Array
+    gram_keys: list[pa.Array]  # longest order first
     rows: np.ndarray
 
+    @cached_property
+    def tables(self) -> list[dict[str, int]]:
+        """Row of each word, then of each n-gram by order."""
+        out, at = [], 0
+        for keys in (self.word_keys, *self.gram_keys):
+            out.append(dict(zip(keys.to_pylist(), range(at, at + len(keys)), strict=True)))
+            at += len(keys)
+        return out
+
     def evidence(self, word: str) -> list[int]:
         """Rows whose mean is the evidence of a word; none where nothing is known."""
-        known = self.words.get(word)
+        words, *grams = self.tables
+        known = words.get(word)
         if known is not None:
             return [known]
         padded = f"^{word}$"
-        order = len(self.grams)
-        for table in self.grams:
+        order = len(grams)
+        for table in grams:
             hits = [h for i in range(len(padded) - order + 1) if (h := table.get(padded[i : i + order])) is not None]
             if hits:
                 return hits
@@ -82,7 +94,7 @@ class _Codes(dict):
         return code
 
 
-def word_counts(docs: DataFrame, max_word: int) -> DataFrame:
+def word_counts(docs: DataFrame) -> DataFrame:
     """(word, lang, n) over all texts; summed within each block before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +102,7 @@ def word_counts(docs: DataFrame, max_word: int) -> DataFrame:
             codes, by_lang = _Codes(), {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(np.fromiter(map(codes.__getitem__, parts := text.split()), np.int64, len(parts)))
-            tokens = [[w for w in _LETTERS.findall(t.lower()) if len(w) <= max_word] for t in codes]
+            tokens = [_LETTERS.findall(t.lower()) for t in codes]
             for lang, rows in by_lang.items():
                 seen = np.bincount(np.concatenate(rows), minlength=1)
                 count = Counter()
@@ -169,45 +181,43 @@ def heaviest_by_language(counts: DataFrame, key: str, kind: Column, k: int) -> t
 
 
 def learn(docs: DataFrame, max_words: int = 120_000, max_grams: int = 40_000, orders: int = 5, max_word: int = 40) -> LanguageModel:
-    """Learns from the rows of ``docs`` whose text and lang are not null.
+    """Learns from the rows of ``docs`` whose text and lang are not null; without any, the model has
+    no language.
 
     Words and n-grams are counted over all training texts, the n-grams of a word weighted by the
     square root of its frequency. About ``max_words`` words and ``max_grams`` n-grams of each
-    order come to the driver, with even places for each language."""
+    order come to the driver, with even places for each language. Words of more than
+    ``max_word`` letters give n-grams, but take no place among the words."""
     where = shared_dir(docs.sparkSession)
-    counts = materialize(word_counts(docs.where("text is not null and lang is not null"), max_word), where, "words")
-    sizes, table = heaviest_by_language(counts, "word", F.lit(0), max_words)
-    if not sizes:
-        return LanguageModel([], {}, [{}] * orders, np.zeros((0, 0)))
-    languages = sorted(sizes[0])
-    at = {x: i for i, x in enumerate(languages)}
-
-    def matrix(part: pa.Table, key: str) -> tuple[list[str], np.ndarray]:
-        owners = part.column(key).to_pylist()
-        names = sorted(set(owners))
-        place = {x: i for i, x in enumerate(names)}
-        seen = np.zeros((len(names), len(languages)))
-        seen[[place[x] for x in owners], [at[x] for x in part.column("lang").to_pylist()]] = part.column("n").to_numpy()
-        return names, seen
-
-    def totals(kind: int) -> np.ndarray:
-        return np.array([sizes[kind].get(x, (0, 0))[0] for x in languages], float)
-
-    names, seen = matrix(table, "word")
-    words = {w: i for i, w in enumerate(names)}
-    rows = [np.log((seen + 0.1) / (totals(0) + 0.1 * sum(types for _, types in sizes[0].values())))]
-    sizes, table = heaviest_by_language(materialize(gram_weights(counts, orders), where, "grams"), "gram", F.length("gram"), max_grams)
-    grams, known = [], len(words)
+    counts = materialize(word_counts(docs.where("text is not null and lang is not null")), where, "words")
+    sizes, table = heaviest_by_language(counts.where(F.length("word") <= max_word), "word", F.lit(0), max_words)
+    gram_sizes, gram_table = heaviest_by_language(materialize(gram_weights(counts, orders), where, "grams"), "gram", F.length("gram"), max_grams)
+    languages = sorted({*sizes.get(0, {}), *gram_sizes.get(1, {})})
+    at = pa.array(languages, pa.string())
+
+    def matrix(part: pa.Table, key: str) -> tuple[pa.Array, np.ndarray]:
+        coded = part.column(key).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        seen = np.zeros((len(order), len(languages)))
+        seen[place[coded.indices.to_numpy()], pc.index_in(part.column("lang").combine_chunks(), at).to_numpy()] = part.column("n").to_numpy()
+        return coded.dictionary.take(order), seen
+
+    def totals(of: dict[str, tuple[int, int]]) -> np.ndarray:
+        return np.array([of.get(x, (0, 0))[0] for x in languages], float)
+
+    words, seen = matrix(table, "word")
+    held = sizes.get(0, {})
+    rows = [np.log((seen + 0.1) / (totals(held) + 0.1 * sum(types for _, types in held.values())))] if len(words) else []
+    grams = []
     for order in range(orders, 0, -1):
-        if order not in sizes:  # no word is so long
-            grams.append({})
-            continue
-        names, seen = matrix(table.filter(pc.equal(table.column("kind"), order)), "gram")
-        rate = (seen / UNIT + 0.02) / (1.0 + totals(order) / UNIT)
-        grams.append({g: known + i for i, g in enumerate(names)})
-        rows.append(np.log(rate / rate.sum(axis=1, keepdims=True)))
-        known += len(names)
-    return LanguageModel(languages, words, grams, np.concatenate(rows))
+        names, seen = matrix(gram_table.filter(pc.equal(gram_table.column("kind"), order)), "gram")
+        grams.append(names)
+        if len(names):
+            rate = (seen / UNIT + 0.02) / (1.0 + totals(gram_sizes[order]) / UNIT)
+            rows.append(np.log(rate / rate.sum(axis=1, keepdims=True)))
+    return LanguageModel(languages, words, grams, np.concatenate(rows) if rows else np.zeros((0, 0)))
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -240,12 +250,14 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     kinds = dict(docs.dtypes)
-    shown = docs.select(*keep, F.col("text").alias("__text"))
+    shown = docs.select(*keep, F.col("text").alias(free_name(docs, "whole_text")))
     return shown.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, **limits) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row; learns from the other folds."""
+    """(doc_id, held_out, lang_pred, score) for every row, also where ids are null or repeated;
+    learns from the other folds. Null and empty texts are ``und``; very long ones are read whole.
+    An empty table gives no row."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text", "lang")
     return predict(out, learn(out.where("not held_out"), **limits), ["doc_id", "held_out"])
 
@@ -256,9 +268,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the rest (no text, no letter, or a best language
-    with hardly more than an even share) go. Columns and values stay as they are."""
+    with hardly more than an even share) go. Columns and values stay as they are; rows with null
+    or repeated ids are judged like others. Without any labelled training text all rows go."""
     columns = docs.columns
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     model = learn(docs.where(fold(F.col("doc_id"), 5) != 0).select("text", "lang"))
     floor = 1.01 / len(model.languages) if len(model.languages) > 1 else 0.0
-    out = predict(docs, model, columns, ("__lang_pred", "__score"))
-    return out.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") > floor)).select(*columns)
+    out = predict(docs, model, columns, (lang, score))
+    return out.where((F.col(lang) != UNDETERMINED) & (F.col(score) > floor)).select(*columns)

@@ -9,12 +9,14 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
+import brute_langid  # noqa: E402
 from brute_katz import katz  # noqa: E402
 
 from quarry.llm import bpe, common, katz as lm, langid, substrings, tokenfile  # noqa: E402
@@ -51,7 +53,7 @@ def test_language_id(spark, sf_dir):
 
 
 def test_language_id_backs_off():
-    model = langid.LanguageModel(["a", "b"], {"the": 0}, [{"ing": 1}, {"ng": 2}, {"g": 3}], np.array([[0.0, -1], [1, 0], [2, 0], [3, 0]]))
+    model = langid.LanguageModel(["a", "b"], pa.array(["the"]), [pa.array(["ing"]), pa.array(["ng"]), pa.array(["g"])], np.array([[0.0, -1], [1, 0], [2, 0], [3, 0]]))
     assert model.evidence("the") == [0] and model.evidence("sing") == [1] and model.evidence("ang") == [2] and model.evidence("gx") == [3] and model.evidence("q") == []
 
 
@@ -61,14 +63,29 @@ def test_language_id_counts_grams_of_rare_words(spark):
     rows += [(f"kjt{c}v", "small") for c in "aeiou"] + [("hyph", "small")]
     model = langid.learn(spark.createDataFrame(rows, "text string, lang string"), max_words=20, max_grams=40)
     # a small language has its own places, and words outside the word list give n-grams
-    assert {"hyph", "kjtav"} <= set(model.words) and len(model.words) <= 30
+    assert {"hyph", "kjtav"} <= set(model.word_keys.to_pylist()) and len(model.word_keys) <= 30
     small = model.languages.index("small")
     assert all(np.argmax(model.rows[model.evidence(w)].mean(axis=0)) == small for w in ("hyph", "kjtyv", "akjt"))
     every = langid.learn(spark.createDataFrame(rows, "text string, lang string"), max_words=8, max_grams=4000)
-    assert "zwqxa" not in every.words and all(g in every.grams[0] for g in ("^zwqx", "^kjta", "kjtuv"))
+    assert "zwqxa" not in every.tables[0] and all(g in every.tables[1] for g in ("^zwqx", "^kjta", "kjtuv"))
     assert np.argmax(every.rows[every.evidence("zwqxy")].mean(axis=0)) != small
 
 
+def test_language_id_equals_plain_version(spark, sf_dir):
+    docs = common.load(spark, sf_dir).select("doc_id", F.col("text").substr(1, 400).alias("text"), "lang").limit(60)
+    rows = [tuple(r) for r in docs.collect()] + [(1001, "q" * 60 + " zzz", "en"), (1002, None, "en"), (1003, "12 _", "fr"), (1004, "tie", "aa"), (1005, "tie", "bb"), (1006, "tie", None), (1008, "Ünïcode straße", "de")]
+    want = brute_langid.predict(rows)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
+
+
+def test_language_id_fills_places_among_equal_words(spark):
+    rows = [(" ".join(f"w{chr(97 + i)}x" for i in range(20)), "en"), ("other", "de")]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"), max_words=12)
+    assert 5 <= len(model.word_keys) <= 18
+
+
 def test_language_id_odd_rows(spark):
     got = langid.identify(odd(spark, score="clash")).collect()
     assert len(got) == len(ODD) and all(r.lang_pred == "und" and r.score == 0 for r in got)
