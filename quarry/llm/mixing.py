@@ -1,14 +1,17 @@
 """Mixing sources to target weights, in DataFrame expressions only.
 
-Token mass is summed over cells (source, language, topic). Iterative proportional fitting
-rakes the cell masses: each sweep scales them to the source, then to the language, then to
-the topic targets. The weights of a cell, up to one common factor, are what it got over
-what it had. The factor is calibrated so that the expected number of kept tokens is the
-budget while no probability is above 1; a document is kept when its own uniform number,
-a hash of its id, falls below the probability of its cell.
+Token mass is summed over cells (source, language, topic). Each value of a margin gets a
+target: the budget in proportion to a power of its mass, but no more than its mass; what such
+values cannot take goes to the others. Iterative proportional fitting then rakes the expected
+tokens of the cells: each sweep scales them to the source, then to the language, then to the
+topic targets, and holds each cell at its mass where it would exceed it, so that the next
+scaling moves the open cells instead. A cell's probability is its expected tokens over its
+mass, never above 1; a document is kept when its own uniform number, a hash of its id, falls
+below the probability of its cell. ``residuals`` tells how far each margin stays from its target.
 
 All rows of a document's cell share one probability, so nothing is ever gathered by
-source, however large the source: only sums by cell are shuffled.
+source, however large the source: only sums by cell are shuffled. A window holds the cells of
+one value of a margin; totals of all cells are single numbers.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import load, materialize, shared_dir
+from quarry.llm.common import free_name, load, materialize, shared_dir
 
 MARGINS = ("source", "lang", "topic")
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,35 +37,50 @@ def topic() -> Column:
     )
 
 
-def targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
-    """Target share of each value of a margin: its share of mass to ``power``, scaled to sum 1.
-    1 leaves a margin as it is, 0 makes it even."""
-    mass = cells.groupBy(margin).agg(F.sum("mass").alias("m"))
-    raised = F.pow(F.col("m"), F.lit(power))
-    return mass.select(margin, (raised / F.sum(raised).over(Window.partitionBy())).alias(f"{margin}_target"))
+def targets(cells: DataFrame, margin: str, power: float, share: float, rounds: int) -> DataFrame:
+    """(margin, target): expected tokens of each value of a margin. They are in proportion to its
+    mass to ``power`` (1 leaves a margin as it is, 0 makes it even) up to its mass, and sum to
+    ``share`` of all mass. Each round gives what the values at their mass leave over to the rest."""
+    mass = cells.groupBy(margin).agg(F.sum("mass").alias("m")).withColumn("raised", F.pow("m", F.lit(power)))
+    total, raised = mass.agg(F.sum("m"), F.sum("raised")).first()
+    factor = share * total / raised if raised else 0.0
+    for _ in range(rounds):
+        full = F.lit(factor) * F.col("raised") >= F.col("m")
+        at_mass, rest = mass.agg(F.sum(F.when(full, F.col("m")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("raised")))).first()
+        if rest:
+            factor = max(factor, (share * total - at_mass) / rest)
+    return mass.select(margin, F.least("m", F.lit(factor) * F.col("raised")).alias(f"{margin}_target"))
 
 
-def rake(cells: DataFrame, sweeps: int) -> DataFrame:
-    """Adds ``fit``: the raked share of each cell. ``cells`` has the mass and, for each margin, the
-    target of its value. A margin value without mass takes no part."""
-    out = cells.withColumn("fit", F.col("mass") / F.sum("mass").over(Window.partitionBy()))
+def rake(cells: DataFrame, share: float, sweeps: int) -> DataFrame:
+    """Adds ``expected``: the raked tokens of each cell, at most its mass. ``cells`` has the mass
+    and, for each margin, the target of its value."""
+    out = cells.withColumn("expected", F.lit(share) * F.col("mass"))
     for _ in range(sweeps):
         for margin in MARGINS:
-            out = out.withColumn("fit", F.col("fit") * F.col(f"{margin}_target") / F.sum("fit").over(Window.partitionBy(margin)))
+            scaled = F.col("expected") * F.col(f"{margin}_target") / F.sum("expected").over(Window.partitionBy(margin))
+            out = out.withColumn("expected", F.least("mass", scaled))
     return out
 
 
-def calibrate(cells: DataFrame, share: float, rounds: int) -> DataFrame:
-    """Adds ``prob`` = min(1, f * fit / mass) with f such that the expected mass is ``share`` of all.
-    Each round raises f by what the cells at 1 leave over."""
-    everything = Window.partitionBy()
-    out = cells.withColumn("ratio", F.col("fit") / F.col("mass")).withColumn("f", F.lit(share) * F.sum("mass").over(everything))
-    for _ in range(rounds):
-        full = F.col("f") * F.col("ratio") >= 1
-        at_one = F.sum(F.when(full, F.col("mass")).otherwise(0.0)).over(everything)
-        rest = F.sum(F.when(full, 0.0).otherwise(F.col("fit"))).over(everything)
-        out = out.withColumn("f", F.when(rest > 0, F.greatest("f", (F.lit(share) * F.sum("mass").over(everything) - at_one) / rest)).otherwise(F.col("f")))
-    return out.withColumn("prob", F.least(F.lit(1.0), F.col("f") * F.col("ratio")))
+def fit(rows: DataFrame, powers: dict[str, float], share: float, sweeps: int, rounds: int) -> DataFrame:
+    """Cells of (source, lang, topic, n_tokens) rows with mass, targets of their values and expected
+    tokens; written out."""
+    where = shared_dir(rows.sparkSession)
+    cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("mass")), where, "cells")
+    out = cells
+    for margin in MARGINS:
+        out = out.join(targets(cells, margin, powers[margin], share, rounds), margin)
+    return materialize(rake(out, share, sweeps), where, "fitted")
+
+
+def residuals(fitted: DataFrame) -> DataFrame:
+    """(margin, value, target, expected) of a fit: what each value was to get and gets."""
+    out = None
+    for margin in MARGINS:
+        part = fitted.groupBy(F.col(margin).alias("value")).agg(F.first(f"{margin}_target").alias("target"), F.sum("expected").alias("expected")).select(F.lit(margin).alias("margin"), "value", "target", "expected")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -71,30 +89,31 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] | None = None, share: float = 0.7, sweeps: int = 6, rounds: int = 4, seed: int = 17) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, prob, kept) for every row of ``docs``.
+POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 
-    Tokens are words; a document without words counts as one token. Null sources and
-    languages are values of their own, ``""``. A null id has no uniform number of its own and
-    takes that of the empty string. Rows with equal ids share their number.
-    """
-    powers = {"source": 0.5, "lang": 0.7, "topic": 0.9} | (powers or {})
+
+def mass_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens) of every row, as ``mix`` understands them."""
     words = F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), SPACE), ""))
-    rows = docs.select(
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         topic().alias("topic"),
         F.greatest(words, F.lit(1)).cast("long").alias("n_tokens"),
     )
-    where = shared_dir(docs.sparkSession)
-    rows = materialize(rows, where, "rows")
-    cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("mass"))
-    cells = materialize(cells, where, "cells")
-    targeted = cells
-    for margin in MARGINS:
-        targeted = targeted.join(targets(cells, margin, powers[margin]), margin)
-    fitted = materialize(calibrate(rake(targeted, sweeps), share, rounds).select(*MARGINS, "prob"), where, "fitted")
+
+
+def mix(docs: DataFrame, powers: dict[str, float] | None = None, share: float = 0.7, sweeps: int = 12, rounds: int = 6, seed: int = 17) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, prob, kept) for every row of ``docs``.
+
+    Tokens are words; a document without words counts as one token. Null sources and
+    languages are values of their own, ``""``. A null id has no uniform number of its own and
+    takes that of the empty string. Rows with equal ids share their number. An empty table
+    gives no row.
+    """
+    rows = materialize(mass_rows(docs), shared_dir(docs.sparkSession), "rows")
+    fitted = fit(rows, POWERS | (powers or {}), share, sweeps, rounds).select(*MARGINS, (F.col("expected") / F.col("mass")).alias("prob"))
     out = rows.join(fitted, list(MARGINS))
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("prob", 9).alias("prob"), (uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) < F.col("prob")).alias("kept"))
 
@@ -103,9 +122,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir))
 
 
-def sql(powers: dict[str, float] | None = None, share: float = 0.7, sweeps: int = 6, rounds: int = 4, seed: int = 17) -> str:
+def sql(powers: dict[str, float] | None = None, share: float = 0.7, sweeps: int = 12, rounds: int = 6, seed: int = 17) -> str:
     """The same in SQL, one CTE for each scaling."""
-    powers = {"source": 0.5, "lang": 0.7, "topic": 0.9} | (powers or {})
+    powers = POWERS | (powers or {})
     ctes = [
         """d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
             CASE WHEN contains(t, 'Licensed under') OR contains(t, 'All rights reserved') THEN 'legal' WHEN contains(t, ' | ') THEN 'table'
@@ -115,30 +134,32 @@ def sql(powers: dict[str, float] | None = None, share: float = 0.7, sweeps: int
         "c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS mass FROM d GROUP BY ALL)",
     ]
     for m in MARGINS:
-        ctes.append(f"t_{m} AS (SELECT {m}, pow(sum(mass), {powers[m]}) / sum(pow(sum(mass), {powers[m]})) OVER () AS {m}_target FROM c GROUP BY {m})")
-    ctes.append("f0 AS (SELECT *, mass / sum(mass) OVER () AS fit FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
+        ctes.append(f"t_{m}0 AS (SELECT *, {share} * sum(m) OVER () / sum(raised) OVER () AS f FROM (SELECT {m}, sum(mass) AS m, pow(sum(mass), {powers[m]}) AS raised FROM c GROUP BY {m}))")
+        for i in range(rounds):
+            ctes.append(
+                f"""t_{m}{i + 1} AS (SELECT {m}, m, raised, CASE WHEN rest > 0 THEN greatest(f, ({share} * total - at_mass) / rest) ELSE f END AS f
+            FROM (SELECT *, sum(m) OVER () AS total, sum(CASE WHEN f * raised >= m THEN m ELSE 0 END) OVER () AS at_mass, sum(CASE WHEN f * raised >= m THEN 0 ELSE raised END) OVER () AS rest FROM t_{m}{i}))"""
+            )
+    joined = " ".join(f"JOIN (SELECT {m}, least(m, f * raised) AS {m}_target FROM t_{m}{rounds}) USING ({m})" for m in MARGINS)
+    ctes.append(f"f0 AS (SELECT *, {share} * mass AS expected FROM c {joined})")
     n = 0
     for _ in range(sweeps):
         for m in MARGINS:
             n += 1
-            ctes.append(f"f{n} AS (SELECT * REPLACE (fit * {m}_target / sum(fit) OVER (PARTITION BY {m}) AS fit) FROM f{n - 1})")
-    ctes.append(f"g0 AS (SELECT *, fit / mass AS ratio, {share} * sum(mass) OVER () AS f FROM f{n})")
-    for i in range(rounds):
-        ctes.append(
-            f"""g{i + 1} AS (SELECT * EXCLUDE (at_one, rest, total) REPLACE (CASE WHEN rest > 0 THEN greatest(f, ({share} * total - at_one) / rest) ELSE f END AS f)
-            FROM (SELECT *, sum(CASE WHEN f * ratio >= 1 THEN mass ELSE 0 END) OVER () AS at_one, sum(CASE WHEN f * ratio >= 1 THEN 0 ELSE fit END) OVER () AS rest, sum(mass) OVER () AS total FROM g{i}))"""
-        )
+            ctes.append(f"f{n} AS (SELECT * REPLACE (least(mass, expected * {m}_target / sum(expected) OVER (PARTITION BY {m})) AS expected) FROM f{n - 1})")
     return (
         "WITH "
         + ",\n".join(ctes)
         + f"""
 SELECT doc_id, source, lang, topic, n_tokens, round(prob, 9) AS prob,
        CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / {float(16**13)!r} < prob AS kept
-FROM d JOIN (SELECT source, lang, topic, least(1.0, f * ratio) AS prob FROM g{rounds}) USING (source, lang, topic)"""
+FROM d JOIN (SELECT source, lang, topic, expected / mass AS prob FROM f{n}) USING (source, lang, topic)"""
     )
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the sample keeps, with their columns as they are."""
-    probs = mix(docs).groupBy("doc_id").agg(F.max("kept").alias("__kept")).where("__kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(probs, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    """The documents that the sample keeps, with their columns as they are. Null, empty, repeated
+    and very long rows are as in ``mix``."""
+    mark = free_name(docs, "kept_id")
+    probs = mix(docs).where("kept").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(probs, docs["doc_id"].cast("long").eqNullSafe(F.col(mark)), "left_semi").select(*docs.columns)

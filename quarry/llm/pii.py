@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, load, materialize, shared_dir
+from quarry.llm.common import fold, free_name, load, materialize, shared_dir
 
 #: Kinds in the order of the result. The forms below find the same leftmost matches as the
 #: plain ones (in the comments), but never start inside a run that cannot match, never
@@ -40,7 +40,7 @@ BASE: dict[str, str] = {
 GENERATORS: dict[str, str] = {
     "number": r"(?<![0-9A-Za-z])\+?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)*+",
     "mixed": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{12,}+",
-    "address": r"[^\s@]{1,64}+@[^\s@]{1,255}+",
+    "address": r"(?<![^\s@])[^\s@]++@[^\s@]++",
 }
 #: A text without a match of the hint has none of the pattern.
 HINTS = {"email": "@", "address": "@", "phone": "+"}
@@ -190,9 +190,9 @@ def detect(docs: DataFrame, key: list[str], rounds: int = 24, rate: float = 0.4,
     """All rows (__row, key) and their spans (__row, kind, start, end, score): base spans, and
     candidates that the model adds under the kind ``other``.
 
-    Where spans overlap, base spans stay and candidates touching them go; of candidates that
-    touch each other the one of best score, then the longest, then the first stays. With too
-    few held-out candidates nothing is added."""
+    Base spans stay, all of them. Candidates are taken by score, then the longest, then the
+    first; one goes when it overlaps a base span or a candidate taken before it. With too few
+    held-out candidates nothing is added."""
     rows, spans = candidates(docs, key)
     spans = materialize(described(spans), shared_dir(docs.sparkSession), "spans")
     proposed = spans.where(F.col("kind").isin(*GENERATORS))
@@ -204,14 +204,21 @@ def detect(docs: DataFrame, key: list[str], rounds: int = 24, rate: float = 0.4,
     if cut is not None:
         added = proposed.withColumn("score", score_column(trees)).where(F.col("score") >= cut - 1e-9)
         chosen = chosen.unionByName(added.select("__row", F.lit(OTHER).alias("kind"), "start", "end", "score"))
+    return rows, without_overlaps(chosen)
+
+
+def without_overlaps(chosen: DataFrame) -> DataFrame:
+    """(__row, kind, start, end, score): all base spans, and of the others those that a greedy choice
+    by score takes. The choice runs within islands, chains of spans that overlap."""
     by_start = Window.partitionBy("__row").orderBy("start", F.desc("end"), "kind")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") >= F.coalesce(F.col("reach"), F.lit(0)), 1).otherwise(0)).over(by_start.rowsBetween(Window.unboundedPreceding, 0))
-    grouped = chosen.withColumn("reach", reach).withColumn("island", island).drop("reach")
-    whole = Window.partitionBy("__row", "island")
-    best = F.row_number().over(whole.orderBy(F.col("score").desc_nulls_first(), F.desc(F.col("end") - F.col("start")), "start", "end"))
-    grouped = grouped.withColumn("based", F.max((F.col("kind") != OTHER).cast("int")).over(whole)).withColumn("place", best)
-    return rows, grouped.where((F.col("kind") != OTHER) | ((F.col("based") == 0) & (F.col("place") == 1))).select("__row", "kind", "start", "end", "score")
+    one = F.struct((F.col("kind") == OTHER).alias("added"), (-F.col("score")).alias("low"), (F.col("start") - F.col("end")).alias("short"), "start", "end", "kind", "score")
+    islands = chosen.withColumn("reach", reach).withColumn("island", island).groupBy("__row", "island").agg(F.sort_array(F.collect_list(one)).alias("s"))
+    none = F.filter("s", lambda s: F.lit(False))
+    apart = lambda s: lambda t: (t["end"] <= s["start"]) | (t["start"] >= s["end"])
+    taken = F.aggregate("s", none, lambda a, s: F.when(~s["added"] | F.forall(a, apart(s)), F.concat(a, F.array(s))).otherwise(a))
+    return islands.select("__row", F.explode(taken).alias("t")).select("__row", "t.kind", "t.start", "t.end", "t.score")
 
 
 def is_kind(kind: str):
@@ -220,7 +227,8 @@ def is_kind(kind: str):
 
 def summaries(docs: DataFrame) -> DataFrame:
     """For every row: spans by kind as text, counts of the base kinds, and the SHA-256 of the
-    base spans. A null or empty text has none."""
+    base spans. A null or empty text has none; rows with null or repeated ids each have their own;
+    very long texts are read whole. An empty table gives no row."""
     rows, spans = detect(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
     order = F.create_map(*(F.lit(x) for pair in ORDER.items() for x in pair))
     listed = spans.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct(order[F.col("kind")].alias("o"), "start", "end", "kind"))).alias("s"))
@@ -243,20 +251,22 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; overlapping spans are replaced
-    together under the kind that starts first. Other columns, and texts without spans, stay."""
+    together under the kind that starts first. Other columns, and texts without spans, stay.
+    Null, empty, repeated and very long texts are as in ``summaries``."""
     columns = docs.columns
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    found, spans = detect(keyed.select(F.col("__id").alias("doc_id"), "__th", "text"), ["doc_id", "__th"])
-    listed = spans.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("__s"))
-    by_text = found.join(listed, "__row").groupBy("doc_id", "__th").agg(F.min("__s").alias("__s")).select(F.col("doc_id").alias("__i"), F.col("__th").alias("__h"), "__s")
-    joined = keyed.join(by_text, keyed["__id"].eqNullSafe(F.col("__i")) & (keyed["__th"] == F.col("__h")), "left")
+    own, text_hash, found_id, found_hash, cuts = (free_name(docs, x) for x in ("row_id", "text_hash", "found_id", "found_hash", "cuts"))
+    keyed = docs.withColumns({own: F.col("doc_id").cast("long"), text_hash: F.xxhash64("text")})
+    found, spans = detect(keyed.select(F.col(own).alias("doc_id"), F.col(text_hash).alias("hash"), "text"), ["doc_id", "hash"])
+    listed = spans.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+    by_text = found.join(listed, "__row").groupBy("doc_id", "hash").agg(F.min("cuts").alias(cuts)).select(F.col("doc_id").alias(found_id), F.col("hash").alias(found_hash), cuts)
+    joined = keyed.join(by_text, F.col(own).eqNullSafe(F.col(found_id)) & (F.col(text_hash) == F.col(found_hash)), "left")
     done = F.aggregate(
-        "__s",
+        cuts,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.when(s["start"] >= a["at"], F.struct(F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
     )
-    return joined.withColumn("text", F.when(F.col("__s").isNull(), F.col("text")).otherwise(done)).select(*columns)
+    return joined.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(done)).select(*columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,6 +137,48 @@ def test_mixing_rakes_to_the_targets(spark):
     assert abs(drawn - 0.3) < 0.03
 
 
+def test_mixing_meets_the_targets_of_the_query(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fitted = mixing.fit(mixing.mass_rows(docs), mixing.POWERS, 0.7, 12, 6)
+    assert fitted.where("expected > mass * (1 + 1e-9)").count() == 0
+    left = mixing.residuals(fitted).collect()
+    total = sum(r.target for r in left if r.margin == "lang")
+    assert {r.margin for r in left} == set(mixing.MARGINS)
+    assert abs(total - 0.7 * fitted.agg(F.sum("mass")).first()[0]) < 1e-6 * total
+    assert max(abs(r.expected - r.target) for r in left) < 0.01 * total
+
+
+def test_candidates_are_taken_greedily(spark):
+    r = random.Random(11)
+    rows = []
+    for row in range(40):
+        for _ in range(r.randint(1, 12)):
+            a, n, base = r.randint(0, 40), r.randint(1, 12), r.random() < 0.2
+            rows.append((row, "ip" if base else pii.OTHER, a, a + n, None if base else r.choice([0.5, 1.0, 1.5])))
+    rows = list({x[:4]: x for x in rows}.values())
+    want = set()
+    for row in range(40):
+        taken = [x for x in rows if x[0] == row and x[1] != pii.OTHER]
+        for x in sorted((x for x in rows if x[0] == row and x[1] == pii.OTHER), key=lambda x: (-x[4], x[2] - x[3], x[2])):
+            if all(x[3] <= y[2] or x[2] >= y[3] for y in taken):
+                taken.append(x)
+        want |= set(taken)
+    got = pii.without_overlaps(spark.createDataFrame(rows, "__row long, kind string, start long, end long, score double"))
+    assert {tuple(x) for x in got.select("__row", "kind", "start", "end", "score").collect()} == want
+
+
+def test_pii_of_an_empty_table_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co", 7)], "doc_id long, text string, __id int").withColumn("row_id", F.lit(3))
+    assert [tuple(x) for x in pii.redact(df).collect()] == [(1, "mail [email]", 7, 3)]
+    assert pii.summaries(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
+
+
+def test_quality_of_odd_tables(spark):
+    df = spark.createDataFrame([(None, "a b", "en"), (1, "a b", None), (1, "a b", None)], "doc_id long, text string, lang string").withColumn("kept", F.lit(2))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.judge(df, labels).count() == 3 and quality.judge(df.limit(0), labels.limit(0)).count() == 0
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "a b", "en", "s", 3), (2, "", "en", "s", 0)]
     df = spark.createDataFrame(rows, DOCS).withColumn("prob", F.lit(5))
