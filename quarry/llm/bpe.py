@@ -1,15 +1,21 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The words of a whole block of documents are taken together: each distinct pre-token once,
-as a row of byte symbols in one long array. An inverted index leads from the rank of a
-token pair to the positions where it stands. Merges are applied in rank order to all words
-at once; a merge touches the positions its index entry names and their neighbours, whose
-new pairs enter the index. The ids are those that the lowest-rank-first, leftmost-first
-rule gives for each word by itself.
-
-Texts never leave their partition: no shuffle, and memory is that of one Arrow batch. A
-null text is encoded as an empty one, which has no ids. Rows that repeat, null ids and
-further columns need no special care: there is one result for each row.
+Texts are cut into parts that the pre-tokenizer never joins, mostly at single spaces. The
+parts of the whole corpus are counted, and the most frequent ones, a fixed number, are encoded
+together: each distinct pre-token once, as a row of byte symbols in one long array of its
+shard. An inverted index leads from the rank of a token pair to the positions where it stands.
+Merges are applied in rank order to all words at once; a merge touches the positions its
+index entry names and their neighbours, whose new pairs enter the index. The ids are those
+that the lowest-rank-first, leftmost-first rule gives for each word by itself.
+
+The table of these parts is broadcast. The texts are then read once more and looked up; what
+the table does not hold is remembered by each worker, and the replay runs over the new
+pre-tokens of a slice of texts. Texts never leave their partition, and memory is that of a
+slice and of tables of fixed size.
+
+A null text is encoded as an empty one, which has no ids. Rows that repeat, null ids and
+further columns need no special care: there is one result for each row; very long texts are
+encoded whole, and an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -18,40 +24,60 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import load
+from quarry.llm.common import free_name, heaviest, load, materialize, shared_dir, slices
 
 NONE = np.int64(1) << 40
 _SPACE_BEFORE_SPACE = re.compile(r"\s ")
 
 
-def units(text: str, pattern: regex.Pattern) -> list[tuple[str] | str]:
-    """Parts of ``text`` such that no match of the pre-tokenizer pattern crosses from one part to
-    the next, so that equal parts can be encoded once. A plain string stands for itself with a
-    space before it, a string in a tuple for itself; see ``unit_text``.
-
-    A single space between two characters that are no white space always starts a match of
-    its own; so each such space starts a part. A text with other white space before a space
-    falls into the matches themselves.
-    """
-    if "  " in text or "\n " in text or "\t " in text or "\r " in text or (not text.isascii() or "\x0b " in text or "\x0c " in text or any(c in text for c in "\x1c\x1d\x1e\x1f")) and _SPACE_BEFORE_SPACE.search(text):
-        return [(x,) for x in pattern.findall(text)]
-    parts: list[tuple[str] | str] = text.split(" ")
-    parts[0] = (parts[0],)
-    return parts
-
-
-def unit_text(unit: tuple[str] | str) -> str:
-    return " " + unit if isinstance(unit, str) else unit[0]
+def crosses(text: str) -> bool:
+    """Whether a match of the pre-tokenizer pattern may cross a single space. A space between two
+    characters that are no white space always starts a match of its own; not so one that stands
+    after other white space."""
+    return "  " in text or "\n " in text or "\t " in text or "\r " in text or ((not text.isascii() or "\x0b " in text or "\x0c " in text or any(c in text for c in "\x1c\x1d\x1e\x1f")) and _SPACE_BEFORE_SPACE.search(text) is not None)
+
+
+def parts_of(texts: pa.Array, pattern: regex.Pattern, skip: list[bool] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The parts of texts (a part may stand twice), the place in that list of every part in order, and where the parts
+    of each text begin (one more entry at the end). No match of the pattern crosses from one
+    part to the next, so equal parts have equal ids. ``skip`` marks texts to leave without parts."""
+    strings = texts.to_pylist()
+    odd = np.fromiter(map(crosses, strings), bool, len(strings))
+    out = np.array(skip, bool) if skip is not None else np.zeros(len(strings), bool)
+    plain = np.flatnonzero(~odd & ~out)
+    lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+    values = lists.flatten()
+    counts = np.zeros(len(strings), np.int64)
+    counts[plain] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    coded = values.dictionary_encode()
+    names = [" " + x for x in coded.dictionary.to_pylist()]
+    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # the first part of a text has no space before it
+    codes = _Codes()
+    first = np.cumsum(counts[plain]) - counts[plain]
+    at[first] = np.fromiter(map(codes.__getitem__, values.take(pa.array(first)).to_pylist()), np.int64, len(first)) + len(names)
+    found = [np.fromiter(map(codes.__getitem__, x := pattern.findall(strings[i])), np.int64, len(x)) + len(names) for i in np.flatnonzero(odd & ~out)]
+    names += list(codes)
+    if found:
+        counts[odd & ~out] = [len(x) for x in found]
+        begin = np.cumsum(counts) - counts
+        whole = np.empty(int(counts.sum()), np.int64)
+        whole[np.repeat(begin[plain] - first, counts[plain]) + np.arange(len(at))] = at
+        for i, x in zip(np.flatnonzero(odd & ~out), found, strict=True):
+            whole[begin[i] : begin[i] + len(x)] = x
+        at = whole
+    return names, at, np.concatenate([[0], np.cumsum(counts)])
 
 
 class Merges:
@@ -194,44 +220,135 @@ class _Codes(dict):
         return code
 
 
-def encode_block(texts: list[str], vocabulary: Merges, pattern: regex.Pattern) -> Iterator[np.ndarray]:
-    """Ids of each text. All texts share one replay over their distinct pre-tokens."""
-    unit_codes, piece_codes = _Codes(), _Codes()
-    rows = [np.fromiter(map(unit_codes.__getitem__, parts := units(t, pattern)), np.int64, len(parts)) for t in texts]
-    pieces, counts = [], []
-    for unit in unit_codes:
-        found = pattern.findall(unit_text(unit))
-        pieces.extend(map(piece_codes.__getitem__, found))
-        counts.append(len(found))
-    ids, starts = vocabulary.replay([p.encode("utf-8", "surrogatepass") for p in piece_codes])
-    unit_starts = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
-    flat, lengths = gather(ids, starts, np.array(pieces, np.int64))
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    unit_starts = ends[unit_starts]
-    for row in rows:
-        yield gather(flat, unit_starts, row)[0]
-
-
-def with_ids(docs: DataFrame, fn, schema: str, columns: list[str], vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Encodes ``text_col`` block by block; ``fn(vocabulary, row values, ids)`` gives the rows."""
-    out_schema = schema
+class Memo:
+    """Ids of strings, remembered up to a bound. When it is full, the half that most slices asked
+    for stays; the first ``pinned`` strings always stay."""
+
+    def __init__(self, bound: int, known: tuple[list[str], np.ndarray, np.ndarray] | None = None):
+        names, flat, starts = known or ([], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.codes = dict(zip(names, range(len(names)), strict=True))
+        self.flat, self.starts = flat, starts
+        self.pinned, self.bound = len(names), len(names) + bound
+        self.used = np.zeros(len(names), np.int32)
+
+    def shrink(self) -> None:
+        order = np.argsort(-self.used[self.pinned :], kind="stable")[: (self.bound - self.pinned) // 2]
+        keep = np.concatenate([np.arange(self.pinned), np.sort(order) + self.pinned])
+        names = list(self.codes)
+        self.flat, lengths = gather(self.flat, self.starts, keep)
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.codes = dict(zip((names[i] for i in keep.tolist()), range(len(keep)), strict=True))
+        self.used = self.used[keep] // 2
+
+    def find(self, strings: list[str], make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Rows of (flat, starts) of strings; ``make`` gives ids and lengths of new ones."""
+        fresh = list(dict.fromkeys(s for s in strings if s not in self.codes))
+        if fresh and len(self.codes) + len(fresh) > self.bound:
+            self.shrink()
+            fresh = list(dict.fromkeys(s for s in strings if s not in self.codes))
+        if fresh:
+            ids, lengths = make(fresh)
+            self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+            self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh)), strict=True))
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int32)])
+        at = np.fromiter(map(self.codes.__getitem__, strings), np.int64, len(strings))
+        self.used[at] += 1
+        return at
+
+
+class Encoder:
+    """Ids of texts by their parts. A part is looked up; ``encode_parts`` gives the ids and lengths of
+    new ones."""
+
+    def __init__(self, pattern: str, encode_parts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bound: int, known=None):
+        self.pattern = regex.compile(pattern)
+        self.encode_parts = encode_parts
+        self.parts = Memo(bound, known)
+
+    def ragged(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the named parts in a row, and where each begins."""
+        rows = self.parts.find(names, self.encode_parts)
+        flat, lengths = gather(self.parts.flat, self.parts.starts, rows)
+        return flat, np.concatenate([[0], np.cumsum(lengths)])
+
+    def encode(self, texts: pa.Array, skip: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin (one more entry at the end)."""
+        names, at, begin = parts_of(texts, self.pattern, skip)
+        ids, lengths = gather(*self.ragged(names), at)
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[begin]
+
+
+def replayed(vocabulary: Merges, pattern: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Ids of parts by one replay over their distinct pre-tokens."""
+    compiled = regex.compile(pattern)
+
+    def encode_parts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes, row, counts = _Codes(), [], []
+        for part in parts:
+            found = compiled.findall(part)
+            row.extend(map(codes.__getitem__, found))
+            counts.append(len(found))
+        ids, starts = vocabulary.replay([p.encode("utf-8", "surrogatepass") for p in codes])
+        flat, lengths = gather(ids.astype(np.uint32), starts, np.array(row, np.int64))
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])]
+        return flat, np.diff(ends)
+
+    return encode_parts
+
+
+def count_parts(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
+    """(part, n) over all texts; summed within a task before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, compiled = merges(vocabulary), regex.compile(pattern)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            carried = [batch.column(i) for i in range(batch.num_columns - 1)]
-            rows = [fn(words, ids) for ids in encode_block(texts, words, compiled)]
-            made = list(zip(*rows, strict=True)) if rows else None
-            names = [f.name for f in batch.schema][:-1]
-            arrays, fields = list(carried), list(names)
-            for i, (name, kind) in enumerate(fn.columns):
-                arrays.append(pa.array(made[i] if made else [], kind))
-                fields.append(name)
-            yield pa.RecordBatch.from_arrays(arrays, names=fields)
-
-    kept = docs.select(*[F.col(c) for c in columns], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return kept.mapInArrow(run, out_schema)
+        compiled, held = regex.compile(pattern), {}
+        for batch in slices(batches, 0):
+            names, at, _ = parts_of(pc.fill_null(batch.column(0), ""), compiled)
+            for name, n in zip(names, np.bincount(at, minlength=len(names)).tolist(), strict=True):
+                held[name] = held.get(name, 0) + n
+            if len(held) > 300_000:
+                yield pa.RecordBatch.from_pydict({"part": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+                held = {}
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+
+    return docs.select(text_col).mapInArrow(run, "part string, n long").where("n > 0").groupBy("part").agg(F.sum("n").alias("n"))
+
+
+def corpus_table(docs: DataFrame, vocabulary: str, pattern: str, text_col: str, table_parts: int, shard_parts: int = 50_000) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The ``table_parts`` most frequent parts of a corpus with their ids: (parts, ids in a row, where
+    each begins). Shards of parts are replayed, each in one array."""
+    where = shared_dir(docs.sparkSession)
+    counted = materialize(count_parts(docs, pattern, text_col), where, "parts")
+    shards = max(1, -(-min(table_parts, counted.count()) // shard_parts))
+
+    def replay(table: pa.Table) -> pa.Table:
+        parts = table.column("part").to_pylist()
+        ids, lengths = replayed(merges(vocabulary), pattern)(parts)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        return pa.table({"part": pa.array(parts, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))})
+
+    kept = heaviest(counted.where(F.length("part") <= 64), "n", "part", table_parts).select("part", F.pmod(F.xxhash64("part"), F.lit(shards)).cast("int").alias("shard"))
+    made = materialize(kept.groupBy("shard").applyInArrow(replay, "part string, ids array<int>"), where, "table").toArrow().combine_chunks()
+    ids = made.column("ids").combine_chunks() if made.num_rows else pa.array([], pa.list_(pa.int32()))
+    lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    return made.column("part").combine_chunks() if made.num_rows else pa.array([], pa.string()), ids.flatten().to_numpy().astype(np.uint32), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def with_ids(docs: DataFrame, fn, schema: str, columns: list[str], vocabulary: str, pattern: str, text_col: str = "text", table_parts: int = 1 << 17) -> DataFrame:
+    """Encodes ``text_col`` slice by slice; ``fn(vocabulary, ids)`` gives the values of a row."""
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_table(docs, vocabulary, pattern, text_col, table_parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = merges(vocabulary)
+        parts, flat, starts = shared.value
+        encoder = Encoder(pattern, replayed(words, pattern), 200_000, (parts.to_pylist(), flat, starts))
+        for batch in slices(batches, len(columns)):
+            ids, begin = encoder.encode(batch.column(len(columns)))
+            made = list(zip(*(fn(words, ids[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)), strict=True)) or [()] * len(fn.columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *(pa.array(x, kind) for x, (_, kind) in zip(made, fn.columns, strict=True))], names=[*columns, *(name for name, _ in fn.columns)])
+
+    kept = docs.select(*[F.col(c) for c in columns], F.coalesce(F.col(text_col), F.lit("")).alias(free_name(docs, "whole_text")))
+    return kept.mapInArrow(run, schema)
 
 
 class _Ids:

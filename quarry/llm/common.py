@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -181,18 +182,34 @@ def table_of(schema: pa.Schema, rows: Iterator[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(data or [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-def heaviest(df: DataFrame, weight: str, k: int) -> DataFrame:
-    """The rows of greatest ``weight``, k at most: all rows above a cutoff that keeps to the
-    bound. The cutoff comes from a histogram of at most 2,100 rows over powers of 2**(1/16)."""
+def heaviest(df: DataFrame, weight: str, key: str, k: int) -> DataFrame:
+    """The k rows of greatest ``weight``; among equals the least keys. A histogram of at most 2,100
+    rows over powers of 2**(1/16) tells which weights are in as a whole; only rows of the
+    level where the k-th lies are put in order."""
     level = F.floor(F.log2(F.col(weight).cast("double")) * 16).cast("int")
-    histogram = df.where(F.col(weight) > 0).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
-    total, cutoff = 0, None
-    for row in sorted(histogram, key=lambda r: -r["level"]):
-        total += row["n"]
-        if total > k:
-            break
-        cutoff = row["level"]
-    return df.where(F.lit(False)) if cutoff is None else df.where((F.col(weight) > 0) & (level >= cutoff))
+    df = df.where(F.col(weight) > 0)
+    room = k
+    for row in sorted(df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
+        if row["n"] > room:
+            return df.where(level > row["level"]).union(df.where(level == row["level"]).orderBy(F.desc(weight), key).limit(room))
+        room -= row["n"]
+    return df
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, cut further where a column of strings holds
+    more than ``size`` bytes; one long text is a slice of its own."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            lengths = pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False)
+            begin, held = 0, 0
+            for i, n in enumerate(lengths.tolist()):
+                if held and held + n > size:
+                    yield part.slice(begin, i - begin)
+                    begin, held = i, 0
+                held += n
+            yield part.slice(begin)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[tuple[list[int], list[bytes]]]:

@@ -117,7 +117,7 @@ def learn_words(texts: DataFrame, where: str, frequent: int) -> Unigrams:
     ends = F.sum(F.when(F.length("word") == 0, F.col("n")))
     row = words.agg(F.sum("n").alias("total"), ends.alias("ends"), F.count(F.lit(1)).alias("types"), *(F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, LOW + 2))).first()
     # the end token is in the table even where words of its frequency are not
-    head = [(bytes(r["word"]), r["n"]) for r in heaviest(words.where(F.length("word") > 0), "n", frequent).collect()] + [(END, row["ends"] or 0)]
+    head = [(bytes(r["word"]), r["n"]) for r in heaviest(words.where(F.length("word") > 0), "n", "word", frequent).collect()] + [(END, row["ends"] or 0)]
     return Unigrams(head, row["total"] or 0, row["types"], [0, *(row[f"n{r}"] for r in range(1, LOW + 2))])
 
 

@@ -10,32 +10,64 @@ and all ids in order.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import gather, unit_text, units
-from quarry.llm.common import load, materialize, pack, shared_dir, unpack
+from quarry.llm.bpe import Encoder
+from quarry.llm.common import load, materialize, pack, shared_dir, slices, unpack
 
 RANK_BITS = 512
+#: A multiple of the bytes of a run, so that no run lies in two blocks.
+PLANE_BLOCK = 16_384
 #: Shards whose starts (24 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_SHARDS = 500_000
 
 
+class Plane:
+    """Packed bits in blocks of PLANE_BLOCK bytes, each compressed by itself, so that a look at one
+    bit opens one block."""
+
+    def __init__(self, frames: list[bytes], size: int):
+        self.frames, self.size = frames, size
+        self._open: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint8))
+
+    @classmethod
+    def of(cls, packed: np.ndarray) -> Plane:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return cls([squeeze(packed[at : at + PLANE_BLOCK].tobytes()) for at in range(0, len(packed), PLANE_BLOCK)], len(packed))
+
+    def bytes_at(self, begin: int, end: int) -> np.ndarray:
+        """Bytes from ``begin`` to ``end`` of one block."""
+        block = begin // PLANE_BLOCK
+        if end <= begin:
+            return np.zeros(0, np.uint8)
+        if self._open[0] != block:
+            self._open = block, np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[block]), np.uint8)
+        return self._open[1][begin - block * PLANE_BLOCK : end - block * PLANE_BLOCK]
+
+    def packed(self) -> np.ndarray:
+        inflate = zstandard.ZstdDecompressor().decompress
+        return np.frombuffer(b"".join(map(inflate, self.frames)), np.uint8)
+
+
 class WaveletMatrix:
-    """planes: packed bits of each level, highest bit first; zeros: number of 0 bits in each."""
+    """planes: the bits of each level, highest bit first; zeros: number of 0 bits in each; ranks: ones
+    before each run of RANK_BITS bits of each."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray] | None = None):
-        self.n, self.zeros, self.planes = n, zeros, planes
-        self.ranks = ranks or [self._directory(p) for p in planes]
+    def __init__(self, n: int, zeros: list[int], planes: list[Plane], ranks: list[np.ndarray]):
+        self.n, self.zeros, self.planes, self.ranks = n, zeros, planes, ranks
 
     @staticmethod
     def _directory(plane: np.ndarray) -> np.ndarray:
@@ -48,34 +80,45 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         levels = max(1, int(ids.max(initial=0)).bit_length())
         now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
-        zeros, planes = [], []
+        zeros, planes, ranks = [], [], []
         for level in range(levels - 1, -1, -1):
             bit = (now >> now.dtype.type(level)) & now.dtype.type(1) != 0
-            planes.append(np.packbits(bit))
+            packed = np.packbits(bit)
+            planes.append(Plane.of(packed))
+            ranks.append(cls._directory(packed))
             low = now[~bit]
             zeros.append(len(low))
             now = np.concatenate([low, now[bit]])
-        return cls(len(ids), zeros, planes)
+        return cls(len(ids), zeros, planes, ranks)
 
     def to_bytes(self) -> bytes:
-        return pack(np.array([self.n], np.int64), np.array(self.zeros, np.int64), *self.planes, *(r.astype(np.uint64) for r in self.ranks))
+        """A head with the sizes of all blocks and the directories of ranks, then the blocks."""
+        frames = [f for p in self.planes for f in p.frames]
+        head = pack(np.array([self.n], np.int64), np.array(self.zeros, np.int64), np.array([len(f) for f in frames], np.uint64), *(r.astype(np.uint64) for r in self.ranks))
+        return struct.pack("<I", len(head)) + head + b"".join(frames)
 
     @classmethod
     def from_bytes(cls, value: bytes) -> WaveletMatrix:
-        n, zeros, *rest = unpack(value)
-        half = len(rest) // 2
-        return cls(int(n[0]), zeros.tolist(), rest[:half], [r.astype(np.int64) for r in rest[half:]])
+        (size,) = struct.unpack_from("<I", value)
+        n, zeros, lengths, *ranks = unpack(value[4 : 4 + size])
+        ends = 4 + size + np.cumsum(lengths.astype(np.int64))
+        frames = [value[e - k : e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
+        each, whole = len(frames) // len(zeros), -(-int(n[0]) // 8)
+        planes = [Plane(frames[i * each : (i + 1) * each], whole) for i in range(len(zeros))]
+        return cls(int(n[0]), zeros.tolist(), planes, [r.astype(np.int64) for r in ranks])
 
     def _rank1(self, level: int, i: int) -> int:
         plane, run = self.planes[level], i // RANK_BITS
         first = run * RANK_BITS // 8
-        ones = int(self.ranks[level][run]) + int(np.bitwise_count(plane[first : i // 8]).sum())
-        return ones + (int(plane[i // 8] >> (8 - i % 8)).bit_count() if i % 8 else 0)
+        held = plane.bytes_at(first, min(plane.size, i // 8 + 1))
+        whole = i // 8 - first
+        ones = int(self.ranks[level][run]) + int(np.bitwise_count(held[:whole]).sum())
+        return ones + (int(held[whole] >> (8 - i % 8)).bit_count() if i % 8 else 0)
 
     def access(self, i: int) -> int:
         value = 0
         for level, plane in enumerate(self.planes):
-            bit = int(plane[i // 8]) >> (7 - i % 8) & 1
+            bit = int(plane.bytes_at(i // 8, i // 8 + 1)[0]) >> (7 - i % 8) & 1
             ones = self._rank1(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | bit
@@ -120,7 +163,7 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         now = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            bit = np.unpackbits(self.planes[level].packed(), count=self.n).view(bool)
             before = np.empty(self.n, kind)
             before[~bit] = now[: self.zeros[level]]
             before[bit] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
@@ -128,70 +171,52 @@ class WaveletMatrix:
         return now
 
 
-class _Codes(dict):
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, text: str) -> int:
-        self[text] = code = len(self)
-        self.fresh.append(text)
-        return code
+class LibraryEncoder:
+    """Ids as the tokenizers library gives them. It is asked once for each part of the texts; a text
+    that holds the string of an added token goes to it as a whole."""
 
-
-class _Ragged:
-    """Strings with the ids of each, kept up to a bound."""
-
-    def __init__(self, bound: int):
-        self.bound = bound
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes = _Codes()
-        self.flat, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Ids of the fresh strings, in their order."""
-        self.flat = np.concatenate([self.flat, ids])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.codes.fresh = []
-
-
-class _Units:
-    """Ids of the parts of texts. A part is looked up; a new one is cut into pre-tokens, which
-    are looked up; the library encodes the new ones of these."""
-
-    def __init__(self, name: str, parts: int = 400_000, pieces: int = 700_000):
+    def __init__(self, name: str, bound: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
-        self.parts, self.pieces = _Ragged(parts), _Ragged(pieces)
-
-    def encode(self, texts: list[str], pattern: regex.Pattern) -> Iterator[np.ndarray]:
-        for known in (self.parts, self.pieces):
-            if len(known.codes) > known.bound:
-                known.clear()
-        rows = []
-        for text in texts:
-            found = units(text, pattern)
-            rows.append(np.fromiter(map(self.parts.codes.__getitem__, found), np.int64, len(found)))
-        cut = [pattern.findall(unit_text(u)) for u in self.parts.codes.fresh]
-        pieces = np.fromiter((code for c in cut for code in map(self.pieces.codes.__getitem__, c)), np.int64)
-        for at in range(0, len(fresh := self.pieces.codes.fresh), 50_000):
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[at : at + 50_000], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, made), np.int64, len(made))
-            self.pieces.add(np.fromiter((i for e in made for i in e), np.int64), lengths)
-        flat, lengths = gather(self.pieces.flat, self.pieces.starts, pieces)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))])]
-        self.parts.add(flat, np.diff(ends))
-        for row in rows:
-            yield gather(self.parts.flat, self.parts.starts, row)[0]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Bytes of each token: the alphabet of the vocabulary has one character for each byte.
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
+        self.encoder = Encoder(public_tokenizers.PATTERN, self._parts, bound)
+
+    def _ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum())), lengths
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts that a space begins and no white space ends stay apart when they are joined, so the
+        library gets many in one string; the bytes of the tokens tell where each part ends."""
+        joined = np.fromiter((len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() for p in parts), bool, len(parts))
+        together = [p for p, one in zip(parts, joined.tolist(), strict=True) if one]
+        ids, _ = self._ids(["".join(together[at : at + 200]) for at in range(0, len(together), 200)])
+        ends = np.cumsum(np.fromiter((len(p.encode("utf-8", "surrogatepass")) for p in together), np.int64, len(together)))
+        lengths = np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends, side="right"), prepend=0)
+        alone, alone_lengths = self._ids([p for p, one in zip(parts, joined.tolist(), strict=True) if not one])
+        every = np.empty(len(parts), np.int64)
+        every[joined], every[~joined] = lengths, alone_lengths
+        out = np.empty(len(ids) + len(alone), np.uint32)
+        at = np.repeat(joined, every)
+        out[at], out[~at] = ids, alone
+        return out, every
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        whole = np.zeros(len(texts), bool)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        ids, begin = self.encoder.encode(texts, whole.tolist())
+        for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+            yield np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) if whole[i] else ids[a:b]
 
 
 @lru_cache(maxsize=1)
-def encoder(name: str) -> _Units:
-    return _Units(name)
+def encoder(name: str) -> LibraryEncoder:
+    return LibraryEncoder(name)
 
 
 def write_shards(docs: DataFrame, where: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, shard_ids: int = 4_000_000, name: str = "shards") -> DataFrame:
@@ -203,26 +228,26 @@ def write_shards(docs: DataFrame, where: str, tokenizer: str = "byte_bpe_50k.jso
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os_environ()
         part, seq = TaskContext.get().partitionId(), 0
-        units_of, pattern = encoder(tokenizer), regex.compile(public_tokenizers.PATTERN)
+        library = encoder(tokenizer)
         ids: list[np.ndarray] = []
         names: list[int | None] = []
-        held = 0
+        lengths: list[int] = []
+        held, end = 0, np.array([end_id], np.uint32)
 
         def shard() -> pa.RecordBatch:
             matrix = WaveletMatrix.build(np.concatenate(ids))
-            documents = pack(np.array([x is None for x in names], np.uint8), np.array([x or 0 for x in names], np.int64), np.array([len(x) for x in ids], np.uint64))
+            documents = pack(np.array([x is None for x in names], np.uint8), np.array([x or 0 for x in names], np.int64), np.array(lengths, np.uint64))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n": pa.array([held], pa.int64()), "documents": pa.array([documents], pa.binary()), "matrix": pa.array([matrix.to_bytes()], pa.binary())})
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = batch.slice(at, 2000)
-                for doc_id, found in zip(rows.column(0).to_pylist(), units_of.encode(rows.column(1).to_pylist(), pattern), strict=True):
-                    names.append(doc_id)
-                    ids.append(np.concatenate([found, [end_id]]).astype(np.uint32))
-                    held += len(ids[-1])
-                    if held >= shard_ids:
-                        yield shard()
-                        ids, names, held, seq = [], [], 0, seq + 1
+        for rows in slices(batches, 1):
+            for doc_id, found in zip(rows.column(0).to_pylist(), library.encode(rows.column(1)), strict=True):
+                names.append(doc_id)
+                ids += [found, end]
+                lengths.append(len(found) + 1)
+                held += len(found) + 1
+                if held >= shard_ids:
+                    yield shard()
+                    ids, names, lengths, held, seq = [], [], [], 0, seq + 1
         if ids:
             yield shard()
 

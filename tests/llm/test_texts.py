@@ -155,9 +155,7 @@ def test_katz_buckets_hold_their_documents_only(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_token_files(spark, sf_dir, tokenizer):
@@ -174,6 +172,27 @@ def test_token_files(spark, sf_dir, tokenizer):
     assert sum(r.n_found for r in tokenfile.occurrences(shards, 262, 3).collect()) == everything.count(262)
 
 
+def test_library_encoder(tokenizer):
+    r = random.Random(4)
+    letters = " \n\t  aab'sé日1299!?#\x0b\x1c\U0001f600\xa0\x85"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(4000)] + ["end\n", " x", "a b\n", "c d"]
+    encoder = tokenfile.LibraryEncoder("byte_bpe_50k.json", 500)
+    for at in range(0, len(texts), 61):
+        some = texts[at : at + 61]
+        for text, ids in zip(some, encoder.encode(pa.array(some)), strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_token_files_keep_added_tokens(spark, tokenizer):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n z", "plain text", " two  spaces", "<|endoftext"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in tokenfile.read_documents(tokenfile.write_shards(df, common.shared_dir(spark))).collect()}
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        assert got[i].n_tokens == len(ids) and got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert 50256 in tokenizer.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_token_files_odd_rows(spark):
     df = odd(spark, start="clash")
     got = tokenfile.read_documents(tokenfile.write_shards(df, common.shared_dir(spark))).orderBy("start").collect()
@@ -264,9 +283,27 @@ def test_bpe_blocks(reference_encoding):
     parts = " \n\t  aab'sé日1299!?#\x0b\x1c\U0001f600\xa0"
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["a" * 3000, "ab" * 3000, " " * 50 + "x", "日" * 300, "", "<|endoftext|>"]
     words = bpe.merges("byte_bpe_50k.tiktoken")
-    for text, ids in zip(texts, bpe.encode_block(texts, words, regex.compile(public_tokenizers.PATTERN)), strict=True):
-        assert ids.tolist() == reference_encoding.encode_ordinary(text)
-        assert words.decode(ids) == text.encode()
+    encoder = bpe.Encoder(public_tokenizers.PATTERN, bpe.replayed(words, public_tokenizers.PATTERN), 400)
+    for at in range(0, len(texts), 97):
+        some = texts[at : at + 97]
+        ids, begin = encoder.encode(pa.array(some))
+        for text, a, b in zip(some, begin[:-1], begin[1:], strict=True):
+            assert ids[a:b].tolist() == reference_encoding.encode_ordinary(text)
+            assert words.decode(ids[a:b]) == text.encode()
+
+
+def test_heaviest(spark):
+    rows = [(f"k{i:02d}", 5 if i % 2 else 7) for i in range(20)] + [("big", 900), ("none", 0)]
+    df = spark.createDataFrame(rows, "k string, n long")
+    for k in (0, 1, 5, 14, 30):
+        assert {r.k for r in common.heaviest(df, "n", "k", k).collect()} == {x for x, _ in sorted((r for r in rows if r[1]), key=lambda r: (-r[1], r[0]))[:k]}
+
+
+def test_slices():
+    texts = ["a" * 10, None, "b" * 95, "", "c" * 40, "d" * 40, "e" * 40]
+    batch = pa.RecordBatch.from_pydict({"i": pa.array(range(7)), "t": pa.array(texts)})
+    cut = list(common.slices(iter([batch, batch.slice(0, 0)]), 1, 100, 5))
+    assert [x.column(0).to_pylist() for x in cut if x.num_rows] == [[0, 1], [2, 3], [4], [5, 6]]
 
 
 def test_bpe_on_tables(spark, sf_dir, reference_encoding):
