@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word table holds before it is emptied.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -212,7 +212,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000
             yield part.slice(begin)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[tuple[list[int], list[bytes]]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 5_000_000) -> Iterator[tuple[list[int], list[bytes]]]:
     """Ids and texts (the first two columns) in runs of about ``size`` bytes of text."""
     ids, texts, held = [], [], 0
     for batch in batches:

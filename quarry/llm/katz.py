@@ -81,18 +81,17 @@ class Unigrams:
 
 
 class _Codes(dict):
-    """Code of a word: its place among the frequent ones, or a marked hash."""
+    """Code of a word: its place among the frequent ones, or a marked hash; the latest are remembered."""
 
-    bound = 400_000
+    bound = 200_000
 
     def __init__(self, frequent: dict[bytes, int]):
-        super().__init__(frequent)
+        super().__init__()
         self.frequent = frequent
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.frequent) + self.bound:
+        if len(self) > self.bound:
             self.clear()
-            self.update(self.frequent)
         if (code := self.frequent.get(word)) is None:
             code = xxhash.xxh64_intdigest(word) | 1 << 63
         self[word] = code

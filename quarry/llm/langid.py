@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, free_name, load, materialize, shared_dir
+from quarry.llm.common import fold, free_name, load, materialize, shared_dir, slices
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -95,21 +95,29 @@ class _Codes(dict):
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, lang, n) over all texts; summed within each block before they are shuffled."""
+    """(word, lang, n) over all texts; summed within each task before they are shuffled."""
+
+    def emit(sums: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, count in sums.items():
+            yield pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.string()), "lang": pa.array([lang] * len(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        sums: dict[str, Counter] = {}
+        for batch in slices(batches, 0):
             codes, by_lang = _Codes(), {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(np.fromiter(map(codes.__getitem__, parts := text.split()), np.int64, len(parts)))
             tokens = [_LETTERS.findall(t.lower()) for t in codes]
             for lang, rows in by_lang.items():
                 seen = np.bincount(np.concatenate(rows), minlength=1)
-                count = Counter()
+                count = sums.setdefault(lang, Counter())
                 for code in np.flatnonzero(seen).tolist():
                     for w in tokens[code]:
                         count[w] += int(seen[code])
-                yield pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.string()), "lang": pa.array([lang] * len(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
+            if sum(map(len, sums.values())) > 150_000:
+                yield from emit(sums)
+                sums = {}
+        yield from emit(sums)
 
     return docs.select("text", "lang").mapInArrow(run, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
@@ -133,7 +141,7 @@ def gram_weights(counts: DataFrame, orders: int) -> DataFrame:
                     for i in range(len(padded) - order + 1):
                         gram = padded[i : i + order]
                         table[gram] = table.get(gram, 0) + root
-            if sum(map(len, sums.values())) > 400_000:
+            if sum(map(len, sums.values())) > 250_000:
                 yield from emit(sums)
                 sums = {}
         yield from emit(sums)
@@ -232,7 +240,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             codes = _Codes()
             rows = [np.fromiter(map(codes.__getitem__, parts := (text or "").split()), np.int64, len(parts)) for text in batch.column(batch.num_columns - 1).to_pylist()]
             values = m.tokens(list(codes))

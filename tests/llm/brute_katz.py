@@ -4,7 +4,26 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
-from quarry.llm.katz import HIGH, LOW, good_turing
+LOW, HIGH = 5, 0.999
+
+
+def factors(counts):
+    """Discount factor of each count 1..LOW, by Katz (1987), eq. 15; absolute discounting where that
+    leaves (0, 1). Higher counts keep HIGH of themselves."""
+    n = Counter(counts.values())
+    out = {}
+    for r in range(1, LOW + 1):
+        if not n[1]:
+            out[r] = HIGH
+            continue
+        common = (LOW + 1) * n[LOW + 1] / n[1]
+        star = (r + 1) * n[r + 1] / n[r] if n[r] else 0
+        d = (star / r - common) / (1 - common) if n[r] and common < 1 else -1
+        if not 0 < d < 1:
+            less = n[1] / (n[1] + 2 * n[2])
+            d = 1 - less / r if less < r else 0.5
+        out[r] = d
+    return out
 
 
 def katz(rows, folds=7, held=2):
@@ -17,11 +36,7 @@ def katz(rows, folds=7, held=2):
             bi.update(zip([b"", *w[:-1]], w, strict=True))
     total, types = sum(uni.values()), len(uni)
 
-    def discounts(counts):
-        have = Counter(counts.values())
-        return good_turing([0, *(have[r] for r in range(1, LOW + 2))])
-
-    d1, d2 = discounts(uni), discounts(bi)
+    d1, d2 = factors(uni), factors(bi)
     factor = lambda d, c: d[c] if c <= LOW else HIGH
     p1 = {w: factor(d1, c) * c / total for w, c in uni.items()}
     unknown = 1 - sum(p1.values()) if total else 1.0
