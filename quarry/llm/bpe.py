@@ -306,7 +306,7 @@ def count_parts(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
             names, at, _ = parts_of(pc.fill_null(batch.column(0), ""), compiled)
             for name, n in zip(names, np.bincount(at, minlength=len(names)).tolist(), strict=True):
                 held[name] = held.get(name, 0) + n
-            if len(held) > 300_000:
+            if len(held) > 100_000:
                 yield pa.RecordBatch.from_pydict({"part": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
                 held = {}
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
@@ -341,7 +341,7 @@ def with_ids(docs: DataFrame, fn, schema: str, columns: list[str], vocabulary: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = merges(vocabulary)
         parts, flat, starts = shared.value
-        encoder = Encoder(pattern, replayed(words, pattern), 200_000, (parts.to_pylist(), flat, starts))
+        encoder = Encoder(pattern, replayed(words, pattern), 100_000, (parts.to_pylist(), flat, starts))
         for batch in slices(batches, len(columns)):
             ids, begin = encoder.encode(batch.column(len(columns)))
             made = list(zip(*(fn(words, ids[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)), strict=True)) or [()] * len(fn.columns)

@@ -7,6 +7,9 @@ A-Z alone.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import struct
 import tempfile
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word table holds before it is emptied.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -196,9 +199,20 @@ def heaviest(df: DataFrame, weight: str, key: str, k: int) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns to the system what earlier tasks of a reused worker have freed; without this, a
+    worker stays as large as the largest of its tasks."""
+    WORD_HASHES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do not have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows, cut further where a column of strings holds
     more than ``size`` bytes; one long text is a slice of its own."""
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
@@ -212,8 +226,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000
             yield part.slice(begin)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 5_000_000) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Ids and texts (the first two columns) in runs of about ``size`` bytes of text."""
+def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 4_000_000, first: bool = True) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts (the first two columns) in runs of about ``size`` bytes of text; ``first``: at the
+    beginning of a task."""
+    if first:
+        give_back()
     ids, texts, held = [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):

@@ -39,7 +39,7 @@ from quarry.llm.sieve import sieve_of
 #: Bits of a shingle hash that travel to the counts.
 BITS = np.uint64(48)
 #: Bytes of text whose shingles are counted in one range of hashes.
-RANGE_BYTES = 12_000_000
+RANGE_BYTES = 8_000_000
 #: Groups up to this size give all their pairs at once.
 SMALL = 4
 #: Members of a salt of a large group.
@@ -224,7 +224,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, k: int, where: str) -> DataFram
         for batch in batches:
             ids = batch.column(0).to_numpy()
             part = batch.filter(pa.array(chosen.value.has(mix(ids.view(np.uint64)))))
-            for some, rows in text_chunks(iter([part]), 2_000_000):
+            for some, rows in text_chunks(iter([part]), 2_000_000, False):
                 sets = [shingle_set(t, k) for t in rows]
                 yield pa.RecordBatch.from_pydict({"rid": pa.array(some, pa.int64()), "counts": pa.array([range_counts(s).tobytes() for s in sets], pa.binary()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
 

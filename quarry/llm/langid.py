@@ -114,7 +114,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 for code in np.flatnonzero(seen).tolist():
                     for w in tokens[code]:
                         count[w] += int(seen[code])
-            if sum(map(len, sums.values())) > 150_000:
+            if sum(map(len, sums.values())) > 100_000:
                 yield from emit(sums)
                 sums = {}
         yield from emit(sums)
@@ -141,7 +141,7 @@ def gram_weights(counts: DataFrame, orders: int) -> DataFrame:
                     for i in range(len(padded) - order + 1):
                         gram = padded[i : i + order]
                         table[gram] = table.get(gram, 0) + root
-            if sum(map(len, sums.values())) > 250_000:
+            if sum(map(len, sums.values())) > 150_000:
                 yield from emit(sums)
                 sums = {}
         yield from emit(sums)
