@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_name, heaviest, load, materialize, shared_dir, slices
+from quarry.llm.common import free_name, give_back, heaviest, load, materialize, shared_dir, slices
 
 NONE = np.int64(1) << 40
 _SPACE_BEFORE_SPACE = re.compile(r"\s ")
@@ -337,6 +337,7 @@ def corpus_table(docs: DataFrame, vocabulary: str, pattern: str, text_col: str,
 def with_ids(docs: DataFrame, fn, schema: str, columns: list[str], vocabulary: str, pattern: str, text_col: str = "text", table_parts: int = 1 << 17) -> DataFrame:
     """Encodes ``text_col`` slice by slice; ``fn(vocabulary, ids)`` gives the values of a row."""
     shared = docs.sparkSession.sparkContext.broadcast(corpus_table(docs, vocabulary, pattern, text_col, table_parts))
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = merges(vocabulary)

@@ -200,8 +200,8 @@ def heaviest(df: DataFrame, weight: str, key: str, k: int) -> DataFrame:
 
 
 def give_back() -> None:
-    """Returns to the system what earlier tasks of a reused worker have freed; without this, a
-    worker stays as large as the largest of its tasks."""
+    """Returns to the system what this process has freed; without this, a reused worker stays as
+    large as the largest of its tasks, and the driver as what it has once collected."""
     WORD_HASHES.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()

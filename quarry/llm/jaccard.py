@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_name, keyed_texts, load, materialize, mix, pack, shared_dir, shingle_hashes, shuffle_partitions, steps, sums, text_chunks, unpack, word_hashes
+from quarry.llm.common import free_name, give_back, keyed_texts, load, materialize, mix, pack, shared_dir, shingle_hashes, shuffle_partitions, steps, sums, text_chunks, unpack, word_hashes
 from quarry.llm.sieve import sieve_of
 
 #: Bits of a shingle hash that travel to the counts.
@@ -230,6 +230,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, k: int, where: str) -> DataFram
 
     out = materialize(texts.select("doc_id", "text").mapInArrow(keep, "rid long, counts binary, hashes binary"), where, "hashed")
     chosen.destroy()
+    give_back()
     return out
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, free_name, load, materialize, shared_dir, slices
+from quarry.llm.common import fold, free_name, give_back, load, materialize, shared_dir, slices
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -237,6 +237,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import free_name, load, materialize, shared_dir
 
 MARGINS = ("source", "lang", "topic")
+#: Sweeps in one plan; between them the cells are written, so that plans stay small.
+SWEEPS_AT_ONCE = 3
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -52,10 +54,10 @@ def targets(cells: DataFrame, margin: str, power: float, share: float, rounds: i
     return mass.select(margin, F.least("m", F.lit(factor) * F.col("raised")).alias(f"{margin}_target"))
 
 
-def rake(cells: DataFrame, share: float, sweeps: int) -> DataFrame:
-    """Adds ``expected``: the raked tokens of each cell, at most its mass. ``cells`` has the mass
-    and, for each margin, the target of its value."""
-    out = cells.withColumn("expected", F.lit(share) * F.col("mass"))
+def rake(cells: DataFrame, sweeps: int) -> DataFrame:
+    """``expected``, the tokens of each cell, after some sweeps, at most its mass. ``cells`` has the
+    mass and, for each margin, the target of its value."""
+    out = cells
     for _ in range(sweeps):
         for margin in MARGINS:
             scaled = F.col("expected") * F.col(f"{margin}_target") / F.sum("expected").over(Window.partitionBy(margin))
@@ -71,7 +73,10 @@ def fit(rows: DataFrame, powers: dict[str, float], share: float, sweeps: int, ro
     out = cells
     for margin in MARGINS:
         out = out.join(targets(cells, margin, powers[margin], share, rounds), margin)
-    return materialize(rake(out, share, sweeps), where, "fitted")
+    out = out.withColumn("expected", F.lit(share) * F.col("mass"))
+    for turn in range(0, sweeps, SWEEPS_AT_ONCE):
+        out = materialize(rake(out, min(SWEEPS_AT_ONCE, sweeps - turn)), where, f"fitted-{turn}")
+    return out
 
 
 def residuals(fitted: DataFrame) -> DataFrame:
