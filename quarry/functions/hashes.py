@@ -10,23 +10,32 @@ from pyspark.sql import functions as F
 OFFSET, PRIME = 14695981039346656037, 1099511628211  # fixed values of the 64-bit hash
 
 
+#: Cells of the grid of bytes that are hashed side by side.
+GRID = 1 << 24
+
+
 def fnv1a(values: list[bytes]) -> np.ndarray:
-    """Hashes of many byte strings at once, one byte position after another."""
+    """Hashes of many byte strings at once, one byte position after another. Values are taken by
+    length, as many at a time as a grid of bounded size holds."""
     lengths = np.fromiter(map(len, values), np.int64, len(values))
     out = np.full(len(values), OFFSET, np.uint64)
-    if not len(values) or not lengths.max():
-        return out
     order = np.argsort(-lengths, kind="stable")
-    longest = int(lengths.max())
-    grid = np.zeros((len(values), longest), np.uint8)
-    for row, i in enumerate(order):
-        grid[row, : lengths[i]] = np.frombuffer(values[i], np.uint8)
-    h = out.copy()
-    active = np.searchsorted(-lengths[order], -np.arange(longest), side="left")
-    for j in range(longest):
-        n = active[j]
-        h[:n] = (h[:n] ^ grid[:n, j]) * np.uint64(PRIME)
-    out[order] = h
+    begin = 0
+    while begin < len(order) and (longest := int(lengths[order[begin]])):
+        some = order[begin : begin + max(1, GRID // longest)]
+        begin += len(some)
+        wide = min(longest, GRID)
+        h = out[some]
+        for left in range(0, longest, wide):  # one value may be longer than the grid
+            grid = np.zeros((len(some), min(wide, longest - left)), np.uint8)
+            for row, i in enumerate(some):
+                part = values[i][left : left + wide]
+                grid[row, : len(part)] = np.frombuffer(part, np.uint8)
+            active = np.searchsorted(-lengths[some], -np.arange(left, left + grid.shape[1]), side="left")
+            for j in range(grid.shape[1]):
+                n = active[j]
+                h[:n] = (h[:n] ^ grid[:n, j]) * np.uint64(PRIME)
+        out[some] = h
     return out
 
 

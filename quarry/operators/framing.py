@@ -10,17 +10,26 @@ from pyspark.sql import functions as F
 SPAN = 1 << 20
 
 
-def running_total(df: DataFrame, flag: Column, key: list[str], name: str, before: bool = False) -> DataFrame:
-    """Adds the running sum of a 0/1 flag in order of pos: within spans of positions, and then over
-    the few span totals, so that one long stream is no single task. ``before`` leaves out the
-    row itself."""
-    x = df.withColumn("__flag", flag.cast("int")).withColumn("__span", F.floor(F.col("pos") / SPAN))
-    totals = x.groupBy(*key, "__span").agg(F.sum("__flag").alias("__t"))
+def _by_spans(df: DataFrame, value: Column, total, key: list[str], name: str, order: str, last: int) -> DataFrame:
+    """Adds the running ``total`` (an aggregate) of a value in an order: within spans of positions,
+    and then over the few span totals, so that one long stream is no single task."""
+    x = df.withColumn("__value", value).withColumn("__span", F.floor(F.col(order) / SPAN))
+    totals = x.groupBy(*key, "__span").agg(total("__value").alias("__t"))
     earlier = Window.partitionBy(*key).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*key, "__span", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__base"))
-    within = Window.partitionBy(*key, "__span").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    x = x.withColumn(name, F.coalesce(F.sum("__flag").over(within), F.lit(0)))
-    return x.join(totals, [*key, "__span"]).withColumn(name, F.col(name) + F.col("__base")).drop("__flag", "__span", "__base")
+    totals = totals.select(*key, "__span", total("__t").over(earlier).alias("__base"))
+    within = Window.partitionBy(*key, "__span").orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+    return x.withColumn(name, total("__value").over(within)).join(totals, [*key, "__span"]).drop("__value", "__span")
+
+
+def running_total(df: DataFrame, flag: Column, key: list[str], name: str, before: bool = False, order: str = "pos") -> DataFrame:
+    """Adds the running sum of a 0/1 flag. ``before`` leaves out the row itself."""
+    x = _by_spans(df, flag.cast("long"), F.sum, key, name, order, -1 if before else 0)
+    return x.withColumn(name, F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col("__base"), F.lit(0))).drop("__base")
+
+
+def running_max(df: DataFrame, value: Column, key: list[str], name: str, order: str) -> DataFrame:
+    """Adds the greatest value of the rows before; null for the first."""
+    return _by_spans(df, value, F.max, key, name, order, -1).withColumn(name, F.greatest(name, "__base")).drop("__base")
 
 
 def _cuts(rows: Column, size, partial, max_n: int | None, max_bytes: int, hold_first: Column) -> Column:

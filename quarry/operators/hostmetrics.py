@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: File systems that hold no data of their own (fixed values).
-PSEUDO_FS = """autofs binfmt_misc bpf cgroup cgroup2 configfs debugfs devpts devtmpfs efivarfs fuse.gvfsd-fuse fuse.lxcfs
-fusectl hugetlbfs iso9660 mqueue nsfs overlay proc pstore ramfs rpc_pipefs securityfs selinuxfs squashfs sysfs tmpfs tracefs""".split()
+PSEUDO_FS = """tmpfs devtmpfs devfs iso9660 overlay aufs squashfs proc sysfs cgroup cgroup2 devpts mqueue hugetlbfs debugfs
+tracefs securityfs pstore bpf configfs fusectl binfmt_misc autofs nsfs ramfs rpc_pipefs selinuxfs efivarfs""".split()
 CPU_COLUMNS = ["user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal", "guest", "guest_nice"]
 MEASUREMENTS = {
     "cpu": (["cpu", "host"], ["usage_active", "usage_user", "usage_system", "usage_idle"]),

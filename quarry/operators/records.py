@@ -106,13 +106,16 @@ def redacted(rules: list[Redact], kinds: dict[str, str]) -> dict[str, Column]:
     return out
 
 
+def dropped_by(spec: SourceSpec) -> Column:
+    """The stage that drops a record, null for one that is kept: filter, then sample."""
+    dropped = F.when(~passes_filters(list(spec.filters), spec.fields), "filter")
+    return F.coalesce(dropped, F.when(~passes_samples(list(spec.samples), spec.fields), "sample")) if spec.samples else dropped
+
+
 def transform_records(records: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame]:
     """Filter, sample on the values as they came, redact. Returns the kept records, and all records
     with the stage that dropped them (null for the kept)."""
-    dropped = F.when(~passes_filters(list(spec.filters), spec.fields), "filter")
-    if spec.samples:
-        dropped = F.coalesce(dropped, F.when(~passes_samples(list(spec.samples), spec.fields), "sample"))
-    staged = records.withColumn("dropped", dropped)
+    staged = records.withColumn("dropped", dropped_by(spec))
     kept = staged.where("dropped is null").drop("dropped")
     changes = redacted(list(spec.redactions), spec.fields)
     return (kept.withColumns(changes) if changes else kept), staged

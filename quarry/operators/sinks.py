@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.lineproto import encode_line, parse_line, unencodable
 from quarry.operators.dedup import upsert
+from quarry.operators.framing import running_total
 
 
 def assign_batches(records: DataFrame, batch_lines: int = 5_000, key: str = "state_key", order: str = "pos") -> DataFrame:
     """Adds ``batch``: consecutive records of a stream, so many in each."""
-    return records.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / batch_lines))
+    x = running_total(records, F.lit(1), [key], "batch", before=True, order=order)
+    return x.withColumn("batch", F.floor(F.col("batch") / batch_lines))
+
+
+def unencodable_reason(kinds: dict[str, str]) -> Column:
+    """Why a record has no line; null where it has one."""
+    return unencodable(F.col("table"), {k: (F.col(f"f_{k}"), kind) for k, kind in sorted(kinds.items())})
 
 
 def encoded(records: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataFrame]:

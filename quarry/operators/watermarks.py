@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.framing import running_max, running_total
 from quarry.plans.spec import WatermarkSpec
 
 
 def lateness(records: DataFrame, key: list[str], order: str, ts: str = "ts_ns") -> DataFrame:
-    """Adds ``lateness``: how far a record lies behind the latest before it; null for the first."""
-    ahead = F.max(ts).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return records.withColumn("lateness", F.when(ahead.isNotNull(), F.greatest(F.lit(0), ahead - F.col(ts))))
+    """Adds ``lateness``: how far a record lies behind the latest before it; null for the first.
+    ``order`` is a number, unique in a stream."""
+    x = running_max(records, F.col(ts), key, "__ahead", order)
+    return x.withColumn("lateness", F.when(F.col("__ahead").isNotNull(), F.greatest(F.lit(0), F.col("__ahead") - F.col(ts)))).drop("__ahead")
 
 
 def estimates(records: DataFrame, key: list[str], order: str, batch: str, spec: WatermarkSpec | None = None, ts: str = "ts_ns") -> DataFrame:
@@ -22,8 +24,7 @@ def estimates(records: DataFrame, key: list[str], order: str, batch: str, spec:
     collected at batch ends only."""
     spec = spec or WatermarkSpec()
     x = lateness(records, key, order, ts)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 2  # number of samples before, less one
-    x = x.withColumn("__n", rank)
+    x = running_total(x, F.lit(1), key, "__n", order=order).withColumn("__n", F.col("__n") - 2)  # number of samples before, less one
     ends = x.groupBy(*key, batch).agg(F.max("__n").alias("__end"), F.max(ts).alias("batch_max_ns"))
     # a sample counts for the batches whose end lies less than a window after it
     block = F.floor(F.col("__n") / spec.window)

@@ -35,6 +35,8 @@ def frame(lines: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame | No
         make = framing.reassemble_docker if spec.parser == "docker_json" else framing.reassemble_cri
         messages, bad = make(lines, spec.max_bytes)
         return framing.envelope(messages).withColumn("line", F.col("log")), bad.select(*REJECT)
+    if spec.parser not in ("json", "plain"):
+        raise ValueError(f"source {spec.name}: no framing for parser {spec.parser!r}; use its reader in quarry.sources")
     multiline = spec.multiline
     framed = framing.join_multiline(lines, multiline.starts_with, multiline.max_lines, multiline.max_bytes) if multiline else lines.select("state_key", "pos", "line")
     framed = records.drop_blank(framed)
@@ -53,7 +55,7 @@ def compose(lines: DataFrame, spec: SourceSpec) -> Pipeline:
         framed = framed.join(paths.groupBy("state_key").agg(F.first("pod_tags").alias("pod_tags"), F.first("__s").alias("__s")), "state_key", "left").withColumn("stream", F.coalesce("__s", "stream")).drop("__s")
     mapped = records.map_records(framed, spec, keep=["state_key", "pos", "line", *(["channel"] if "channel" in framed.columns else [])])
     good, bad = records.quarantine(mapped)
-    kept, staged = records.transform_records(good, spec)
+    kept, _ = records.transform_records(good, spec)
     scope = ["state_key"]
     stamped = stamping.stamp(kept, spec.tick_ns, ["pos", *(["channel"] if "channel" in kept.columns else [])], scope)
     fresh, spent = stamped.where("not exhausted"), stamped.where("exhausted")
@@ -61,9 +63,24 @@ def compose(lines: DataFrame, spec: SourceSpec) -> Pipeline:
     quarantined = bad.select(*REJECT).unionByName(spent.select("state_key", "pos", "line", F.lit("stamp: no place left in the tick").alias("reason"))).unionByName(unencodable.select(*REJECT))
     if bad_frames is not None:
         quarantined = quarantined.unionByName(bad_frames)
-    stage = lambda df, name: df.select(F.lit(spec.name).alias("source"), name.alias("stage"))
-    outcomes = stage(ok, F.lit("shipped")).unionByName(stage(quarantined, F.lit("quarantined"))).unionByName(stage(staged.where("dropped is not null"), F.col("dropped")))
-    return Pipeline(ok, quarantined, outcomes)
+    return Pipeline(ok, quarantined, outcomes(mapped, spec, bad_frames))
+
+
+def outcomes(mapped: DataFrame, spec: SourceSpec, bad_frames: DataFrame | None) -> DataFrame:
+    """(source, stage) of every line, in one pass over the mapped records: only what decides a stage
+    goes through the stamping window. Lines that are rejected or dropped before it stand in
+    ticks of their own, so they take no place and are not gathered."""
+    channel = ["channel"] if "channel" in mapped.columns else []
+    gone = F.when(F.col("reason").isNotNull(), "quarantined").otherwise(records.dropped_by(spec))
+    unencodable = sinks.unencodable_reason(spec.fields).isNotNull()
+    x = mapped.select("state_key", "pos", *channel, "source_ts_ns", gone.alias("gone"), unencodable.alias("unencodable"))
+    x = x.withColumns({"live": F.col("gone").isNull(), "source_ts_ns": F.when(F.col("gone").isNull(), F.col("source_ts_ns")).otherwise(F.col("pos") * F.lit(spec.tick_ns))})
+    x = stamping.stamp(x, spec.tick_ns, ["pos", *channel], ["state_key", "live"])
+    stage = F.coalesce("gone", F.when(F.col("exhausted") | F.col("unencodable"), "quarantined"), F.lit("shipped"))
+    out = x.select(F.lit(spec.name).alias("source"), stage.alias("stage"))
+    if bad_frames is not None:
+        out = out.unionByName(bad_frames.select(F.lit(spec.name).alias("source"), F.lit("quarantined").alias("stage")))
+    return out
 
 
 def compose_all(sources: list[tuple[DataFrame, SourceSpec]]) -> Pipeline:

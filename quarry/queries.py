@@ -167,10 +167,10 @@ def naive(t) -> DataFrame:
     return dedup.collision_report(stamping.stamp(events(t), 1), ["event_type"], ["event_type", "ts_ns"])
 
 
-@query("stamp_exhausted", "SELECT event_type, CAST(greatest(count(*) - 1000, 0) AS BIGINT) AS spent FROM (SELECT event_type, epoch_us(ts) // 86400000000 AS d FROM events) GROUP BY event_type, d HAVING count(*) > 1000")
+@query("stamp_exhausted", "SELECT event_type, CAST(greatest(count(*) - 10, 0) AS BIGINT) AS spent FROM (SELECT event_type, epoch_us(ts) // 86400000000 AS d FROM events) GROUP BY event_type, d HAVING count(*) > 10")
 def stamp_exhausted(t) -> DataFrame:
     day = F.col("event_ns") - F.pmod("event_ns", F.lit(24 * HOUR))
-    return stamping.stamp(events(t).withColumn("source_ts_ns", day), 1000).where("exhausted").groupBy("event_type", "tick").agg(F.count(F.lit(1)).alias("spent")).select("event_type", "spent")
+    return stamping.stamp(events(t).withColumn("source_ts_ns", day), 10).where("exhausted").groupBy("event_type", "tick").agg(F.count(F.lit(1)).alias("spent")).select("event_type", "spent")
 
 
 @query("stamp_resume", f"""
@@ -286,9 +286,10 @@ def pod_labels(t) -> DataFrame:
 
 def arrivals(t) -> DataFrame:
     """Events in an order of arrival that is not that of their times; batches of 250."""
-    e = t("events").withColumn("o", F.col("event_id") + (F.col("event_id") * 7919) % 50)
-    arrival = F.row_number().over(Window.orderBy("o", "event_id")) - 1
-    x = e.select(F.lit("all").alias("stream"), "event_id", timestamp_ns(F.col("ts")).alias("ts_ns"), arrival.cast("long").alias("arrival"))
+    o = F.col("event_id") + (F.col("event_id") * 7919) % 50
+    # events of one ``o`` differ by less than 50 in their ids, in whose order they arrive
+    x = t("events").select(F.lit("all").alias("stream"), "event_id", timestamp_ns(F.col("ts")).alias("ts_ns"), (o * 64 + F.col("event_id") - o + 50).alias("pos"))
+    x = framing.running_total(x, F.lit(1), ["stream"], "arrival", before=True)
     return x.withColumn("batch", F.floor(F.col("arrival") / 250))
 
 
@@ -391,9 +392,13 @@ def diskstats(t) -> DataFrame:
     return hostmetrics.diskio(snapshots(t, "diskstats", content)).select("host", "tick", "name", "reads", "read_bytes", "write_bytes")
 
 
+#: One mount of each file system that holds no data, and two of names that are near to them.
+PSEUDO_MOUNTS = "\n".join(f"{40 + i} 1 0:{i} / /pseudo/{name} rw - {name} {name} rw" for i, name in enumerate(hostmetrics.PSEUDO_FS))
+
+
 @query("mountinfo_disk", "SELECT 'h' || c_custkey AS host, CAST(i AS INT) AS tick, '/mnt/my disk' AS path, CAST(c_custkey * 10 * 4096 AS BIGINT) AS total, CAST(c_custkey * 6 * 4096 AS BIGINT) AS used, CASE WHEN c_custkey = 0 THEN 0.0 ELSE 60.0 END AS used_percent, CAST(NULL AS BIGINT) AS inodes_total FROM customer, (VALUES (0), (1)) v(i)")
 def mountinfo(t) -> DataFrame:
-    snaps = snapshots(t, "mountinfo", lambda k, tick: _say("36 35 98:0 / /mnt/my\\040disk rw shared:1 - ext4 /dev/sda1 rw\n22 1 0:21 / /proc rw - proc proc rw\n23 1 0:22 / /run rw - tmpfs tmpfs rw"))
+    snaps = snapshots(t, "mountinfo", lambda k, tick: _say("36 35 98:0 / /mnt/my\\040disk rw shared:1 - ext4 /dev/sda1 rw\n" + PSEUDO_MOUNTS))
     size = snaps.select("host", "tick", F.lit("/mnt/my disk").alias("path"), F.substring("host", F.lit(2), F.lit(20)).cast("long").alias("k"))
     stat = size.select("host", "tick", "path", (F.col("k") * 10).alias("f_blocks"), (F.col("k") * 4).alias("f_bavail"), F.lit(4096).cast("long").alias("f_frsize"), F.lit(0).cast("long").alias("f_files"), F.lit(0).cast("long").alias("f_ffree"))
     return hostmetrics.disk(hostmetrics.parse_mountinfo(snaps), stat).select("host", "tick", "path", "total", "used", F.round("used_percent", 6).alias("used_percent"), "inodes_total")
@@ -523,11 +528,11 @@ def otlp_flatten(t) -> DataFrame:
 
 
 @query("winlog_xml", """
-SELECT c_custkey, 'Provider ' || c_nationkey AS provider, CAST(c_custkey AS VARCHAR) AS record_id, c_name AS user_name, 'plain' || c_custkey AS data0, 1704067200123456700 AS ts_ns FROM customer WHERE c_custkey % 2 = 0""")
+SELECT c_custkey, 'Provider ' || c_nationkey AS provider, CAST(c_custkey AS VARCHAR) AS record_id, c_name AS user_name, 'plain' || c_custkey AS data0, 1704067200123456700 AS ts_ns FROM customer""")
 def winlog_xml(t) -> DataFrame:
     k = F.col("c_custkey").cast("string")
     xml = F.concat(F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="Provider '), F.col("c_nationkey").cast("string"), F.lit('"/><EventID>4624</EventID><TimeCreated SystemTime="2024-01-01T00:00:00.1234567Z"/><EventRecordID>'), k, F.lit('</EventRecordID></System><EventData><Data Name="User">'), F.col("c_name"), F.lit("</Data><Data>plain"), k, F.lit("</Data></EventData></Event>"))
-    x = winlog.parse_winlog(t("customer").where("c_custkey % 2 = 0").select("c_custkey", xml.alias("xml")), declared=["EventID"])
+    x = winlog.parse_winlog(t("customer").select("c_custkey", xml.alias("xml")), declared=["EventID"])
     at = lambda key, name: F.element_at("parsed", key).alias(name)
     return x.select("c_custkey", at("Provider", "provider"), at("EventRecordID", "record_id"), at("User", "user_name"), at("Data0", "data0"), F.col("source_ts_ns").alias("ts_ns"))
 

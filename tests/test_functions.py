@@ -73,6 +73,16 @@ def test_fnv_vector(spark):
     assert [int(h) for h in hashes.fnv1a([b"", b"abc", b"a"])] == [14695981039346656037, int(hashes.fnv1a([b"abc"])[0]), int(hashes.fnv1a([b"a"])[0])]
 
 
+def test_fnv_of_long_values(monkeypatch):
+    monkeypatch.setattr(hashes, "GRID", 40)
+    values = [bytes(range(n)) for n in (0, 3, 100, 41, 40, 7, 7, 90)]
+    for v, h in zip(values, hashes.fnv1a(values), strict=True):
+        want = hashes.OFFSET
+        for b in v:
+            want = (want ^ b) * hashes.PRIME % 2**64
+        assert int(h) == want
+
+
 def test_merge_last_wins(spark):
     df = spark.createDataFrame([({"a": "1", "b": "1"}, {"b": "2"}, None)], "x map<string,string>, y map<string,string>, z map<string,string>")
     assert df.select(maps.shown(maps.merge(F.col("x"), F.col("y"), F.col("z")))).first()[0] == "a=1,b=2"
