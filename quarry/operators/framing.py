@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,82 +36,135 @@ def running_max(df: DataFrame, value: Column, key: list[str], name: str, order:
     return _by_spans(df, value, F.max, key, name, order, -1).withColumn(name, F.greatest(name, "__base")).drop("__base")
 
 
-def _cuts(rows: Column, size, partial, max_n: int | None, max_bytes: int, hold_first: Column) -> Column:
-    """struct(i, n, b, cuts): after how many rows a chunk ends early because it is full, and what
-    is left open. ``hold_first``: the first row alone does not end a chunk."""
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("b"), F.array().cast("array<int>").alias("cuts"))
-
-    def step(a, r):
-        n, b = a["n"] + 1, a["b"] + size(r)
-        full = (b >= max_bytes) | (n >= max_n) if max_n else b >= max_bytes
-        cut = full & partial(r) & ~((a["i"] == 0) & hold_first)
-        return F.struct(
-            (a["i"] + 1).alias("i"),
-            F.when(cut, 0).otherwise(n).alias("n"),
-            F.when(cut, F.lit(0).cast("long")).otherwise(b).alias("b"),
-            F.when(cut, F.concat(a["cuts"], F.array(a["i"] + 1))).otherwise(a["cuts"]).alias("cuts"),
-        )
-
-    return F.aggregate(rows, start, step)
-
-
-def _chunks(rows: Column, cuts: Column) -> Column:
-    """Rows cut into chunks: array of struct(rows, truncated)."""
-    ends = F.concat(cuts, F.when(F.coalesce(F.try_element_at(cuts, F.lit(-1)), F.lit(0)) < F.size(rows), F.array(F.size(rows))).otherwise(F.array().cast("array<int>")))
-    begin = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
-    return F.transform(ends, lambda end, i: F.struct(F.slice(rows, begin(i) + 1, end - begin(i)).alias("rows"), F.array_contains(cuts, end).alias("truncated")))
+def _chunks(rows: DataFrame, key: list[str], max_n: int | None, max_bytes: int, waits: bool) -> DataFrame:
+    """(key, group, pos, mode, chunk, cut): the chunk of each row (key, group, pos, size, may_cut) of a
+    group in the order of its rows, and whether the row ends a chunk because that is full.
+
+    A chunk that is full starts a count from nought, so rows are met in order; they carry
+    numbers alone and a task keeps no more than the counts of the open chunk, however long the
+    group is. Mode -1: the only outcome. With ``waits``, a first row that is full by itself
+    gives its group two: 0 where that row ends a chunk, 1 where it waits for one more."""
+    most = max_n or 1 << 62
+
+    def walk(at: int, end: int, state: tuple, hold: bool, total: np.ndarray, may_cut: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
+        mode, n, size, chunk = state
+        first, chunks, cut = at, np.empty(end - at, np.int64), np.zeros(end - at, bool)
+        while True:
+            full = max(at, min(at + most - n - 1, int(np.searchsorted(total, total[at] + max_bytes - size)) - 1))
+            if hold and full == first:
+                full += 1
+            while full < end and not may_cut[full]:
+                full += 1
+            chunks[at - first : full + 1 - first] = chunk
+            if full >= end:
+                return (mode, n + end - at, size + int(total[end] - total[at]), chunk), chunks, cut
+            cut[full - first] = True
+            at, n, size, chunk = full + 1, 0, 0, chunk + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, states = None, []
+        for batch in batches:
+            count = batch.num_rows
+            if not count:
+                continue
+            names = [batch.column(k) for k in (*key, "group")]
+            new = np.zeros(count, bool)
+            for c in names:
+                codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            new[0] = last != [c[0].as_py() for c in names]
+            last = [c[-1].as_py() for c in names]
+            goes_on = not new[0]
+            size, may_cut = batch.column("size").to_numpy(), batch.column("may_cut").to_numpy(zero_copy_only=False)
+            total = np.concatenate([[0], np.cumsum(size)])
+            starts = np.flatnonzero(new | (np.arange(count) == 0))
+            ends = np.append(starts[1:], count)
+            big = (ends - starts >= most) | (total[ends] - total[starts] >= max_bytes)
+            big[0] |= goes_on
+            mode, chunk, cut, stays = np.full(count, -1, np.int32), np.zeros(count, np.int64), np.zeros(count, bool), np.ones(count, bool)
+            if not (goes_on and len(starts) == 1):
+                carried, states = states, [(-1, int(ends[-1] - starts[-1]), int(total[-1] - total[starts[-1]]), 0)]
+            else:
+                carried = states
+            both = []
+            for at, end in zip(starts[big].tolist(), ends[big].tolist(), strict=True):
+                begins = bool(new[at])
+                before = carried if not begins else [(0, 0, 0, 0), (1, 0, 0, 0)] if waits and (size[at] >= max_bytes or most == 1) else [(-1, 0, 0, 0)]
+                after = [walk(at, end, s, begins and s[0] == 1, total, may_cut) for s in before]
+                if end == count:
+                    states = [s for s, _, _ in after]
+                if len(after) == 1:
+                    chunk[at:end], cut[at:end] = after[0][1:]
+                else:
+                    stays[at:end] = False
+                    both += [(np.arange(at, end), np.full(end - at, s[0], np.int32), c, x) for s, c, x in after]
+            parts = [(np.flatnonzero(stays), mode[stays], chunk[stays], cut[stays]), *both]
+            place, mode, chunk, cut = (np.concatenate(x) for x in zip(*parts, strict=True))
+            kept = batch.select([*key, "group", "pos"]).take(pa.array(place))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(mode), pa.array(chunk), pa.array(cut)], names=[*kept.schema.names, "mode", "chunk", "cut"])
+
+    rows = rows.select(*key, "group", "pos", F.col("size").cast("long").alias("size"), "may_cut")
+    # as many parts as are set: the engine would gather rows this narrow into few tasks
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, *key, "group").sortWithinPartitions(*key, "group", "pos")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ordered.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*key, "group", "pos")) + ", mode int, chunk long, cut boolean")
+
+
+def _settled(chunks: DataFrame, key: list[str]) -> DataFrame:
+    """Chunks of the outcome that holds: groups with two take the first where the group before them
+    left nothing open. What a group leaves open is known, or is what it met, or its opposite.
+    Only groups with two outcomes and those right before them are looked at."""
+    two = chunks.where("mode = 0 and chunk = 0").select(*key, "group").distinct()
+    looked_at = two.withColumn("group", F.explode(F.array(F.col("group"), F.col("group") - 1))).distinct()
+    left = lambda mode: F.max_by(~F.col("cut"), F.when(F.col("mode").isin(-1, mode), F.col("pos")))
+    g = chunks.join(looked_at, [*key, "group"], "left_semi").groupBy(*key, "group").agg(left(0).alias("fresh"), left(1).alias("held"), (F.max("mode") >= 0).alias("two"))
+    turns = (F.col("fresh") & ~F.col("held")).cast("int")
+    until = Window.partitionBy(*key).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("turned", F.coalesce(F.sum(turns).over(until), F.lit(0)))
+    g = g.withColumn("known", F.max(F.when(F.col("fresh") == F.col("held"), F.struct("group", "fresh", "turned"))).over(until))
+    met = F.coalesce("known.fresh", F.lit(False)) != ((F.col("turned") - F.coalesce("known.turned", F.lit(0))) % 2 == 1)
+    g = g.where("two").select(*key, "group", met.cast("int").alias("__met"))
+    return chunks.join(g, [*key, "group"], "left").where("mode = -1 or mode = __met").drop("__met")
 
 
 def join_multiline(lines: DataFrame, starts_with: str | None, max_lines: int = 500, max_bytes: int = 65_536) -> DataFrame:
     """(state_key, pos, line, n_lines, truncated): a line that matches opens a record, others
     continue it; the record has the position of its first line. A record that is full is cut
     and the next line opens a new one, as does a continuation without a beginning. A first
-    line that fills a record by itself while the one before was open waits for one more line."""
+    line that fills a record by itself while the one before was open waits for one more line.
+
+    Places in records are found from positions and sizes alone; the texts of one record, which
+    the limits bound, are all that comes together."""
     if starts_with is None:
         return lines.select("state_key", "pos", "line", F.lit(1).alias("n_lines"), F.lit(False).alias("truncated"))
-    x = running_total(lines.select("state_key", "pos", "line"), F.col("line").rlike(starts_with), ["state_key"], "island")
-    g = x.groupBy("state_key", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
-    size = lambda r: F.octet_length(r["line"]).cast("long") + 1
-    always = lambda r: F.lit(True)
-    big = (F.size("rows") >= max_lines) | (F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + size(r)) >= max_bytes)
-    g = g.withColumn("big", big)
-    no = F.struct(F.lit(0).alias("i"), F.size("rows").alias("n"), F.lit(0).cast("long").alias("b"), F.array().cast("array<int>").alias("cuts"))
-    for name, hold in (("fresh", F.lit(False)), ("held", F.lit(True))):
-        g = g.withColumn(name, F.when(F.col("big"), _cuts(F.col("rows"), size, always, max_lines, max_bytes, hold)).otherwise(no))
-    # what an island leaves open, where that does not depend on the one before it
-    left = F.when((F.col("fresh.n") > 0) == (F.col("held.n") > 0), F.col("fresh.n") > 0)
-    before = F.last(left, ignorenulls=True).over(Window.partitionBy("state_key").orderBy("island").rowsBetween(Window.unboundedPreceding, -1))
-    g = g.withColumn("open", F.coalesce(before, F.lit(False)))
-    cuts = F.when(F.col("open"), F.col("held.cuts")).otherwise(F.col("fresh.cuts"))
-    out = g.select("state_key", F.explode(_chunks(F.col("rows"), cuts)).alias("c"))
-    return out.select(
-        "state_key",
-        F.get("c.rows", F.lit(0))["pos"].alias("pos"),
-        F.array_join(F.transform("c.rows", lambda r: r["line"]), "\n").alias("line"),
-        F.size("c.rows").alias("n_lines"),
-        F.col("c.truncated").alias("truncated"),
-    )
+    key = ["state_key"]
+    x = lines.select("state_key", "pos", F.coalesce(F.col("line").rlike(starts_with), F.lit(False)).alias("starts"), (F.octet_length("line") + 1).alias("size"))
+    x = running_total(x, F.col("starts"), key, "group").withColumn("may_cut", F.lit(True))
+    places = _settled(_chunks(x, key, max_lines, max_bytes, True), key)
+    rows = lines.select("state_key", "pos", "line").join(places, ["state_key", "pos"])
+    g = rows.groupBy("state_key", "group", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"), F.max("cut").alias("truncated"))
+    text = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    return g.select("state_key", F.get("rows", F.lit(0))["pos"].alias("pos"), text.alias("line"), F.size("rows").alias("n_lines"), "truncated")
 
 
 def _reassemble(fragments: DataFrame, max_bytes: int) -> DataFrame:
     """Fragments (state_key, stream, pos, time, text, closes) to messages, in each stream by itself.
     Messages carry the first fragment's time and the position of the line that closed them."""
     key = ["state_key", "stream"]
-    x = running_total(fragments, F.col("closes"), key, "message", before=True)
-    g = x.groupBy(*key, "message").agg(F.array_sort(F.collect_list(F.struct("pos", "time", "text", "closes"))).alias("rows"))
-    size = lambda r: F.octet_length(r["text"]).cast("long")
-    total = F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + size(r))
-    cut = _cuts(F.col("rows"), size, lambda r: ~r["closes"], None, max_bytes, F.lit(False))["cuts"]
-    g = g.withColumn("cuts", F.when(total >= max_bytes, cut).otherwise(F.array().cast("array<int>")))
-    out = g.select(*key, F.explode(_chunks(F.col("rows"), F.col("cuts"))).alias("c"))
-    last = F.element_at("c.rows", -1)
-    return out.select(
+    x = fragments.select(*key, "pos", "closes", F.octet_length("text").alias("size"))
+    x = running_total(x, F.col("closes"), key, "group", before=True).withColumn("may_cut", ~F.col("closes"))
+    places = _chunks(x, key, None, max_bytes, False).drop("mode")
+    rows = fragments.join(places, [*key, "pos"])
+    g = rows.groupBy(*key, "group", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "time", "text", "closes"))).alias("rows"), F.max("cut").alias("truncated"))
+    last = F.element_at("rows", -1)
+    return g.select(
         *key,
         last["pos"].alias("pos"),
-        F.get("c.rows", F.lit(0))["time"].alias("time"),
-        F.array_join(F.transform("c.rows", lambda r: r["text"]), "").alias("log"),
-        F.col("c.truncated").alias("truncated"),
-        (~last["closes"] & ~F.col("c.truncated")).alias("unclosed"),
+        F.get("rows", F.lit(0))["time"].alias("time"),
+        F.array_join(F.transform("rows", lambda r: r["text"]), "").alias("log"),
+        "truncated",
+        (~last["closes"] & ~F.col("truncated")).alias("unclosed"),
     )
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,59 @@ def test_multiline_caps(spark):
     assert framed(framing.join_multiline(lines(spark, "START a", long, "b", "c"), "^START", max_bytes=32)) == [("START a", False), (f"{long}\nb", True), ("c", False)]
     assert framed(framing.join_multiline(lines(spark, long, "b"), "^START", max_bytes=32)) == [(long, True), ("b", False)]
 
+def step_by_step(texts, start, max_lines, max_bytes):
+    """Multi-line records, one line after another."""
+    done, held, size = [], [], 0
+    for t in texts:
+        if held and t.startswith(start):
+            done.append(("\n".join(held), False))
+            held, size = [t], len(t) + 1
+            continue
+        held.append(t)
+        size += len(t) + 1
+        if len(held) >= max_lines or size >= max_bytes:
+            done.append(("\n".join(held), True))
+            held, size = [], 0
+    return done + ([("\n".join(held), False)] if held else [])
+
+
+def test_multiline_equals_a_step_by_step_simulation(spark, monkeypatch):
+    monkeypatch.setattr(framing, "SPAN", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rng = random.Random(5)
+        for max_lines, max_bytes, shares in ((10**6, 30, (0.0, 0.7)), (3, 25, (0.3,)), (1, 10**6, (0.3,))):
+            for share in shares:
+                texts = [("S" if rng.random() < share else "c") + "x" * rng.choice([0, 1, 5, 12, 40]) for _ in range(60)]
+                got = framed(framing.join_multiline(lines(spark, *texts), "^S", max_lines, max_bytes))
+                assert got == step_by_step(texts, "S", max_lines, max_bytes), (max_lines, max_bytes, share)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fragments_are_cut_in_order(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rng = random.Random(3)
+        texts = [f"t{i} stdout {'F' if rng.random() < 0.1 else 'P'} {'y' * rng.randint(0, 9)}" for i in range(80)]
+        got = [(r.log, r.time, r.truncated, r.unclosed) for r in framing.reassemble_cri(lines(spark, *texts), max_bytes=20)[0].orderBy("pos").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, held, since = [], "", None
+    for t in texts:
+        time, _, tag, text = t.split(" ", 3)
+        held, since = held + text, since or time
+        if tag == "F" or len(held) >= 20:
+            want.append((held, since, tag == "P", False))
+            held, since = "", None
+    assert got == want + ([(held, since, False, True)] if since else [])
+
+
+def test_a_stream_that_never_begins_stays_in_bounded_rows(spark):
+    x = spark.range(300_000).select(F.lit("s").alias("state_key"), F.col("id").alias("pos"), F.lit("no beginning").alias("line"))
+    got = framing.join_multiline(x, "^START", max_lines=500).agg(F.count(F.lit(1)).alias("n"), F.max("n_lines").alias("most"), F.sum("n_lines").alias("lines")).first()
+    assert (got.n, got.most, got.lines) == (600, 500, 300_000)
+
 
 def test_multiline_off_and_empty(spark):
     assert framed(framing.join_multiline(lines(spark, "a", "b"), None)) == [("a", False), ("b", False)]
