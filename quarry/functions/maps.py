@@ -25,7 +25,8 @@ def last_wins(entries: Column) -> Column:
 
     def of(all_):
         later = lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x["key"] == e["key"])
-        return F.map_from_entries(F.filter(all_, later))
+        differ = F.size(all_) == F.size(F.array_distinct(F.transform(all_, lambda e: e["key"])))
+        return F.when(differ, F.map_from_entries(all_)).otherwise(F.map_from_entries(F.filter(all_, later)))
 
     return let(entries, of)
 

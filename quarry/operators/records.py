@@ -31,9 +31,9 @@ def tags_static(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv)) if values else empty_map()
 
 
-def record_tags(parsed: Column, spec: SourceSpec, stream: Column, pod: Column | None = None) -> Column:
-    """stream < static < allowlist < visibility < pod identity; the later wins."""
-    layers = [F.create_map(F.lit("stream"), stream), tags_static(spec.tags_static), tags_allowlist(parsed, list(spec.tags))]
+def record_tags(parsed: Column, spec: SourceSpec, stream: Column, pod: Column | None = None, labels: Column | None = None) -> Column:
+    """stream < static < pod labels < allowlist < visibility < pod identity; the later wins."""
+    layers = [F.create_map(F.lit("stream"), stream), tags_static(spec.tags_static), *([] if labels is None else [labels]), tags_allowlist(parsed, list(spec.tags))]
     if spec.visibility:
         layers.append(F.create_map(F.lit("_visibility"), F.lit(spec.visibility)))
     if pod is not None:
@@ -46,20 +46,25 @@ def map_records(framed: DataFrame, spec: SourceSpec, parsed: str = "parsed", kee
     where the record has to be quarantined: any field that does not coerce rejects it whole."""
     m = F.col(parsed)
     reasons = [F.when(m.isNull(), "unparseable: not a JSON object")]
-    if spec.timestamp_field:
+    if "source_ts_ns" in framed.columns:  # the source's own time counts
+        ts = F.col("source_ts_ns")
+        reasons.append(F.when(ts.isNull(), "bad timestamp: missing"))
+    elif spec.timestamp_field:
         raw = value_text(m, spec.timestamp_field)
         ts = parse_ts_ns(raw, spec.timestamp_format)
         reasons.append(F.when(ts.isNull(), F.concat(F.lit("bad timestamp: "), F.coalesce(raw, F.lit("missing")))))
     else:
         ts = ingest_ns()
-    columns = {"table": F.lit(spec.table), "tags": record_tags(m, spec, F.col("stream") if "stream" in framed.columns else F.lit(spec.name), F.col("pod_tags") if "pod_tags" in framed.columns else None), "source_ts_ns": ts}
+    known = lambda c: F.col(c) if c in framed.columns else None
+    stream = F.col("stream") if "stream" in framed.columns else F.lit(spec.name)
+    columns = {"table": F.lit(spec.table), "tags": record_tags(m, spec, stream, known("pod_tags"), known("label_tags")), "source_ts_ns": ts}
     for name, kind in sorted(spec.fields.items()):
         text = value_text(m, name)
         # JSON null has no value of any type but text
         value = coerce(F.when(F.element_at(m, name).isNotNull(), text) if kind != "string" else text, kind)
         columns[f"f_{name}"] = value
         reasons.append(F.when(has_key(m, name) & value.isNull(), f"field '{name}' will not coerce to {kind}"))
-    kept = keep if keep is not None else [c for c in framed.columns if c != parsed]
+    kept = keep if keep is not None else [c for c in framed.columns if c not in (parsed, "source_ts_ns")]
     return framed.select(*kept, *(c.alias(n) for n, c in columns.items()), F.coalesce(*reasons).alias("reason"))
 
 

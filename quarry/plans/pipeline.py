@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.parse import parse_json, parse_plain
 from quarry.operators import accounting, framing, records, sinks, stamping
-from quarry.operators.enrich import pod_tags, stream_label
+from quarry.operators.enrich import join_pod_labels, parse_cri_path, pod_tags, stream_label
 from quarry.plans.spec import SourceSpec
+from quarry.sources import files, otlp, winlog
 
 
 @dataclass
@@ -26,17 +27,34 @@ class Pipeline:
         return accounting.counters(self.outcomes)
 
 
-REJECT = ["state_key", "pos", "line", "reason"]
+LINE = ["state_key", "pos", "line"]
+REJECT = [*LINE, "reason"]
+#: Columns that tell records of one position apart: the stream of a container, the place in a request.
+WITHIN = ("channel", "place")
 
 
 def frame(lines: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame | None]:
-    """(state_key, pos, line, parsed), and the lines that the framing rejects."""
+    """(state_key, pos, line, parsed), with source_ts_ns where the source has a time of its own, and
+    the lines that the framing rejects. Entries of a journal and Windows events without any
+    declared field are neither read nor errors."""
+    declared = list(spec.fields)
+    if spec.parser == "journal":
+        entries = records.drop_blank(lines.select(*LINE))
+        bad = entries.where(parse_json(F.col("line")).isNull())
+        return files.read_journal(entries, declared), bad.withColumn("reason", F.lit("unparseable: not a journal entry"))
+    if spec.parser == "winlog":
+        events = records.drop_blank(lines.select(*LINE))
+        good = winlog.parse_winlog(events, "line", declared).where(F.col("parsed").isNotNull())
+        return good, events.where(~winlog.is_event(F.col("line"))).withColumn("reason", F.lit("unparseable: not an event"))
+    if spec.parser == "otlp":
+        good, bad = otlp.read_requests(records.drop_blank(lines.select(*LINE)).withColumn("request", F.col("line")), "request", LINE)
+        return good, bad.select(*REJECT)
     if spec.parser in ("docker_json", "cri"):
         make = framing.reassemble_docker if spec.parser == "docker_json" else framing.reassemble_cri
         messages, bad = make(lines, spec.max_bytes)
         return framing.envelope(messages).withColumn("line", F.col("log")), bad.select(*REJECT)
     if spec.parser not in ("json", "plain"):
-        raise ValueError(f"source {spec.name}: no framing for parser {spec.parser!r}; use its reader in quarry.sources")
+        raise ValueError(f"source {spec.name}: no framing for parser {spec.parser!r}")
     multiline = spec.multiline
     framed = framing.join_multiline(lines, multiline.starts_with, multiline.max_lines, multiline.max_bytes) if multiline else lines.select("state_key", "pos", "line")
     framed = records.drop_blank(framed)
@@ -44,20 +62,32 @@ def frame(lines: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame | No
     return framed.withColumn("parsed", parse(F.col("line"))), None
 
 
-def compose(lines: DataFrame, spec: SourceSpec) -> Pipeline:
-    """``lines``: (state_key, pos, line) and, for container paths, path. The order of stages is part
+def pods(lines: DataFrame, spec: SourceSpec, labels: DataFrame | None) -> DataFrame:
+    """(state_key, pod_tags, label_tags, __s) of each file: who wrote it, and the allowed labels of that
+    pod, looked up once for each file and not for each line."""
+    pod = parse_cri_path(F.col("path"))
+    paths = lines.groupBy("state_key").agg(F.max("path").alias("path"))
+    paths = paths.select("state_key", pod_tags(F.col("path")).alias("pod_tags"), stream_label(F.col("path"), F.col("state_key")).alias("__s"), pod["namespace"].alias("namespace"), pod["pod"].alias("pod"))
+    if labels is not None:
+        paths = join_pod_labels(paths, labels, list(spec.labels))
+    return paths.drop("namespace", "pod")
+
+
+def compose(lines: DataFrame, spec: SourceSpec, labels: DataFrame | None = None) -> Pipeline:
+    """``lines``: (state_key, pos, line) and, for container paths, path; ``labels``: (namespace, pod,
+    labels) for a source that names allowed pod labels. The order of stages is part
     of the meaning: what is rejected or dropped takes no place in a tick, samples are drawn
     from values before redaction, and a record that cannot be encoded has taken its place."""
     framed, bad_frames = frame(lines, spec)
     framed = framed.withColumn("stream", F.lit(spec.name))
     if spec.kubernetes:
-        paths = lines.select("state_key", "path").distinct().withColumns({"pod_tags": pod_tags(F.col("path")), "__s": stream_label(F.col("path"), F.col("state_key"))})
-        framed = framed.join(paths.groupBy("state_key").agg(F.first("pod_tags").alias("pod_tags"), F.first("__s").alias("__s")), "state_key", "left").withColumn("stream", F.coalesce("__s", "stream")).drop("__s")
-    mapped = records.map_records(framed, spec, keep=["state_key", "pos", "line", *(["channel"] if "channel" in framed.columns else [])])
+        framed = framed.join(pods(lines, spec, labels), "state_key", "left").withColumn("stream", F.coalesce("__s", "stream")).drop("__s")
+    within = [c for c in WITHIN if c in framed.columns]
+    mapped = records.map_records(framed, spec, keep=[*LINE, *within])
     good, bad = records.quarantine(mapped)
     kept, _ = records.transform_records(good, spec)
     scope = ["state_key"]
-    stamped = stamping.stamp(kept, spec.tick_ns, ["pos", *(["channel"] if "channel" in kept.columns else [])], scope)
+    stamped = stamping.stamp(kept, spec.tick_ns, ["pos", *within], scope)
     fresh, spent = stamped.where("not exhausted"), stamped.where("exhausted")
     ok, unencodable = sinks.encoded(fresh, spec.fields)
     quarantined = bad.select(*REJECT).unionByName(spent.select("state_key", "pos", "line", F.lit("stamp: no place left in the tick").alias("reason"))).unionByName(unencodable.select(*REJECT))
@@ -70,12 +100,12 @@ def outcomes(mapped: DataFrame, spec: SourceSpec, bad_frames: DataFrame | None)
     """(source, stage) of every line, in one pass over the mapped records: only what decides a stage
     goes through the stamping window. Lines that are rejected or dropped before it stand in
     ticks of their own, so they take no place and are not gathered."""
-    channel = ["channel"] if "channel" in mapped.columns else []
+    within = [c for c in WITHIN if c in mapped.columns]
     gone = F.when(F.col("reason").isNotNull(), "quarantined").otherwise(records.dropped_by(spec))
     unencodable = sinks.unencodable_reason(spec.fields).isNotNull()
-    x = mapped.select("state_key", "pos", *channel, "source_ts_ns", gone.alias("gone"), unencodable.alias("unencodable"))
+    x = mapped.select("state_key", "pos", *within, "source_ts_ns", gone.alias("gone"), unencodable.alias("unencodable"))
     x = x.withColumns({"live": F.col("gone").isNull(), "source_ts_ns": F.when(F.col("gone").isNull(), F.col("source_ts_ns")).otherwise(F.col("pos") * F.lit(spec.tick_ns))})
-    x = stamping.stamp(x, spec.tick_ns, ["pos", *channel], ["state_key", "live"])
+    x = stamping.stamp(x, spec.tick_ns, ["pos", *within], ["state_key", "live"])
     stage = F.coalesce("gone", F.when(F.col("exhausted") | F.col("unencodable"), "quarantined"), F.lit("shipped"))
     out = x.select(F.lit(spec.name).alias("source"), stage.alias("stage"))
     if bad_frames is not None:
@@ -83,12 +113,12 @@ def outcomes(mapped: DataFrame, spec: SourceSpec, bad_frames: DataFrame | None)
     return out
 
 
-def compose_all(sources: list[tuple[DataFrame, SourceSpec]]) -> Pipeline:
+def compose_all(sources: list[tuple[DataFrame, SourceSpec]], labels: DataFrame | None = None) -> Pipeline:
     """Several sources as one; columns that a source lacks are null."""
     from quarry.plans.spec import validate
 
     validate([s for _, s in sources])
-    parts = [compose(lines, spec) for lines, spec in sources]
+    parts = [compose(lines, spec, labels) for lines, spec in sources]
     first, *rest = parts
     for p in rest:
         first = Pipeline(first.ok.unionByName(p.ok, allowMissingColumns=True), first.quarantined.unionByName(p.quarantined), first.outcomes.unionByName(p.outcomes))

@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.maps import merge
 from quarry.functions.parse import ingest_ns, parse_ts_ns
 
+#: Names of the header fields.
 SYSTEM = ["EventID", "Level", "Task", "Opcode", "Keywords", "EventRecordID", "Channel", "Computer", "Version"]
 
 
+def is_event(xml: Column) -> Column:
+    """Well-formed, with an event as its root."""
+    read = F.from_xml(xml, "System string, __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    return F.coalesce(xml.rlike(r"^\s*(<\?xml[^>]*>\s*)?<Event[\s>]") & read["__bad"].isNull(), F.lit(False))
+
+
 def parse_winlog(events: DataFrame, xml: str = "xml", declared: list[str] | None = None) -> DataFrame:
     """Adds ``parsed`` and ``source_ts_ns``. Named data have their names as keys, unnamed ones that
     are not empty Data0, Data1, ...; the whole text is under Xml. Events without any declared
-    field are skipped."""
-    text = lambda p: F.xpath_string(xml, F.lit(p))
+    field are skipped; of what is no event ``parsed`` is null, and it is skipped with them."""
+    sound = F.when(is_event(F.col(xml)), F.col(xml))  # malformed text would end the job
+    text = lambda p: F.xpath_string(sound, F.lit(p))
     pairs = [F.struct(F.lit("Provider").alias("key"), text("/*/*[local-name()='System']/*[local-name()='Provider']/@Name").alias("value"))]
     pairs += [F.struct(F.lit(k).alias("key"), text(f"/*/*[local-name()='System']/*[local-name()='{k}']").alias("value")) for k in SYSTEM]
     pairs.append(F.struct(F.lit("Xml").alias("key"), F.col(xml).alias("value")))
     base = F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"] != ""))
     data = "/*/*[local-name()='EventData']/*[local-name()='Data']"
-    names, values = F.xpath(xml, F.lit(f"{data}[@Name][text()]/@Name")), F.xpath(xml, F.lit(f"{data}[@Name][text()]/text()"))
+    names, values = F.xpath(sound, F.lit(f"{data}[@Name][text()]/@Name")), F.xpath(sound, F.lit(f"{data}[@Name][text()]/text()"))
     named = F.map_from_entries(F.arrays_zip(names.alias("key"), values.alias("value")))
-    plain = F.xpath(xml, F.lit(f"{data}[not(@Name)]/text()"))
+    plain = F.xpath(sound, F.lit(f"{data}[not(@Name)]/text()"))
     numbered = F.map_from_entries(F.transform(plain, lambda v, i: F.struct(F.concat(F.lit("Data"), i.cast("string")).alias("key"), v.alias("value"))))
     created = text("/*/*[local-name()='System']/*[local-name()='TimeCreated']/@SystemTime")
-    x = events.withColumn("parsed", merge(base, named, numbered)).withColumn("source_ts_ns", F.coalesce(parse_ts_ns(created, "rfc3339"), ingest_ns()))
+    x = events.withColumn("parsed", F.when(sound.isNotNull(), merge(base, named, numbered))).withColumn("source_ts_ns", F.coalesce(parse_ts_ns(created, "rfc3339"), ingest_ns()))
     return x.where(F.exists(F.map_keys("parsed"), lambda k: k.isin(declared))) if declared else x

@@ -269,3 +269,33 @@ def test_replay_changes_nothing(spark):
     x = lines(spark, *(f'{{"ts":{i // 10},"n":{i}}}' for i in range(100)))
     runs = compose(x, SPEC).ok.unionByName(compose(x.repartition(5), SPEC).ok)
     assert gates.exact_count(dedup.lww(runs.withColumn("k", F.to_json("tags")), ["k", "ts_ns"], ["pos"]), ["table"], "f_n").first()[1:] == (100, 100, 0, 99)
+
+
+def test_journal_windows_and_requests_through_specs(spark):
+    fields = {"MESSAGE": "string"}
+    x = lines(spark, '{"__REALTIME_TIMESTAMP":"1700000000000001","MESSAGE":"m","_PID":"1"}', '{"__REALTIME_TIMESTAMP":"5","_PID":"1"}', "junk", '{"MESSAGE":"no time"}')
+    p = compose(x, SourceSpec("j", "journal", "journal", tags=("_PID",), fields=fields, resolution="us"))
+    assert [(r.pos, r.ts_ns, r.tags["_PID"]) for r in p.ok.collect()] == [(0, 1700000000000001000, "1")]
+    assert {r.pos: r.reason for r in p.quarantined.collect()} == {2: "unparseable: not a journal entry", 3: "bad timestamp: missing"}
+    total = p.counters().where("source is null").first()
+    assert (total.lines_read, total.lines_shipped, total.lines_quarantined) == (3, 1, 2)
+
+    event = '<Event xmlns="x"><System><EventID>7</EventID><TimeCreated SystemTime="2024-01-01T00:00:00Z"/></System></Event>'
+    p = compose(lines(spark, event, "no event", "<Event><broken></Event>", event.replace("7", "a & b")), SourceSpec("w", "win", "winlog", fields={"EventID": "integer"}))
+    assert [(r.pos, r.ts_ns, r.f_EventID) for r in p.ok.collect()] == [(0, 1704067200000000000, 7)]
+    assert sorted(r.pos for r in p.quarantined.collect()) == [1, 2, 3]
+
+    log = '{"timeUnixNano":"1000000007","body":{"stringValue":"b"},"attributes":[{"key":"n","value":{"stringValue":"%s"}}]}'
+    request = '{"resourceLogs":[{"resource":{"attributes":[{"key":"host","value":{"stringValue":"h"}}]},"scopeLogs":[{"logRecords":[%s,%s,%s]}]}]}' % (log % 1, log % 2, log % "x")
+    p = compose(lines(spark, request, "{oops", '{"resourceLogs":5}', "{}", "[]"), SourceSpec("o", "otel", "otlp", tags=("host",), fields={"body": "string", "n": "integer"}))
+    assert [(r.pos, r.f_n, r.ts_ns, r.tags["host"]) for r in p.ok.orderBy("f_n").collect()] == [(0, 1, 1000000000, "h"), (0, 2, 1000000001, "h")]
+    assert sorted((r.pos, r.reason.split(":")[0]) for r in p.quarantined.collect()) == [(0, "field 'n' will not coerce to integer"), (1, "unparseable"), (2, "unparseable"), (4, "unparseable")]
+
+
+def test_pod_labels_through_specs(spark):
+    path = "/var/log/containers/web_shop_app-" + "a" * 64 + ".log"
+    x = lines(spark, "t stdout F hello").withColumn("path", F.lit(path))
+    labels = spark.createDataFrame([("shop", "web", {"app": "front", "host": "label", "hash": "x"})], "namespace string, pod string, labels map<string,string>")
+    spec = SourceSpec("k", "logs", "cri", tags_static={"host": "n1", "zone": "z"}, fields={"log": "string"}, kubernetes=True, labels=("app", "host"))
+    assert compose(x, spec, labels).ok.first().tags == {"stream": "web_shop_app", "host": "label", "zone": "z", "app": "front", "namespace": "shop", "pod": "web", "container": "app"}
+    assert "app" not in compose(x, spec).ok.first().tags
