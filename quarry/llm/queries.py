@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, jaccard, katz, langid, mixing, pii, quality, substrings, tokenfile, topk
+from quarry.llm import bpe, exactdedup, jaccard, katz, langid, mixing, pii, quality, substrings, tokenfile, topk
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_topk_search": topk.op8_topk_search,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_exact_dedup": exactdedup.op11_exact_dedup,
     "pipeline": pipeline,
 }
 ORACLES = {
@@ -29,4 +30,5 @@ ORACLES = {
     "op5_substring_dedup": substrings.SQL,
     "op8_topk_search": topk.SQL,
     "op10_jaccard_join": jaccard.SQL,
+    "op11_exact_dedup": exactdedup.SQL,
 }
