@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, exactdedup, jaccard, katz, langid, mixing, pii, quality, substrings, tokenfile, topk
+from quarry.llm import bpe, exactdedup, jaccard, katz, langid, mixing, pii, quality, substrings, tokenfile, topk, whitening
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_exact_dedup": exactdedup.op11_exact_dedup,
+    "op13_whitening": whitening.op13_whitening,
     "pipeline": pipeline,
 }
 ORACLES = {
