@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import load, materialize, shared_dir
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; its files take the space that they fill, and no rows are counted for metrics.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of digest log that one batch takes in.
 BATCH_BYTES = 256 * 10**9
@@ -75,8 +79,9 @@ def absorb(spark: SparkSession, where: str, batch_bytes: int = BATCH_BYTES) -> i
 
     State: digest -> the greatest (doc_id, file, row) and the number of rows. A null id is less
     than any other; rows of one id and text are told apart by where they lie."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         log = spark.readStream.schema(LOG).option("maxBytesPerTrigger", batch_bytes).parquet(f"{where}/log")
         state = log.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
@@ -84,7 +89,8 @@ def absorb(spark: SparkSession, where: str, batch_bytes: int = BATCH_BYTES) -> i
         run.awaitTermination()
         return len([p for p in run.recentProgress if p["numInputRows"]])
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def state(spark: SparkSession, where: str) -> DataFrame:
@@ -153,7 +159,7 @@ def deduplicate(docs: DataFrame, where: str | None = None, digest: Callable[[Col
     else:
         clear, parted = log, None
     heavy = F.broadcast(groups.where(F.col("n") * HEAVY > total))  # fewer than HEAVY rows
-    light = groups.where(F.col("n") * HEAVY <= total)
+    light = groups.where(F.col("n") * HEAVY <= total).hint("merge")
     out = _rows(clear.join(heavy, "digest")).unionByName(_rows(clear.join(heavy, "digest", "left_anti").join(light, "digest")))
     return out.unionByName(parted) if parted is not None else out
 
