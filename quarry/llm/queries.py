@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, exactdedup, jaccard, katz, langid, mixing, pii, quality, substrings, tokenfile, topk, whitening
+from quarry.llm import bpe, exactdedup, hardnegatives, jaccard, katz, langid, mixing, pii, quality, substrings, tokenfile, topk, whitening
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_exact_dedup": exactdedup.op11_exact_dedup,
+    "op12_hard_negatives": hardnegatives.op12_hard_negatives,
     "op13_whitening": whitening.op13_whitening,
     "pipeline": pipeline,
 }
@@ -32,4 +33,5 @@ ORACLES = {
     "op8_topk_search": topk.SQL,
     "op10_jaccard_join": jaccard.SQL,
     "op11_exact_dedup": exactdedup.SQL,
+    "op12_hard_negatives": hardnegatives.SQL,
 }
