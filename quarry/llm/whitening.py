@@ -168,17 +168,25 @@ class Slices:
             tight = False
 
 
+def _toward(shifted: np.ndarray, v: np.ndarray, aside: float) -> np.ndarray:
+    """A step of inverse iteration, of unit length; where the shift is an eigenvalue to the last digit
+    it is taken a little beside it."""
+    try:
+        w = np.linalg.solve(shifted, v)
+    except np.linalg.LinAlgError:
+        w = np.full(len(v), np.inf)
+    if not np.abs(w).max() < 1e100:
+        w = np.linalg.solve(shifted - aside * np.eye(len(v)), v)
+    return w / np.linalg.norm(w)
+
+
 def rayleigh(matrix: np.ndarray, shift: float, start: np.ndarray, norm: float) -> tuple[float, np.ndarray]:
     """Rayleigh quotient iteration, after two steps at a fixed shift that turn the start towards the
     eigenvalue next to it."""
     v, eye = start, np.eye(len(matrix))
     best = (np.inf, shift, v)
     for step in range(40):
-        try:
-            w = np.linalg.solve(matrix - shift * eye, v)
-        except np.linalg.LinAlgError:  # the shift is an eigenvalue to the last digit
-            w = np.linalg.solve(matrix - (shift + 4 * np.finfo(float).eps * norm) * eye, v)
-        v = w / np.linalg.norm(w)
+        v = _toward(matrix - shift * eye, v, 4 * np.finfo(float).eps * norm)
         value = float(v @ matrix @ v)
         residual = float(np.linalg.norm(matrix @ v - value * v))
         if residual < best[0]:
