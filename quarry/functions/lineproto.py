@@ -18,14 +18,14 @@ PART = r"(?:\\.|[^\\,= ])+"
 def escape_key(s: Column) -> Column:
     """Keys, tag values and table names: controls become spaces; comma, equals sign and space get
     a backslash."""
-    return F.regexp_replace(F.regexp_replace(s, CONTROL, " "), r"([,= ])", r"\\$1")
+    return F.when(s.rlike(r"[\x00-\x1F,= ]"), F.regexp_replace(F.regexp_replace(s, CONTROL, " "), r"([,= ])", r"\\$1")).otherwise(s)
 
 
 def escape_text(s: Column) -> Column:
     """Contents of a quoted field."""
-    s = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    s = F.replace(F.replace(s, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\\n"))
-    return F.regexp_replace(s, CONTROL, " ")
+    t = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    t = F.replace(F.replace(t, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\\n"))
+    return F.when(s.rlike(r'[\x00-\x1F"\\]'), F.regexp_replace(t, CONTROL, " ")).otherwise(s)
 
 
 def field_text(value: Column, kind: str) -> Column:
@@ -39,15 +39,22 @@ def field_text(value: Column, kind: str) -> Column:
     return F.concat(F.lit('"'), escape_text(value), F.lit('"'))
 
 
-def encode_line(table: Column, tags: Column, fields: dict[str, tuple[Column, str]], ts_ns: Column) -> Column:
+def tag_text(tags: Column | dict[str, Column]) -> Column:
+    """``,key=value`` of each tag that has a value, in key order. Tags come as a map, or as a column
+    for each key that there can be, which takes no sorting."""
+    if isinstance(tags, dict):
+        return F.concat(F.lit(""), *(F.coalesce(F.concat(F.lit(","), escape_key(F.lit(k)), F.lit("="), escape_key(v)), F.lit("")) for k, v in sorted(tags.items())))
+    return F.array_join(F.transform(F.filter(sorted_entries(tags), lambda e: e["value"].isNotNull()), lambda e: F.concat(F.lit(","), escape_key(e["key"]), F.lit("="), escape_key(e["value"]))), "")
+
+
+def encode_line(table: Column, tags: Column | dict[str, Column], fields: dict[str, tuple[Column, str]], ts_ns: Column) -> Column:
     """One line; null where the record has no table, no field, or a float that is not finite."""
-    pairs = F.transform(F.filter(sorted_entries(tags), lambda e: e["value"].isNotNull()), lambda e: F.concat(escape_key(e["key"]), F.lit("="), escape_key(e["value"])))
-    head = F.array_join(F.concat(F.array(escape_key(table)), pairs), ",")
+    head = F.concat(escape_key(table), tag_text(tags))
     written = [F.when(c.isNotNull(), F.concat(escape_key(F.lit(k)), F.lit("="), field_text(c, kind))) for k, (c, kind) in fields.items()]
     bad = reduce(lambda a, b: a | b, [c.isNotNull() & field_text(c, kind).isNull() for c, kind in fields.values()], F.lit(False))
-    some = F.array_compact(F.array(*written)) if written else F.array().cast("array<string>")
-    line = F.concat(head, F.lit(" "), F.array_join(some, ","), F.lit(" "), ts_ns.cast("string"))
-    return F.when((F.length(table) > 0) & (F.size(some) > 0) & ~bad, line)
+    some = F.concat_ws(",", *written)  # nulls are passed over
+    line = F.concat(head, F.lit(" "), some, F.lit(" "), ts_ns.cast("string"))
+    return F.when((F.length(table) > 0) & (F.length(some) > 0) & ~bad, line)
 
 
 def unencodable(table: Column, fields: dict[str, tuple[Column, str]]) -> Column:

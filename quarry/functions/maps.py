@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRING_MAP = "map<string,string>"
@@ -20,6 +20,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns by way of a generator of one row. Filters are not moved through it, so what the
+    columns say is computed once for each row, however many predicates name them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def last_wins(entries: Column) -> Column:
     """Map of an array of (key, value) entries; of equal keys the last one counts."""
 

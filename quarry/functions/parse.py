@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.maps import STRING_MAP, last_wins, let
 
@@ -48,6 +49,61 @@ def value_text(m: Column, key: str) -> Column:
     return F.when(has_key(m, key), F.coalesce(F.element_at(m, key), F.lit("null")))
 
 
+class MapKeys:
+    """What a record's map says of a key."""
+
+    def __init__(self, m: Column):
+        self.m, self.ok = m, m.isNotNull()
+
+    def has(self, key: str) -> Column:
+        return has_key(self.m, key)
+
+    def text(self, key: str) -> Column:
+        return value_text(self.m, key)
+
+    def value(self, key: str) -> Column:
+        """As ``text``, but a JSON null has no value."""
+        return F.when(F.element_at(self.m, key).isNotNull(), self.text(key))
+
+
+BAD = "__not_json"
+
+
+def read_json(line: Column, keys: list[str]) -> Column:
+    """struct(ok, v, m): the named keys of a JSON object, read once and without the others. Equal keys:
+    the last counts. ``m`` is the whole map where the line has a null somewhere, which ``v``
+    cannot tell from an absent key; else null."""
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in [*keys, BAD]])
+    strict = F.when(F.rtrim(line).endswith("}") & F.ltrim(line, F.lit(" \t\r\n")).startswith("{"), line)
+    v = F.from_json(strict, schema, {"allowSingleQuotes": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    return F.struct(v.alias("v"), F.when(line.contains("null"), parse_json(line)).alias("m"))
+
+
+def can_read(keys: list[str]) -> bool:
+    """Whether the keys make a struct: no two differ in case alone."""
+    return len({k.lower() for k in [*keys, BAD]}) == len(keys) + 1
+
+
+class ReadKeys:
+    """What ``read_json`` says of a key."""
+
+    def __init__(self, read: Column):
+        self.v, self.m = read["v"], read["m"]
+        self.ok = self.v.isNotNull() & self.v.getField(BAD).isNull()
+
+    def _null(self, key: str) -> Column:
+        return self.m.isNotNull() & has_key(self.m, key)
+
+    def has(self, key: str) -> Column:
+        return self.v.getField(key).isNotNull() | self._null(key)
+
+    def text(self, key: str) -> Column:
+        return F.coalesce(self.v.getField(key), F.when(self._null(key), "null"))
+
+    def value(self, key: str) -> Column:
+        return self.v.getField(key)
+
+
 def coerce(text: Column, kind: str) -> Column:
     """The value of a declared type, null where the text does not have it. A null text is absent."""
     if kind == "string":

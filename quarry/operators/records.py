@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.hashes import fnv1a_mod, identity
-from quarry.functions.maps import empty_map, merge
-from quarry.functions.parse import coerce, has_key, ingest_ns, is_blank, parse_ts_ns, text_of, value_text
+from quarry.functions.maps import empty_map, merge, named, once
+from quarry.functions.parse import MapKeys, ReadKeys, can_read, coerce, ingest_ns, is_blank, parse_json, parse_ts_ns, read_json, text_of, value_text
 from quarry.plans.spec import Filter, Redact, Sample, SourceSpec
 
 
 def drop_blank(lines: DataFrame, column: str = "line") -> DataFrame:
     """Lines without their trailing line ends; lines of white space alone are neither read nor
     errors."""
-    return lines.withColumn(column, F.regexp_replace(column, r"[\r\n]+$", "")).where(~is_blank(F.col(column)))
+    return lines.withColumn(column, F.rtrim(F.col(column), F.lit("\r\n"))).where(~is_blank(F.col(column)))
 
 
 def tags_allowlist(parsed: Column, keys: list[str]) -> Column:
@@ -41,31 +41,99 @@ def record_tags(parsed: Column, spec: SourceSpec, stream: Column, pod: Column |
     return merge(*layers)
 
 
+class TagMap:
+    """Tags in a map column."""
+
+    def __init__(self, column: str = "tags"):
+        self.map, self.text = F.col(column), F.col(column)
+
+    def get(self, name: str) -> Column | None:
+        return F.element_at(self.map, name)
+
+
+class TagColumns:
+    """Tags whose keys are known before a record is read: one column ``t_<key>`` each, null where the
+    record lacks the tag. ``text`` is what a line is rendered from; ``map`` is made where needed."""
+
+    def __init__(self, keys: list[str]):
+        self.text = {k: named(f"t_{k}") for k in sorted(keys)}
+
+    @property
+    def map(self) -> Column:
+        made = F.create_map(*(x for k, c in self.text.items() for x in (F.lit(k), c)))
+        return F.map_filter(made, lambda k, v: v.isNotNull())
+
+    def get(self, name: str) -> Column | None:
+        return self.text.get(name)
+
+
+Tags = TagMap | TagColumns
+
+
+def tag_keys(spec: SourceSpec) -> list[str] | None:
+    """All tags that records of a source can have; None where the source's pods have labels of their own."""
+    if spec.kubernetes:
+        return None
+    return sorted({"stream", *spec.tags_static, *spec.tags, *(["_visibility"] if spec.visibility else [])})
+
+
+def tags_of(spec: SourceSpec) -> Tags:
+    keys = tag_keys(spec)
+    return TagMap() if keys is None else TagColumns(keys)
+
+
+def tag_columns(keys: MapKeys | ReadKeys, spec: SourceSpec, stream: Column) -> dict[str, Column]:
+    """The layers of ``record_tags`` for tags that are known by name."""
+    out = {"stream": stream, **{k: F.lit(v) for k, v in spec.tags_static.items()}}
+    for k in spec.tags:
+        seen = F.nullif(keys.text(k), F.lit(""))
+        out[k] = F.coalesce(seen, out[k]) if k in out else seen
+    if spec.visibility:
+        out["_visibility"] = F.lit(spec.visibility)
+    return out
+
+
+def read_lines_once(framed: DataFrame, spec: SourceSpec) -> DataFrame:
+    """Adds ``read``: what the spec names of a line of JSON, by one reading. Names that differ in case
+    alone cannot be read that way; then ``parsed`` is added, the whole line as a map."""
+    keys = sorted({*spec.tags, *spec.fields, *([spec.timestamp_field] if spec.timestamp_field else [])})
+    if can_read(keys):
+        return once(framed, {"read": read_json(F.col("line"), keys)})
+    return once(framed, {"parsed": parse_json(F.col("line"))})
+
+
 def map_records(framed: DataFrame, spec: SourceSpec, parsed: str = "parsed", keep: list[str] | None = None) -> DataFrame:
     """table, tags, one ``f_<name>`` column for each declared field, source_ts_ns, and ``reason``
-    where the record has to be quarantined: any field that does not coerce rejects it whole."""
-    m = F.col(parsed)
-    reasons = [F.when(m.isNull(), "unparseable: not a JSON object")]
+    where the record has to be quarantined: any field that does not coerce rejects it whole.
+    Tags are one column each where their keys are known (``tags_of`` gives them), else a map.
+
+    Lines come read (``read_lines_once``) or as a map column. All of it is computed once for each row."""
+    keys = ReadKeys(F.col("read")) if "read" in framed.columns else MapKeys(F.col(parsed))
+    reasons = [F.when(~keys.ok, "unparseable: not a JSON object")]
     if "source_ts_ns" in framed.columns:  # the source's own time counts
         ts = F.col("source_ts_ns")
         reasons.append(F.when(ts.isNull(), "bad timestamp: missing"))
     elif spec.timestamp_field:
-        raw = value_text(m, spec.timestamp_field)
+        raw = keys.text(spec.timestamp_field)
         ts = parse_ts_ns(raw, spec.timestamp_format)
         reasons.append(F.when(ts.isNull(), F.concat(F.lit("bad timestamp: "), F.coalesce(raw, F.lit("missing")))))
     else:
         ts = ingest_ns()
     known = lambda c: F.col(c) if c in framed.columns else None
     stream = F.col("stream") if "stream" in framed.columns else F.lit(spec.name)
-    columns = {"table": F.lit(spec.table), "tags": record_tags(m, spec, stream, known("pod_tags"), known("label_tags")), "source_ts_ns": ts}
+    columns = {"table": F.lit(spec.table), "__ts": ts}
+    if tag_keys(spec) is None:
+        columns["tags"] = record_tags(F.col(parsed), spec, stream, known("pod_tags"), known("label_tags"))
+    else:
+        columns |= {f"t_{k}": c for k, c in tag_columns(keys, spec, stream).items()}
     for name, kind in sorted(spec.fields.items()):
-        text = value_text(m, name)
         # JSON null has no value of any type but text
-        value = coerce(F.when(F.element_at(m, name).isNotNull(), text) if kind != "string" else text, kind)
+        value = coerce(keys.value(name) if kind != "string" else keys.text(name), kind)
         columns[f"f_{name}"] = value
-        reasons.append(F.when(has_key(m, name) & value.isNull(), f"field '{name}' will not coerce to {kind}"))
-    kept = keep if keep is not None else [c for c in framed.columns if c not in (parsed, "source_ts_ns")]
-    return framed.select(*kept, *(c.alias(n) for n, c in columns.items()), F.coalesce(*reasons).alias("reason"))
+        reasons.append(F.when(keys.has(name) & value.isNull(), f"field '{name}' will not coerce to {kind}"))
+    kept = keep if keep is not None else [c for c in framed.columns if c not in (parsed, "read", "source_ts_ns")]
+    mapped = once(framed, {**columns, "reason": F.coalesce(*reasons)})
+    return mapped.select(*(named(c) for c in kept), *(named(c).alias("source_ts_ns" if c == "__ts" else c) for c in columns), "reason")
 
 
 def quarantine(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,31 +141,32 @@ def quarantine(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mapped.where("reason is null").drop("reason"), mapped.where("reason is not null")
 
 
-def field_equals(name: str, value: str, kinds: dict[str, str], tags: str = "tags") -> Column:
+def field_equals(name: str, value: str, kinds: dict[str, str], tags: Tags | None = None) -> Column:
     """A tag or a field of that name whose text is the value."""
-    out = F.coalesce(F.element_at(F.col(tags), name) == value, F.lit(False))
+    tag = (tags or TagMap()).get(name)
+    out = F.lit(False) if tag is None else F.coalesce(tag == value, F.lit(False))
     if name in kinds:
-        out = out | F.coalesce(text_of(F.col(f"f_{name}"), kinds[name]) == value, F.lit(False))
+        out = out | F.coalesce(text_of(named(f"f_{name}"), kinds[name]) == value, F.lit(False))
     return out
 
 
-def passes_filters(filters: list[Filter], kinds: dict[str, str]) -> Column:
+def passes_filters(filters: list[Filter], kinds: dict[str, str], tags: Tags | None = None) -> Column:
     """Deny rules first: any match drops. If there are allow rules, one has to match."""
-    deny = [field_equals(f.field, f.equals, kinds) for f in filters if f.drop]
-    allow = [field_equals(f.field, f.equals, kinds) for f in filters if not f.drop]
+    deny = [field_equals(f.field, f.equals, kinds, tags) for f in filters if f.drop]
+    allow = [field_equals(f.field, f.equals, kinds, tags) for f in filters if not f.drop]
     out = ~reduce(lambda a, b: a | b, deny, F.lit(False))
     return out & reduce(lambda a, b: a | b, allow) if allow else out
 
 
-def passes_samples(samples: list[Sample], kinds: dict[str, str], ts: str = "source_ts_ns") -> Column:
+def passes_samples(samples: list[Sample], kinds: dict[str, str], ts: str = "source_ts_ns", tags: Tags | None = None) -> Column:
     """Every rule that applies keeps one of ``rate`` records, by a hash of the whole record, so that
     a replay keeps the same ones."""
-    who = identity(F.col("tags"), [(k, text_of(F.col(f"f_{k}"), kind)) for k, kind in sorted(kinds.items())])
+    who = identity((tags or TagMap()).map, [(k, text_of(named(f"f_{k}"), kind)) for k, kind in sorted(kinds.items())])
     out = F.lit(True)
     for s in samples:
         if s.rate > 1:
             chosen = fnv1a_mod(who, F.col(ts), s.rate) == 0
-            out = out & (chosen if s.field is None else ~field_equals(s.field, s.equals, kinds) | chosen)
+            out = out & (chosen if s.field is None else ~field_equals(s.field, s.equals, kinds, tags) | chosen)
     return out
 
 
@@ -107,14 +176,15 @@ def redacted(rules: list[Redact], kinds: dict[str, str]) -> dict[str, Column]:
     for r in rules:
         if kinds.get(r.field) == "string":
             name = f"f_{r.field}"
-            out[name] = F.regexp_replace(out.get(name, F.col(name)), f"(?U){r.pattern}", r.replacement)
+            out[name] = F.regexp_replace(out.get(name, named(name)), f"(?U){r.pattern}", r.replacement)
     return out
 
 
 def dropped_by(spec: SourceSpec) -> Column:
     """The stage that drops a record, null for one that is kept: filter, then sample."""
-    dropped = F.when(~passes_filters(list(spec.filters), spec.fields), "filter")
-    return F.coalesce(dropped, F.when(~passes_samples(list(spec.samples), spec.fields), "sample")) if spec.samples else dropped
+    tags = tags_of(spec)
+    dropped = F.when(~passes_filters(list(spec.filters), spec.fields, tags), "filter")
+    return F.coalesce(dropped, F.when(~passes_samples(list(spec.samples), spec.fields, tags=tags), "sample")) if spec.samples else dropped
 
 
 def transform_records(records: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame]:

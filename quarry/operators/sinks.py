@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.lineproto import encode_line, parse_line, unencodable
+from quarry.functions.maps import named
 from quarry.operators.dedup import upsert
 from quarry.operators.framing import running_total
 
@@ -18,15 +19,16 @@ def assign_batches(records: DataFrame, batch_lines: int = 5_000, key: str = "sta
 
 def unencodable_reason(kinds: dict[str, str]) -> Column:
     """Why a record has no line; null where it has one."""
-    return unencodable(F.col("table"), {k: (F.col(f"f_{k}"), kind) for k, kind in sorted(kinds.items())})
+    return unencodable(F.col("table"), {k: (named(f"f_{k}"), kind) for k, kind in sorted(kinds.items())})
 
 
-def encoded(records: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Records with their line in ``lp``, and those that have none with the reason."""
-    fields = {k: (F.col(f"f_{k}"), kind) for k, kind in sorted(kinds.items())}
-    x = records.withColumn("lp", encode_line(F.col("table"), F.col("tags"), fields, F.col("ts_ns")))
-    bad = records.withColumn("reason", unencodable(F.col("table"), fields)).where("reason is not null")
-    return x.where("lp is not null"), bad
+def encoded(records: DataFrame, kinds: dict[str, str], tags: Column | dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records with their line in ``lp``, and those that have none with the reason. ``tags``: a column for
+    each tag, in place of the map column ``tags``."""
+    fields = {k: (named(f"f_{k}"), kind) for k, kind in sorted(kinds.items())}
+    bad = unencodable(F.col("table"), fields)
+    x = records.where(bad.isNull()).withColumn("lp", encode_line(F.col("table"), F.col("tags") if tags is None else tags, fields, F.col("ts_ns")))
+    return x, records.withColumn("reason", bad).where("reason is not null")
 
 
 def validate_batch(lines: DataFrame, column: str = "lp") -> tuple[DataFrame, DataFrame]:

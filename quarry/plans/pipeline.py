@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.maps import once
 from quarry.functions.parse import parse_json, parse_plain
 from quarry.operators import accounting, framing, records, sinks, stamping
 from quarry.operators.enrich import join_pod_labels, parse_cri_path, pod_tags, stream_label
@@ -34,8 +35,8 @@ WITHIN = ("channel", "place")
 
 
 def frame(lines: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame | None]:
-    """(state_key, pos, line, parsed), with source_ts_ns where the source has a time of its own, and
-    the lines that the framing rejects. Entries of a journal and Windows events without any
+    """(state_key, pos, line) with ``parsed`` or ``read``, source_ts_ns where the source has a time of its
+    own, and the lines that the framing rejects. Entries of a journal and Windows events without any
     declared field are neither read nor errors."""
     declared = list(spec.fields)
     if spec.parser == "journal":
@@ -58,8 +59,11 @@ def frame(lines: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame | No
     multiline = spec.multiline
     framed = framing.join_multiline(lines, multiline.starts_with, multiline.max_lines, multiline.max_bytes) if multiline else lines.select("state_key", "pos", "line")
     framed = records.drop_blank(framed)
-    parse = parse_plain if spec.parser == "plain" else parse_json
-    return framed.withColumn("parsed", parse(F.col("line"))), None
+    if spec.parser == "plain":
+        return framed.withColumn("parsed", parse_plain(F.col("line"))), None
+    if spec.kubernetes:  # labels come as maps
+        return once(framed, {"parsed": parse_json(F.col("line"))}), None
+    return records.read_lines_once(framed, spec), None
 
 
 def pods(lines: DataFrame, spec: SourceSpec, labels: DataFrame | None) -> DataFrame:
@@ -89,7 +93,10 @@ def compose(lines: DataFrame, spec: SourceSpec, labels: DataFrame | None = None)
     scope = ["state_key"]
     stamped = stamping.stamp(kept, spec.tick_ns, ["pos", *within], scope)
     fresh, spent = stamped.where("not exhausted"), stamped.where("exhausted")
-    ok, unencodable = sinks.encoded(fresh, spec.fields)
+    tags = records.tags_of(spec)
+    ok, unencodable = sinks.encoded(fresh, spec.fields, tags.text)
+    if isinstance(tags, records.TagColumns):
+        ok = ok.withColumn("tags", tags.map).drop(*(f"t_{k}" for k in tags.text))
     quarantined = bad.select(*REJECT).unionByName(spent.select("state_key", "pos", "line", F.lit("stamp: no place left in the tick").alias("reason"))).unionByName(unencodable.select(*REJECT))
     if bad_frames is not None:
         quarantined = quarantined.unionByName(bad_frames)

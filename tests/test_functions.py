@@ -112,3 +112,28 @@ def test_parse_line(spark):
     r = one(spark, lineproto.parse_line(F.col("v")), 't\\ x,a=b\\,c f="x, y=z",n=42i,b=true 12')
     assert (r.table, r.tags, r.fields, r.ts_ns) == ("t x", {"a": "b,c"}, {"f": '"x, y=z"', "n": "42i", "b": "true"}, 12)
     assert one(spark, lineproto.parse_line(F.col("v")), "nothing") is None
+
+
+ODD_JSON = [
+    '{"a":"x","b":1}', '{"a":1.0,"b":1e3}', '{"a":null,"b":null}', '{"a":"null"}', '{"b":{"c":[1,"2",null]},"a":[]}', '{"a":1,"a":2}', '{"a":1,"a":null}', '{"a":null,"a":3}', "{}", "[]", '[{"a":1}]', '[{"a":1}] {"b":2}',
+    '{"a":1} xyz', '{"a":1', "{'a':1}", '{"a":tru}', "", "   ", "null", '  {"a":"s p"}  ', '\t{"a":1}', '{"A":1,"a":2}', '{"a":"\\u0041\\n"}', '{"x":"null","a":true}', '{"b":-0,"a":12345678901234567890}', "3", '"s"', '{"a":"}"', '{"a.b":7}',
+]
+
+
+def test_reading_named_keys_says_what_the_map_says(spark):
+    keys = ["a", "b", "a.b", "z"]
+    df = spark.createDataFrame([(x,) for x in ODD_JSON] + [(None,)], "line string")
+    of_map, of_read = parse.MapKeys(F.col("m")), parse.ReadKeys(F.col("r"))
+    x = df.withColumns({"m": parse.parse_json(F.col("line")), "r": parse.read_json(F.col("line"), keys)})
+    for k in [None, *keys]:
+        if k is None:
+            pair = [F.coalesce(s.ok, F.lit(False)) for s in (of_map, of_read)]
+            same = x.where(~pair[0].eqNullSafe(pair[1]))
+            assert same.select("line").collect() == [], same.collect()
+            continue
+        for name in ("has", "text", "value"):
+            left, right = (F.when(F.coalesce(s.ok, F.lit(False)), getattr(s, name)(k)) for s in (of_map, of_read))
+            if name == "has":
+                left, right = F.coalesce(left, F.lit(False)), F.coalesce(right, F.lit(False))
+            wrong = x.where(~left.eqNullSafe(right)).select("line", left.alias("map"), right.alias("read"))
+            assert wrong.collect() == [], (k, name)
