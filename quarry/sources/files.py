@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.parse import decode_lossy, parse_json
-
-LINES = "state_key string, path string, pos long, raw string"
+from quarry.sources import lines
 
 
 def stream_id(source: str, path: Column) -> Column:
@@ -18,45 +17,37 @@ def stream_id(source: str, path: Column) -> Column:
     return F.concat(F.lit(f"{source}."), F.regexp_replace(name, r"\.log$", ""))
 
 
-def escape_glob(name: str) -> str:
-    """``*`` and ``?`` stay patterns; brackets and braces mean themselves."""
-    return re.sub(r"([\[\]{}\\])", r"\\\1", name)
+#: Bytes of one file, and of a rotated set's files before one, that positions have room for.
+FILE_BITS = 44
+
+
+def _scan(spark: SparkSession, path: str, range_bytes: int | None, **options: str) -> DataFrame:
+    reader = spark.read.format(lines.register(spark)).option("path", path)
+    if range_bytes:
+        reader = reader.option("range_bytes", range_bytes)
+    return reader.options(**options).load().withColumn("raw", F.col("raw").cast("string"))
 
 
-def read_lines(spark: SparkSession, path: str, source: str = "file", pattern: str | None = None, complete_only: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, source: str = "file", pattern: str | None = None, complete_only: bool = False, range_bytes: int | None = None) -> DataFrame:
     """(state_key, path, pos, raw) of a file or of the files in a folder.
 
-    Lines end with a line feed; one carriage return before it is removed. ``pos`` is ascending
-    within a file also when it is read in several splits: splits are numbered in their order by
-    the engine, and rows within them. ``pattern`` (``*`` and ``?``) chooses files of the folder
-    itself. ``complete_only`` leaves out a last line without its line feed. A folder that is
-    missing has no lines."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], LINES)
-    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "false")
-    if pattern:
-        reader = reader.option("pathGlobFilter", escape_glob(pattern))
-    x = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r$", "").alias("raw"))
-    # a split's rows are consecutive, and its block start orders the splits of a file
-    x = x.select(stream_id(source, F.col("path")).alias("state_key"), "path", (F.col("block") * (1 << 20) + F.pmod("n", F.lit(1 << 33))).alias("pos"), "raw")
-    if complete_only:
-        bytes_ = spark.read.format("binaryFile").option("pathGlobFilter", escape_glob(pattern) if pattern else "*").load(path)
-        cut = bytes_.where((F.col("length") > 0) & (F.substring("content", -1, 1) != F.lit(b"\n"))).select("path")
-        last = x.groupBy("path").agg(F.max("pos").alias("pos"))
-        x = x.join(last.join(cut, "path", "left_semi"), ["path", "pos"], "left_anti").select("state_key", "path", "pos", "raw")
-    return x
-
-
-def read_rotated_set(spark: SparkSession, path: str, source: str = "file") -> DataFrame:
+    Lines end with a line feed; one carriage return before it is removed. ``pos`` is the byte at
+    which the line begins, whatever ranges the file is read in. ``pattern`` (``*`` and ``?``)
+    chooses files of the folder itself. ``complete_only`` leaves out a last line without its
+    line feed. A folder that is missing has no lines."""
+    x = _scan(spark, path, range_bytes, **({"pattern": pattern} if pattern else {}))
+    x = x.where("ended") if complete_only else x
+    return x.select(stream_id(source, F.col("path")).alias("state_key"), "path", "pos", "raw")
+
+
+def read_rotated_set(spark: SparkSession, path: str, source: str = "file", complete_only: bool = False, range_bytes: int | None = None) -> DataFrame:
     """A log and its rotated siblings, which share its name as a prefix, as one stream: oldest
-    first, then by position."""
-    folder, name = path.rsplit("/", 1)
-    x = spark.read.option("lineSep", "\n").option("pathGlobFilter", escape_glob(name) + "*").text(folder)
-    x = x.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r$", "").alias("raw"))
-    files = x.groupBy("path").agg(F.min("modified").alias("modified")).withColumn("rank", F.row_number().over(Window.orderBy(F.regexp_extract("path", r"([^/]+)$", 1) == name, "modified", "path")))
-    x = x.join(files.select("path", "rank"), "path").drop("modified")
-    return x.select(F.lit(f"{source}.{re.sub(r'[.]log$', '', name)}").alias("state_key"), "path", (F.col("rank") * (1 << 52) + F.col("block") * (1 << 10) + F.pmod("n", F.lit(1 << 33))).alias("pos"), "raw")
+    first, then by byte. ``complete_only`` leaves out a last line of the live file that has no
+    line feed yet; such a line of a rotated file is complete, since nobody writes there."""
+    name = path.rsplit("/", 1)[1]
+    x = _scan(spark, path, range_bytes, rotated="true")
+    x = x.where(F.col("ended") | ~F.col("path").endswith("/" + name)) if complete_only else x
+    return x.select(F.lit(f"{source}.{re.sub(r'[.]log$', '', name)}").alias("state_key"), "path", (F.col("rank").cast("long") * (1 << FILE_BITS) + F.col("pos")).alias("pos"), "raw")
 
 
 def decoded(lines: DataFrame) -> DataFrame:

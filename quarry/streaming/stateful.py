@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.plans.spec import WatermarkSpec
-from quarry.sources.files import stream_id
+from quarry.sources import lines
+from quarry.sources.files import decoded, stream_id
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 REMEMBERED_TICKS = 64
@@ -26,12 +27,19 @@ def prepare_streaming(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def stream_lines(spark: SparkSession, folder: str, source: str = "file", max_files: int = 100) -> DataFrame:
-    """(state_key, path, pos, line) of each closed file of a folder, once. ``pos`` is the place of
-    the line in its file; a last line without a line feed counts, since the file is closed."""
-    files = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", max_files).load(folder)
-    x = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("pos", "line"))
-    return x.select(stream_id(source, F.col("path")).alias("state_key"), "path", F.col("pos").cast("long").alias("pos"), F.regexp_replace("line", r"\r$", "").alias("line"))
+def stream_lines(spark: SparkSession, folder: str, source: str = "file", pattern: str | None = None, closed: bool = True, range_bytes: int | None = None) -> DataFrame:
+    """(state_key, path, pos, line) of the lines of a folder's files, each once, ``pos`` the byte at which
+    it begins. A batch is what was written since the last one, in ranges of ``range_bytes``.
+
+    ``closed``: files do not grow, and a last line without a line feed counts. Otherwise files may
+    grow, and a line waits until its line feed is there."""
+    reader = spark.readStream.format(lines.register(spark)).option("path", folder).option("closed", str(closed).lower())
+    if pattern:
+        reader = reader.option("pattern", pattern)
+    if range_bytes:
+        reader = reader.option("range_bytes", range_bytes)
+    x = decoded(reader.load())
+    return x.select(stream_id(source, F.col("path")).alias("state_key"), "path", "pos", "line")
 
 
 class Framer(StatefulProcessor):
