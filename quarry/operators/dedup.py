@@ -22,18 +22,3 @@ def replay_report(delivered: DataFrame, key: list[str]) -> DataFrame:
     """(delivered, distinct_rows, replays) of deliveries that may repeat."""
     each = delivered.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     return each.agg(F.sum("n").alias("delivered"), F.count(F.lit(1)).alias("distinct_rows")).withColumn("replays", F.col("delivered") - F.col("distinct_rows"))
-
-
-def upsert(batch: DataFrame, path: str, partition: str, key: list[str], arrival: str) -> None:
-    """Rows of ``batch`` over the existing ones of the table at ``path``. Only partitions that the
-    batch touches are rewritten, by way of a staging folder; writing a batch twice changes
-    nothing."""
-    spark = batch.sparkSession
-    new = batch.withColumn("__new", F.lit(1))
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        old = spark.read.schema(batch.schema).parquet(path).join(batch.select(partition).distinct(), partition, "left_semi")
-        new = old.select(*batch.columns).withColumn("__new", F.lit(0)).unionByName(new)
-    staging = f"{path.rstrip('/')}__staging"
-    lww(new, key, ["__new", arrival]).drop("__new").write.mode("overwrite").parquet(staging)
-    spark.read.schema(batch.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

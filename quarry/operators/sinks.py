@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.lineproto import encode_line, parse_line, unencodable
 from quarry.functions.maps import named
-from quarry.operators.dedup import upsert
 from quarry.operators.framing import running_total
 
 
@@ -22,6 +21,10 @@ def unencodable_reason(kinds: dict[str, str]) -> Column:
     return unencodable(F.col("table"), {k: (named(f"f_{k}"), kind) for k, kind in sorted(kinds.items())})
 
 
+def line_of(kinds: dict[str, str], tags: Column | dict[str, Column]) -> Column:
+    return encode_line(F.col("table"), tags, {k: (named(f"f_{k}"), kind) for k, kind in sorted(kinds.items())}, F.col("ts_ns"))
+
+
 def encoded(records: DataFrame, kinds: dict[str, str], tags: Column | dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Records with their line in ``lp``, and those that have none with the reason. ``tags``: a column for
     each tag, in place of the map column ``tags``."""
@@ -41,13 +44,6 @@ def write_lp(encoded_lines: DataFrame, path: str, column: str = "lp") -> None:
     encoded_lines.select(F.col(column).alias("value")).write.mode("append").option("compression", "gzip").text(path)
 
 
-def write_table(records: DataFrame, path: str, arrival: str) -> None:
-    """Typed columns, partitioned by table; equal keys are replaced, so writing twice is safe."""
-    from quarry.functions.maps import series_key
-
-    upsert(records.withColumn("series_key", series_key(F.col("tags"))), path, "table", ["table", "series_key", "ts_ns"], arrival)
-
-
 def write_dead_letter(rejected: DataFrame, path: str) -> None:
     """One JSON object for each rejected line with its reason, by stream."""
     rejected.select("state_key", "reason", "line").write.mode("append").partitionBy("state_key").json(path)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.maps import once
+from quarry.functions.maps import named, once
 from quarry.functions.parse import parse_json, parse_plain
 from quarry.operators import accounting, framing, records, sinks, stamping
 from quarry.operators.enrich import join_pod_labels, parse_cri_path, pod_tags, stream_label
@@ -120,6 +120,39 @@ def outcomes(mapped: DataFrame, spec: SourceSpec, bad_frames: DataFrame | None)
     return out
 
 
+def settle(lines: DataFrame, spec: SourceSpec, labels: DataFrame | None = None, resume: DataFrame | None = None) -> DataFrame:
+    """One row for each line read, in one pass: source, parser, stage (shipped, quarantined, filter,
+    sample), reason, and for what is shipped the stamped record with its line in ``lp``. ``resume``:
+    (state_key, tick, next_seq) of the ticks that earlier batches have begun.
+
+    This is ``compose`` for a sink that needs all of it; rejected and dropped lines go through the
+    stamping window in ticks of their own, as in ``outcomes``."""
+    framed, bad_frames = frame(lines, spec)
+    framed = framed.withColumn("stream", F.lit(spec.name))
+    if spec.kubernetes:
+        framed = framed.join(pods(lines, spec, labels), "state_key", "left").withColumn("stream", F.coalesce("__s", "stream")).drop("__s")
+    within = [c for c in WITHIN if c in framed.columns]
+    told = [c for c in ("path", "truncated") if c in framed.columns]
+    mapped = records.map_records(framed, spec, keep=[*LINE, *within, *told])
+    gone = F.when(F.col("reason").isNotNull(), "quarantined").otherwise(records.dropped_by(spec))
+    x = once(mapped, {"gone": gone}).withColumn("live", F.col("gone").isNull())
+    x = x.withColumns({"source_ts_ns": F.when(F.col("live"), F.col("source_ts_ns")).otherwise(F.col("pos") * F.lit(spec.tick_ns)), **records.redacted(list(spec.redactions), spec.fields)})
+    x = stamping.stamp(x, spec.tick_ns, ["pos", *within], ["state_key", "live"], None if resume is None else resume.withColumn("live", F.lit(True)))
+    tags = records.tags_of(spec)
+    why = F.when(F.col("exhausted"), "stamp: no place left in the tick").otherwise(sinks.unencodable_reason(spec.fields))
+    reason = F.coalesce("reason", F.when(F.col("live"), why))
+    x = x.withColumn("__why", reason).drop("reason", "exhausted")
+    stage = F.coalesce("gone", F.when(F.col("__why").isNotNull(), "quarantined"), F.lit("shipped"))
+    line = sinks.line_of(spec.fields, tags.text)
+    kept = [c for c in x.columns if c not in ("gone", "live", "__why", "table", "tick", "seq", "ts_ns", "source_ts_ns", *(f"t_{k}" for k in (tags.text if isinstance(tags, records.TagColumns) else [])), "tags")]
+    real = lambda c: F.when(F.col("live"), F.col(c)).alias(c)
+    out = x.select(F.lit(spec.name).alias("source"), F.lit(spec.parser).alias("parser"), stage.alias("stage"), F.col("__why").alias("reason"), *(named(c) for c in kept), "table", tags.map.alias("tags"), real("tick"), real("seq"), real("ts_ns"), F.when(F.col("live"), line).alias("lp"))
+    if bad_frames is not None:
+        bad = bad_frames.select(F.lit(spec.name).alias("source"), F.lit(spec.parser).alias("parser"), F.lit("quarantined").alias("stage"), "reason", *LINE)
+        out = out.unionByName(bad, allowMissingColumns=True)
+    return out
+
+
 def compose_all(sources: list[tuple[DataFrame, SourceSpec]], labels: DataFrame | None = None) -> Pipeline:
     """Several sources as one; columns that a source lacks are null."""
     from quarry.plans.spec import validate

@@ -167,16 +167,6 @@ def test_lww_and_reports(spark):
     assert dedup.replay_report(df, ["k", "ts"]).first().asDict() == {"delivered": 3, "distinct_rows": 2, "replays": 1}
 
 
-def test_upsert_is_idempotent(spark, tmp_path):
-    path = str(tmp_path / "table")
-    first = spark.createDataFrame([("t", "a", 1, 1, 1.0), ("u", "a", 1, 1, 9.0)], "table string, k string, ts long, n long, v double")
-    second = spark.createDataFrame([("t", "a", 1, 2, 2.0), ("t", "b", 1, 1, 3.0)], first.schema)
-    for batch in (first, second, second):
-        dedup.upsert(batch, path, "table", ["table", "k", "ts"], "n")
-    got = sorted((r.table, r.k, r.v) for r in spark.read.parquet(path).collect())
-    assert got == [("t", "a", 2.0), ("t", "b", 3.0), ("u", "a", 9.0)]
-
-
 def simulate(times, size, spec):
     samples, latest, published, out = [], None, None, []
     for at in range(0, len(times), size):
