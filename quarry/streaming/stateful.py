@@ -58,17 +58,19 @@ class Framer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [(r[0], r[1]) for r in self.lines.get()] if self.lines.exists() else []
+        size = sum(len(x.encode()) + 1 for _, x in held)
         done: list[tuple[list[tuple[int, str]], bool]] = []
         new = pd.concat(list(rows)).sort_values("pos")
         for pos, line in zip(new["pos"].tolist(), new["line"].tolist(), strict=True):
             if self.begins.search(line) and held:
                 done.append((held, False))
-                held = [(pos, line)]
+                held, size = [(pos, line)], len(line.encode()) + 1
                 continue
             held.append((pos, line))
-            if len(held) >= self.max_lines or sum(len(x.encode()) + 1 for _, x in held) >= self.max_bytes:
+            size += len(line.encode()) + 1
+            if len(held) >= self.max_lines or size >= self.max_bytes:
                 done.append((held, True))
-                held = []
+                held, size = [], 0
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         if held:
@@ -174,19 +176,25 @@ class Stamper(StatefulProcessor):
 
 
 class Completeness(StatefulProcessor):
-    """Observed lateness of a stream; one row for each micro-batch."""
+    """Observed lateness of a stream; one row for each micro-batch. What an earlier run had come to
+    may be handed over: its estimate, held between floor and ceiling, stands until there are
+    enough samples, and no watermark below its own is published."""
 
     def __init__(self, spec: WatermarkSpec | None = None):
         self.spec = spec or WatermarkSpec()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.samples = handle.getListState("samples", "lateness long")
-        self.marks = handle.getValueState("marks", "max_ts long, published long, violations long")
+        self.marks = handle.getValueState("marks", "max_ts long, published long, violations long, restored long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        late, mark = int(initialState["lateness_ns"].max()), initialState["watermark_ns"].max()
+        self.marks.update((None, None if pd.isna(mark) else int(mark), 0, min(self.spec.ceiling_ns, max(self.spec.floor_ns, late))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = self.spec
         samples = [r[0] for r in self.samples.get()] if self.samples.exists() else []
-        latest, published, broken = self.marks.get() if self.marks.exists() else (None, None, 0)
+        latest, published, broken, restored = self.marks.get() if self.marks.exists() else (None, None, 0, None)
         batch_max = None
         for ts in pd.concat(list(rows)).sort_values("pos")["ts_ns"].tolist():
             if latest is not None:
@@ -195,16 +203,43 @@ class Completeness(StatefulProcessor):
             latest = ts if latest is None else max(latest, ts)
             batch_max = ts if batch_max is None else max(batch_max, ts)
         samples = samples[-s.window :]
-        late = s.ceiling_ns if len(samples) < s.least else min(s.ceiling_ns, max(s.floor_ns, sorted(samples)[int((len(samples) - 1) * s.quantile + 0.5)]))
+        if len(samples) < s.least:
+            late = s.ceiling_ns if restored is None else restored
+        else:
+            late = min(s.ceiling_ns, max(s.floor_ns, sorted(samples)[int((len(samples) - 1) * s.quantile + 0.5)]))
         published = batch_max - late if published is None else max(published, batch_max - late)
         self.samples.put([(x,) for x in samples])
-        self.marks.update((latest, published, broken))
+        self.marks.update((latest, published, broken, restored))
         yield pd.DataFrame({"stream": [key[0]], "watermark_ns": [published], "lateness_ns": [late], "violations": [broken]})
 
     def close(self) -> None:
         pass
 
 
+class LeastOfFiles(StatefulProcessor):
+    """A stream's watermark from those of its files: the least of the marks in state. A file that has
+    been silent for ``idle_ms`` leaves the state by itself; what was published is not taken back."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.files = handle.getMapState("files", "file string", "mark long", ttlDurationMs=self.idle_ms)
+        self.published = handle.getValueState("published", "mark long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for file, mark in pd.concat(list(rows)).groupby("file")["watermark_ns"].max().items():
+            self.files.updateValue((file,), (int(mark),))
+        marks = [v[0] for _, v in self.files.iterator()]
+        before = self.published.get()[0] if self.published.exists() else None
+        mark = min(marks) if before is None else max(before, min(marks))
+        self.published.update((mark,))
+        yield pd.DataFrame({"stream": [key[0]], "n_files": [len(marks)], "watermark_ns": [mark]})
+
+    def close(self) -> None:
+        pass
+
+
 def framed_stream(lines: DataFrame, starts_with: str, **caps) -> DataFrame:
     return lines.groupBy("state_key").transformWithStateInPandas(Framer(starts_with, **caps), "state_key string, pos long, line string, n_lines int, truncated boolean", "append", "processingTime")
 
@@ -220,6 +255,13 @@ def stamped_stream(records: DataFrame, tick_ns: int) -> DataFrame:
     return records.groupBy("state_key").transformWithStateInPandas(Stamper(tick_ns, [f.name for f in kept]), schema, "append", "none")
 
 
-def watermark_stream(records: DataFrame, spec: WatermarkSpec | None = None) -> DataFrame:
-    """``records``: (stream, pos, ts_ns)."""
-    return records.groupBy("stream").transformWithStateInPandas(Completeness(spec), "stream string, watermark_ns long, lateness_ns long, violations long", "append", "none")
+def watermark_stream(records: DataFrame, spec: WatermarkSpec | None = None, restored: DataFrame | None = None) -> DataFrame:
+    """``records``: (stream, pos, ts_ns); ``restored``: (stream, lateness_ns, watermark_ns) of an earlier run, a
+    table, not a stream."""
+    before = None if restored is None else restored.select("stream", "lateness_ns", "watermark_ns").groupBy("stream")
+    return records.groupBy("stream").transformWithStateInPandas(Completeness(spec), "stream string, watermark_ns long, lateness_ns long, violations long", "append", "none", before)
+
+
+def files_watermark_stream(marks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
+    """``marks``: (stream, file, watermark_ns), as ``watermark_stream`` gives them for each file."""
+    return marks.groupBy("stream").transformWithStateInPandas(LeastOfFiles(idle_ms), "stream string, n_files int, watermark_ns long", "append", "processingTime")
