@@ -39,11 +39,45 @@ def window_check(records: DataFrame, ts: str, begin_ns: int, end_ns: int, channe
     return records.groupBy(channel).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ts).between(begin_ns, end_ns)).alias("inside"))
 
 
+def container_check(records: DataFrame, ts: str, begin_ns: int, end_ns: int, channel: str, text: str, marks: tuple[str, str], expected: dict[str, str]) -> DataFrame:
+    """One row of what must hold for container records: all inside the window [begin, end), both channels
+    there, each split message whole (as many records begin with one mark as hold both), and
+    every record with the expected tags."""
+    starts = F.contains(text, F.lit(marks[0]))
+    wrong = F.lit(False)
+    for k, v in expected.items():
+        wrong = wrong | ~F.coalesce(F.element_at("tags", k) == v, F.lit(False))
+    return records.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.coalesce((F.col(ts) >= begin_ns) & (F.col(ts) < end_ns), F.lit(False))).alias("outside"),
+        (F.count_if(F.col(channel) == "stdout") > 0).alias("has_stdout"),
+        (F.count_if(F.col(channel) == "stderr") > 0).alias("has_stderr"),
+        F.count_if(starts).alias("n_starts"),
+        F.count_if(starts & F.contains(text, F.lit(marks[1]))).alias("n_whole"),
+        F.count_if(wrong).alias("n_wrong_tags"),
+    )
+
+
 def missing_columns(measurement: DataFrame, tags: list[str], fields: list[str]) -> list[str]:
     """Required columns that a measurement lacks."""
     return [c for c in [*tags, *fields] if c not in measurement.columns]
 
 
+def measurement_schema(lines: DataFrame, required: dict[str, tuple[list[str], list[str]]], column: str = "lp", optional: set[str] = frozenset()) -> DataFrame:
+    """(measurement, n_rows, missing) of what was written: required tags and fields that some row lacks, in
+    order; a measurement without rows lacks them all."""
+    from quarry.functions.lineproto import parse_line
+
+    x = lines.select(F.explode(F.array(parse_line(F.col(column)))).alias("p")).select(F.col("p.table").alias("measurement"), F.map_keys("p.tags").alias("t"), F.map_keys("p.fields").alias("f"))
+    wanted = [(m, "t", k) for m, (tags, _) in required.items() for k in tags] + [(m, "f", k) for m, (_, fields) in required.items() for k in fields if k not in optional]
+    lack = [F.when(F.count_if(~F.array_contains(side, k)) > 0, k).alias(f"__{m}_{side}_{k}") for m, side, k in wanted]
+    seen = x.groupBy("measurement").agg(F.count(F.lit(1)).alias("n_rows"), *lack)
+    names = [(m, f"__{m}_{side}_{k}", k) for m, side, k in wanted]
+    found = F.array_compact(F.array(*(F.when(F.col("measurement") == m, F.when(F.col("n_rows").isNull(), k).otherwise(F.col(c))) for m, c, k in names)))
+    every = lines.sparkSession.createDataFrame([(m,) for m in required], "measurement string")
+    return every.join(seen, "measurement", "left").select("measurement", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.array_join(found, ",").alias("missing"))
+
+
 def latest(records: DataFrame, by: list[str], order: str) -> DataFrame:
     """The last row of each group, by aggregation instead of a sort."""
     rest = [c for c in records.columns if c not in by]
@@ -64,6 +98,23 @@ def tag_cardinality(records: DataFrame, threshold: int) -> DataFrame:
     return tags.groupBy("key").agg(F.count(F.lit(1)).alias("n_values")).where(F.col("n_values") > threshold)
 
 
+def tag_sketches(records: DataFrame, batch: str, threshold: int) -> DataFrame:
+    """(batch, key, sketch) of the distinct values of each tag in each batch. Sketches of different batches and
+    runs can be put together. Their size is such that up to the threshold they keep the values'
+    hashes themselves, so counts there are exact but for colliding hashes."""
+    size = min(21, max(10, (threshold * 4 // 3).bit_length() + 4))
+    return records.select(batch, F.explode("tags").alias("key", "value")).groupBy(batch, "key").agg(F.hll_sketch_agg("value", F.lit(size)).alias("sketch"))
+
+
+def cardinality_warnings(sketches: DataFrame, batch: str, threshold: int, first: int) -> DataFrame:
+    """(key, batch, n_values): tags that have more values than the threshold within the first batches, the batch
+    in which they passed it and how many values there were up to it."""
+    early = sketches.where(F.col(batch) < first)
+    so_far = early.select("key", "sketch", F.col(batch).alias("__b")).withColumn(batch, F.explode(F.sequence("__b", F.lit(first - 1).cast("long"))))
+    n = so_far.groupBy("key", batch).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_values")).where(F.col("n_values") > threshold)
+    return n.groupBy("key").agg(F.min_by("n_values", batch).alias("n_values"), F.min(batch).alias(batch)).select("key", batch, "n_values")
+
+
 def loss_model(per_tick: DataFrame, slots: int) -> DataFrame:
     """(lines, expected_rows) when the lines of a tick fall at random on so many tag sets:
     slots * (1 - (1 - 1/slots)**n) of n lines remain."""

@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 #: File systems that hold no data of their own (fixed values).
 PSEUDO_FS = """tmpfs devtmpfs devfs iso9660 overlay aufs squashfs proc sysfs cgroup cgroup2 devpts mqueue hugetlbfs debugfs
 tracefs securityfs pstore bpf configfs fusectl binfmt_misc autofs nsfs ramfs rpc_pipefs selinuxfs efivarfs""".split()
+#: Columns of a cpu line, in the kernel's order (fixed values).
 CPU_COLUMNS = ["user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal", "guest", "guest_nice"]
+#: Tags and fields of the measurements, fields in the order in which they are written (fixed values).
 MEASUREMENTS = {
-    "cpu": (["cpu", "host"], ["usage_active", "usage_user", "usage_system", "usage_idle"]),
-    "mem": (["host"], ["total", "available", "used", "free", "used_percent", "available_percent"]),
+    "cpu": (["cpu", "host"], ["usage_idle", "usage_active", "usage_user", "usage_system", "usage_iowait", "usage_nice", "usage_irq", "usage_softirq", "usage_steal", "usage_guest", "usage_guest_nice"]),
+    "mem": (["host"], ["total", "available", "used", "free", "used_percent", "available_percent", "buffered", "cached"]),
     "swap": (["host"], ["total", "used", "free", "used_percent"]),
-    "disk": (["host", "path", "device", "fstype"], ["total", "used", "free", "used_percent"]),
-    "diskio": (["host", "name"], ["reads", "writes", "read_bytes", "write_bytes"]),
-    "net": (["host", "interface"], ["bytes_recv", "bytes_sent"]),
+    "disk": (["host", "device", "path", "fstype"], ["total", "free", "used", "used_percent", "inodes_total", "inodes_free", "inodes_used"]),
+    "diskio": (["host", "name"], ["reads", "writes", "read_bytes", "write_bytes", "read_time", "write_time", "io_time", "weighted_io_time", "iops_in_progress"]),
+    "net": (["host", "interface"], ["bytes_recv", "bytes_sent", "packets_recv", "packets_sent", "err_in", "err_out"]),
     "system": (["host"], ["load1", "load5", "load15", "n_cpus", "uptime"]),
 }
+#: Fields that only some hosts have.
+OPTIONAL = {"buffered", "cached", "inodes_total", "inodes_free", "inodes_used"}
 
 
 def pct(part: Column, whole: Column) -> Column:
-    return F.when(whole == 0, 0.0).otherwise(100.0 * part / whole)
+    return F.when(whole == 0, 0.0).otherwise(part / whole * 100.0)
 
 
 def saturating(a: Column, b: Column) -> Column:
@@ -59,7 +63,7 @@ def cpu_usage(counters: DataFrame) -> DataFrame:
     d = counters.withColumns({f"d_{c}": saturating(F.col(c), F.lag(c).over(w)) for c in CPU_COLUMNS}).where("d_user is not null")
     d = d.withColumn("all", sum((F.col(f"d_{c}") for c in CPU_COLUMNS[1:8]), F.col("d_user")))
     d = d.withColumns({"d_user": saturating(F.col("d_user"), F.col("d_guest")), "d_nice": saturating(F.col("d_nice"), F.col("d_guest_nice"))})
-    share = {c: F.when(F.col("all") == 0, 0.0).otherwise(100.0 * F.col(f"d_{c}") / F.col("all")) for c in CPU_COLUMNS}
+    share = {c: F.when(F.col("all") == 0, 0.0).otherwise(F.col(f"d_{c}") / F.col("all") * 100.0) for c in CPU_COLUMNS}
     active = F.when(F.col("all") == 0, 0.0).otherwise(100.0 - share["idle"])
     return d.select("host", "tick", "now_ns", "cpu", active.alias("usage_active"), *(share[c].alias(f"usage_{c}") for c in CPU_COLUMNS))
 
