@@ -39,6 +39,11 @@ def field_text(value: Column, kind: str) -> Column:
     return F.concat(F.lit('"'), escape_text(value), F.lit('"'))
 
 
+def not_finite(x: Column) -> Column:
+    """Whether a float that is there has no text."""
+    return F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False))
+
+
 def tag_text(tags: Column | dict[str, Column]) -> Column:
     """``,key=value`` of each tag that has a value, in key order. Tags come as a map, or as a column
     for each key that there can be, which takes no sorting."""
@@ -51,7 +56,7 @@ def encode_line(table: Column, tags: Column | dict[str, Column], fields: dict[st
     """One line; null where the record has no table, no field, or a float that is not finite."""
     head = F.concat(escape_key(table), tag_text(tags))
     written = [F.when(c.isNotNull(), F.concat(escape_key(F.lit(k)), F.lit("="), field_text(c, kind))) for k, (c, kind) in fields.items()]
-    bad = reduce(lambda a, b: a | b, [c.isNotNull() & field_text(c, kind).isNull() for c, kind in fields.values()], F.lit(False))
+    bad = reduce(lambda a, b: a | b, [not_finite(c) for c, kind in fields.values() if kind == "float"], F.lit(False))
     some = F.concat_ws(",", *written)  # nulls are passed over
     line = F.concat(head, F.lit(" "), some, F.lit(" "), ts_ns.cast("string"))
     return F.when((F.length(table) > 0) & (F.length(some) > 0) & ~bad, line)
@@ -60,8 +65,8 @@ def encode_line(table: Column, tags: Column | dict[str, Column], fields: dict[st
 def unencodable(table: Column, fields: dict[str, tuple[Column, str]]) -> Column:
     """Why ``encode_line`` gives null: a reason, or null where it does not."""
     none = reduce(lambda a, b: a & b, [c.isNull() for c, _ in fields.values()], F.lit(True))
-    bad = F.coalesce(*[F.when(c.isNotNull() & field_text(c, kind).isNull(), F.lit(f"unencodable: field '{k}' is not finite")) for k, (c, kind) in fields.items()]) if fields else F.lit(None)
-    return F.coalesce(F.when(F.coalesce(F.length(table), F.lit(0)) == 0, "unencodable: empty table"), F.when(none, "unencodable: no fields"), bad)
+    bad = [F.when(not_finite(c), F.lit(f"unencodable: field '{k}' is not finite")) for k, (c, kind) in fields.items() if kind == "float"]
+    return F.coalesce(F.when(F.coalesce(F.length(table), F.lit(0)) == 0, "unencodable: empty table"), F.when(none, "unencodable: no fields"), *bad)
 
 
 def inject_tags(line: Column, tags: Column) -> Column:

@@ -143,19 +143,25 @@ def timestamp_ns(ts: Column) -> Column:
 
 def plain_float(x: Column) -> Column:
     """A finite double as the shortest decimal text without exponent and without ``.0``."""
-    s = F.abs(x).cast("string")
-    mantissa = F.regexp_replace(F.split_part(s, F.lit("E"), F.lit(1)), r"\.0$", "")
-    exponent = F.coalesce(F.nullif(F.split_part(s, F.lit("E"), F.lit(2)), F.lit("")).try_cast("int"), F.lit(0))
-    whole = F.length(F.split_part(mantissa, F.lit("."), F.lit(1)))
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    point = whole + exponent
-    moved = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= F.length(digits), F.rpad(digits, F.greatest(point, F.length(digits)), F.lit("0")))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
-    )
-    negative = (x < 0) | (x.cast("string") == "-0.0")
-    return F.concat(F.when(negative, "-").otherwise(""), F.when(exponent == 0, mantissa).otherwise(moved))
+    s = x.cast("string")
+
+    def moved(parts: Column) -> Column:
+        """Digits with the point where the exponent puts it."""
+        digits, point, size = parts["digits"], parts["point"], F.length(parts["digits"])
+        return (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= size, F.rpad(digits, F.greatest(point, size), F.lit("0")))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
+        )
+
+    def shifted(m: Column) -> Column:
+        whole = F.length(F.split_part(m["mantissa"], F.lit("."), F.lit(1)))
+        return let(F.struct(F.replace(m["mantissa"], F.lit("."), F.lit("")).alias("digits"), (whole + m["exponent"]).alias("point")), moved)
+
+    unsigned = F.ltrim(s, F.lit("-"))
+    mantissa = F.regexp_replace(F.split_part(unsigned, F.lit("E"), F.lit(1)), r"\.0$", "")
+    large = let(F.struct(mantissa.alias("mantissa"), F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int").alias("exponent")), shifted)
+    return F.when(s.contains("E"), F.concat(F.when(x < 0, "-").otherwise(""), large)).otherwise(F.regexp_replace(s, r"\.0$", ""))
 
 
 def text_of(value: Column, kind: str) -> Column:

@@ -581,3 +581,6 @@ SELECT CASE WHEN event_id % 97 = 0 THEN 'unparseable' ELSE 'field ''value'' will
 def pipeline_quarantine(t) -> DataFrame:
     q = compose(pipe_lines(t), PIPE).quarantined.withColumn("source", F.lit("events"))
     return accounting.quarantine_by_reason(q)
+
+
+from quarry import roundtrips  # noqa: E402, F401  registers its queries here
