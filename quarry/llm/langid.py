@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import fold, free_name, give_back, load, materialize, shared_dir, slices
 
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that count as word characters of a pattern and are no letters: numerals such as one half or a
+#: circled one. Found by their properties, as ranges.
+_NUMERALS = "".join(chr(c) for c in range(0x110000) if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 #: Parts of one that weights of n-grams are counted in.
 UNIT = 1 << 16
 _DRAWS = 1 << 20

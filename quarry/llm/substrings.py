@@ -42,6 +42,8 @@ def anchors(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
     """(hash of the anchor, first window, last window) of each run of windows with one anchor.
     ``doc`` numbers the document of each word; windows do not cross documents."""
     run = min(RUN, window)
+    if window - run > 15:
+        raise ValueError(f"windows have at most {RUN + 15} words: places within one are kept in four bits")
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -270,7 +272,10 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row for each id.
 
     Rows without an id are left out, a null text is empty, and rows that share an id count as
-    one document with the least text. A text of fewer words than the window keeps them all."""
+    one document with the least text. A text of fewer words than the window keeps them all. A window
+    has at most 20 words."""
+    if window > RUN + 15:
+        raise ValueError(f"windows have at most {RUN + 15} words")
     spark = docs.sparkSession
     texts = keyed_texts(docs)
     gone = materialize(removals(texts, window), shared_dir(spark), "removals")

@@ -84,7 +84,8 @@ def search(query: np.ndarray, tail: np.ndarray, own: int, ids: np.ndarray, m: np
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, dims_at_once: int = 16, candidate_block: int = 4096, query_block: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k greatest inner products of every vector whose id
-    is divisible by ``every`` with all other vectors; ties go to the smaller id."""
+    is divisible by ``every`` with all other vectors; ties go to the smaller id. Scores that may not
+    fit into 64 bits raise an ArithmeticError; an empty table gives no rows."""
     spark = vectors.sparkSession
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     q = quantized(vectors)
@@ -101,6 +102,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, dims_at_once: int =
                 m, w = (np.concatenate([x, np.zeros((dims - len(x), x.shape[1]), np.int64)]) for x in (m, w))
                 cuts = [*range(dims_at_once, dims, dims_at_once), dims]
                 top = float(np.abs(m.astype(float)).max(initial=0)) * float(np.abs(w.astype(float)).max(initial=0)) * max(1, dims)
+                if top >= 2**62:
+                    raise ArithmeticError("a score does not fit into 64 bits")
                 if top < 2**52:  # then sums of products are exact in doubles
                     m, w = m.astype(float), w.astype(float)
                 mt, wt = _tails(m, cuts), _tails(w, cuts)

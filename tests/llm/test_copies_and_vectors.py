@@ -241,3 +241,23 @@ def test_large_entries_stay_exact(spark):
     with pytest.raises(Exception, match="does not fit"):
         out.collect()
     assert os.environ.get("PYTHONPATH")  # tasks import the package from there
+
+
+def test_numerals_are_no_letters(spark):
+    from quarry.llm import langid
+
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(["½ ² ①", "Ⅷ ٣ 12_", "one two"] + [f"the word {i} of it" for i in range(40)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert got[0] == got[1] == ("und", 0.0) and got[2][0] == "en"
+
+
+def test_windows_and_scores_beyond_their_bounds_are_refused(spark):
+    from quarry.llm import substrings, topk
+
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="at most 20"):
+        substrings.without_repeats(docs, window=21)
+    wide = spark.createDataFrame([(i, [3e15, 1.0]) for i in range(0, 300, 50)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit"):
+        topk.top_k(wide).collect()
