@@ -129,3 +129,34 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir), load(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def sql(alpha: float = 0.02, delta: float = 0.05) -> str:
+    """The query in DuckDB's SQL: windows found by their words, binomial tails summed from their definition."""
+    words = r"[\x20\x09-\x0D]+"
+    cases, cuts, broken = [], [], []
+    share = {"symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+    p = alpha / len(RULES)
+    for rule, grid in RULES.items():
+        a, b = share[rule]
+        cases.append(f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0.0 END AS {rule}")
+        values = ", ".join(f"({i}, CAST({c} AS DOUBLE))" for i, c in enumerate(grid))
+        cuts.append(f"""{rule}_c AS (SELECT lang, i, cut, count(*) AS n, count(*) FILTER ({rule} > cut) AS k FROM held, (VALUES {values}) v(i, cut) GROUP BY lang, i, cut),
+{rule}_t AS (SELECT lang, i, cut, k <= n * CAST({p} AS DOUBLE) AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(CAST({p} AS DOUBLE)) + (n - j) * ln(1 - CAST({p} AS DOUBLE)))) FROM range(k + 1) r(j)) <= CAST({delta} AS DOUBLE) / ({len(RULES)} * (SELECT greatest(count(DISTINCT lang), 1) FROM held)) AS passed FROM {rule}_c),
+{rule}_k AS (SELECT lang, min(cut) AS cut FROM {rule}_t t WHERE NOT EXISTS (SELECT 1 FROM {rule}_t u WHERE u.lang = t.lang AND u.i <= t.i AND NOT u.passed) GROUP BY lang)""")
+        broken.append(f"coalesce({rule} > {rule}_k.cut, false)")
+    joins = " ".join(f"LEFT JOIN {rule}_k ON {rule}_k.lang = m.lang" for rule in RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{words}'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+q AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+c AS (SELECT r, sum(least(3, coalesce(s, 3))) AS n FROM (SELECT r, lead(i) OVER (PARTITION BY r ORDER BY i) - i AS s FROM q) GROUP BY r),
+f AS (SELECT w.r, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+      len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c ON c.r = w.r),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(cases)} FROM f),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+{", ".join(cuts)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(broken)}) AS kept FROM m {joins}
+"""

@@ -31,6 +31,7 @@ ORACLES = {
     "op1_mixing": mixing.sql(),
     "op5_substring_dedup": substrings.SQL,
     "op8_topk_search": topk.SQL,
+    "op9_quality_rules": quality.sql(),
     "op10_jaccard_join": jaccard.SQL,
     "op11_exact_dedup": exactdedup.SQL,
     "op12_hard_negatives": hardnegatives.SQL,
