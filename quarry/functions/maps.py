@@ -32,12 +32,15 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def last_wins(entries: Column) -> Column:
-    """Map of an array of (key, value) entries; of equal keys the last one counts."""
+    """Map of an array of (key, value) entries; of equal keys the last one counts. Where keys repeat,
+    entries are put in order of key and then of place, last first, and the first of each key is taken."""
 
     def of(all_):
-        later = lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x["key"] == e["key"])
+        placed = F.sort_array(F.transform(all_, lambda e, i: F.struct(e["key"].alias("key"), (-i).alias("place"), e["value"].alias("value"))))
+        first = let(placed, lambda p: F.filter(p, lambda e, i: (i == 0) | (e["key"] != F.get(p, i - 1)["key"])))
+        kept = F.transform(first, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
         differ = F.size(all_) == F.size(F.array_distinct(F.transform(all_, lambda e: e["key"])))
-        return F.when(differ, F.map_from_entries(all_)).otherwise(F.map_from_entries(F.filter(all_, later)))
+        return F.map_from_entries(F.when(differ, all_).otherwise(kept))
 
     return let(entries, of)
 
