@@ -316,3 +316,45 @@ def multiline_disabled(t) -> DataFrame:
     return framing.join_multiline(document_lines(t), None).where("n_lines = 1 and not truncated").groupBy("state_key").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("multiline_byte_cap", """
+WITH RECURSIVE l AS (SELECT CAST(doc_id AS VARCHAR) AS state_key, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS pos FROM documents),
+ x AS (SELECT *, regexp_matches(line, '^[A-Z]') AS starts, CAST(strlen(line) + 1 AS BIGINT) AS size FROM l),
+ r AS (SELECT state_key, pos, CAST(0 AS BIGINT) AS rec, CAST(1 AS BIGINT) AS n, size AS bytes, size >= 300 AS cut FROM x WHERE pos = 0
+       UNION ALL
+       SELECT x.state_key, x.pos, CASE WHEN cut OR starts THEN rec + 1 ELSE rec END, CASE WHEN cut OR starts THEN 1 ELSE n + 1 END, CASE WHEN cut OR starts THEN x.size ELSE bytes + x.size END,
+              CASE WHEN cut THEN x.size >= 300 WHEN starts THEN false ELSE n + 1 >= 4 OR bytes + x.size >= 300 END
+       FROM r JOIN x ON x.state_key = r.state_key AND x.pos = r.pos + 1)
+SELECT r.state_key, min(r.pos) AS pos, CAST(count(*) AS INT) AS n_lines, bool_or(cut) AS truncated, md5(string_agg(line, chr(10) ORDER BY r.pos)) AS line_md5 FROM r JOIN x ON x.state_key = r.state_key AND x.pos = r.pos GROUP BY r.state_key, rec""")
+def multiline_byte_cap(t) -> DataFrame:
+    """Records cut at four lines or 300 bytes; a first line that is longer waits while another record was open."""
+    from quarry.queries import document_lines
+
+    x = framing.join_multiline(document_lines(t), "^[A-Z]", max_lines=4, max_bytes=300)
+    return x.select("state_key", "pos", "n_lines", "truncated", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+@query("cri_byte_cap", """
+WITH RECURSIVE f AS (SELECT CAST(conv_id AS VARCHAR) AS state_key, turn, CASE WHEN role = 'user' THEN 'stdout' ELSE 'stderr' END AS stream, turn % 5 = 4 AS closes, replace(text, chr(10), ' ') AS text FROM conversations),
+ x AS (SELECT *, row_number() OVER (PARTITION BY state_key, stream ORDER BY turn) AS i, CAST(strlen(text) AS BIGINT) AS size FROM f),
+ r AS (SELECT state_key, stream, i, CAST(0 AS BIGINT) AS rec, size AS bytes, NOT closes AND size >= 200 AS cut, closes AS done FROM x WHERE i = 1
+       UNION ALL
+       SELECT x.state_key, x.stream, x.i, CASE WHEN cut OR done THEN rec + 1 ELSE rec END, CASE WHEN cut OR done THEN x.size ELSE bytes + x.size END,
+              NOT x.closes AND CASE WHEN cut OR done THEN x.size ELSE bytes + x.size END >= 200, x.closes
+       FROM r JOIN x ON x.state_key = r.state_key AND x.stream = r.stream AND x.i = r.i + 1)
+SELECT r.state_key, r.stream, max(turn) AS pos, 't' || min(turn) AS time, md5(string_agg(text, '' ORDER BY turn)) AS log_md5, bool_or(cut) AS truncated FROM r JOIN x ON x.state_key = r.state_key AND x.stream = r.stream AND x.i = r.i GROUP BY r.state_key, r.stream, rec""")
+def cri_byte_cap(t) -> DataFrame:
+    """Messages cut at 200 bytes; what is left opens a message with a time of its own."""
+    c = t("conversations")
+    line = F.concat_ws(" ", F.concat(F.lit("t"), F.col("turn").cast("string")), F.when(F.col("role") == "user", "stdout").otherwise("stderr"), F.when(F.col("turn") % 5 == 4, "F").otherwise("P"), F.regexp_replace("text", "\n", " "))
+    lines = c.select(F.col("conv_id").cast("string").alias("state_key"), F.col("turn").cast("long").alias("pos"), line.alias("line"))
+    x = framing.reassemble_cri(lines, 200)[0]
+    return x.select("state_key", "stream", "pos", "time", F.md5(F.col("log").cast("binary")).alias("log_md5"), "truncated")
+
+
+@query("flagged_mounts", """
+SELECT 'h' || c_custkey AS host, CAST(i AS INT) AS tick, p AS path FROM customer, (VALUES (0), (1)) v(i), (VALUES ('/m/tmpfs2'), ('/m/ramfs_'), ('/m/ext4')) w(p)""")
+def flagged_mounts(t) -> DataFrame:
+    """Mounts of every file system that holds no data, written out here, and of names near to them that do."""
+    pseudo = ["tmpfs", "devtmpfs", "devfs", "iso9660", "overlay", "aufs", "squashfs", "proc", "sysfs", "cgroup", "cgroup2", "devpts", "mqueue", "hugetlbfs", "debugfs", "tracefs", "securityfs", "pstore", "bpf", "configfs", "fusectl", "binfmt_misc", "autofs", "nsfs", "ramfs", "rpc_pipefs", "selinuxfs", "efivarfs"]
+    text = "\n".join(f"{30 + i} 1 0:{i} / /m/{fs} rw - {fs} dev rw" for i, fs in enumerate([*pseudo, "tmpfs2", "ramfs_", "ext4"]))
+    return hostmetrics.parse_mountinfo(snapshots(t, "mountinfo", lambda k, tick: F.lit(text))).select("host", "tick", "path")
