@@ -17,7 +17,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     a, b = queries.QUERIES[name](spark, sf_dir).toPandas(), c.execute(queries.ORACLES[name]).df()
     a, b = (x[sorted(x.columns)].sort_values(sorted(x.columns)).reset_index(drop=True) for x in (a, b))
