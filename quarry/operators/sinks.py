@@ -47,7 +47,3 @@ def write_lp(encoded_lines: DataFrame, path: str, column: str = "lp") -> None:
 def write_dead_letter(rejected: DataFrame, path: str) -> None:
     """One JSON object for each rejected line with its reason, by stream."""
     rejected.select("state_key", "reason", "line").write.mode("append").partitionBy("state_key").json(path)
-
-
-def write_watermarks(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)

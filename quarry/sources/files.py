@@ -75,7 +75,3 @@ def read_exec_output(runs: DataFrame, tags: dict[str, str], cap: int = 1 << 20)
     x = runs.where("exit_code = 0").select("host", "ts", F.posexplode(F.split(capped, "\r?\n")).alias("pos", "line"))
     x = x.where(~is_blank(F.col("line")))
     return x.withColumn("line", inject_tags(F.col("line"), tags_static(tags))) if tags else x
-
-
-def read_watermarks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
