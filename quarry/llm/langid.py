@@ -27,10 +27,20 @@ from pyspark.sql import functions as F
 from quarry.llm.common import fold, free_name, give_back, load, materialize, shared_dir, slices
 
 UNDETERMINED = "und"
-#: Characters that count as word characters of a pattern and are no letters: numerals such as one half or a
-#: circled one. Found by their properties, as ranges.
-_NUMERALS = "".join(chr(c) for c in range(0x110000) if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def _words(text: str) -> list[str]:
+    """Runs of letters. The pattern also takes numerals such as one half or a circled one, which are no
+    letters; runs that hold one are rare and are cut there."""
+    if text.isalpha():
+        return [text]
+    runs = _RUNS.findall(text)
+    if not runs or "".join(runs).isalpha():
+        return runs
+    return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 #: Parts of one that weights of n-grams are counted in.
 UNIT = 1 << 16
 _DRAWS = 1 << 20
@@ -75,7 +85,7 @@ class LanguageModel:
         """For each token the sums over its words, then the number of these words."""
         row, owner, weight, counts = [], [], [], np.zeros(len(tokens))
         for i, token in enumerate(tokens):
-            words = _LETTERS.findall(token.lower())
+            words = _words(token.lower())
             counts[i] = len(words)
             for w in words:
                 found = self.evidence(w)
@@ -110,7 +120,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             codes, by_lang = _Codes(), {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(np.fromiter(map(codes.__getitem__, parts := text.split()), np.int64, len(parts)))
-            tokens = [_LETTERS.findall(t.lower()) for t in codes]
+            tokens = [_words(t.lower()) for t in codes]
             for lang, rows in by_lang.items():
                 seen = np.bincount(np.concatenate(rows), minlength=1)
                 count = sums.setdefault(lang, Counter())
