@@ -66,7 +66,7 @@ def prefix_length(n, percent: int):
 
 def _ranges(texts: DataFrame) -> int:
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return min(1 << 15, max(shuffle_partitions(texts.sparkSession), -(-size // RANGE_BYTES)))
+    return max(shuffle_partitions(texts.sparkSession), -(-size // RANGE_BYTES))
 
 
 def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tuple[DataFrame, DataFrame]:
@@ -75,9 +75,7 @@ def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tup
     and among those of them that come up more than once. Equal sets of one chunk are counted
     once."""
     ranges = _ranges(texts)
-
-    def base(i: int) -> np.uint64:
-        return np.uint64((i << int(BITS)) // ranges)
+    width = np.uint64(-(-(1 << int(BITS)) // ranges))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows in text_chunks(batches):
@@ -90,10 +88,11 @@ def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tup
             owner = np.repeat(np.flatnonzero(once), n[once])
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
-            edges = np.append(np.searchsorted((tokens * np.uint64(ranges)) >> BITS, np.arange(ranges, dtype=np.uint64)), len(tokens))
-            full = np.flatnonzero(np.diff(edges))
+            part = tokens // width
+            begin = np.flatnonzero(np.concatenate([[len(part) > 0], part[1:] != part[:-1]]))
+            full, ends = part[begin], np.append(begin[1:], len(part))
             packed = [pack(np.array(ids, np.int64), n.astype(np.uint64), np.frombuffer(b"".join(keys), np.uint8))]
-            packed += [pack(steps(tokens[edges[i] : edges[i + 1]] - base(int(i))), owner[edges[i] : edges[i + 1]].astype(np.uint64)) for i in full]
+            packed += [pack(steps(tokens[a:b] - i * width), owner[a:b].astype(np.uint64)) for i, a, b in zip(full, begin, ends, strict=True)]
             # what the chunk keeps of its documents goes along to where the answers meet
             spread = ranges + int(mix(np.array([ids[0]], np.int64).view(np.uint64))[0] % np.uint64(ranges))
             yield pa.RecordBatch.from_pydict({"part": pa.array([spread, *full.tolist()], pa.int32()), "chunk": pa.array([ids[0]] * len(packed), pa.int64()), "packed": pa.array(packed, pa.binary())})
@@ -103,7 +102,7 @@ def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tup
         if part >= ranges:
             return table.select(["chunk", "packed"]).append_column("own", pa.array([True] * table.num_rows))
         found = [unpack(v) for v in table.column("packed").to_pylist()]
-        tokens = [sums(t) + base(part) for t, _ in found]
+        tokens = [sums(t) + np.uint64(part) * width for t, _ in found]
         together = np.sort(np.concatenate(tokens))
         again = np.concatenate([[False], together[1:] == together[:-1]])
         kinds = np.flatnonzero(~again)
