@@ -35,6 +35,12 @@ class Sieve:
             on[place] = True
         return np.packbits(on).tobytes()
 
+    def passing(self, bits: bytes, hashes: np.ndarray) -> int:
+        """How many of the hashes of one slice are found in its bits."""
+        on = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        first, second = self.places(hashes)
+        return int((on[first] & on[second]).sum())
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
         row = self.slice_of(hashes)
         out = np.ones(len(hashes), bool)

@@ -33,6 +33,8 @@ from quarry.llm.common import keyed_texts, load, mix, pack, power_of_two, shared
 from quarry.llm.sieve import Sieve
 
 RUN = 5
+#: Different anchors whose segments meet in one shard; there are as many shards as this takes.
+SHARD_ANCHORS = 1 << 16
 #: Different words that one automaton can tell apart: one character each, surrogates left out,
 #: and one for all words outside its phrases.
 CHARACTERS = 0x10FFFF - 0x800 - 1
@@ -74,8 +76,9 @@ def _words_of(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nda
     return split, hashes, np.repeat(np.arange(len(split)), counts)
 
 
-def shared_anchors(texts: DataFrame, window: int, filter_bits: int) -> Sieve:
-    """The filter of the anchors that stand in two documents or more."""
+def shared_anchors(texts: DataFrame, window: int, filter_bits: int) -> tuple[Sieve, int]:
+    """The filter of the anchors that stand in two documents or more, and how many different
+    anchors of the texts it lets through, those set by chance included."""
     slices = power_of_two(2 * shuffle_partitions(texts.sparkSession))
     out = Sieve(slices, max(1024, filter_bits // slices))
 
@@ -109,12 +112,15 @@ def shared_anchors(texts: DataFrame, window: int, filter_bits: int) -> Sieve:
         values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
         counts[inverse[known]] += 1
         twice = values[counts > 1]
-        return pa.table({"slice": pa.array(table.column("slice").to_pylist()[:1], pa.int32()), "bits": pa.array([out.slice_bits(twice)], pa.binary())})
+        bits = out.slice_bits(twice)
+        return pa.table({"slice": pa.array(table.column("slice").to_pylist()[:1], pa.int32()), "bits": pa.array([bits], pa.binary()), "passing": pa.array([out.passing(bits, values)], pa.int64())})
 
-    found = texts.mapInArrow(emit, "slice int, found binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary")
+    found = texts.mapInArrow(emit, "slice int, found binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary, passing long")
+    passing = 0
     for row in found.toLocalIterator():
         out.data[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return out
+        passing += row["passing"]
+    return out, passing
 
 
 def segments(texts: DataFrame, shared: Sieve, window: int, shards: int) -> DataFrame:
@@ -262,8 +268,8 @@ def locate(found: DataFrame, window: int) -> DataFrame:
 def removals(texts: DataFrame, window: int, filter_bits: int = 1 << 27) -> DataFrame:
     """(doc_id, starts): for each document with windows that start in a smaller one, their first
     words. ``texts`` has unique ids and no nulls."""
-    shared = shared_anchors(texts, window, filter_bits)
-    shards = 4 * shuffle_partitions(texts.sparkSession)
+    shared, passing = shared_anchors(texts, window, filter_bits)
+    shards = max(4 * shuffle_partitions(texts.sparkSession), -(-passing // SHARD_ANCHORS))
     found = locate(segments(texts, shared, window, shards), window)
     return found.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
