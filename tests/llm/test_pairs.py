@@ -44,6 +44,27 @@ def test_top_k(spark, size):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [10, 10**8])
+def test_bound_goes_from_block_to_block(scale):
+    r = np.random.default_rng(scale)
+    dims, k, cuts = 12, 5, [0, 4, 8, 12]
+    blocks = [(np.arange(50 * b, 50 * b + 50), (r.normal(size=(dims, 50)) * scale * 10.0 ** (1 - b)).astype(np.int64)) for b in range(4)]
+    w = (r.normal(size=dims) * scale).astype(np.int64)
+    tail = topk._tails(w[:, None], cuts)[:, 0]
+    best, rows, left = topk.Best(k), [], []
+    best.turn_to(np.array([3]))
+    for ids, m in blocks:
+        found = topk.search(w, tail, 3, ids, m, topk._tails(m, cuts), cuts, k, best.bound(0))
+        best.add(0, found[1])
+        left.append(len(found[0]))
+        rows += zip(*(x.tolist() for x in found), strict=True)
+    every = [(i, int(w @ m[:, j])) for ids, m in blocks for j, i in enumerate(ids.tolist()) if i != 3]
+    assert sorted(rows, key=lambda x: (-x[1], x[0]))[:k] == sorted(every, key=lambda x: (-x[1], x[0]))[:k]
+    assert left[0] == k and left[-1] == 0  # the last block is too short to reach the bound of the first
+    best.turn_to(np.array([4]))
+    assert best.bound(0) == -1e300
+
+
 def plain_components(rows, k, percent):
     sets = {}
     for i, text in rows:
@@ -111,6 +132,15 @@ def test_jaccard_components(spark, monkeypatch, k, percent, small, salt, rounds)
     assert got == plain_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("size", [100, 20_000])
+def test_jaccard_over_many_ranges_of_hashes(spark, monkeypatch, size):
+    rows = family(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "_ranges", lambda texts: size * 50)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(df, 3, 90).collect()}
+    assert got == plain_components(rows, 3, 90)
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(1, None), (1, None), (2, ""), (None, "a b"), (3, "a b"), (4, "A  b"), (5, "a b c"), (6, " \n"), (7, "x" * 50_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("comp", F.lit(1))

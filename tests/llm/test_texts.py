@@ -238,6 +238,24 @@ def test_substring_dedup(spark, window, filter_bits, monkeypatch):
     assert got == plain_removal({i: t.encode().split() for i, t in texts.items()}, window)
 
 
+def test_substring_shards_follow_the_anchors(spark, monkeypatch):
+    r = random.Random(5)
+    pool = [" ".join(f"w{r.randint(0, 300)}" for _ in range(40)) for _ in range(30)]
+    texts = {i: " ".join(r.choice(pool) for _ in range(3)) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    _, passing = substrings.shared_anchors(common.keyed_texts(df), 13, 1 << 20)
+    words = [t.encode().split() for t in texts.values()]
+    found = [set(substrings.anchors(common.word_hashes(w), np.zeros(len(w), np.int64), 13)[0].tolist()) for w in words]
+    assert passing == sum(sum(a in f for f in found) > 1 for a in set().union(*found))
+    seen = []
+    monkeypatch.setattr(substrings, "SHARD_ANCHORS", 2)
+    real = substrings.segments
+    monkeypatch.setattr(substrings, "segments", lambda *a: seen.append(a[3]) or real(*a))
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.without_repeats(df).collect()}
+    assert seen == [-(-passing // 2)] and seen[0] > 4 * common.shuffle_partitions(spark)
+    assert got == plain_removal({i: t.encode().split() for i, t in texts.items()}, 13)
+
+
 def test_substring_dedup_words_beyond_the_characters(spark):
     # one shard with more different words than there are characters
     shared = b"a b c d"
