@@ -10,8 +10,9 @@ A passage repeats where ``window`` consecutive words stand in two documents. Thr
 2. Automata. The words around each anchor in the filter go to the shard of the anchor, equal
    ones of a chunk of documents once. A shard confirms by their words the phrases that two
    documents share, compiles them into an Aho-Corasick automaton whose values are the
-   smallest ids, and streams all its segments through it. So every occurrence in every
-   document is found, and each document meets only the automata that can match it.
+   smallest ids, spelled so that paths are short and branches few, and streams all its
+   segments through it. So every occurrence in every document is found, and each document
+   meets only the automata that can match it.
 3. Removal. Found windows are brought to their documents by id.
 
 Work grows with the text and with the repeated part of it; a passage shared by very many
@@ -35,9 +36,23 @@ from quarry.llm.sieve import Sieve
 RUN = 5
 #: Different anchors whose segments meet in one shard; there are as many shards as this takes.
 SHARD_ANCHORS = 1 << 16
-#: Different words that one automaton can tell apart: one character each, surrogates left out,
-#: and one for all words outside its phrases.
+#: Different words (or digits) that one automaton can tell apart: one character each, surrogates
+#: left out, and one for all words outside its phrases.
 CHARACTERS = 0x10FFFF - 0x800 - 1
+#: Digits in which an automaton spells a run of words.
+DIGITS = 2
+HIT = np.dtype([("word", np.int64), ("doc", np.int64)])
+
+
+class Numbers(dict):
+    """Numbers of values in the order in which they first come."""
+
+    def __missing__(self, value: bytes) -> int:
+        self[value] = n = len(self)
+        return n
+
+    def of(self, values: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, values), np.int64, len(values))
 
 
 def anchors(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,24 +171,36 @@ def segments(texts: DataFrame, shared: Sieve, window: int, shards: int) -> DataF
     return texts.mapInArrow(emit, "shard int, packed binary")
 
 
+def runs(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, first word) of each run of ``size`` words within one sequence, in order; ``starts``:
+    where each sequence begins (and an end)."""
+    counts = np.maximum(np.diff(starts) - size + 1, 0)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.repeat(starts[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(len(owner))
+
+
+def alike(flat: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the runs of ``size`` words from ``at`` with equal ones side by side, and which
+    of them differ from the one before; hashes find equal runs, their words confirm them."""
+    hashes = shingle_hashes(mix(flat.astype(np.uint64)), size)[at]
+    order = np.argsort(hashes, kind="stable")
+    words = flat[at[order][:, None] + np.arange(size)]
+    new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (words[1:] != words[:-1]).any(axis=1)])
+    if (np.diff(hashes[order]) == 0).sum() != (~new).sum():  # equal hashes, other words: order by the words
+        order = np.lexsort(flat[at[:, None] + np.arange(size)].T)
+        words = flat[at[order][:, None] + np.arange(size)]
+        new = np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)])
+    return order, new
+
+
 def shared_phrases(flat: np.ndarray, starts: np.ndarray, least: np.ndarray, most: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, smallest id) of each phrase that two documents share, once, and the sequence
     numbers that hold one. ``flat``: words of all sequences, ``starts`` where each begins (and an
     end), ``least`` and ``most`` the smallest and largest id that has each sequence."""
-    lengths = np.diff(starts)
-    counts = np.maximum(lengths - window + 1, 0)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    at = np.repeat(starts[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(len(owner))
+    owner, at = runs(starts, window)
     if not len(at):
         return at, at, at
-    hashes = shingle_hashes(mix(flat.astype(np.uint64)), window)[at]
-    order = np.argsort(hashes, kind="stable")
-    words = flat[at[order][:, None] + np.arange(window)]
-    new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (words[1:] != words[:-1]).any(axis=1)])
-    if (np.diff(hashes[order]) == 0).sum() != (~new).sum():  # equal hashes, other words: order by the words
-        order = np.lexsort(flat[at[:, None] + np.arange(window)].T)
-        words = flat[at[order][:, None] + np.arange(window)]
-        new = np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)])
+    order, new = alike(flat, at, window)
     begin = np.flatnonzero(new)
     low = np.minimum.reduceat(least[owner[order]], begin)
     shared = low < np.maximum.reduceat(most[owner[order]], begin)
@@ -181,8 +208,44 @@ def shared_phrases(flat: np.ndarray, starts: np.ndarray, least: np.ndarray, most
     return at[order][begin[shared]], low[shared], np.unique(owner[order][holds])
 
 
+def spelled(flat: np.ndarray, starts: np.ndarray, held: np.ndarray, firsts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The sequences ``held`` as one line of numbers, the word where a phrase begins that begins at
+    each (-1: none does), where the phrases that begin at the words ``firsts`` begin in the line,
+    and how many numbers a phrase takes.
+
+    A node of an automaton looks through its branches one by one, and each phrase adds a path, so
+    phrases are spelled with few letters and letters in few digits. A letter stands for a run of
+    about RUN words, equal ones for equal runs; those of a phrase meet or overlap and cover it.
+    Each sequence is read in steps from all of the first words of a step, so that the letters of
+    any phrase are neighbours. A digit tells its place in the letter; letters that no phrase has
+    are -1, as is what parts the readings."""
+    count = min(window, max(2, -(-window // RUN)))
+    step = window // count
+    size = window - (count - 1) * step
+    owner, at = runs(starts, size)
+    keep = np.isin(owner, held)
+    at, owner = at[keep], np.searchsorted(held, owner[keep])
+    order, new = alike(flat, at, size)
+    letters = np.empty(len(at), np.int64)
+    letters[order] = np.cumsum(new) - 1
+    counts = np.diff(starts)[held] - size + 1
+    base = np.cumsum(counts + step) - counts - step
+    place = at - starts[held][owner]
+    phase = place % step
+    place = base[owner] + phase * (counts[owner] // step + 1) + np.minimum(phase, counts[owner] % step) + place // step
+    line, home = np.full(int((counts + step).sum()), -1), np.full(int((counts + step).sum()), -1)
+    line[place], home[place] = letters, at
+    begin = place[np.searchsorted(at, firsts)]
+    used = np.zeros(len(letters) + 1, bool)
+    used[line[begin[:, None] + np.arange(count)]] = True
+    line = np.where(used, np.cumsum(used) - 1, -1)[line]
+    radix = max(2, int(np.ceil(used.sum() ** (1 / DIGITS))))
+    digits = np.stack([np.where(line < 0, -1, line // radix**i % radix + i * radix) for i in range(DIGITS)], axis=1).ravel()
+    return digits, np.where(np.arange(len(digits)) % DIGITS == 0, np.repeat(home, DIGITS), -1), begin * DIGITS, count * DIGITS
+
+
 def automaton(text: str, firsts: np.ndarray, lows: np.ndarray, window: int) -> ahocorasick.Automaton:
-    """Phrases as keys, one character for each word, with the smallest id that holds each."""
+    """Phrases as keys, one character for each word (or letter), with the smallest id that holds each."""
     out = ahocorasick.Automaton()
     for at, low in zip(firsts.tolist(), lows.tolist(), strict=True):
         out.add_word(text[at : at + window], low)
@@ -215,46 +278,47 @@ def locate(found: DataFrame, window: int) -> DataFrame:
     """(doc_id, starts): first words of the windows to remove, for each shard and document."""
 
     def search(table: pa.Table) -> pa.Table:
-        vocabulary: dict[bytes, int] = {}
-        number: dict[bytes, int] = {}
+        vocabulary, number = Numbers(), Numbers()
         words, lengths, places = [], [], []
         for value in table.column("packed").to_pylist():
             ids, local, first, which, blob = unpack(value)
-            here = []
-            for s in blob.tobytes().split(b"\n"):
-                n = number.get(s)
-                if n is None:
-                    number[s] = n = len(lengths)
-                    new = s.split(b" ")
-                    lengths.append(len(new))
-                    words += [vocabulary.setdefault(w, len(vocabulary)) for w in new]
-                here.append(n)
-            places.append((np.array(here)[which.astype(np.int64)], ids[local.astype(np.int64)], first.astype(np.int64)))
-        least, most = np.full(len(lengths), 2**63 - 1), np.full(len(lengths), -(2**63))
+            sequences = blob.tobytes().split(b"\n")
+            known = len(number)
+            here = number.of(sequences)
+            if len(number) > known:
+                new = [s for s, n in zip(sequences, here.tolist(), strict=True) if n >= known]
+                lengths.append(np.fromiter((s.count(b" ") + 1 for s in new), np.int64, len(new)))
+                words.append(vocabulary.of(b" ".join(new).split(b" ")))
+            places.append((here[which.astype(np.int64)], ids[local.astype(np.int64)], first.astype(np.int64)))
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        least, most = np.full(len(number), 2**63 - 1), np.full(len(number), -(2**63))
         for which, owner, _ in places:
             np.minimum.at(least, which, owner)
             np.maximum.at(most, which, owner)
-        numbers = np.array(words, np.int64)
-        bounds = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
+        numbers = np.concatenate(words)
         firsts, lows, holding = shared_phrases(numbers, bounds, least, most, window)
-        hits: list[list[tuple[int, int]]] = [[]] * len(lengths)
-        for run, used in phrase_batches(numbers, firsts, window) if len(firsts) else ():
-            text = as_text(numbers, used)
-            patterns = automaton(text, firsts[run], lows[run], window)
-            for n in holding.tolist():
-                hits[n] = hits[n] + [(end - window + 1, doc) for end, doc in patterns.iter(text[bounds[n] : bounds[n + 1]])]
-        counts = np.array([len(h) for h in hits], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        flat = np.array([x for h in hits for x in h], np.int64).reshape(-1, 2)
+        hits = [np.zeros(0, HIT)]
+        if len(firsts):
+            line, home, begin, length = spelled(numbers, bounds, holding, firsts, window)
+            for run, used in phrase_batches(line, begin, length):
+                text = as_text(line, used)
+                hits.append(np.fromiter(automaton(text, begin[run], lows[run], length).iter(text), HIT))
+                hits[-1]["word"] = home[hits[-1]["word"] - length + 1]
+        flat = np.concatenate(hits)
+        flat = flat[np.argsort(flat["word"])]
+        holder = np.searchsorted(bounds, flat["word"], side="right") - 1
+        begin, lowest = flat["word"] - bounds[holder], flat["doc"]
+        counts = np.bincount(holder, minlength=len(number))
+        offsets = np.cumsum(counts) - counts
         docs, starts = [], []
         for which, owner, first in places:
             n = counts[which]
             total = int(n.sum())
             row = np.repeat(np.arange(len(which)), n)
             hit = np.repeat(offsets[which] - (np.cumsum(n) - n), n) + np.arange(total)
-            gone = flat[hit, 1] < owner[row]
+            gone = lowest[hit] < owner[row]
             docs.append(owner[row][gone])
-            starts.append(first[row][gone] + flat[hit, 0][gone])
+            starts.append(first[row][gone] + begin[hit[gone]])
         docs, starts = np.concatenate(docs), np.concatenate(starts)
         order = np.lexsort((starts, docs))
         docs, starts = docs[order], starts[order]

@@ -7,6 +7,7 @@ import os
 import random
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -281,6 +282,48 @@ def test_substring_dedup_in_several_automata(characters, monkeypatch):
     assert sorted(got) == [i for i in range(397) if tuple(flat[i : i + 4]) in phrases]
 
 
+@pytest.mark.parametrize("window", [1, 2, 5, 11, 20])
+def test_substring_automata_find_every_phrase(spark, window):
+    r = random.Random(window)
+    pool = [[r.choice("abc") for _ in range(40)] for _ in range(4)]
+    docs = {}
+    for i in range(40):
+        source, at = r.choice(pool), r.randint(0, 40 - window)
+        docs[i] = [*(f"u{r.randint(0, 500)}" for _ in range(r.randint(0, 3))), *source[at : at + window + r.randint(0, 9)], *(r.choice("abcde") * r.randint(0, 25))]
+    docs = {i: [w.encode() for w in words] for i, words in docs.items()}
+    n = np.arange(len(docs), dtype=np.uint64)
+    value = common.pack(np.array(list(docs), np.int64), n, np.zeros(len(n), np.uint64), n, np.frombuffer(b"\n".join(map(b" ".join, docs.values())), np.uint8))
+    found = spark.createDataFrame([(0, bytearray(value))], "shard int, packed binary")
+    first = {}
+    for i, words in docs.items():
+        for k in range(len(words) - window + 1):
+            first.setdefault(tuple(words[k : k + window]), i)
+    wanted = {i: [k for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < i] for i, w in docs.items()}
+    assert {x.doc_id: x.starts for x in substrings.locate(found, window).collect()} == {i: at for i, at in wanted.items() if at}
+
+
+def test_substring_automata_have_short_paths_and_few_branches(monkeypatch):
+    # building one was most of the work: a node for each word of each phrase, all first words at the root
+    built = []
+    real = substrings.automaton
+    monkeypatch.setattr(substrings, "automaton", lambda *a: built.append(real(*a)) or built[-1])
+
+    class Table:
+        groupBy = lambda self, _: self
+        applyInArrow = lambda self, f, _: f
+
+    words = [b"%x" % x for x in np.random.default_rng(1).permutation(4000)]
+    copies = b"\n".join(b" ".join(words[i : i + 40]) for i in range(0, 4000, 40))
+    n = 100
+    value = common.pack(np.array([1, 2], np.int64), np.repeat(np.arange(2, dtype=np.uint64), n), np.zeros(2 * n, np.uint64), np.tile(np.arange(n, dtype=np.uint64), 2), np.frombuffer(copies, np.uint8))
+    out = substrings.locate(Table(), 13)(pa.table({"shard": pa.array([0], pa.int32()), "packed": pa.array([value], pa.binary())}))
+    assert out.to_pylist() == [{"doc_id": 2, "starts": sorted(list(range(28)) * n)}]
+    (patterns,) = built
+    phrases = len(patterns)
+    branches = Counter(begin for begin, _, _ in patterns.dump()[1])
+    assert phrases == 28 * n and patterns.get_stats()["nodes_count"] < 8 * phrases and max(branches.values()) < 2 * (3 * phrases) ** 0.5
+
+
 def test_substring_dedup_odd_rows(spark):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.without_repeats(odd(spark, starts=1)).collect()}
     assert got == {1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (0, 0), 5: (14, 0), 6: (3, 0), 7: (1, 0)} | {6: (len("日本語 \x1c text".encode().split()), 0)}
