@@ -26,6 +26,7 @@ import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +49,16 @@ def crosses(text: str) -> bool:
     return "  " in text or "\n " in text or "\t " in text or "\r " in text or ((not text.isascii() or "\x0b " in text or "\x0c " in text or any(c in text for c in "\x1c\x1d\x1e\x1f")) and _SPACE_BEFORE_SPACE.search(text) is not None)
 
 
+def strings_of(array: pa.Array) -> list[str]:
+    """``to_pylist`` of an array of strings, in one call instead of one for each value."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def parts_of(texts: pa.Array, pattern: regex.Pattern, skip: list[bool] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The parts of texts (a part may stand twice), the place in that list of every part in order, and where the parts
     of each text begin (one more entry at the end). No match of the pattern crosses from one
     part to the next, so equal parts have equal ids. ``skip`` marks texts to leave without parts."""
-    strings = texts.to_pylist()
+    strings = strings_of(texts)
     odd = np.fromiter(map(crosses, strings), bool, len(strings))
     out = np.array(skip, bool) if skip is not None else np.zeros(len(strings), bool)
     plain = np.flatnonzero(~odd & ~out)
@@ -61,12 +67,12 @@ def parts_of(texts: pa.Array, pattern: regex.Pattern, skip: list[bool] | None =
     counts = np.zeros(len(strings), np.int64)
     counts[plain] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     coded = values.dictionary_encode()
-    names = [" " + x for x in coded.dictionary.to_pylist()]
+    names = strings_of(pc.binary_join_element_wise(pa.scalar(" ", values.type), coded.dictionary, pa.scalar("", values.type)))
     at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     # the first part of a text has no space before it
     codes = _Codes()
     first = np.cumsum(counts[plain]) - counts[plain]
-    at[first] = np.fromiter(map(codes.__getitem__, values.take(pa.array(first)).to_pylist()), np.int64, len(first)) + len(names)
+    at[first] = np.fromiter(map(codes.__getitem__, strings_of(values.take(pa.array(first)))), np.int64, len(first)) + len(names)
     found = [np.fromiter(map(codes.__getitem__, x := pattern.findall(strings[i])), np.int64, len(x)) + len(names) for i in np.flatnonzero(odd & ~out)]
     names += list(codes)
     if found:
@@ -242,17 +248,21 @@ class Memo:
 
     def find(self, strings: list[str], make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Rows of (flat, starts) of strings; ``make`` gives ids and lengths of new ones."""
-        fresh = list(dict.fromkeys(s for s in strings if s not in self.codes))
-        if fresh and len(self.codes) + len(fresh) > self.bound:
+        at = np.fromiter(map(self.codes.get, strings, repeat(-1)), np.int64, len(strings))
+        new = np.flatnonzero(at < 0)
+        if len(new) and len(self.codes) + len({strings[i] for i in new.tolist()}) > self.bound:
             self.shrink()
-            fresh = list(dict.fromkeys(s for s in strings if s not in self.codes))
-        if fresh:
+            at = np.fromiter(map(self.codes.get, strings, repeat(-1)), np.int64, len(strings))
+            new = np.flatnonzero(at < 0)
+        if len(new):
+            again = [strings[i] for i in new.tolist()]
+            fresh = list(dict.fromkeys(again))
             ids, lengths = make(fresh)
             self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
             self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh)), strict=True))
             self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int32)])
-        at = np.fromiter(map(self.codes.__getitem__, strings), np.int64, len(strings))
+            at[new] = np.fromiter(map(self.codes.__getitem__, again), np.int64, len(again))
         self.used[at] += 1
         return at
 

@@ -82,7 +82,7 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         zeros, planes, ranks = [], [], []
         for level in range(levels - 1, -1, -1):
-            bit = (now >> now.dtype.type(level)) & now.dtype.type(1) != 0
+            bit = now & now.dtype.type(1 << level) != 0
             packed = np.packbits(bit)
             planes.append(Plane.of(packed))
             ranks.append(cls._directory(packed))
@@ -195,7 +195,7 @@ class LibraryEncoder:
         joined = np.fromiter((len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() for p in parts), bool, len(parts))
         together = [p for p, one in zip(parts, joined.tolist(), strict=True) if one]
         ids, _ = self._ids(["".join(together[at : at + 200]) for at in range(0, len(together), 200)])
-        ends = np.cumsum(np.fromiter((len(p.encode("utf-8", "surrogatepass")) for p in together), np.int64, len(together)))
+        ends = np.cumsum(pc.binary_length(pa.array(together, pa.large_string())).to_numpy().astype(np.int64))
         lengths = np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends, side="right"), prepend=0)
         alone, alone_lengths = self._ids([p for p, one in zip(parts, joined.tolist(), strict=True) if not one])
         every = np.empty(len(parts), np.int64)
@@ -239,7 +239,7 @@ def write_shards(docs: DataFrame, where: str, tokenizer: str = "byte_bpe_50k.jso
             documents = pack(np.array([x is None for x in names], np.uint8), np.array([x or 0 for x in names], np.int64), np.array(lengths, np.uint64))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n": pa.array([held], pa.int64()), "documents": pa.array([documents], pa.binary()), "matrix": pa.array([matrix.to_bytes()], pa.binary())})
 
-        for rows in slices(batches, 1):
+        for rows in slices(batches, 1, 8_000_000, 4_000):  # larger ones look fewer distinct parts up
             for doc_id, found in zip(rows.column(0).to_pylist(), library.encode(rows.column(1)), strict=True):
                 names.append(doc_id)
                 ids += [found, end]

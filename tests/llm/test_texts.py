@@ -184,6 +184,38 @@ def test_library_encoder(tokenizer):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+class Asked(dict):
+    """A dict that counts how often it is asked."""
+
+    times = 0
+
+    def get(self, *a):
+        self.times += 1
+        return super().get(*a)
+
+    def __getitem__(self, key):
+        self.times += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        self.times += 1
+        return super().__contains__(key)
+
+
+def test_known_parts_are_looked_up_once():
+    memo = bpe.Memo(1000)
+    make = lambda strings: (np.array([len(s) for s in strings], np.uint32), np.ones(len(strings), np.int64))
+    names = [f"part{'x' * i}" for i in range(50)]
+    rows = memo.find([*names, *names[:5]], make)
+    assert memo.flat[rows].tolist() == [4 + i for i in [*range(50), *range(5)]]
+    memo.codes = Asked(memo.codes)
+    rows = memo.find([*names[::-1], "new", "new"], make)
+    assert memo.flat[rows].tolist() == [*(4 + i for i in range(49, -1, -1)), 3, 3]
+    assert memo.codes.times == 50 + 2 + 2
+    names, at, begin = bpe.parts_of(pa.array(["é b  c", "a b é", "", "b a"], pa.large_string()), bpe.regex.compile(public_tokenizers.PATTERN))
+    assert ["".join(names[k] for k in at[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)] == ["é b  c", "a b é", "", "b a"]
+
+
 def test_token_files_keep_added_tokens(spark, tokenizer):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n z", "plain text", " two  spaces", "<|endoftext"] * 3
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
