@@ -36,9 +36,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_name, give_back, heaviest, load, materialize, shared_dir, slices
+from quarry.llm.common import free_name, give_back, giving_back, heaviest, load, materialize, shared_dir, short_batches, slices
 
 NONE = np.int64(1) << 40
+#: Of texts that are counted or encoded at once. What a worker needs beside its tables is about
+#: 25 times as much.
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 1_000
 _SPACE_BEFORE_SPACE = re.compile(r"\s ")
 
 
@@ -312,7 +315,7 @@ def count_parts(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled, held = regex.compile(pattern), {}
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, SLICE_BYTES, SLICE_ROWS):
             names, at, _ = parts_of(pc.fill_null(batch.column(0), ""), compiled)
             for name, n in zip(names, np.bincount(at, minlength=len(names)).tolist(), strict=True):
                 held[name] = held.get(name, 0) + n
@@ -321,7 +324,7 @@ def count_parts(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
                 held = {}
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
 
-    return docs.select(text_col).mapInArrow(run, "part string, n long").where("n > 0").groupBy("part").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(giving_back(run), "part string, n long").where("n > 0").groupBy("part").agg(F.sum("n").alias("n"))
 
 
 def corpus_table(docs: DataFrame, vocabulary: str, pattern: str, text_col: str, table_parts: int, shard_parts: int = 50_000) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -332,6 +335,7 @@ def corpus_table(docs: DataFrame, vocabulary: str, pattern: str, text_col: str,
     shards = max(1, -(-min(table_parts, counted.count()) // shard_parts))
 
     def replay(table: pa.Table) -> pa.Table:
+        give_back()
         parts = table.column("part").to_pylist()
         ids, lengths = replayed(merges(vocabulary), pattern)(parts)
         starts = np.concatenate([[0], np.cumsum(lengths)])
@@ -346,6 +350,7 @@ def corpus_table(docs: DataFrame, vocabulary: str, pattern: str, text_col: str,
 
 def with_ids(docs: DataFrame, fn, schema: str, columns: list[str], vocabulary: str, pattern: str, text_col: str = "text", table_parts: int = 1 << 17) -> DataFrame:
     """Encodes ``text_col`` slice by slice; ``fn(vocabulary, ids)`` gives the values of a row."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(corpus_table(docs, vocabulary, pattern, text_col, table_parts))
     give_back()
 
@@ -353,13 +358,13 @@ def with_ids(docs: DataFrame, fn, schema: str, columns: list[str], vocabulary: s
         words = merges(vocabulary)
         parts, flat, starts = shared.value
         encoder = Encoder(pattern, replayed(words, pattern), 100_000, (parts.to_pylist(), flat, starts))
-        for batch in slices(batches, len(columns)):
+        for batch in slices(batches, len(columns), SLICE_BYTES, SLICE_ROWS):
             ids, begin = encoder.encode(batch.column(len(columns)))
             made = list(zip(*(fn(words, ids[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)), strict=True)) or [()] * len(fn.columns)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *(pa.array(x, kind) for x, (_, kind) in zip(made, fn.columns, strict=True))], names=[*columns, *(name for name, _ in fn.columns)])
 
     kept = docs.select(*[F.col(c) for c in columns], F.coalesce(F.col(text_col), F.lit("")).alias(free_name(docs, "whole_text")))
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(giving_back(run), schema)
 
 
 class _Ids:

@@ -14,7 +14,7 @@ import os
 import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Rows of whole texts that travel to a worker at once.
+BATCH_ROWS = 2_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's number of rows in an Arrow batch to ``BATCH_ROWS``; a lower one stays.
+
+    Spark's 10,000 rows of texts are some 30 MB. A task holds two such batches in its worker, and
+    as much and the buffers that grow to it in the executor beside the heap. The setting stays
+    for the session, since the last plan of an operator is run by its caller; results do not
+    depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def materialize(df: DataFrame, where: str, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as a table under ``where`` and reads it back: lineage is cut, and a lost
     executor costs nothing that was written."""
@@ -209,6 +225,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, and ``give_back`` when it has ended and its tables are gone: a worker
+    that waits for its next task stays small meanwhile."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows, cut further where a column of strings holds
     more than ``size`` bytes; one long text is a slice of its own."""

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_name, give_back, keyed_texts, load, materialize, mix, pack, shared_dir, shingle_hashes, shuffle_partitions, steps, sums, text_chunks, unpack, word_hashes
+from quarry.llm.common import free_name, give_back, giving_back, keyed_texts, load, materialize, mix, pack, shared_dir, shingle_hashes, short_batches, shuffle_partitions, steps, sums, text_chunks, unpack, word_hashes
 from quarry.llm.sieve import sieve_of
 
 #: Bits of a shingle hash that travel to the counts.
@@ -98,6 +98,7 @@ def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tup
             yield pa.RecordBatch.from_pydict({"part": pa.array([spread, *full.tolist()], pa.int32()), "chunk": pa.array([ids[0]] * len(packed), pa.int64()), "packed": pa.array(packed, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
+        give_back()
         part = table.column("part")[0].as_py()
         if part >= ranges:
             return table.select(["chunk", "packed"]).append_column("own", pa.array([True] * table.num_rows))
@@ -123,6 +124,7 @@ def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tup
     schema = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("rank", pa.int64()), ("key", pa.binary())])
 
     def settle(table: pa.Table) -> pa.Table:
+        give_back()
         own = table.column("own").to_pylist()
         values = table.column("packed").to_pylist()
         ids, n, keys = unpack(values[own.index(True)])
@@ -146,7 +148,7 @@ def sets_and_prefixes(texts: DataFrame, k: int, percent: int, where: str) -> tup
         m = len(owner)
         return pa.concat_tables([docs, pa.table([pa.array(np.ones(m, np.int32)), pa.array(tokens.view(np.int64)), pa.array(ids[owner]), pa.array(n[owner]), pa.array(pos), pa.array(rank), pa.nulls(m, pa.binary())], schema=schema)])
 
-    answers = texts.select("doc_id", "text").mapInArrow(send, "part int, chunk long, packed binary").groupBy("part").applyInArrow(count, "chunk long, packed binary, own boolean")
+    answers = texts.select("doc_id", "text").mapInArrow(giving_back(send), "part int, chunk long, packed binary").groupBy("part").applyInArrow(count, "chunk long, packed binary, own boolean")
     made = materialize(answers.groupBy("chunk").applyInArrow(settle, "kind int, token long, doc_id long, n long, pos long, rank long, key binary"), where, "sets", ["kind"])
     return made.where("kind = 0").select("doc_id", "n", "key"), made.where("kind = 1").select("token", "doc_id", "n", "pos", "rank")
 
@@ -211,7 +213,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         y = sets.select(F.col("rid").alias("b"), F.col(column).alias("y"))
         return rows.join(y, "b").join(x, "a").select("a", "b", "x", "y")
 
-    return beside(beside(pairs, "counts").mapInArrow(bound, "a long, b long"), "hashes").mapInArrow(compare, "a long, b long")
+    return beside(beside(pairs, "counts").mapInArrow(bound, "a long, b long"), "hashes").mapInArrow(giving_back(compare), "a long, b long")
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, k: int, where: str) -> DataFrame:
@@ -227,7 +229,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, k: int, where: str) -> DataFram
                 sets = [shingle_set(t, k) for t in rows]
                 yield pa.RecordBatch.from_pydict({"rid": pa.array(some, pa.int64()), "counts": pa.array([range_counts(s).tobytes() for s in sets], pa.binary()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    out = materialize(texts.select("doc_id", "text").mapInArrow(keep, "rid long, counts binary, hashes binary"), where, "hashed")
+    out = materialize(texts.select("doc_id", "text").mapInArrow(giving_back(keep), "rid long, counts binary, hashes binary"), where, "hashed")
     chosen.destroy()
     give_back()
     return out
@@ -262,7 +264,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, where: str) -
 
     # the pivot's set travels with each member, since all members in one place would be too many
     beside = members.join(sets.select(F.col("rid").alias("pivot"), F.col("hashes").alias("y")), "pivot").join(sets.select("rid", "hashes"), "rid")
-    deltas = materialize(beside.select("pivot", "rid", "comp", "hashes", "y").mapInArrow(differ, "pivot long, rid long, comp long, n long, delta binary"), where, "differences")
+    deltas = materialize(beside.select("pivot", "rid", "comp", "hashes", "y").mapInArrow(giving_back(differ), "pivot long, rid long, comp long, n long, delta binary"), where, "differences")
     sized = deltas.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("delta")) / (8 * BLOCK_SHINGLES))).cast("int").alias("blocks"))
     placed = deltas.join(sized, "pivot").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
@@ -304,6 +306,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.where, self.percent = shared_dir(docs.sparkSession), percent
+        short_batches(docs.sparkSession)
         texts = keyed_texts(docs)
         sets, entries = sets_and_prefixes(texts, k, percent, self.where)
         self.sets = sets

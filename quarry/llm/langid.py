@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, free_name, give_back, load, materialize, shared_dir, slices
+from quarry.llm.common import fold, free_name, give_back, giving_back, load, materialize, shared_dir, short_batches, slices
 
 UNDETERMINED = "und"
 _RUNS = re.compile(r"[^\W\d_]+")
@@ -132,7 +132,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 sums = {}
         yield from emit(sums)
 
-    return docs.select("text", "lang").mapInArrow(run, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(giving_back(run), "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
 def gram_weights(counts: DataFrame, orders: int) -> DataFrame:
@@ -159,7 +159,7 @@ def gram_weights(counts: DataFrame, orders: int) -> DataFrame:
                 sums = {}
         yield from emit(sums)
 
-    return counts.select("word", "lang", "n").mapInArrow(run, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    return counts.select("word", "lang", "n").mapInArrow(giving_back(run), "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
 def shares(sizes: dict[str, int], k: int) -> dict[str, int]:
@@ -210,6 +210,7 @@ def learn(docs: DataFrame, max_words: int = 120_000, max_grams: int = 40_000, or
     order come to the driver, with even places for each language. Words of more than
     ``max_word`` letters give n-grams, but take no place among the words."""
     where = shared_dir(docs.sparkSession)
+    short_batches(docs.sparkSession)
     counts = materialize(word_counts(docs.where("text is not null and lang is not null")), where, "words")
     sizes, table = heaviest_by_language(counts.where(F.length("word") <= max_word), "word", F.lit(0), max_words)
     gram_sizes, gram_table = heaviest_by_language(materialize(gram_weights(counts, orders), where, "grams"), "gram", F.length("gram"), max_grams)
@@ -273,7 +274,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple
 
     kinds = dict(docs.dtypes)
     shown = docs.select(*keep, F.col("text").alias(free_name(docs, "whole_text")))
-    return shown.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"]))
+    return shown.mapInArrow(giving_back(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, **limits) -> DataFrame:

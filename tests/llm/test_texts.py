@@ -399,6 +399,32 @@ def test_slices():
     assert [x.column(0).to_pylist() for x in cut if x.num_rows] == [[0, 1], [2, 3], [4], [5, 6]]
 
 
+def test_workers_give_back_when_a_task_ends(monkeypatch):
+    order = []
+
+    class Table:
+        def __del__(self):
+            order.append("table gone")
+
+    def run(batches):
+        table = Table()  # noqa: F841
+        yield from batches
+
+    monkeypatch.setattr(common, "give_back", lambda: order.append("give back"))
+    assert list(common.giving_back(run)(iter([1, 2]))) == [1, 2] and order == ["table gone", "give back"]
+
+
+def test_texts_travel_in_short_batches(spark, sf_dir):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for rows, want in (("10000", "2000"), ("0", "2000"), ("7", "7")):
+            spark.conf.set(name, rows)
+            assert bpe.encode(odd(spark)).count() == len(ODD) and spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_bpe_on_tables(spark, sf_dir, reference_encoding):
     docs = common.load(spark, sf_dir)
     got = {r.doc_id: r for r in bpe.digests(docs).collect()}
