@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, heaviest, keyed_texts, load, materialize, mix, pack, shared_dir, shuffle_partitions, steps, sums, text_chunks, unpack
+from quarry.llm.common import fold, give_back, giving_back, heaviest, keyed_texts, load, materialize, mix, pack, shared_dir, short_batches, shuffle_partitions, steps, sums, text_chunks, unpack
 
 LOW = 5
 HIGH = 0.999
@@ -108,7 +109,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 count.update(text.lower().split())
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.binary()), "n": pa.array(list(count.values()), pa.int64())})
 
-    return texts.where("not held_out").select("doc_id", "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.where("not held_out").select("doc_id", "text").mapInArrow(giving_back(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def learn_words(texts: DataFrame, where: str, frequent: int) -> Unigrams:
@@ -200,16 +201,27 @@ def send(texts: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
                 packed.append(pack(steps(own.astype(np.uint64)), doc_ids[own], np.packbits(held[own]), steps(key[at[0]]), kd, times[at[0]].astype(np.uint64), t1[at[1]], steps(t2[at[1]]), td, steps(c1[at[2]]), cd))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "chunk": pa.array([chunk] * len(names), pa.int64()), "packed": pa.array(packed, pa.binary())})
 
-    return texts.select("doc_id", "text", "held_out").mapInArrow(run, "bucket int, chunk long, packed binary")
+    return texts.select("doc_id", "text", "held_out").mapInArrow(giving_back(run), "bucket int, chunk long, packed binary")
 
 
-def count_pairs(sent: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
+def pieces(pair: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of the pairs, about ``most`` at once, by ascending ranges; equal pairs stay together."""
+    n = max(1, -(-len(pair) // most))
+    few = np.sort(pair[:: max(1, min(64, len(pair) // (64 * n)))])
+    cuts = np.unique(few[np.arange(1, n) * len(few) // n])
+    range_of = np.searchsorted(cuts, pair, side="right").astype(np.uint16)
+    for i in range(len(cuts) + 1):
+        yield np.flatnonzero(range_of == i)
+
+
+def count_pairs(sent: DataFrame, known: Unigrams, buckets: int, most: int) -> DataFrame:
     """Rows of four kinds: 0 sums of a chunk's documents (packed); 1 contexts with what their pairs
     in this bucket hold; 2 unseen pairs (document, context); 3 a part of the model table with
     its numbers of pairs by count."""
     spread = sent.sparkSession.sparkContext.broadcast(known)
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         k = spread.value
         chunks = table.column("chunk").to_pylist()
         values = table.column("packed").to_pylist()
@@ -218,16 +230,16 @@ def count_pairs(sent: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
             own = _rows(0, len(chunks), chunk=chunks, a=[1] * len(chunks), packed=[pack(ids, bits) for ids, bits, _ in opened])
             return pa.concat_tables([own, _rows(0, len(chunks), chunk=chunks, packed=[x.tobytes() for _, _, x in opened])])
         size = np.uint64(k.size)
-        places, ids, held, parts, offset = [], [], [], [[] for _ in range(8)], 0
+        places, ids, held, parts, offset = [], [], [], [[] for _ in range(8)], np.int32(0)
         for v in values:
             own, doc_ids, bits, key, kd, times, t1, t2, td, c1, cd = unpack(v)
             places.append(sums(own))
             ids.append(doc_ids)
             held.append(np.unpackbits(bits, count=len(doc_ids)).astype(bool))
-            for p, x in zip(parts, (sums(key), kd.astype(np.int64) + offset, times.astype(np.int64), t1.astype(np.uint64), sums(t2), td.astype(np.int64) + offset, sums(c1), cd.astype(np.int64) + offset), strict=True):
+            for p, x in zip(parts, (sums(key), kd.astype(np.int32) + offset, times.astype(np.int32), t1.astype(np.uint64), sums(t2), td.astype(np.int32) + offset, sums(c1), cd.astype(np.int32) + offset), strict=True):
                 p.append(x)
-            offset += len(doc_ids)
-        key, kd, times, t1, t2, td, c1, cd = (np.concatenate(p) for p in parts)
+            offset += np.int32(len(doc_ids))
+        key, kd, times, t1, t2, td, c1, cd = (np.concatenate(parts.pop(0)) for _ in range(8))
         sizes = [len(x) for x in ids]
         ids, held = np.concatenate(ids), np.concatenate(held)
         m = len(ids)
@@ -248,27 +260,42 @@ def count_pairs(sent: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
         nc = np.where(found, np.append(rare_n, 0)[at], 0)
         part["context"] -= np.bincount(cd[nc > 0], weights=np.log10(nc[nc > 0].astype(float)), minlength=m)
         unseen_docs, unseen_contexts, having, contexts, model = [], [], np.zeros(LOW + 2, np.int64), [], []
-        for pair, first, doc, p, times in ((key, key // size, kd, k.frequent[(key % size).astype(np.int64)], times), (mix(mix(t1) + t2), t1, td, p2, np.ones(len(t1), np.int64))):
+        model_parts = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
+        rare_pair = mix(mix(t1) + t2)
+        for both, at in chain(zip(repeat(True), pieces(key, most)), zip(repeat(False), pieces(rare_pair, most))):  # noqa: B905
+            if both:
+                pair, doc, n_times = key[at], kd[at], times[at]
+                first, p = pair // size, k.frequent[(pair % size).astype(np.int64)]
+            else:
+                pair, doc, first, p = rare_pair[at], td[at], t1[at], p2[at]
+                n_times = np.ones(len(doc), np.int32)
             kinds, place, inverse = np.unique(pair, return_index=True, return_inverse=True)
             trained = ~held[doc]
-            n = np.bincount(inverse[trained], weights=times[trained], minlength=len(kinds)).astype(np.int64)
+            n = np.bincount(inverse[trained], weights=n_times[trained], minlength=len(kinds)).astype(np.int64)
             c = n[inverse]
             for r in range(1, LOW + 1):
-                part[f"n_low{r}"] += np.bincount(doc[c == r], weights=times[c == r], minlength=m).astype(np.int64)
+                part[f"n_low{r}"] += np.bincount(doc[c == r], weights=n_times[c == r], minlength=m).astype(np.int64)
             high = c > LOW
-            part["n_high"] += np.bincount(doc[high], weights=times[high], minlength=m).astype(np.int64)
-            part["log_high"] += np.bincount(doc[high], weights=np.log10(c[high].astype(float)) * times[high], minlength=m)
+            part["n_high"] += np.bincount(doc[high], weights=n_times[high], minlength=m).astype(np.int64)
+            part["log_high"] += np.bincount(doc[high], weights=np.log10(c[high].astype(float)) * n_times[high], minlength=m)
             unseen = c == 0
-            part["unseen"] += np.bincount(doc[unseen], weights=np.log10(p[unseen]) * times[unseen], minlength=m)
-            unseen_docs.append(np.repeat(ids[doc[unseen]], times[unseen]))
-            unseen_contexts.append(np.repeat(first[unseen], times[unseen]))
+            part["unseen"] += np.bincount(doc[unseen], weights=np.log10(p[unseen]) * n_times[unseen], minlength=m)
+            unseen_docs.append(np.repeat(ids[doc[unseen]], n_times[unseen]))
+            unseen_contexts.append(np.repeat(first[unseen], n_times[unseen]))
             real = n > 0
             n, place = n[real], place[real]
             having += np.bincount(np.minimum(n, LOW + 2), minlength=LOW + 3)[: LOW + 2]
             context, inverse = np.unique(first[place], return_inverse=True)
             tally = [np.bincount(inverse[n == r], minlength=len(context)) for r in range(1, LOW + 1)]
             contexts.append(_rows(1, len(context), a=context.view(np.int64), x=np.bincount(inverse, weights=p[place], minlength=len(context)), **{f"t{r}": t for r, t in enumerate(tally, 1)}, **{f"t{LOW + 1}": np.bincount(inverse, weights=n, minlength=len(context)).astype(np.int64)}))
-            model += [steps(kinds[real]) if first is not t1 else t1[place], n.astype(np.uint64)] + ([t2[place]] if first is t1 else [])
+            if both:
+                model_parts[0].append(kinds[real])
+                model_parts[1].append(n)
+            else:
+                model.append((t1[at][place], n, t2[at][place]))
+        # pieces are ranges of pairs, so the pairs of frequent words are in order as a whole
+        model = [steps(np.concatenate(model_parts[0])), np.concatenate(model_parts[1]).astype(np.uint64), *(np.concatenate(x) for x in zip(*model, strict=True))]
+        model[3] = model[3].astype(np.uint64)
         ends = np.cumsum(sizes)
         sums_rows = _rows(0, len(chunks), chunk=chunks, packed=[_pack_sums({name: x[e - s : e] for name, x in part.items()}, own) for own, s, e in zip(places, sizes, ends.tolist(), strict=True)])
         pairs = np.stack([np.concatenate(unseen_docs), np.concatenate(unseen_contexts).view(np.int64)])
@@ -282,6 +309,7 @@ def document_sums(made: DataFrame) -> DataFrame:
     """(doc_id, held_out, sums) of every document, added up over the buckets."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         values = table.column("packed").to_pylist()
         ids, bits = unpack(values.pop(table.column("a").to_pylist().index(1)))
         total = np.zeros((len(SUMS), len(ids)))
@@ -296,7 +324,7 @@ def document_sums(made: DataFrame) -> DataFrame:
     return made.where("kind = 0").select("chunk", "a", "packed").groupBy("chunk").applyInArrow(run, "doc_id long, held_out boolean, " + ", ".join(f"{s} double" for s in SUMS))
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2, frequent: int = 1 << 17, bucket_tokens: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, frequent: int = 1 << 17, bucket_tokens: int = 2_000_000, piece_pairs: int = 1 << 19) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each id.
 
     Rows without an id are left out, a null text is empty (one token, its end), rows that share
@@ -304,11 +332,12 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, frequent: int = 1
     and has probability 1."""
     spark = docs.sparkSession
     where = shared_dir(spark)
+    short_batches(spark)
     texts = keyed_texts(docs).withColumn("held_out", fold(F.col("doc_id"), folds) == held_out)
     known = learn_words(texts, where, frequent)
     buckets = max(shuffle_partitions(spark), -(-known.total // bucket_tokens))
     sent = send(texts, known, buckets)
-    made = materialize(count_pairs(sent, known, buckets), where, "model/order=2", ["kind"])
+    made = materialize(count_pairs(sent, known, buckets, piece_pairs), where, "model/order=2", ["kind"])
     row = made.where("kind = 3").agg(*(F.sum(f"t{r}").alias(f"n{r}") for r in range(1, LOW + 2))).first()
     discount = good_turing([0, *(row[f"n{r}"] or 0 for r in range(1, LOW + 2))])
     contexts = made.where("kind = 1").groupBy("a").agg(F.sum("x").alias("x"), *(F.sum(f"t{r}").alias(f"t{r}") for r in range(1, LOW + 2)))

@@ -120,6 +120,18 @@ def test_katz_sums_to_one(spark, sf_dir):
         assert math.isclose(total, 1, rel_tol=1e-9)
 
 
+def test_katz_counts_in_pieces(spark, sf_dir):
+    r = np.random.default_rng(2)
+    pair = r.integers(0, 3000, 20_000).astype(np.uint64)
+    cut = list(lm.pieces(pair, 1000))
+    assert sorted(np.concatenate(cut).tolist()) == list(range(len(pair))) and len(cut) > 10 and max(map(len, cut)) < 3000
+    assert all(pair[a].max() < pair[b].min() for a, b in zip(cut, cut[1:])) and [len(x) for x in lm.pieces(pair[:0], 10)] == [0]  # noqa: B905
+    docs = common.load(spark, sf_dir)
+    want, _ = katz([(r.doc_id, r.text) for r in docs.collect()])
+    got = {r.doc_id: r for r in lm.score(docs, frequent=300, piece_pairs=200).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i].score, w[5], rel_tol=1e-9) for i, w in want.items())
+
+
 def test_katz_odd_rows(spark):
     got = {r.doc_id: r for r in lm.score(odd(spark, chunk=3)).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6, 7} and got[1].n_tokens == 1 and all(math.isfinite(r.score) for r in got.values())
