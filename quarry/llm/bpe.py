@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_name, give_back, giving_back, heaviest, load, materialize, shared_dir, short_batches, slices
+from quarry.llm.common import free_name, give_back, giving_back, heaviest, load, materialize, shared_dir, short_batches, slices, strings_of
 
 NONE = np.int64(1) << 40
 #: Of texts that are counted or encoded at once. What a worker needs beside its tables is about
@@ -52,11 +52,6 @@ def crosses(text: str) -> bool:
     return "  " in text or "\n " in text or "\t " in text or "\r " in text or ((not text.isascii() or "\x0b " in text or "\x0c " in text or any(c in text for c in "\x1c\x1d\x1e\x1f")) and _SPACE_BEFORE_SPACE.search(text) is not None)
 
 
-def strings_of(array: pa.Array) -> list[str]:
-    """``to_pylist`` of an array of strings, in one call instead of one for each value."""
-    return array.to_numpy(zero_copy_only=False).tolist()
-
-
 def parts_of(texts: pa.Array, pattern: regex.Pattern, skip: list[bool] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The parts of texts (a part may stand twice), the place in that list of every part in order, and where the parts
     of each text begin (one more entry at the end). No match of the pattern crosses from one

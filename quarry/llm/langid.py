@@ -13,10 +13,10 @@ taken over all training texts.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, free_name, give_back, giving_back, load, materialize, shared_dir, short_batches, slices
+from quarry.llm.common import fold, free_name, give_back, giving_back, load, materialize, shared_dir, short_batches, slices, strings_of
 
 UNDETERMINED = "und"
 _RUNS = re.compile(r"[^\W\d_]+")
+#: No letters; most tokens are a word once these are gone from their ends.
+_MARKS = ".,;:!?\"'()[]{}<>*#-_/0123456789\u2026\u201c\u201d\u2018\u2019\u00ab\u00bb"
 
 
 def _words(text: str) -> list[str]:
@@ -41,9 +43,34 @@ def _words(text: str) -> list[str]:
     return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
+def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct tokens of texts (runs between ASCII white space, which ends a word and the context of
+    its case), the place in that list of every token in order, and where those of each text begin
+    (one more entry at the end). A null text has no words."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return strings_of(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+def words_of(tokens: list[str]) -> tuple[list[str], np.ndarray]:
+    """Words of all tokens, in lower case, and the place of the token of each. Those of one token stand in
+    order; tokens that are one word come first."""
+    words = [t if t.isalpha() else t.strip(_MARKS) for t in map(str.lower, tokens)]
+    alone = np.fromiter(map(str.isalpha, words), bool, len(words))
+    if alone.all():
+        return words, np.arange(len(words))
+    rest = np.flatnonzero(~alone)
+    found = [_words(words[i]) for i in rest.tolist()]
+    owner = np.concatenate([np.flatnonzero(alone), np.repeat(rest, np.fromiter(map(len, found), np.int64, len(found)))])
+    return [*(w for w in words if w.isalpha()), *(w for x in found for w in x)], owner
+
+
 #: Parts of one that weights of n-grams are counted in.
 UNIT = 1 << 16
 _DRAWS = 1 << 20
+#: Of words with their counts that a task gathers before it sums them up.
+HELD_BYTES = 32_000_000
 
 
 @dataclass
@@ -82,23 +109,23 @@ class LanguageModel:
         return []
 
     def tokens(self, tokens: list[str]) -> np.ndarray:
-        """For each token the sums over its words, then the number of these words."""
-        row, owner, weight, counts = [], [], [], np.zeros(len(tokens))
-        for i, token in enumerate(tokens):
-            words = _words(token.lower())
-            counts[i] = len(words)
-            for w in words:
-                found = self.evidence(w)
-                row += found
-                owner += [i] * len(found)
-                weight += [1 / len(found)] * len(found) if found else []
-        out = np.zeros((len(tokens), len(self.languages) + 1))
-        if row:
-            shown = self.rows[row] * np.array(weight)[:, None]
-            for k in range(len(self.languages)):
-                out[:, k] = np.bincount(owner, weights=shown[:, k], minlength=len(tokens))
-        out[:, -1] = counts
-        return out
+        """For each token the sums over its words, then the number of these words; column by column."""
+        words, owner = words_of(tokens)
+        out = np.zeros((len(self.languages) + 1, len(tokens)))
+        out[-1] = np.bincount(owner, minlength=len(tokens))
+        known = np.fromiter(map(self.tables[0].get, words, repeat(-1)), np.int64, len(words))
+        codes = _Codes()
+        unknown = np.flatnonzero(known < 0)
+        at = np.fromiter(map(codes.__getitem__, map(words.__getitem__, unknown.tolist())), np.int64, len(unknown))
+        grams = [self.evidence(w) for w in codes]
+        counts = np.fromiter(map(len, grams), np.int64, len(grams))
+        rows = np.fromiter((r for found in grams for r in found), np.int64, int(counts.sum()))
+        of, weight = np.repeat(np.arange(len(grams)), counts), np.repeat(1 / np.maximum(counts, 1), counts)
+        for k in range(len(self.languages) if len(self.rows) else 0):
+            shown = self.rows[known, k]
+            shown[unknown] = np.bincount(of, self.rows[rows, k] * weight, len(grams))[at] if len(grams) else 0.0
+            out[k] = np.bincount(owner, shown, len(tokens))
+        return out.T
 
 
 class _Codes(dict):
@@ -110,27 +137,30 @@ class _Codes(dict):
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, lang, n) over all texts; summed within each task before they are shuffled."""
 
-    def emit(sums: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, count in sums.items():
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.string()), "lang": pa.array([lang] * len(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
+    def emit(held: dict[str, list[pa.Table]]) -> Iterator[pa.RecordBatch]:
+        for lang in list(held):
+            summed = pa.TableGroupBy(pa.concat_tables(held.pop(lang)), "word", use_threads=False).aggregate([("n", "sum")])
+            for part in summed.to_batches(max_chunksize=50_000):
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.repeat(pa.scalar(lang, pa.string()), part.num_rows), part.column("n_sum")], names=["word", "lang", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, Counter] = {}
+        held: dict[str, list[pa.Table]] = {}
+        size = 0
         for batch in slices(batches, 0):
-            codes, by_lang = _Codes(), {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(np.fromiter(map(codes.__getitem__, parts := text.split()), np.int64, len(parts)))
-            tokens = [_words(t.lower()) for t in codes]
-            for lang, rows in by_lang.items():
-                seen = np.bincount(np.concatenate(rows), minlength=1)
-                count = sums.setdefault(lang, Counter())
-                for code in np.flatnonzero(seen).tolist():
-                    for w in tokens[code]:
-                        count[w] += int(seen[code])
-            if sum(map(len, sums.values())) > 100_000:
-                yield from emit(sums)
-                sums = {}
-        yield from emit(sums)
+            tokens, at, begin = tokens_of(batch.column(0))
+            words, owner = words_of(tokens)
+            words = pa.array(words, pa.string())
+            langs = batch.column(1).dictionary_encode()
+            spoken = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(begin))
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                seen = np.bincount(at[spoken == i], minlength=len(tokens))[owner]
+                found = np.flatnonzero(seen)
+                held.setdefault(lang, []).append(part := pa.table({"word": words.take(pa.array(found)), "n": seen[found]}))
+                size += part.nbytes
+            if size > HELD_BYTES:
+                yield from emit(held)
+                size = 0
+        yield from emit(held)
 
     return docs.select("text", "lang").mapInArrow(giving_back(run), "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
@@ -256,20 +286,18 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches, len(keep)):
-            codes = _Codes()
-            rows = [np.fromiter(map(codes.__getitem__, parts := (text or "").split()), np.int64, len(parts)) for text in batch.column(batch.num_columns - 1).to_pylist()]
-            values = m.tokens(list(codes))
-            langs, scores = [], []
-            for row in rows:
-                total = values[row].sum(axis=0)
-                if not len(row) or total[-1] == 0 or not m.languages:
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                z = total[:-1] / np.sqrt(total[-1])
-                share = np.exp(z - z.max())
-                langs.append(m.languages[int(np.argmax(z))])
-                scores.append(float(share.max() / share.sum()))
+            tokens, at, begin = tokens_of(batch.column(batch.num_columns - 1))
+            values = m.tokens(tokens)
+            full = np.flatnonzero(np.diff(begin))
+            total = np.zeros((batch.num_rows, len(m.languages) + 1))
+            for k in range(total.shape[1] if len(full) else 0):
+                total[full, k] = np.add.reduceat(values[:, k][at], begin[full])
+            langs, scores = np.full(batch.num_rows, UNDETERMINED, object), np.zeros(batch.num_rows)
+            if len(told := np.flatnonzero(total[:, -1])) and m.languages:
+                z = total[told, :-1] / np.sqrt(total[told, -1:])
+                share = np.exp(z - z.max(axis=1, keepdims=True))
+                langs[told] = np.array(m.languages, object)[z.argmax(axis=1)]
+                scores[told] = 1 / share.sum(axis=1)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     kinds = dict(docs.dtypes)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -81,6 +82,33 @@ def test_language_id_equals_plain_version(spark, sf_dir):
     assert all(abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
 
 
+def test_language_id_words_of_tokens(monkeypatch):
+    texts = ["Word, (two) a-b ΟΔΟΣ. ΟΔΟΣ.Α 'İstanbul'", None, "", " \t\x0b x\u00a0y\x1cz 12 … ½ a½b ⅷ", "日本語。語 x_y 3rd ǅ", "word, word,\nWord,"]
+    calls, plain = [], langid._words
+    monkeypatch.setattr(langid, "_words", lambda token: calls.append(token) or plain(token))
+    tokens, at, begin = langid.tokens_of(pa.array(texts))
+    words, owner = langid.words_of(tokens)
+    by = [[w for w, o in zip(words, owner, strict=True) if o == i] for i in range(len(tokens))]
+    got = [[w for i in at[a:b] for w in by[i]] for a, b in itertools.pairwise(begin)]
+    assert got == [[w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split(" ") if w] for t in texts]
+    # what is one word without the marks at its ends needs no pattern
+    assert "word" in words and not {"word", "two", "οδος"} & set(calls)
+
+
+def test_language_id_sums_words_of_a_task(spark):
+    class Task:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        select = groupBy = agg = lambda self, *_: self
+
+    # a task sends a word once, also where the same 110,000 words come in each slice
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(110_000))], "lang": ["en"]})
+    out = pa.Table.from_batches(langid.word_counts(Task()).run(iter([batch] * 3)))
+    assert out.num_rows == 110_000 and set(out.column("n").to_pylist()) == {3} and set(out.column("lang").to_pylist()) == {"en"}
+
+
 def test_language_id_fills_places_among_equal_words(spark):
     rows = [(" ".join(f"w{chr(97 + i)}x" for i in range(20)), "en"), ("other", "de")]
     model = langid.learn(spark.createDataFrame(rows, "text string, lang string"), max_words=12)
