@@ -10,8 +10,9 @@ that the lowest-rank-first, leftmost-first rule gives for each word by itself.
 
 The table of these parts is broadcast. The texts are then read once more and looked up; what
 the table does not hold is remembered by each worker, and the replay runs over the new
-pre-tokens of a slice of texts. Texts never leave their partition, and memory is that of a
-slice and of tables of fixed size.
+pre-tokens of several slices of texts at once: it visits each rank that stands in them, and
+these are hardly more in many words than in few. Texts never leave their partition, and memory
+is that of a slice, of the places in the table of the slices that wait, and of tables of fixed size.
 
 A null text is encoded as an empty one, which has no ids. Rows that repeat, null ids and
 further columns need no special care: there is one result for each row; very long texts are
@@ -26,7 +27,7 @@ import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, compress, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,10 @@ NONE = np.int64(1) << 40
 #: Of texts that are counted or encoded at once. What a worker needs beside its tables is about
 #: 25 times as much.
 SLICE_BYTES, SLICE_ROWS = 2_000_000, 1_000
+#: What slices hold together when their new parts are replayed: new parts, and parts and rows in all.
+NEW_PARTS, WAITING_PARTS = 200_000, 4_000_000
+#: Parts of one replay.
+REPLAY_PARTS = 100_000
 _SPACE_BEFORE_SPACE = re.compile(r"\s ")
 
 
@@ -109,12 +114,11 @@ class Merges:
                     pairs[a * size + b] = rank
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.lengths = np.array([len(t) for t in self.tokens], np.int32)
+        self.of_bytes = self.rank_of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))  # of each two bytes
         #: Ranks whose token can at once stand in a pair of lower rank.
         left, right = self.keys // size, self.keys % size
         self.turning = set(left[self.values < left].tolist()) | set(right[self.values < right].tolist())
-        lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(lengths)])
-        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; NONE where the vocabulary lacks it."""
@@ -129,7 +133,8 @@ class Merges:
         n = int(ends[-1]) if len(words) else 0
         if not n:
             return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
-        symbol = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        text = np.frombuffer(b"".join(words), np.uint8)
+        symbol = self.byte_ids[text]
         word = np.repeat(np.arange(len(words)), lengths)
         after = np.arange(1, n + 1)
         after[ends[lengths > 0] - 1] = n  # n: no neighbour
@@ -145,7 +150,7 @@ class Merges:
             ranks, at = ranks[known], at[known]
             if not len(ranks):
                 return
-            by = np.argsort(ranks, kind="stable")
+            by = np.argsort(ranks.astype(np.uint16) if self.size <= 1 << 16 else ranks, kind="stable")
             ranks, at = ranks[by], at[by]
             cuts = np.flatnonzero(np.diff(ranks)) + 1
             for r, p in zip(ranks[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts), strict=True):
@@ -156,7 +161,7 @@ class Merges:
                     heapq.heappush(order, r)
 
         first = np.flatnonzero(after < n)
-        note(self.rank_of(symbol[first], symbol[after[first]]), first)
+        note(self.of_bytes[text[first].astype(np.int64) * 256 + text[first + 1]], first)
         while order:
             rank = heapq.heappop(order)
             found = pending.pop(rank)
@@ -165,7 +170,8 @@ class Merges:
             right = after[at]
             there = right < n
             at, right = at[there], right[there]
-            fits = self.rank_of(symbol[at], symbol[right]) == rank
+            # where the rank once stood, its bytes stand; two tokens over just these make it still
+            fits = self.lengths[symbol[at]] + self.lengths[symbol[right]] == self.lengths[rank]
             at = at[fits]
             if not len(at):
                 continue
@@ -194,7 +200,7 @@ class Merges:
         return symbol[kept], np.concatenate([[0], np.cumsum(counts)])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return gather(self.flat, self.starts, ids)[0].tobytes()
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,26 +250,41 @@ class Memo:
         self.codes = dict(zip((names[i] for i in keep.tolist()), range(len(keep)), strict=True))
         self.used = self.used[keep] // 2
 
-    def find(self, strings: list[str], make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Rows of (flat, starts) of strings; ``make`` gives ids and lengths of new ones."""
+    def look_up(self, strings: list[str], bounded: bool = False) -> np.ndarray:
+        """Rows of strings; new ones have theirs in (flat, starts) after ``fill``. ``bounded``: other strings
+        make room for them now."""
         at = np.fromiter(map(self.codes.get, strings, repeat(-1)), np.int64, len(strings))
         new = np.flatnonzero(at < 0)
-        if len(new) and len(self.codes) + len({strings[i] for i in new.tolist()}) > self.bound:
+        if bounded and len(new) and len(self.codes) + len({strings[i] for i in new.tolist()}) > self.bound:
             self.shrink()
-            at = np.fromiter(map(self.codes.get, strings, repeat(-1)), np.int64, len(strings))
-            new = np.flatnonzero(at < 0)
+            return self.look_up(strings)
         if len(new):
             again = [strings[i] for i in new.tolist()]
-            fresh = list(dict.fromkeys(again))
-            ids, lengths = make(fresh)
-            self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+            fresh = dict.fromkeys(again)
             self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh)), strict=True))
             self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int32)])
             at[new] = np.fromiter(map(self.codes.__getitem__, again), np.int64, len(again))
         self.used[at] += 1
         return at
 
+    def waiting(self) -> int:
+        """Number of strings that have no ids yet."""
+        return len(self.codes) + 1 - len(self.starts)
+
+    def fill(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], at_once: int = REPLAY_PARTS) -> None:
+        """``make`` gives ids and lengths of the strings that wait for them, ``at_once`` together at most."""
+        names = list(islice(self.codes, len(self.starts) - 1, None))
+        made = [make(names[i : i + at_once]) for i in range(0, len(names), at_once)]
+        self.flat = np.concatenate([self.flat, *(ids.astype(np.uint32) for ids, _ in made)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *(x for _, x in made)]))])
+
+    def find(self, strings: list[str], make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Rows of (flat, starts) of strings; ``make`` gives ids and lengths of new ones."""
+        at = self.look_up(strings, bounded=True)
+        if self.waiting():
+            self.fill(make)
+        return at
+
 
 class Encoder:
     """Ids of texts by their parts. A part is looked up; ``encode_parts`` gives the ids and lengths of
@@ -286,20 +307,50 @@ class Encoder:
         ids, lengths = gather(*self.ragged(names), at)
         return ids, np.concatenate([[0], np.cumsum(lengths)])[begin]
 
+    def encode_all(self, slices: Iterator[tuple[list, pa.Array]]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        """What stands beside the texts of each slice, and ``encode`` of these. Slices wait until they have
+        ``NEW_PARTS`` new parts together, which are then encoded at once."""
+        held, size = [], 0
+        for beside, texts in slices:
+            names, at, begin = parts_of(texts, self.pattern)
+            held.append((beside, self.parts.look_up(names).astype(np.int32)[at], begin))
+            size += len(at) + len(texts)
+            if self.parts.waiting() > NEW_PARTS or size > WAITING_PARTS:
+                yield from self._settled(held)
+                held, size = [], 0
+        yield from self._settled(held)
+
+    def _settled(self, held: list[tuple[list, np.ndarray, np.ndarray]]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        if self.parts.waiting():
+            self.parts.fill(self.encode_parts)
+        for beside, at, begin in held:
+            ids, lengths = gather(self.parts.flat, self.parts.starts, at)
+            yield beside, ids, np.concatenate([[0], np.cumsum(lengths)])[begin]
+        if len(self.parts.codes) > self.parts.bound:
+            self.parts.shrink()
+
 
 def replayed(vocabulary: Merges, pattern: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Ids of parts by one replay over their distinct pre-tokens."""
     compiled = regex.compile(pattern)
 
     def encode_parts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        codes, row, counts = _Codes(), [], []
-        for part in parts:
-            found = compiled.findall(part)
-            row.extend(map(codes.__getitem__, found))
-            counts.append(len(found))
+        codes, counts = _Codes(), np.zeros(len(parts), np.int64)
+        # between two characters that are no white space, a space starts a match: such parts are matched as one text
+        plain = np.fromiter((len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() for p in parts), bool, len(parts))
+        joined = list(compress(parts, plain))
+        found = compiled.findall("".join(joined))
+        ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+        counts[plain] = np.diff(np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), ends, "right"), prepend=0)
+        others = [compiled.findall(p) for p in compress(parts, ~plain)]
+        counts[~plain] = np.fromiter(map(len, others), np.int64, len(others))
+        row = np.empty(int(counts.sum()), np.int64)
+        of_plain = np.repeat(plain, counts)
+        row[of_plain] = np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
+        row[~of_plain] = np.fromiter(map(codes.__getitem__, chain.from_iterable(others)), np.int64, int(counts[~plain].sum()))
         ids, starts = vocabulary.replay([p.encode("utf-8", "surrogatepass") for p in codes])
-        flat, lengths = gather(ids.astype(np.uint32), starts, np.array(row, np.int64))
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])]
+        flat, lengths = gather(ids.astype(np.uint32), starts, row)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, np.diff(ends)
 
     return encode_parts
@@ -353,10 +404,10 @@ def with_ids(docs: DataFrame, fn, schema: str, columns: list[str], vocabulary: s
         words = merges(vocabulary)
         parts, flat, starts = shared.value
         encoder = Encoder(pattern, replayed(words, pattern), 100_000, (parts.to_pylist(), flat, starts))
-        for batch in slices(batches, len(columns), SLICE_BYTES, SLICE_ROWS):
-            ids, begin = encoder.encode(batch.column(len(columns)))
+        cut = slices(batches, len(columns), SLICE_BYTES, SLICE_ROWS)
+        for beside, ids, begin in encoder.encode_all((batch.columns[: len(columns)], batch.column(len(columns))) for batch in cut):
             made = list(zip(*(fn(words, ids[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)), strict=True)) or [()] * len(fn.columns)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *(pa.array(x, kind) for x, (_, kind) in zip(made, fn.columns, strict=True))], names=[*columns, *(name for name, _ in fn.columns)])
+            yield pa.RecordBatch.from_arrays([*beside, *(pa.array(x, kind) for x, (_, kind) in zip(made, fn.columns, strict=True))], names=[*columns, *(name for name, _ in fn.columns)])
 
     kept = docs.select(*[F.col(c) for c in columns], F.coalesce(F.col(text_col), F.lit("")).alias(free_name(docs, "whole_text")))
     return kept.mapInArrow(giving_back(run), schema)

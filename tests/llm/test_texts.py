@@ -465,6 +465,28 @@ def test_texts_travel_in_short_batches(spark, sf_dir):
         spark.conf.set(name, before)
 
 
+def test_bpe_replays_new_parts_of_slices_together(reference_encoding, monkeypatch):
+    words = bpe.merges("byte_bpe_50k.tiktoken")
+    sizes = []
+    make = bpe.replayed(words, public_tokenizers.PATTERN)
+    r = random.Random(5)
+    texts = ["".join(r.choice(" aaabcdé'\x1c\n\u00a0½日") for _ in range(r.randrange(60))) + r.choice([" x", "  y", "\n", " "]) for _ in range(400)] + ["", "one two's three", "ab " * 50]
+    slices = [([i], pa.array(texts[i : i + 50])) for i in range(0, len(texts), 50)]
+    for new_parts, waiting in ((10**6, 10**6), (100, 10**6), (10**6, 500)):
+        monkeypatch.setattr(bpe, "NEW_PARTS", new_parts)
+        monkeypatch.setattr(bpe, "WAITING_PARTS", waiting)
+        sizes.clear()
+        encoder = bpe.Encoder(public_tokenizers.PATTERN, lambda parts: sizes.append(len(parts)) or make(parts), 50)
+        for ([i], ids, begin), (_, some) in zip(encoder.encode_all(iter(slices)), slices, strict=True):
+            for text, a, b in zip(texts[i : i + len(some)], begin[:-1], begin[1:], strict=True):
+                assert ids[a:b].tolist() == reference_encoding.encode_ordinary(text)
+        if new_parts == waiting:  # one replay, although there are nine slices
+            assert len(sizes) == 1 and len(encoder.parts.codes) <= encoder.parts.bound
+        else:
+            assert len(sizes) > 1
+    assert list(encoder.encode_all(iter([]))) == []
+
+
 def test_bpe_on_tables(spark, sf_dir, reference_encoding):
     docs = common.load(spark, sf_dir)
     got = {r.doc_id: r for r in bpe.digests(docs).collect()}
