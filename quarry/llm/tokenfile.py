@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -20,13 +20,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import Encoder
-from quarry.llm.common import load, materialize, pack, shared_dir, slices, unpack
+from quarry.llm.bpe import gather
+from quarry.llm.common import load, materialize, pack, shared_dir, slices, strings_of, unpack
 
 RANK_BITS = 512
 #: A multiple of the bytes of a run, so that no run lies in two blocks.
@@ -86,9 +87,9 @@ class WaveletMatrix:
             packed = np.packbits(bit)
             planes.append(Plane.of(packed))
             ranks.append(cls._directory(packed))
-            low = now[~bit]
+            low = now.compress(~bit)  # several times faster than a mask as index where bits change often
             zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([low, now.compress(bit)])
         return cls(len(ids), zeros, planes, ranks)
 
     def to_bytes(self) -> bytes:
@@ -165,52 +166,140 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[level].packed(), count=self.n).view(bool)
             before = np.empty(self.n, kind)
-            before[~bit] = now[: self.zeros[level]]
-            before[bit] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
+            before[np.flatnonzero(~bit)] = now[: self.zeros[level]]
+            before[np.flatnonzero(bit)] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             now = before
         return now
 
 
+#: Characters that Python calls white space, and two of the texts that may be joined: parts that a space
+#: begins and no white space ends; parts of signs that every version of Unicode sorts alike into
+#: letters, numbers, white space and others (without the space before them).
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_APART = rf"(?s)^ [^{_WHITE}](.*[^{_WHITE}])?$"
+_PLAIN = r"^[!-~\x{a1}-\x{24f}]([\t\n\r!-~\x{a1}-\x{24f}]*[!-~\x{a1}-\x{24f}])?$"
+#: Strings that a table of strings holds between slices, in bytes.
+KNOWN_BYTES = 100_000_000
+#: Strings whose ids are put in a row at once, since that takes a multiple of their memory.
+GATHERED = 500_000
+
+
+class Known:
+    """Ids of strings, remembered up to ``bound`` strings; ``make`` gives ids and lengths of new ones. Arrow
+    numbers the known strings and those of a slice in one call, so that known ones become no Python
+    strings. When there are too many, the half that most slices asked for stays."""
+
+    def __init__(self, bound: int, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.bound, self.make = bound, make
+        self.names = pa.array([], pa.large_string())
+        self.flat, self.starts, self.used = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def ids(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings in a row, and how many each has."""
+        if not len(strings):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        own = strings.dictionary_encode()
+        coded = pa.chunked_array([self.names, own.dictionary]).dictionary_encode().chunks[-1]
+        new = coded.dictionary.slice(len(self.names))
+        if len(new):
+            flat, lengths = self.make(new)
+            flat, starts, used = np.concatenate([self.flat, flat]), np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)]), np.concatenate([self.used, np.zeros(len(new), np.int32)])
+            self.names, self.flat, self.starts, self.used = coded.dictionary, flat, starts, used  # together: a worker lives on after a task that failed
+        rows, at = coded.indices.to_numpy(), own.indices.to_numpy()
+        self.used[rows] += 1
+        flat, lengths = gather(self.flat, self.starts, rows)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        ids = [gather(flat, starts, at[begin : begin + GATHERED])[0] for begin in range(0, len(at), GATHERED)]
+        while len(self.names) > self.bound or self.names.nbytes > KNOWN_BYTES:
+            self.shrink(min(len(self.names), self.bound) // 2)
+        return np.concatenate(ids), lengths[at]
+
+    def shrink(self, to: int) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[:to])
+        self.names = self.names.take(pa.array(keep))
+        self.flat, lengths = gather(self.flat, self.starts, keep)
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.used = self.used[keep] // 2
+
+
+def merged(first: np.ndarray, some: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of strings in their order, from those of the strings that ``first`` marks and of the others."""
+    lengths = np.empty(len(first), np.int64)
+    lengths[first], lengths[~first] = some[1], others[1]
+    ids = np.empty(len(some[0]) + len(others[0]), np.uint32)
+    at = np.repeat(first, lengths)
+    ids[at], ids[~at] = some[0], others[0]
+    return ids, lengths
+
+
 class LibraryEncoder:
-    """Ids as the tokenizers library gives them. It is asked once for each part of the texts; a text
-    that holds the string of an added token goes to it as a whole."""
+    """Ids as the tokenizers library gives them. Texts are cut into parts that no match of the pattern
+    crosses. The library is asked once for each part, and where a part is plain, once for each
+    match in it: most new parts are known words beside other signs. A text that holds the string
+    of an added token goes to it as a whole. ``bound`` and ``words``: parts and matches that are
+    remembered."""
 
-    def __init__(self, name: str, bound: int = 700_000):
+    def __init__(self, name: str, bound: int = 700_000, words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Bytes of each token: the alphabet of the vocabulary has one character for each byte.
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
-        self.encoder = Encoder(public_tokenizers.PATTERN, self._parts, bound)
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.parts, self.words = Known(bound, self._parts), Known(words, self._asked)
 
     def _ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
         lengths = np.fromiter(map(len, made), np.int64, len(made))
         return np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum())), lengths
 
-    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Parts that a space begins and no white space ends stay apart when they are joined, so the
-        library gets many in one string; the bytes of the tokens tell where each part ends."""
-        joined = np.fromiter((len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() for p in parts), bool, len(parts))
-        together = [p for p, one in zip(parts, joined.tolist(), strict=True) if one]
+    def _lengths(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """How many of ``ids`` each of several strings has, from their sizes in bytes and those of the tokens."""
+        return np.diff(np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes), side="right"), prepend=0)
+
+    def _asked(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Strings that a space begins and no white space ends stay apart when they are joined, so the
+        library gets many in one."""
+        apart = pc.match_substring_regex(strings, _APART)
+        some = strings.filter(apart)
+        together = strings_of(some)
         ids, _ = self._ids(["".join(together[at : at + 200]) for at in range(0, len(together), 200)])
-        ends = np.cumsum(pc.binary_length(pa.array(together, pa.large_string())).to_numpy().astype(np.int64))
-        lengths = np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends, side="right"), prepend=0)
-        alone, alone_lengths = self._ids([p for p, one in zip(parts, joined.tolist(), strict=True) if not one])
-        every = np.empty(len(parts), np.int64)
-        every[joined], every[~joined] = lengths, alone_lengths
-        out = np.empty(len(ids) + len(alone), np.uint32)
-        at = np.repeat(joined, every)
-        out[at], out[~at] = ids, alone
-        return out, every
+        return merged(apart.to_numpy(zero_copy_only=False), (ids, self._lengths(ids, pc.binary_length(some).to_numpy())), self._ids(strings_of(strings.filter(pc.invert(apart)))))
+
+    def _parts(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Plain parts stay apart when they are joined, so the pattern cuts them as one text."""
+        plain = pc.match_substring_regex(keys, _PLAIN)
+        some, others = keys.filter(plain), strings_of(keys.filter(pc.invert(plain)))
+        words = self.pattern.findall(" " + " ".join(strings_of(some))) if len(some) else []
+        ids, _ = self.words.ids(pa.array(words, pa.large_string()))
+        rest = self._asked(pa.array([k[1:] if k[:1] == " " else " " + k for k in others], pa.large_string()))
+        return merged(plain.to_numpy(zero_copy_only=False), (ids, self._lengths(ids, pc.binary_length(some).to_numpy() + 1)), rest)
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The key of a part that single spaces cut off is the part without its space; the key of any
+        other is a space and the part."""
+        texts = texts.cast(pa.large_string())
         whole = np.zeros(len(texts), bool)
         for content in self.added:
             whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
-        ids, begin = self.encoder.encode(texts, whole.tolist())
-        for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+        # a space after other white space does not always begin a match
+        odd = pc.match_substring_regex(texts, f"[{_WHITE}] ").to_numpy(zero_copy_only=False)
+        even, uneven = np.flatnonzero(~odd & ~whole), np.flatnonzero(odd & ~whole)
+        lists = pc.split_pattern(texts.take(pa.array(even)), " ")
+        keys, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.zeros(len(keys), bool)
+        begins[np.cumsum(counts) - counts] = True
+        begins = pa.array(begins)
+        keys = pc.replace_with_mask(keys, begins, pa.array([" " + part for part in strings_of(keys.filter(begins))], pa.large_string()))
+        found = [pa.array([" " + part for part in self.pattern.findall(texts[i].as_py())], pa.large_string()) for i in uneven.tolist()]
+        ids, lengths = self.parts.ids(pa.concat_arrays([keys, *found]))
+        counts = np.concatenate([counts, np.fromiter(map(len, found), np.int64, len(found))])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        begin, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        order = np.concatenate([even, uneven])
+        begin[order], end[order] = ends[:-1], ends[1:]
+        for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
             yield np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) if whole[i] else ids[a:b]
 
 
@@ -239,7 +328,7 @@ def write_shards(docs: DataFrame, where: str, tokenizer: str = "byte_bpe_50k.jso
             documents = pack(np.array([x is None for x in names], np.uint8), np.array([x or 0 for x in names], np.int64), np.array(lengths, np.uint64))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n": pa.array([held], pa.int64()), "documents": pa.array([documents], pa.binary()), "matrix": pa.array([matrix.to_bytes()], pa.binary())})
 
-        for rows in slices(batches, 1, 8_000_000, 4_000):  # larger ones look fewer distinct parts up
+        for rows in slices(batches, 1, 20_000_000, 10_000):  # each slice numbers the known parts anew
             for doc_id, found in zip(rows.column(0).to_pylist(), library.encode(rows.column(1)), strict=True):
                 names.append(doc_id)
                 ids += [found, end]

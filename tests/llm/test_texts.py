@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import pytest
 import regex
@@ -224,6 +225,59 @@ def test_library_encoder(tokenizer):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_library_is_asked_once_for_each_word(tokenizer):
+    words = ["ofonesthnt", "Ñieesdo", "it's", "éoireaux"]
+    texts = [" ".join(["begin", *(w + tail for w in words for tail in ("", ",", ".\nUnd", "***", ';"', ") x"))]), "begin ofonesthnt. it's?!"]
+    encoder, asked = tokenfile.LibraryEncoder("byte_bpe_50k.json"), []
+    ids_of = encoder._ids
+    encoder._ids = lambda strings: (asked.extend(strings), ids_of(strings))[1]
+    for text in texts:
+        assert next(encoder.encode(pa.array([text]))).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert [sum(s.count(w) for s in asked) for w in ("ofonesthnt", "Ñieesdo", "éoireaux", "Und")] == [1, 1, 1, 1]
+
+
+def test_library_encoder_forgets(tokenizer, monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab é日,.\n'9  ") for _ in range(r.randint(0, 80))) for _ in range(1500)]
+    monkeypatch.setattr(tokenfile, "GATHERED", 7)
+    for known_bytes in (10**6, 2_000):
+        monkeypatch.setattr(tokenfile, "KNOWN_BYTES", known_bytes)
+        encoder = tokenfile.LibraryEncoder("byte_bpe_50k.json", 200, 100)
+        for at in range(0, len(texts), 50):
+            some = pa.array(["", *texts[at : at + 50]]).slice(1)
+            for text, ids in zip(some.to_pylist(), encoder.encode(some), strict=True):
+                assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+            assert len(encoder.parts.names) <= 200 and len(encoder.words.names) <= 100 and encoder.parts.names.nbytes <= known_bytes
+
+
+def test_known_strings_keep_their_ids():
+    fail = True
+
+    def make(strings):
+        if fail:
+            raise MemoryError
+        return np.array([int(s) for s in strings.to_pylist() for _ in range(int(s) % 3)], np.uint32), np.array([int(s) % 3 for s in strings.to_pylist()])
+
+    known = tokenfile.Known(6, make)
+    array = lambda *values: pa.array(map(str, values), pa.large_string())
+    with pytest.raises(MemoryError):
+        known.ids(array(7, 8))
+    fail = False
+    for values in ((8, 7, 8), (), (5, 6), (8, 8, 5), (10, 11, 12, 13), (8, 5, 14)):
+        ids, lengths = known.ids(array(*values))
+        assert ids.tolist() == [v for v in values for _ in range(v % 3)] and lengths.tolist() == [v % 3 for v in values]
+    assert {"8", "5"} <= set(known.names.to_pylist())
+
+
+def test_white_space_of_token_files():
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    white = pc.match_substring_regex(pa.array(every), f"[{tokenfile._WHITE}]").to_pylist()
+    assert white == [c.isspace() for c in every]
+    r = random.Random(6)
+    texts = ["".join(r.choice(" \n\t\r\x0b\x1f\xa0\u2003ab") for _ in range(r.randint(0, 8))) for _ in range(3000)]
+    assert pc.match_substring_regex(pa.array(texts), f"[{tokenfile._WHITE}] ").to_pylist() == [bpe.crosses(t) for t in texts]
+
+
 class Asked(dict):
     """A dict that counts how often it is asked."""
 
