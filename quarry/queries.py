@@ -532,7 +532,8 @@ SELECT c_custkey, 'Provider ' || c_nationkey AS provider, CAST(c_custkey AS VARC
 def winlog_xml(t) -> DataFrame:
     k = F.col("c_custkey").cast("string")
     xml = F.concat(F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="Provider '), F.col("c_nationkey").cast("string"), F.lit('"/><EventID>4624</EventID><TimeCreated SystemTime="2024-01-01T00:00:00.1234567Z"/><EventRecordID>'), k, F.lit('</EventRecordID></System><EventData><Data Name="User">'), F.col("c_name"), F.lit("</Data><Data>plain"), k, F.lit("</Data></EventData></Event>"))
-    x = winlog.parse_winlog(t("customer").select("c_custkey", xml.alias("xml")), declared=["EventID"])
+    customers = t("customer").select("c_custkey", "c_nationkey", "c_name").repartition("c_custkey")  # few bytes for each event: one file would be one task
+    x = winlog.parse_winlog(customers.select("c_custkey", xml.alias("xml")), declared=["EventID"])
     at = lambda key, name: F.element_at("parsed", key).alias(name)
     return x.select("c_custkey", at("Provider", "provider"), at("EventRecordID", "record_id"), at("User", "user_name"), at("Data0", "data0"), F.col("source_ts_ns").alias("ts_ns"))
 

@@ -55,6 +55,37 @@ def test_winlog_without_data(spark):
     assert winlog.parse_winlog(df, declared=["Absent"]).count() == 0
 
 
+def test_winlog_reads_an_event_once(spark):
+    df = spark.createDataFrame([("<Event ><System><EventID>1</EventID></System></Event>",)], "xml string")
+    kept = winlog.parse_winlog(df, declared=["EventID"]).where("parsed['EventID'] = '1'").select("parsed", "source_ts_ns")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 2 and "XPath" not in plan  # names, and texts
+
+
+def test_winlog_odd_events(spark):
+    def event(system: str, data: str = "") -> str:
+        return f"<Event xmlns='x'><System>{system}</System><EventData>{data}</EventData></Event>"
+
+    one = "<EventID>1</EventID>"
+    cases = [
+        (event(one, "<Data Name='a'>1</Data><Data>u</Data><Data Name='a'>2</Data>"), {"EventID": "1", "a": "2", "Data0": "u"}),
+        (event("<EventID>1<!-- c -->2</EventID>", "<Data Name='a'>x<!-- c -->y</Data><Data Name='b'><![CDATA[<system>&]]>;</Data>"), {"EventID": "12", "a": "xy", "b": "<system>&;"}),
+        (event(one, "<Data> </Data><Data></Data><Data/><Data> v\n</Data><Data Name='n'>\t</Data>"), {"EventID": "1", "Data0": " ", "Data1": " v\n", "n": "\t"}),
+        (event(one, "<Data Name='no'/><Data Name='a &amp; b'>&lt;&#65;</Data>"), {"EventID": "1", "a & b": "<A"}),
+        (event("<EventID Qualifiers='7'>1</EventID><EventID>2</EventID><eventID>3</eventID><Provider Guid='g'/><Provider Name='p name=q'/>"), {"EventID": "1", "Provider": "p name=q"}),
+        (event(one, "<data Name='d'>1</data><Data name='low'>2</Data><Data Name='x name=y'>a/data b</Data>"), {"EventID": "1", "Data0": "2", "x name=y": "a/data b"}),
+        ("<?xml version='1.0' encoding='utf-8'?>\n" + event(one) + "\n<!-- end -->", {"EventID": "1"}),
+        (event("<EventID/>", "text").replace("<Sys", "<System/><Sys") + " ", {}),
+        ("<Event><p:System><p:EventID>1</p:EventID></p:System></Event>", {"EventID": "1"}),
+        *((bad, None) for bad in (None, "", "text", "<Event>", "<Eventx></Eventx>", event(one) + "junk", event(one) + event(one), event(one) + "<x/>", event("<EventID>&no;</EventID>"))),
+    ]
+    df = spark.createDataFrame([(i, xml) for i, (xml, _) in enumerate(cases)], "i int, xml string")
+    got = {r.i: r for r in winlog.parse_winlog(df).withColumn("event", winlog.is_event(F.col("xml"))).collect()}
+    for i, (xml, want) in enumerate(cases):
+        assert got[i].parsed == (want if want is None else want | {"Xml": xml}), xml
+        assert got[i].event == (want is not None), xml
+
+
 def test_dead_letters_and_lines(spark, tmp_path):
     df = spark.createDataFrame([("s", "why", "line")], "state_key string, reason string, line string")
     sinks.write_dead_letter(df, str(tmp_path / "dead"))
